@@ -65,47 +65,48 @@ def evidence(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def scored(ev: DataFrame) -> DataFrame:
     """Add the confidence of each of the four kinds of evidence (null = no vote)."""
-    u = share(F.col("unique_count"), F.col("non_null"))
-    k2 = k_squared(F.col("n_number"), F.col("skew"), F.col("kurt"))
+    staged = ev.withColumns({
+        "u": share(F.col("unique_count"), F.col("non_null")),
+        "k2": k_squared(F.col("n_number"), F.col("skew"), F.col("kurt")),
+        "has": F.col("non_null") > 0})
+    staged = staged.withColumn("normal_p", chi2_two_tail(F.col("k2")))
+    u, has = F.col("u"), F.col("has")
     date = F.when(F.col("date_parse") > .7, F.least(F.lit(.9), F.col("date_parse") + .1)).otherwise(
         F.least(F.lit(.8), F.col("date_patterns") / len(DATE_PATTERNS)))
     numb = F.when(F.col("number_parse") > .8, F.least(F.lit(.9), F.col("number_parse"))).otherwise(
         F.least(F.lit(.8), F.col("number_patterns")))
-    kind = (F.when(u >= IDENTIFIER_RATIO, F.struct(F.lit("identifier").alias("t"), F.lit(.9).alias("c")))
-            .when((u <= CATEGORY_RATIO) & (F.col("unique_count") <= MAX_CATEGORIES),
-                  F.struct(F.lit("categorical").alias("t"), F.lit(.8).alias("c")))
-            .when(u > .8, F.struct(F.lit("continuous").alias("t"), F.lit(.7).alias("c"))))
-    p = chi2_two_tail(k2)
-    dist = F.when((F.col("n_number") >= 10) & p.isNotNull(), F.when(
-        p > .05, F.struct(F.lit("continuous_normal").alias("t"), F.lit(.7).alias("c")))
-        .otherwise(F.struct(F.lit("continuous_skewed").alias("t"), F.lit(.6).alias("c"))))
-    has = F.col("non_null") > 0
-    return ev.select(
-        "*", F.when(has & (date > 0), date).alias("datetime_conf"), F.when(has & (numb > 0), numb).alias("numeric_conf"),
-        F.when(has, kind["t"]).alias("cardinality_type"), F.when(has, kind["c"]).alias("cardinality_conf"),
-        k2.alias("k2"), p.alias("normal_p"),
-        F.when(has, dist["t"]).alias("distribution_type"), F.when(has, dist["c"]).alias("distribution_conf"))
+    few = (u <= CATEGORY_RATIO) & (F.col("unique_count") <= MAX_CATEGORIES)
+    tested = has & (F.col("n_number") >= 10) & F.col("normal_p").isNotNull()
+    staged = staged.withColumns({"__date": date, "__numb": numb})
+    return staged.withColumns({
+        "datetime_conf": F.when(has & (F.col("__date") > 0), F.col("__date")),
+        "numeric_conf": F.when(has & (F.col("__numb") > 0), F.col("__numb")),
+        "cardinality_type": F.when(has, F.when(u >= IDENTIFIER_RATIO, "identifier").when(few, "categorical").when(u > .8, "continuous")),
+        "cardinality_conf": F.when(has, F.when(u >= IDENTIFIER_RATIO, .9).when(few, .8).when(u > .8, .7)),
+        "distribution_type": F.when(tested, F.when(F.col("normal_p") > .05, "continuous_normal").otherwise("continuous_skewed")),
+        "distribution_conf": F.when(tested, F.when(F.col("normal_p") > .05, .7).otherwise(.6)),
+    }).drop("__date", "__numb", "u", "has")
 
 
 def decided(sc: DataFrame) -> DataFrame:
     """Final type: strongest evidence, earlier kind on ties, then the acceptance rules."""
     d, n, k, s = (F.coalesce(F.col(c), F.lit(0.0)) for c in (
         "datetime_conf", "numeric_conf", "cardinality_conf", "distribution_conf"))
-    best = F.greatest(d, n, k, s)
-    winner = (F.when(best == 0, F.lit(None)).when(d == best, "datetime").when(n == best, "numeric")
-              .when(k == best, F.col("cardinality_type")).otherwise(F.col("distribution_type")))
-    stored = F.col("original_type")
-    accepted = (F.when((winner == "identifier") & (best > .8), "identifier")
-                .when((winner == "datetime") & (best > .7), "datetime")
-                .when(winner.isin("numeric", "continuous_normal", "continuous_skewed") & (best > .6), "numeric")
-                .when((winner == "categorical") & (best > .6), "categorical"))
+    best, winner, accepted, stored = F.col("__best"), F.col("__winner"), F.col("__accepted"), F.col("original_type")
+    staged = sc.withColumn("__best", F.greatest(d, n, k, s)).withColumn(
+        "__winner", F.when(best == 0, F.lit(None)).when(d == best, "datetime").when(n == best, "numeric")
+        .when(k == best, F.col("cardinality_type")).otherwise(F.col("distribution_type"))).withColumn(
+        "__accepted", F.when((winner == "identifier") & (best > .8), "identifier")
+        .when((winner == "datetime") & (best > .7), "datetime")
+        .when(winner.isin("numeric", "continuous_normal", "continuous_skewed") & (best > .6), "numeric")
+        .when((winner == "categorical") & (best > .6), "categorical"))
     empty = F.col("non_null") == 0
     none_t = F.when(stored.isin("integer", "float"), "numeric").when(stored == "text", "text").otherwise("unknown")
     none_c = F.when(stored.isin("integer", "float", "text"), .5).otherwise(.3)
-    return sc.withColumn("inferred_type", F.when(empty, "empty").when(winner.isNull(), none_t)
-                         .otherwise(F.coalesce(accepted, F.lit("text")))) \
-        .withColumn("confidence", F.when(empty, 1.0).when(winner.isNull(), none_c)
-                    .when(accepted.isNotNull(), best).otherwise(F.greatest(F.lit(.3), best * .5)))
+    return staged.withColumns({
+        "inferred_type": F.when(empty, "empty").when(winner.isNull(), none_t).otherwise(F.coalesce(accepted, F.lit("text"))),
+        "confidence": F.when(empty, 1.0).when(winner.isNull(), none_c).when(accepted.isNotNull(), best)
+        .otherwise(F.greatest(F.lit(.3), best * .5))}).drop("__best", "__winner", "__accepted")
 
 
 def advised(dec: DataFrame) -> DataFrame:
@@ -161,8 +162,7 @@ def report(inferred: DataFrame) -> DataFrame:
     band = F.when(c >= HIGH, "high").when(c >= MEDIUM, "medium").otherwise("low")
     priority = F.when(c < LOW, "high_priority").when(c < MEDIUM, "medium_priority").otherwise("low_priority")
     n_advice = F.size(F.filter(F.split("advice", ","), lambda x: x != ""))
+    entry = lambda section, item, k: F.struct(F.lit(section).alias("section"), item.alias("item"), k.cast("bigint").alias("k"))
     rows = inferred.select(F.inline(F.array(
-        F.struct(F.lit("confidence").alias("section"), band.alias("item"), F.lit(1).cast("bigint").alias("k")),
-        F.struct(F.lit("type"), F.col("inferred_type"), F.lit(1).cast("bigint")),
-        F.struct(F.lit("advice"), priority, n_advice.cast("bigint")))))
+        entry("confidence", band, F.lit(1)), entry("type", F.col("inferred_type"), F.lit(1)), entry("advice", priority, n_advice))))
     return rows.groupBy("section", "item").agg(F.sum("k").alias("n"))
