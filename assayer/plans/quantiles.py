@@ -57,6 +57,36 @@ def order_statistics(df: DataFrame, col: str, ranks_of_n) -> tuple[list[float],
     return [stats[0, r] for r in ranks], n
 
 
+def even_quantiles(df: DataFrame, col: str, steps: int) -> list[float]:
+    """Exact quantiles at ``steps`` (at most the number of values) evenly spaced probabilities.
+
+    Values are counted, range-sorted and given running counts; only rows in which a wanted rank falls are returned.
+    """
+    from assayer.plans.ordered import running_sums
+
+    counted = (df.select(number(col, dtype(df, col)).alias("v")).where("v is not null")
+               .groupBy("v").agg(F.count(F.lit(1)).alias("m")))
+    n = counted.agg(F.sum("m").alias("n")).first()["n"] or 0
+    if n < 2:
+        return [r["v"] for r in counted.collect()] * 2 if n else []
+    k = max(2, min(steps, n))
+    width = (n - 1) / (k - 1)
+    run = running_sums(counted, {"c": F.col("m")}, ["v"])
+    # ranks of this value are [c - m, c); rank i*width may need its floor and its ceiling
+    near = run.select("v", "c", "m", F.explode(F.sequence(
+        F.greatest(F.lit(0), F.floor((F.col("c") - F.col("m") - 1) / width)), F.least(F.lit(k - 1), F.ceil((F.col("c") + 1) / width)))).alias("i"))
+    pos = F.col("i") * F.lit(width)
+    inside = lambda rank: (rank >= F.col("c") - F.col("m")) & (rank < F.col("c"))
+    ends = near.groupBy("i").agg(F.max(F.when(inside(F.floor(pos + 1e-9)), F.col("v"))).alias("a"),
+                                 F.max(F.when(inside(F.ceil(pos - 1e-9)), F.col("v"))).alias("b")).collect()
+    out = {}
+    for e in ends:
+        p = e["i"] * width
+        frac = p - math.floor(p + 1e-9)
+        out[e["i"]] = e["a"] + (e["b"] - e["a"]) * max(frac, 0.0)
+    return [out[i] for i in range(k)]
+
+
 def _ranks(df, wanted, accuracy, settle, exact_ranks=None):
     names = list(wanted)
     d = df.select(*[number(c, dtype(df, c)).alias(f"q{i}") for i, c in enumerate(names)])
