@@ -173,7 +173,7 @@ QUERIES = {
     "tr_log": lambda s, d: rounded(C.transform(load(s, d, "customer").select("c_custkey", "c_acctbal"), "log", ["c_acctbal"])),
     "tr_log1p": lambda s, d: rounded(C.transform(load(s, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > -1, F.col("c_acctbal")).alias("c_acctbal")), "log1p", ["c_acctbal"])),
     "tr_sqrt": lambda s, d: rounded(C.transform(load(s, d, "customer").select("c_custkey", "c_acctbal"), "sqrt", ["c_acctbal"])),
-    "tr_square": lambda s, d: rounded(C.transform(_od(s, d).select("o_orderkey", "o_totalprice"), "square", ["o_totalprice"]), 1), "tr_polynomial": lambda s, d: rounded(C.transform(_li(s, d).select(*LI_KEY, "l_quantity"), "polynomial", ["l_quantity"], 3), 4),
+    "tr_square": lambda s, d: rounded(C.transform(load(s, d, "customer").select("c_custkey", "c_acctbal"), "square", ["c_acctbal"]), 3), "tr_polynomial": lambda s, d: rounded(C.transform(_li(s, d).select(*LI_KEY, "l_quantity"), "polynomial", ["l_quantity"], 3), 4),
     "tr_reciprocal": lambda s, d: rounded(C.transform(_li(s, d).select(*LI_KEY, "l_discount"), "reciprocal", ["l_discount"])),
     "tr_boxcox": lambda s, d: rounded(C.power_transform(load(s, d, "orders").select("o_orderkey", "o_totalprice"), "boxcox", ["o_totalprice"])),
     "tr_yeojohnson": lambda s, d: rounded(C.power_transform(load(s, d, "customer").select("c_custkey", "c_acctbal"), "yeojohnson", ["c_acctbal"])),
@@ -283,7 +283,7 @@ SQL = {
     "tr_log": r("SELECT c_custkey, ln(c_acctbal - lo + 1) AS c_acctbal FROM customer, (SELECT min(c_acctbal) AS lo FROM customer)", "c_acctbal"),
     "tr_log1p": r("SELECT c_custkey, CASE WHEN c_acctbal > -1 THEN ln(1 + c_acctbal) END AS c_acctbal FROM customer", "c_acctbal"),
     "tr_sqrt": r("SELECT c_custkey, sqrt(c_acctbal - lo) AS c_acctbal FROM customer, (SELECT min(c_acctbal) AS lo FROM customer)", "c_acctbal"),
-    "tr_square": OD(r("SELECT o_orderkey, o_totalprice * o_totalprice AS o_totalprice FROM orders_dirty", "o_totalprice", 1)),
+    "tr_square": r("SELECT c_custkey, c_acctbal * c_acctbal AS c_acctbal FROM customer", "c_acctbal", 3),
     "tr_polynomial": r(f"SELECT {', '.join(LI_KEY)}, power(l_quantity, 3) AS l_quantity FROM lineitem", "l_quantity", 4),
     "tr_reciprocal": r(f"SELECT {', '.join(LI_KEY)}, 1 / nullif(l_discount, 0) AS l_discount FROM lineitem", "l_discount"),
     "sc_standard": _scale_sql("(o_totalprice - m) / s"), "sc_minmax": _scale_sql("(o_totalprice - lo) / (hi - lo)"), "sc_robust": _scale_sql("(o_totalprice - med) / (b - a)"), "sc_maxabs": _scale_sql("o_totalprice / ma"),
