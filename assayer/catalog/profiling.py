@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import functions as F
+
 from assayer.catalog.fixtures import load, per_column, r, rounded, view, with_views
 from assayer.operators import profile as P
+from assayer.sources import files as IO
 
 LI_NUM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
 LI_TXT = "l_returnflag l_linestatus"
@@ -74,7 +79,41 @@ def _pairs(cols: str) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(c) for b in c[i + 1:]]
 
 
+def _csv_round_trip(how):
+    """Write the customer table as CSV in some form, read it back and return it typed."""
+    def run(s, d):
+        src = load(s, d, "customer")
+        path = tempfile.mkdtemp(prefix="spark-") + "/csv"
+        typed = lambda df: df.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), F.col("c_name").cast("string").alias("c_name"),
+                                     F.col("c_nationkey").cast("int").alias("c_nationkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+        if how == "plain":
+            IO.write_csv(src, path, sep=";")
+            return typed(IO.read_csv(s, path))
+        if how == "auto":
+            IO.write_csv(src, path, "pipe_separated")
+            return typed(IO.read_csv_auto(s, path))
+        if how == "fallback":
+            accented = src.withColumn("c_name", F.concat("c_name", F.lit(" \u00e9")))
+            IO.write_csv(accented, path, sep=";", encoding="ISO-8859-1")
+            return typed(IO.read_csv_fallback(s, path))
+        if how == "report":
+            IO.write_report({"customer": src}, path)
+            return typed(s.read.json(f"{path}/customer"))
+        if how == "all":
+            IO.write_csv(src, path, sep=",", quoting="all", line_sep="\n")
+            return typed(IO.read_csv(s, path, ","))
+        out = None
+        for name, opts in IO.PRESETS.items():
+            IO.write_csv(src, f"{path}/{name}", name)
+            back = IO.read_csv(s, f"{path}/{name}", str(opts["sep"])).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")).select(F.lit(name).alias("preset"), "n", "total")
+            out = back if out is None else out.unionByName(back)
+        return out
+    return run
+
+
 QUERIES = {
+    "src_csv": _csv_round_trip("plain"), "src_csv_auto": _csv_round_trip("auto"), "src_encoding_fallback": _csv_round_trip("fallback"),
+    "sink_csv": _csv_round_trip("all"), "sink_csv_presets": _csv_round_trip("presets"), "sink_report": _csv_round_trip("report"),
     "src_parquet": lambda s, d: load(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"),
     "inspect_basic": lambda s, d: rounded(P.inspect(load(s, d, "orders"))),
     "profile_counts": lambda s, d: rounded(P.counts(view(s, d, "orders_dirty"))),
@@ -100,6 +139,9 @@ QUERIES = {
 }
 
 SQL = {
+    "src_csv": "SELECT * FROM customer", "src_csv_auto": "SELECT * FROM customer", "sink_csv": "SELECT * FROM customer", "sink_report": "SELECT * FROM customer",
+    "src_encoding_fallback": "SELECT * REPLACE (concat(c_name, ' \u00e9') AS c_name) FROM customer",
+    "sink_csv_presets": "SELECT p AS preset, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer, (SELECT unnest(['quoted_semicolon', 'clean_semicolon', 'standard_csv', 'tab_separated', 'pipe_separated', 'no_quotes']) AS p) GROUP BY 1",
     "src_parquet": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "inspect_basic": r("\nUNION ALL\n".join(
         f"""SELECT '{c}' AS column_name, count(*) AS n_rows, 6 AS n_columns, '{k}' AS kind, count(*) - count({c}) AS null_count,

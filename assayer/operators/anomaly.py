@@ -25,12 +25,13 @@ def isolation_trees(df: DataFrame, key: Sequence[str], cols: Sequence[str], tree
     """Random isolation trees, each grown by one task on ``rows`` hashed rows; trees * rows * 2 nodes in all."""
     n = df.count()
     x = df.select(*key, *[number(c, dtype(df, c)).alias(f"x{i}") for i, c in enumerate(cols)])
-    # thin to about three times the wanted rows before ranking, then keep exactly ``rows`` per tree
+    # about three times the wanted rows are drawn (small tables lend a row to several trees), then ``rows`` kept per tree
     rate = min(1.0, 3.0 * trees * rows / max(n, 1))
+    copies = min(trees, max(1, math.ceil(3 * trees * rows / max(n, 1))))
     thin = x.where(unit_hash(key, f"{seed}-thin") < rate)
-    share = min(1.0, 3.0 * rows / max(n * rate, 1.0))
-    spread = thin.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = spread.withColumn("h", unit_hash([*key, "tree"], seed)).where(F.col("h") < max(share, .01))
+    drawn = thin.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    drawn = drawn.withColumn("tree", F.floor(unit_hash([*key, "copy"], f"{seed}-tree") * trees).cast("int")) \
+        .withColumn("h", unit_hash([*key, "copy"], seed))
     w = Window.partitionBy("tree").orderBy("h", *key)
     sample = drawn.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows).drop("r")
     names = [f"x{i}" for i in range(len(cols))]

@@ -19,6 +19,7 @@ from assayer.operators.profile import mean_std, pearson_pairs
 from assayer.plans.columns import dtype, long_agg, numeric_columns, text_columns, union_all, unpivot_number
 from assayer.plans.gram import MAX_FEATURES, complete, cross_products, least_squares
 from assayer.plans.ordered import RANGE, ranged, running_sums
+from assayer.session import cut
 
 ALPHA = .05
 CHECK = "check string, column_name string, statistic double, p_value double, n bigint, passed boolean"
@@ -302,3 +303,75 @@ def advisory(df: DataFrame, target: str) -> DataFrame:
     bal = class_balance(df, target).select("classes", "major_share")
     status = F.when(F.col("major_share") > .8, "highly_imbalanced").when(F.col("major_share") > .6, "moderately_imbalanced").otherwise("balanced")
     return bal.crossJoin(miss).crossJoin(wide).select("classes", "major_share", status.alias("balance_status"), "high_missing", "high_cardinality")
+
+
+# ---- further statistics and filters ------------------------------------------------------------
+
+def average_ranks(df: DataFrame, col: str) -> DataFrame:
+    """(value, rank, m): mid-rank and multiplicity of every distinct value, ranked over ranges."""
+    vals = df.where(as_col(col).isNotNull()).groupBy(as_col(col).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    run = running_sums(vals, {"c": F.col("m")}, ["value"])
+    return run.select("value", (F.col("c") - (F.col("m") - 1) / 2).alias("rank"), "m")
+
+
+def spearman(df: DataFrame, a: str, b: str, key: Sequence[str]) -> DataFrame:
+    """Rank correlation of two columns with mid-ranks for ties."""
+    from assayer.plans.lookup import lookup_join
+
+    d = df.select(*key, a, b).dropna(subset=[a, b])
+    ra = average_ranks(d, a).select(F.col("value").alias(a), F.col("rank").alias("__ra"))
+    rb = average_ranks(d, b).select(F.col("value").alias(b), F.col("rank").alias("__rb"))
+    both = lookup_join(lookup_join(d, ra, [a]), rb, [b])
+    return both.agg(F.corr("__ra", "__rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
+def kruskal_wallis(df: DataFrame, col: str, group: str) -> DataFrame:
+    """H statistic (tie corrected) of a column over groups, with its chi-square p."""
+    from assayer.plans.lookup import lookup_join
+
+    ranks = cut(average_ranks(df, col))
+    counts = df.dropna(subset=[col, group]).groupBy(as_col(group).alias("g"), as_col(col).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("k"))
+    per = lookup_join(counts, ranks, ["value"]).groupBy("g").agg(F.sum(F.col("rank") * F.col("k")).alias("rs"), F.sum("k").alias("k"))
+    ties = ranks.agg(F.sum(F.col("m") * F.col("m") * F.col("m") - F.col("m")).alias("ties"))
+    row = per.agg(F.sum(F.col("rs") * F.col("rs") / F.col("k")).alias("s"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("g")).crossJoin(ties).first()
+    n, g = row["n"], row["g"]
+    h = (12 / (n * (n + 1)) * row["s"] - 3 * (n + 1)) / (1 - row["ties"] / (n ** 3 - n))
+    return df.sparkSession.createDataFrame([(float(h), float(chi2_sf(h, g - 1)), int(g), int(n))], "h double, p_value double, groups bigint, n bigint")
+
+
+def theils_u(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Uncertainty coefficient of ``x`` given ``y`` from joint counts."""
+    j = df.dropna(subset=[x, y]).groupBy(as_col(x).alias("x"), as_col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    px, py = j.groupBy("x").agg(F.sum("o").alias("c")), j.groupBy("y").agg(F.sum("o").alias("t"))
+    n = j.agg(F.sum("o").alias("n"))
+    hx = px.crossJoin(F.broadcast(n)).agg((-F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") / F.col("n")))).alias("hx"))
+    hxy = j.join(py, "y").crossJoin(F.broadcast(n)).agg((-F.sum(F.col("o") / F.col("n") * F.ln(F.col("o") / F.col("t")))).alias("hxy"))
+    return hx.crossJoin(hxy).select(F.coalesce(F.try_divide(F.col("hx") - F.col("hxy"), F.col("hx")), F.lit(1.0)).alias("theils_u"))
+
+
+def correlation_filter(df: DataFrame, features: Sequence[str], limit: float = .95) -> DataFrame:
+    """Drop the later column of every pair correlated above the limit (pairs are a few rows)."""
+    pairs = correlation_risk(df, features).where(F.col("r") > limit).collect()
+    gone: set[str] = set()
+    for p in sorted(pairs, key=lambda p: (features.index(p["feature1"]), features.index(p["feature2"]))):
+        if p["feature1"] not in gone:
+            gone.add(p["feature2"])
+    return df.drop(*gone)
+
+
+def vif_filter(df: DataFrame, features: Sequence[str], limit: float = 10.0) -> DataFrame:
+    """Drop the column with the largest (centred) inflation until none exceeds the limit."""
+    left = list(features)
+    while len(left) > 1:
+        worst = vif(df, left, center=True).orderBy(F.desc("vif"), "feature").first()
+        if worst["vif"] <= limit:
+            break
+        left.remove(worst["feature"])
+    return df.drop(*[c for c in features if c not in left])
+
+
+def missing_flags(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Add ``<col>_missing`` for every column that has nulls."""
+    names = cols or df.columns
+    has = df.agg(*[F.max(as_col(c).isNull().cast("int")).alias(c) for c in names]).first()
+    return df.withColumns({f"{c}_missing": as_col(c).isNull().cast("int") for c in names if has[c]})

@@ -274,3 +274,26 @@ def roc_auc_ovo_pairs(df: DataFrame, scores: Mapping[str, str]) -> DataFrame:
     parts = [roc_auc(df.where(F.col("y").isin(a, b)), score=scores[a], positive=a).select(F.lit(a).alias("cls"), F.lit(b).alias("versus"), "roc_auc")
              for a in scores for b in scores if a != b]
     return union_all(parts)
+
+
+def ranking_quality(df: DataFrame, query: str, key: Sequence[str], k: int = 10) -> DataFrame:
+    """Mean NDCG@k and MAP@k over queries of (query, gain, score) rows; a gain above zero counts as relevant.
+
+    Both orders are cut at rank k by a rank filter that Spark applies before the shuffle, so a large query sends
+    at most k rows per task.
+    """
+    from pyspark.sql import Window
+
+    def top(order: str) -> DataFrame:
+        w = Window.partitionBy(query).orderBy(F.desc(order), *key)
+        return df.select(query, "gain", "score", *key).withColumn("at", F.row_number().over(w)).where(F.col("at") <= k)
+
+    rel = (F.col("gain") > 0).cast("int")
+    hits = F.sum(rel).over(Window.partitionBy(query).orderBy("at"))
+    got = top("score").withColumn("hits", hits).groupBy(query).agg(
+        F.sum(F.col("gain") / F.log2(F.col("at") + 1)).alias("dcg"), F.sum(F.when(rel == 1, F.col("hits") / F.col("at"))).alias("precisions"))
+    best = top("gain").groupBy(query).agg(F.sum(F.col("gain") / F.log2(F.col("at") + 1)).alias("ideal"))
+    total = df.groupBy(query).agg(F.sum(rel).alias("relevant"))
+    ap = F.coalesce(F.try_divide(F.col("precisions"), F.least(F.col("relevant"), F.lit(k))), F.lit(0.0))
+    return got.join(best, query).join(total, query).agg(
+        F.avg(F.try_divide(F.col("dcg"), F.col("ideal"))).alias("ndcg"), F.avg(ap).alias("map"), F.count(F.lit(1)).alias("queries"))

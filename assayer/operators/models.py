@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.values import as_col, number, unit_hash
 from assayer.operators.evaluate import stability
-from assayer.operators.sample import bootstrap, folds, gaussian, shuffled
+from assayer.operators.sample import bootstrap, folds, shuffled, with_gaussians
 from assayer.plans.columns import dtype, numeric_columns, text_columns
 from assayer.plans.gram import complete, least_squares
 from assayer.session import cut
@@ -127,7 +127,7 @@ def tune(df: DataFrame, features: Sequence[str], target: str, name: str, kind: s
     scores = cv.fit(prep).avgMetrics
     prep.unpersist()
     best = min(scores) if kind == "regression" else max(scores)
-    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(s), s == best) for m, s in zip(points, scores)]
+    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(s), bool(s == best)) for m, s in zip(points, scores)]
     return df.sparkSession.createDataFrame(rows, "params string, score double, best boolean")
 
 
@@ -190,7 +190,8 @@ def noise_copies(df: DataFrame, cols: Sequence[str], levels: Sequence[float], ke
 
     sd = {c: s or 0.0 for c, (_, s) in mean_std(df, cols).items()}
     each = df.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
-    return each.withColumns({c: number(c, dtype(df, c)) + gaussian([*key, "level"], f"noise-{c}") * F.col("level") * sd[c] for c in cols})
+    drawn = with_gaussians(each, [*key, "level"], {f"__z_{c}": f"noise-{c}" for c in cols})
+    return drawn.withColumns({c: number(c, dtype(df, c)) + F.col(f"__z_{c}") * F.col("level") * sd[c] for c in cols}).select(*each.columns)
 
 
 def dropout_copies(df: DataFrame, cols: Sequence[str], rates: Sequence[float]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,17 +88,26 @@ def bootstrap(df: DataFrame, key: Sequence[str], rounds: int = 50, seed: int = 4
     return drawn.withColumn("weight", weight).where("weight > 0").drop("__u")
 
 
-def gaussian(key: Sequence[str], seed: int | str):
-    """Standard normal value of a row key."""
-    u = unit_hash(key, seed)
-    return normal_quantile(F.when(u < 1e-9, 1e-9).otherwise(u))
+def with_gaussians(df: DataFrame, key: Sequence[str], seeds: Mapping[str, str]) -> DataFrame:
+    """Add standard normal columns ``{name: seed}`` of a row key.
+
+    The hash is a column of its own first: the quantile refers to it many times and must not repeat it.
+    """
+    drawn = df.withColumns({f"__u_{n}": unit_hash(key, s) for n, s in seeds.items()})
+    out = {}
+    for n in seeds:
+        u = F.col(f"__u_{n}")
+        out[n] = normal_quantile(u)
+    return drawn.withColumns({f"__u_{n}": F.when(F.col(f"__u_{n}") < 1e-9, 1e-9).otherwise(F.col(f"__u_{n}")) for n in seeds}) \
+        .withColumns(out).drop(*[f"__u_{n}" for n in seeds])
 
 
 def add_noise(df: DataFrame, level: float, key: Sequence[str], cols: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Gaussian noise of ``level`` standard deviations on numeric columns (keys untouched)."""
     cols = [c for c in numeric_columns(df, cols) if c not in key]
     sd = {c: s or 0.0 for c, (_, s) in mean_std(df, cols).items()}
-    return df.withColumns({c: number(c, dtype(df, c)) + gaussian(key, f"{seed}-{c}") * (level * sd[c]) for c in cols})
+    drawn = with_gaussians(df, key, {f"__z_{c}": f"{seed}-{c}" for c in cols})
+    return drawn.withColumns({c: number(c, dtype(df, c)) + F.col(f"__z_{c}") * (level * sd[c]) for c in cols}).select(*df.columns)
 
 
 def synthesize_drift(df: DataFrame, severity: str, key: Sequence[str], target: str | None = None, seed: int = 42, max_values: int = 1000) -> DataFrame:

@@ -44,8 +44,7 @@ def read_csv_auto(spark: SparkSession, path: str, default: str = ",", **kw) -> D
 
 def read_csv_fallback(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """UTF-8, or Latin-1 when the bytes are not UTF-8; semicolons when ``sep`` leaves a single column."""
-    # a replacement character anywhere means that some line is not valid UTF-8; one bounded aggregate looks at all
-    broken = spark.read.text(path).agg(F.max(F.instr("value", "�")).alias("at")).first()["at"] or 0
+    broken = spark.read.text(path).agg(F.max((~F.is_valid_utf8("value")).cast("int")).alias("bad")).first()["bad"] or 0
     encoding = "ISO-8859-1" if broken > 0 else "UTF-8"
     df = read_csv(spark, path, sep, encoding)
     return read_csv(spark, path, ";", encoding) if len(df.columns) == 1 and sep != ";" else df
