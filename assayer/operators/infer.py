@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.normality import chi2_two_tail, corrected_kurtosis, corrected_skew, k_squared
 from assayer.functions.values import as_col, labels, number, share, timestamp, total
 from assayer.operators.profile import top_values
-from assayer.plans.columns import TEMPORAL, dtype, flat_columns, kind_name, long_agg, numeric_columns, text_columns
+from assayer.plans.columns import (
+    TEMPORAL, dtype, flat_columns, kind_name, long_agg, numeric_columns, text_columns, union_all, unpivot_number, unpivot_text)
 from assayer.plans.quantiles import exact_quantiles
+from assayer.session import cut
 
 # ---- fixed values -------------------------------------------------------------------------
 DATE_PATTERNS = (r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}", r"\d{4}/\d{2}/\d{2}")
@@ -23,44 +25,42 @@ IDENTIFIER_RATIO, CATEGORY_RATIO, MAX_CATEGORIES = .95, .5, 50
 
 
 def evidence(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column: counts, parse and pattern ratios, moments of the numeric reading."""
-    cols = flat_columns(df, cols)
-    texts, nums = set(text_columns(df, cols)), set(numeric_columns(df, cols))
-    zero = F.lit(0.0)
-
-    def ratio(cond: Column, c: str) -> Column:
-        return F.coalesce(share(F.count_if(cond), F.count(as_col(c))), zero)
-
-    def date_patterns(c: str) -> Column:
-        if c in texts:
-            return total([ratio(as_col(c).rlike(p), c) for p in DATE_PATTERNS])
-        return F.lit(1.0 if isinstance(dtype(df, c), TEMPORAL) else 0.0)
-
-    def date_parse(c: str) -> Column:
-        if c in nums or isinstance(dtype(df, c), T.BooleanType):
-            return zero
-        return ratio(timestamp(c, dtype(df, c)).isNotNull(), c)
-
-    def num_patterns(c: str) -> Column:
-        if c in texts:
-            return total([ratio(F.trim(as_col(c)).rlike(p), c) for p in NUMBER_PATTERNS])
-        return F.lit(1.0 if c in nums else 0.0)
+    """Per column: counts, parse and pattern ratios, moments of the numeric reading.
 
-    def num_parse(c: str) -> Column:
-        return ratio(number(c, dtype(df, c)).isNotNull(), c) if c in texts or c in nums else zero
-
-    def on_num(f):
-        return lambda c: f(number(c, dtype(df, c))) if c in texts or c in nums else F.lit(None).cast("double")
-
-    return long_agg(df, cols, {
+    Text columns are unpivoted and judged in one grouped aggregation, so the plan does not grow with their number.
+    """
+    cols = flat_columns(df, cols)
+    texts, nums = text_columns(df, cols), numeric_columns(df, cols)
+    temporal = [c for c in cols if isinstance(dtype(df, c), TEMPORAL)]
+    base = long_agg(df, cols, {
         "original_type": lambda c: F.lit(kind_name(dtype(df, c))),
-        "n_rows": lambda c: F.count(F.lit(1)),
-        "non_null": lambda c: F.count(as_col(c)),
-        "date_patterns": date_patterns, "date_parse": date_parse,
-        "number_patterns": num_patterns, "number_parse": num_parse,
-        "n_number": on_num(lambda x: F.count(x).cast("double")),
-        "skew": on_num(lambda x: F.nanvl(F.skewness(x), F.lit(None))),
-        "kurt": on_num(lambda x: F.nanvl(F.kurtosis(x), F.lit(None)))}, distinct="unique_count")
+        "n_rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(as_col(c)),
+        "fixed_date": lambda c: F.lit(1.0 if c in temporal else 0.0), "fixed_number": lambda c: F.lit(1.0 if c in nums else 0.0),
+    }, distinct="unique_count")
+    x = F.col("__x")
+    moments = (F.count(x).cast("double").alias("n_number"), F.nanvl(F.skewness(x), F.lit(None)).alias("skew"),
+               F.nanvl(F.kurtosis(x), F.lit(None)).alias("kurt"))
+    v, one = F.col("value"), lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
+    parts = []
+    if texts:
+        long = unpivot_text(df, texts).withColumns({"__x": number("value", T.StringType()), "__t": timestamp("value", T.StringType())})
+        parts.append(long.groupBy("column_name").agg(
+            total([one(v.rlike(p)) for p in DATE_PATTERNS]).alias("date_patterns"), one(F.col("__t").isNotNull()).alias("date_parse"),
+            total([one(F.trim(v).rlike(p)) for p in NUMBER_PATTERNS]).alias("number_patterns"), one(x.isNotNull()).alias("number_parse"), *moments))
+    if nums:
+        zero = F.lit(0.0)
+        long = unpivot_number(df, nums).withColumnRenamed("value", "__x")
+        parts.append(long.groupBy("column_name").agg(F.max(zero).alias("date_patterns"), F.max(zero).alias("date_parse"),
+                                                     F.max(F.lit(1.0)).alias("number_patterns"), F.max(F.lit(1.0)).alias("number_parse"), *moments))
+    keep = ("column_name", "original_type", "n_rows", "non_null", "unique_count")
+    null_d = F.lit(None).cast("double")
+    if not parts:
+        return base.select(*keep, F.col("fixed_date").alias("date_patterns"), F.col("fixed_date").alias("date_parse"), F.lit(0.0).alias("number_patterns"),
+                           F.lit(0.0).alias("number_parse"), null_d.alias("n_number"), null_d.alias("skew"), null_d.alias("kurt"))
+    return base.join(F.broadcast(union_all(parts)), "column_name", "left").select(
+        *keep, F.coalesce("date_patterns", "fixed_date").alias("date_patterns"), F.coalesce("date_parse", "fixed_date").alias("date_parse"),
+        F.coalesce("number_patterns", "fixed_number").alias("number_patterns"), F.coalesce("number_parse", "fixed_number").alias("number_parse"),
+        "n_number", "skew", "kurt")
 
 
 def scored(ev: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def top_categories(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """Top values of the columns inferred categorical."""
-    inferred = infer(df, cols).where(F.col("inferred_type") == "categorical").select("column_name")
+    inferred = cut(infer(df, cols).where(F.col("inferred_type") == "categorical").select("column_name"))
     return top_values(df, cols, k).join(F.broadcast(inferred), "column_name")
 
 

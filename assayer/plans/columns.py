@@ -75,7 +75,8 @@ def long_agg(df: DataFrame, cols: Sequence[str], metrics: Mapping[str, Callable[
         parts.append(df.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
     out = union_all(parts)
     if distinct:
-        out = out.join(F.broadcast(distinct_counts(df, cols, distinct, key)), key)
+        out = out.join(F.broadcast(distinct_counts(df, cols, distinct, key)), key, "left")
+        out = out.withColumn(distinct, F.coalesce(distinct, F.lit(0)))  # an empty table has no group at all
     return out
 
 

@@ -17,6 +17,7 @@ from assayer.functions.values import as_col, clip
 from assayer.operators import clean as C
 from assayer.operators import encode as E
 from assayer.plans.columns import dtype, numeric_columns, text_columns
+from assayer.session import cut
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -129,7 +130,8 @@ class Pipeline:
 
     @classmethod
     def standard(cls, recipe: Recipe, outliers: str | None = "iqr", factor: float = 1.5, order_by: Sequence[str] = ()) -> "Pipeline":
-        steps: list[tuple[str, Step]] = [("dedup", C.dedup)]
+        # every later fit reads the table again, so the deduplicating shuffle is run once and cut
+        steps: list[tuple[str, Step]] = [("dedup", lambda d: cut(C.dedup(d)))]
         if outliers == "iqr":
             steps.append(("outliers", lambda d: C.remove_outliers_iqr(d, k=factor)))
         elif outliers == "zscore":
