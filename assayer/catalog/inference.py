@@ -179,8 +179,8 @@ SQL = {
     "infer_stats": _ct(r("\nUNION ALL\n".join(f"""SELECT '{c}' AS column_name, count(*) AS total_count, count({c}) AS non_null_count, count(*) - count({c}) AS null_count,
         1 - count({c}) * 1.0 / count(*) AS missing_ratio, count(DISTINCT {c}) AS unique_count, count(DISTINCT {c}) * 1.0 / count(*) AS unique_ratio, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, max(x) AS max,
         quantile_cont(x, 0.5) AS median, skewness(x) AS skewness, kurtosis(x) AS kurtosis FROM (SELECT *, {num_text(c, k)} AS x FROM customer_text)""" for c, k in CT_KIND.items()), "missing_ratio unique_ratio mean std min max median skewness kurtosis")),
-    "infer_top_categories": _ct(f"""SELECT column_name, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM (""" + per_column(
-        CT_TXT, "SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM customer_text WHERE {c} IS NOT NULL GROUP BY 2") + f")) WHERE rank <= 10 AND column_name IN (SELECT column_name FROM ({DECIDED}) WHERE inferred_type = 'categorical')"),
+    "infer_top_categories": _ct(f"""WITH chosen AS MATERIALIZED (SELECT column_name FROM ({DECIDED}) WHERE inferred_type = 'categorical') SELECT column_name, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM (""" + per_column(
+        CT_TXT, "SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM customer_text WHERE {c} IS NOT NULL GROUP BY 2") + f")) WHERE rank <= 10 AND column_name IN (SELECT column_name FROM chosen)"),
     "infer_table": _ct(r(INFER, "confidence")),
     "infer_reco": _ct(f"SELECT column_name, advice FROM ({INFER})"),
     "infer_report": _ct(f"""SELECT 'confidence' AS section, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS item, count(*) AS n FROM ({INFER}) GROUP BY 2

@@ -181,10 +181,11 @@ SQL = {
     "dq_assess": _sql(ISSUES),
     "dq_issues_type": _sql(T_ISSUES), "dq_issues_pattern": _sql(P_ISSUES), "dq_issues_metric": _sql(M_ISSUES), "dq_cross_check": _sql(X_ISSUES),
     "dq_score_penalty": _sql(SCORES),
-    "dq_final_reco": _sql(f"""SELECT (SELECT count(*) FROM ({ISSUES}) WHERE severity = 'high') AS high, (SELECT count(*) FROM ({ISSUES}) WHERE severity = 'medium') AS medium,
+    "dq_final_reco": _sql(f"""WITH iss AS MATERIALIZED ({ISSUES}), base AS MATERIALIZED ({OVERALL}) SELECT high, medium,
         concat_ws(',', CASE WHEN score < 40 THEN 'critical_remediation' WHEN score < 70 THEN 'fix_before_production' WHEN score < 85 THEN 'minor_issues' ELSE 'acceptable' END,
         CASE WHEN high > 0 THEN 'address_high_issues' END, CASE WHEN medium > 5 THEN 'consider_medium_issues' END) AS advice
-        FROM (SELECT (SELECT score FROM ({SCORES}) WHERE column_name = '__overall__') AS score, (SELECT count(*) FROM ({ISSUES}) WHERE severity = 'high') AS high, (SELECT count(*) FROM ({ISSUES}) WHERE severity = 'medium') AS medium)"""),
+        FROM (SELECT greatest(0.0, (SELECT score FROM base) - coalesce(sum(CASE WHEN issue_type = 'type_mismatch' THEN CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.5 ELSE 0.0 END ELSE {COST} END), 0)) AS score,
+            count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium FROM iss)"""),
     "dq_basic": _sql(r(f"""WITH i AS (SELECT CASE WHEN missing > 0.5 * n_rows THEN 'high' ELSE 'medium' END AS severity, column_name, 'missing_data' AS issue_type FROM ({COMPLETE}) WHERE missing > 0.1 * n_rows
         UNION ALL SELECT 'info', column_name, 'potential_identifier' FROM ({UNIQ}) WHERE unique_count > 0.95 * (SELECT count(*) FROM customer_text) AND column_name <> 'c_custkey')
         SELECT *, CAST(NULL AS DOUBLE) AS value FROM i UNION ALL SELECT NULL, '__dataset__', 'overall_score', greatest(0.0, 100 - coalesce((SELECT sum({COST}) FROM i), 0))

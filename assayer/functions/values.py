@@ -92,6 +92,14 @@ def unit_hash(cols: Iterable[str | Column], seed: int | str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def once(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A generator keeps the optimizer from copying an expensive expression into every place that refers to it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def title_case(c: Column) -> Column:
     """Capital after any non-letter, as opposed to ``initcap`` which only looks at blanks."""
     words = F.regexp_extract_all(c, F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.distributions import normal_quantile
-from assayer.functions.values import as_col, number, share, unit_hash
+from assayer.functions.values import as_col, number, once, share, unit_hash
 from assayer.operators.profile import mean_std
 from assayer.plans.columns import dtype, numeric_columns, text_columns
 from assayer.plans.lookup import lookup_join
@@ -83,9 +83,9 @@ def bootstrap(df: DataFrame, key: Sequence[str], rounds: int = 50, seed: int = 4
         term /= k
     each = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     u = unit_hash(key, F.concat(F.lit(f"{seed}-"), F.col("round").cast("string")))
-    drawn = each.withColumn("__u", u)
+    drawn = once(each, {"__u": u}).where(F.col("__u") >= cdf[0])
     weight = sum((F.when(F.col("__u") >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    return drawn.withColumn("weight", weight).where("weight > 0").drop("__u")
+    return drawn.withColumn("weight", weight).drop("__u")
 
 
 def with_gaussians(df: DataFrame, key: Sequence[str], seeds: Mapping[str, str]) -> DataFrame:
@@ -93,13 +93,9 @@ def with_gaussians(df: DataFrame, key: Sequence[str], seeds: Mapping[str, str])
 
     The hash is a column of its own first: the quantile refers to it many times and must not repeat it.
     """
-    drawn = df.withColumns({f"__u_{n}": unit_hash(key, s) for n, s in seeds.items()})
-    out = {}
-    for n in seeds:
-        u = F.col(f"__u_{n}")
-        out[n] = normal_quantile(u)
-    return drawn.withColumns({f"__u_{n}": F.when(F.col(f"__u_{n}") < 1e-9, 1e-9).otherwise(F.col(f"__u_{n}")) for n in seeds}) \
-        .withColumns(out).drop(*[f"__u_{n}" for n in seeds])
+    low = lambda u: F.when(u < 1e-9, 1e-9).otherwise(u)
+    drawn = once(df, {f"__u_{n}": low(unit_hash(key, s)) for n, s in seeds.items()})
+    return drawn.withColumns({n: normal_quantile(F.col(f"__u_{n}")) for n in seeds}).drop(*[f"__u_{n}" for n in seeds])
 
 
 def add_noise(df: DataFrame, level: float, key: Sequence[str], cols: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
