@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.normality import chi2_two_tail, corrected_kurtosis, corrected_skew, k_squared
-from assayer.functions.values import as_col, labels, number, share, timestamp, total
+from assayer.functions.values import as_col, labels, number, once, share, timestamp, total
 from assayer.operators.profile import top_values
 from assayer.plans.columns import (
     TEMPORAL, dtype, flat_columns, kind_name, long_agg, numeric_columns, text_columns, union_all, unpivot_number, unpivot_text)
@@ -65,11 +65,11 @@ def evidence(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def scored(ev: DataFrame) -> DataFrame:
     """Add the confidence of each of the four kinds of evidence (null = no vote)."""
-    staged = ev.withColumns({
+    staged = once(ev, {
         "u": share(F.col("unique_count"), F.col("non_null")),
         "k2": k_squared(F.col("n_number"), F.col("skew"), F.col("kurt")),
         "has": F.col("non_null") > 0})
-    staged = staged.withColumn("normal_p", chi2_two_tail(F.col("k2")))
+    staged = once(staged, {"normal_p": chi2_two_tail(F.col("k2"))})
     u, has = F.col("u"), F.col("has")
     date = F.when(F.col("date_parse") > .7, F.least(F.lit(.9), F.col("date_parse") + .1)).otherwise(
         F.least(F.lit(.8), F.col("date_patterns") / len(DATE_PATTERNS)))
@@ -77,8 +77,8 @@ def scored(ev: DataFrame) -> DataFrame:
         F.least(F.lit(.8), F.col("number_patterns")))
     few = (u <= CATEGORY_RATIO) & (F.col("unique_count") <= MAX_CATEGORIES)
     tested = has & (F.col("n_number") >= 10) & F.col("normal_p").isNotNull()
-    staged = staged.withColumns({"__date": date, "__numb": numb})
-    return staged.withColumns({
+    staged = once(staged, {"__date": date, "__numb": numb})
+    return once(staged, {
         "datetime_conf": F.when(has & (F.col("__date") > 0), F.col("__date")),
         "numeric_conf": F.when(has & (F.col("__numb") > 0), F.col("__numb")),
         "cardinality_type": F.when(has, F.when(u >= IDENTIFIER_RATIO, "identifier").when(few, "categorical").when(u > .8, "continuous")),
@@ -93,13 +93,14 @@ def decided(sc: DataFrame) -> DataFrame:
     d, n, k, s = (F.coalesce(F.col(c), F.lit(0.0)) for c in (
         "datetime_conf", "numeric_conf", "cardinality_conf", "distribution_conf"))
     best, winner, accepted, stored = F.col("__best"), F.col("__winner"), F.col("__accepted"), F.col("original_type")
-    staged = sc.withColumn("__best", F.greatest(d, n, k, s)).withColumn(
-        "__winner", F.when(best == 0, F.lit(None)).when(d == best, "datetime").when(n == best, "numeric")
-        .when(k == best, F.col("cardinality_type")).otherwise(F.col("distribution_type"))).withColumn(
-        "__accepted", F.when((winner == "identifier") & (best > .8), "identifier")
+    # each stage is used several times by the next one, and a later filter must not unfold them all
+    staged = once(sc, {"__best": F.greatest(d, n, k, s)})
+    staged = once(staged, {"__winner": F.when(best == 0, F.lit(None)).when(d == best, "datetime").when(n == best, "numeric")
+        .when(k == best, F.col("cardinality_type")).otherwise(F.col("distribution_type"))})
+    staged = once(staged, {"__accepted": F.when((winner == "identifier") & (best > .8), "identifier")
         .when((winner == "datetime") & (best > .7), "datetime")
         .when(winner.isin("numeric", "continuous_normal", "continuous_skewed") & (best > .6), "numeric")
-        .when((winner == "categorical") & (best > .6), "categorical"))
+        .when((winner == "categorical") & (best > .6), "categorical")})
     empty = F.col("non_null") == 0
     none_t = F.when(stored.isin("integer", "float"), "numeric").when(stored == "text", "text").otherwise("unknown")
     none_c = F.when(stored.isin("integer", "float", "text"), .5).otherwise(.3)
