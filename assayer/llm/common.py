@@ -51,3 +51,23 @@ def release(spark: SparkSession) -> None:
     for path in _written.pop(sc.applicationId, []):
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def range_tops(df: DataFrame, column: str, parts: int) -> list[int]:
+    """The largest value of each of about ``parts`` ranges of a long column, sorted: one number a range comes to the driver."""
+    rows = (df.select(F.col(column).cast("long").alias("v")).where("v IS NOT NULL").repartitionByRange(parts, "v")
+            .groupBy(F.spark_partition_id().alias("part")).agg(F.max("v").alias("top")).collect())
+    return sorted(r["top"] for r in rows)
+
+
+def range_of(value: Column, tops: list[int]) -> Column:
+    """How many of the sorted ``tops`` are below ``value``, by a search in two steps; null is in the first range."""
+    if not tops:
+        return F.lit(0)
+    step = max(1, int(len(tops) ** 0.5))
+    groups = [tops[k:k + step] for k in range(0, len(tops), step)]
+    lasts = F.lit([g[-1] for g in groups]).cast("array<bigint>")
+    full = F.size(F.filter(lasts, lambda t: t < value))
+    own = F.get(F.array(*[F.lit(g).cast("array<bigint>") for g in groups]), full)
+    found = full * step + F.coalesce(F.size(F.filter(own, lambda t: t < value)), F.lit(0))
+    return F.when(value.isNull(), 0).otherwise(F.least(F.greatest(found, F.lit(0)), F.lit(len(tops) - 1))).cast("int")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import stored, text_of
+from assayer.llm.common import range_of, range_tops, stored, text_of
 
 TABLES = 3
 SHOWN_Q = 2  # the printed fingerprint has 3 x 4 cells
@@ -64,11 +64,9 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    tops = (slim.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id")
-            .groupBy(F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("top")).collect())  # one row a range
-    tops = sorted(r["top"] for r in tops)
+    tops = range_tops(slim, "doc_id", parts)
     n = max(1, len(tops))
-    here = _range_of(F.col("doc_id"), tops)
+    here = range_of(F.col("doc_id"), tops)
     is_top = F.col("doc_id") == F.get(F.lit(tops or [0]).cast("array<bigint>"), here)
     copies = F.array(F.struct(here.alias("part"), F.lit(1).alias("own")), F.struct(((here + 1) % n).cast("int").alias("part"), F.lit(0).alias("own")))
     dealt = (slim.withColumn("found", digests(F.col("text")))
@@ -83,19 +81,6 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     (F.col("part").cast("long") * F.lit(1 << 40) + F.col("__n")).alias("key")))
 
 
-def _range_of(value: Column, tops: list[int]) -> Column:
-    """How many of the sorted ``tops`` are below ``value``, by a search in two steps; null is in the first range."""
-    if not tops:
-        return F.lit(0)
-    step = max(1, int(len(tops) ** 0.5))
-    groups = [tops[k:k + step] for k in range(0, len(tops), step)]
-    lasts = F.lit([g[-1] for g in groups]).cast("array<bigint>")
-    full = F.size(F.filter(lasts, lambda t: t < value))
-    own = F.get(F.array(*[F.lit(g).cast("array<bigint>") for g in groups]), full)
-    found = full * step + F.coalesce(F.size(F.filter(own, lambda t: t < value)), F.lit(0))
-    return F.when(value.isNull(), 0).otherwise(F.least(F.greatest(found, F.lit(0)), F.lit(len(tops) - 1))).cast("int")
-
-
 def _peeled(pairs: DataFrame, keep: bool) -> DataFrame:
     """key, pair, left (cells that stay), n_found; with ``keep`` a row per recovered digest: key, pair, digest, side.
 

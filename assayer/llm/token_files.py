@@ -3,7 +3,8 @@
 File format (numbers little-endian): ``TOKF`` and seven unsigned 64-bit numbers (range, start, documents, ids, bits of a
 control code, control bytes, data bytes), then doc_id as signed 64-bit, a byte for each id that says whether it is null, the
 number of ids of each document as unsigned 64-bit, the control bytes and the data bytes.  A control code says in how many
-bytes, less one, the rank of an id stands; codes fill a control byte from its low bits on.  ``ranks`` lists the ids by rank.
+bytes, less one, the rank of an id stands; codes fill a control byte from its low bits on, and each document starts a new
+one.  ``ids`` lists the ids by rank.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import shared_path, small_batches, stored, text_of
+from assayer.llm.common import range_of, range_tops, shared_path, small_batches, stored, text_of
 from assayer.llm.tokens import encoder
 
 MAGIC = b"TOKF"
@@ -66,32 +67,43 @@ def ranked(counts: DataFrame) -> np.ndarray:
     return np.array([i for _, i in rows], dtype=np.uint32)
 
 
-def compress(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of ranks; ``bits`` of a code must be enough for the largest rank."""
+def _padded(n: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the codes of documents of n ids stand if each starts a new control byte, and their control bytes each."""
+    held = -(-n // per)
+    return np.arange(int(n.sum())) + np.repeat(np.cumsum(held) * per - held * per - (np.cumsum(n) - n), n), held
+
+
+def compress(ranks: np.ndarray, n: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of the ranks of documents of n ids, and how many of each a document has.
+
+    ``bits`` of a code must be enough for the largest rank.
+    """
     size = np.ones(len(ranks), dtype=np.int64)
     for k in range(1, 1 << bits):
         size += ranks >= 1 << 8 * k
     per = 8 // bits
-    codes = np.zeros(-(-len(ranks) // per) * per, dtype=np.uint8)
-    codes[:len(ranks)] = size - 1
-    control = (codes.reshape(-1, per) << (np.arange(per, dtype=np.uint8) * bits)).sum(axis=1).astype(np.uint8)
-    at = np.cumsum(size) - size
-    data = np.empty(int(size.sum()), dtype=np.uint8)
+    at, held = _padded(n, per)
+    codes = np.zeros(int(held.sum()) * per, dtype=np.uint8)
+    codes[at] = size - 1
+    control = np.bitwise_or.reduce(codes.reshape(-1, per) << (np.arange(per, dtype=np.uint8) * np.uint8(bits)), axis=1)
+    ends = np.cumsum(size)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
     for k in range(1 << bits):
-        own = size > k
-        data[at[own] + k] = ranks[own] >> 8 * k & 255
-    return control.tobytes(), data.tobytes()
+        own = size > k if k else slice(None)
+        data[(ends - size)[own] + k] = ranks[own] >> 8 * k & 255
+    last = np.concatenate([[0], ends])[np.cumsum(n)]
+    return control.astype(np.uint8), data, held, np.diff(last, prepend=0)
 
 
-def expand(control: np.ndarray, data: np.ndarray, n: int, bits: int, ids: np.ndarray) -> np.ndarray:
+def expand(control: np.ndarray, data: np.ndarray, n: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
     """The ids again: a table gives the lengths for each control byte, another the id for each rank."""
     per = 8 // bits
-    lengths = ((np.arange(256)[:, None] >> np.arange(per) * bits & (1 << bits) - 1) + 1).astype(np.int64)
-    size = lengths[control].reshape(-1)[:n]
-    at = np.cumsum(size) - size
+    lengths = ((np.arange(256)[:, None] >> np.arange(per) * bits & (1 << bits) - 1) + 1).astype(np.uint8)
+    size = lengths[control].reshape(-1)[_padded(n, per)[0]]
+    at = np.cumsum(size, dtype=np.int64) - size
     rank = data[at].astype(np.int64)
     for k in range(1, 1 << bits):
-        own = size > k
+        own = np.flatnonzero(size > k)
         rank[own] |= data[at[own] + k].astype(np.int64) << 8 * k
     return ids[rank]
 
@@ -118,13 +130,20 @@ def write_files(encoded: DataFrame, folder: str, ids: np.ndarray) -> None:
         rank = np.zeros(int(shared.value.max(initial=0)) + 1, dtype=np.int64)
         rank[shared.value] = np.arange(len(shared.value))
         for b in batches:
-            out = [[], [], []]
-            for own in b.column(1).to_pylist():
-                found = rank[np.frombuffer(own, dtype="<u4")]
-                for column, v in zip(out, (len(found), *compress(found, bits))):
-                    column.append(v)
-            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["doc_id", "n", "control", "data"])
+            docs = b.column(0).to_pylist()
+            held = b.column(1).to_pylist()
+            first = 0
+            while first < len(docs):
+                last, total = first, 0
+                while last < len(docs) and (last == first or total + len(held[last]) // 4 <= IDS_AT_ONCE):
+                    total += len(held[last]) // 4
+                    last += 1
+                n = np.array([len(x) // 4 for x in held[first:last]], dtype=np.int64)
+                control, data, nc, nd = compress(rank[np.frombuffer(b"".join(held[first:last]), dtype="<u4")], n, bits)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs[first:last], pa.int64()), pa.array(n), _binary(control, nc), _binary(data, nd), b.column(2).slice(first, last - first)],
+                    names=["doc_id", "n", "control", "data", "part"])
+                first = last
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, shard, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
@@ -135,8 +154,7 @@ def write_files(encoded: DataFrame, folder: str, ids: np.ndarray) -> None:
             doc = np.array([d or 0 for d, *_ in held], dtype="<i8")
             null = np.array([d is None for d, *_ in held], dtype=np.uint8)
             n = np.array([x[1] for x in held], dtype="<u8")
-            # each document's control bytes are filled up on their own; the file packs all codes again, without gaps
-            control, data = _joined([(x[1], x[2]) for x in held], bits), b"".join(x[3] for x in held)
+            control, data = b"".join(x[2] for x in held), b"".join(x[3] for x in held)
             name = f"{root}/{part:06d}-{shard:06d}.tok"
             own = f"{root}/.{part:06d}-{shard:06d}-{uuid.uuid4().hex}"
             with files.open_output_stream(own) as f:
@@ -157,18 +175,16 @@ def write_files(encoded: DataFrame, folder: str, ids: np.ndarray) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([start], pa.int64())], names=["part", "ids"])
 
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
-    small = encoded.mapInArrow(shrink, "doc_id long, n long, control binary, data binary")
-    small.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "data").mapInArrow(save, "part long, ids long").count()
+    tops = range_tops(encoded, "doc_id", int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    small = encoded.withColumn("part", range_of(F.col("doc_id"), tops)).mapInArrow(shrink, "doc_id long, n long, control binary, data binary, part int")
+    (small.repartitionById(max(1, len(tops)), "part").drop("part").sortWithinPartitions("doc_id", "n", "data")
+     .mapInArrow(save, "part long, ids long").count())
 
 
-def _joined(parts: list[tuple[int, bytes]], bits: int) -> bytes:
-    per = 8 // bits
-    codes = [(np.frombuffer(c, dtype=np.uint8)[:, None] >> (np.arange(per, dtype=np.uint8) * bits) & (1 << bits) - 1).reshape(-1)[:n]
-             for n, c in parts]
-    flat = np.concatenate(codes)
-    full = np.zeros(-(-len(flat) // per) * per, dtype=np.uint8)
-    full[:len(flat)] = flat
-    return (full.reshape(-1, per) << (np.arange(per, dtype=np.uint8) * bits)).sum(axis=1).astype(np.uint8).tobytes()
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary value per size, in a row from ``flat`` (of under 2 GB)."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
 def read_files(spark, folder: str, ids: np.ndarray, with_ids: bool = False) -> DataFrame:
@@ -209,7 +225,7 @@ def _documents(content, before: dict[int, int], ids: np.ndarray, with_ids: bool)
     null = np.frombuffer(content, np.uint8, docs, at + 8 * docs).astype(bool)
     n = np.frombuffer(content, "<u8", docs, at + 9 * docs).astype(np.int64)
     at += 17 * docs
-    flat = expand(np.frombuffer(content, np.uint8, n_control, at), np.frombuffer(content, np.uint8, n_data, at + n_control), total, bits, ids)
+    flat = expand(np.frombuffer(content, np.uint8, n_control, at), np.frombuffer(content, np.uint8, n_data, at + n_control), n, bits, ids)
     flat = flat.astype("<u4")
     ends = np.cumsum(n)
     first = 0

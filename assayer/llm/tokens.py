@@ -11,7 +11,20 @@ from collections.abc import Iterator
 # in order.  These four controls are white space to Python but not to the tokenizers; a text that has one is encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACED = re.compile(r"\s*\S+|\s+")
+# A word of Latin letters, after a space or not, and signs after it: one pre-token each in both file formats, so the model takes
+# them as they are.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([.,;:!?#$%&*|]*)")
 LONGEST_KEPT = 64
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level files write bytes with: visible Latin-1 characters stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 CHARS_AT_ONCE = 2_000_000
 
 
@@ -21,7 +34,7 @@ class Encoder:
     ``spaces`` says whether white space is part of the vocabulary (byte-level files) or dropped (word-end files).
     """
 
-    def __init__(self, path: str, spaces: bool, keep: int = 500_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -30,24 +43,55 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.split = _SPACED.findall if spaces else str.split
-        self.keep, self.young, self.old = keep, {}, {}
+        self.tokenize, self.spaces = self.tokenizer.model.tokenize, spaces
+        self.keep, self.young, self.old, self.signs = keep, {}, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        if not self.spaces:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        elif word[0] == " ":
+            word = _LETTERS[32] + word[1:]
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+
+    def _fill(self, chunks: list[str]) -> None:
+        """Put the ids of new chunks into ``young``; words that several chunks have are encoded once."""
+        young, old, rest = self.young, self.old, []
+        for c in chunks:
+            m = _PLAIN.fullmatch(c) if len(c) <= LONGEST_KEPT else None
+            if not m:
+                rest.append(c)
+                continue
+            word, signs = m.groups()
+            if (ids := young.get(word) or old.get(word)) is None:
+                ids = young[word] = self._word(word)
+            if signs:
+                if signs not in self.signs:
+                    if len(self.signs) > self.keep:
+                        self.signs.clear()
+                    self.signs[signs] = self._encode([signs])[0]
+                young[c] = ids + self.signs[signs]
+            else:
+                young[c] = ids
+        young.update(zip(rest, self._encode(rest)))
+
     def _block(self, texts: list[str]) -> Iterator[bytes]:
         chunks = [[t] if _ODD.search(t) else self.split(t) for t in texts]
-        young, old, new = self.young, self.old, []
-        for c in set().union(*chunks):
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
-                else:
-                    new.append(c)
-        young.update(zip(new, self._encode(new)))
+        young, old = self.young, self.old
+        lacking = set().union(*chunks) - young.keys()
+        for c in lacking & old.keys():
+            young[c] = old[c]
+        lacking -= old.keys()
+        self._fill(list(lacking))
+        get = young.__getitem__
         for own in chunks:
-            yield b"".join([young[c] for c in own])
-        for c in new:
+            yield b"".join(map(get, own))
+        for c in lacking:
             if len(c) > LONGEST_KEPT:
                 del young[c]
         if len(young) > self.keep // 2:

@@ -255,12 +255,15 @@ def test_codes_round_trip():
     rng = np.random.default_rng(1)
     for bits, top in ((1, 1 << 16), (2, 1 << 32), (2, 300)):
         ranks = rng.integers(0, top, 5000).astype(np.int64)
-        control, data = token_files.compress(ranks, bits)
-        if top <= 1 << 16:
-            ids = rng.permutation(top).astype(np.uint32)
-            back = token_files.expand(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), 5000, bits, ids)
-            assert (back == ids[ranks]).all()
-    assert token_files.compress(np.array([], dtype=np.int64), 1) == (b"", b"")
+        n = np.array([0, 17, 4000, 1, 982, 0])
+        control, data, nc, nd = token_files.compress(ranks, n, bits)
+        assert nc.sum() == len(control) and nd.sum() == len(data)
+        ids = rng.permutation(1 << 16).astype(np.uint32) if top <= 1 << 16 else np.arange(top, dtype=np.uint32) if top < 1000 else None
+        if ids is not None:
+            assert (token_files.expand(control, data, n, bits, ids) == ids[ranks]).all()
+            one = token_files.compress(ranks[17:4017], n[2:3], bits)
+            assert bytes(one[0]) == bytes(control[nc[:2].sum():nc[:3].sum()]) and bytes(one[1]) == bytes(data[nd[:2].sum():nd[:3].sum()])
+    assert [len(x) for x in token_files.compress(np.array([], dtype=np.int64), np.array([0]), 1)] == [0, 0, 1, 1]
 
 
 def test_token_files(spark, odd, none, small, monkeypatch):
