@@ -49,12 +49,10 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                if ids:
-                    n = np.bincount(np.frombuffer(ids, dtype="<u4"))
-                    if len(n) > len(total):
-                        total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
-                    total[:len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype="<u4"))
+            if len(n) > len(total):
+                total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
+            total[:len(n)] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

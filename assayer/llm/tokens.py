@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 # Between a visible character and white space no pre-token of either file format goes on, so a text's ids are its chunks' ids
-# in order.  These four controls are white space to Python but not to the tokenizers; a text that has one is encoded whole.
-_ODD = re.compile("[\x1c-\x1f]")
+# in order.  A text with rare white space, or with controls that are white space to Python only, is encoded whole.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Where one of these stands, white space is more than single spaces and newlines; plain searches are faster than a pattern.
+_MORE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f")
+_CONTROLS = tuple("\x1c\x1d\x1e\x1f")
 _SPACED = re.compile(r"\s*\S+|\s+")
 # A word of Latin letters, after a space or not, and signs after it: one pre-token each in both file formats, so the model takes
 # them as they are.
-_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([.,;:!?#$%&*|]*)")
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ž]+)([.,;:!?#$%&*|]*)")
 LONGEST_KEPT = 64
 
 
@@ -25,16 +28,31 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-CHARS_AT_ONCE = 2_000_000
+
+
+class _Known(dict):
+    """Chunk -> ids of the chunks used last; those of the generation before are taken over when they come again."""
+
+    def __init__(self, encode, old: dict):
+        super().__init__()
+        self.encode, self.old = encode, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids; the ``keep`` chunks used last are remembered.
+    """Texts to little-endian unsigned 32-bit ids; about the ``keep`` chunks used last are remembered.
 
     ``spaces`` says whether white space is part of the vocabulary (byte-level files) or dropped (word-end files).
     """
 
-    def __init__(self, path: str, spaces: bool, keep: int = 700_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,71 +60,57 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.split = _SPACED.findall if spaces else str.split
-        self.tokenize, self.spaces = self.tokenizer.model.tokenize, spaces
-        self.keep, self.young, self.old, self.signs = keep, {}, {}, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one pre-token."""
+        self.tokenize, self.spaces, self.keep = self.tokenizer.model.tokenize, spaces, keep
+        self.signs: dict[str, bytes] = {"": b""}
+        self.newline = self._whole("\n")
+        self.spaced = _Known(self._after_space, {})  # pieces between single spaces, each with the space before it
+        self.chunks = _Known(self._chunk, {})
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _after_space(self, piece: str) -> bytes:
+        if piece[0] == "\n":
+            return self.newline + (self._chunk(piece[1:]) if len(piece) > 1 else b"")
+        return self._chunk(" " + piece)
+
+    def _chunk(self, chunk: str) -> bytes:
+        m = _PLAIN.fullmatch(chunk) if len(chunk) <= LONGEST_KEPT else None
+        if not m:
+            return self._whole(chunk)
+        word, signs = m.groups()
         if not self.spaces:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_LETTERS)
         elif word[0] == " ":
             word = _LETTERS[32] + word[1:]
-        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
-
-    def _fill(self, chunks: list[str]) -> None:
-        """Put the ids of new chunks into ``young``; words that several chunks have are encoded once."""
-        young, old, rest = self.young, self.old, []
-        for c in chunks:
-            m = _PLAIN.fullmatch(c) if len(c) <= LONGEST_KEPT else None
-            if not m:
-                rest.append(c)
-                continue
-            word, signs = m.groups()
-            if (ids := young.get(word) or old.get(word)) is None:
-                ids = young[word] = self._word(word)
-            if signs:
-                if signs not in self.signs:
-                    if len(self.signs) > self.keep:
-                        self.signs.clear()
-                    self.signs[signs] = self._encode([signs])[0]
-                young[c] = ids + self.signs[signs]
-            else:
-                young[c] = ids
-        young.update(zip(rest, self._encode(rest)))
-
-    def _block(self, texts: list[str]) -> Iterator[bytes]:
-        chunks = [[t] if _ODD.search(t) else self.split(t) for t in texts]
-        young, old = self.young, self.old
-        lacking = set().union(*chunks) - young.keys()
-        for c in lacking & old.keys():
-            young[c] = old[c]
-        lacking -= old.keys()
-        self._fill(list(lacking))
-        get = young.__getitem__
-        for own in chunks:
-            yield b"".join(map(get, own))
-        for c in lacking:
-            if len(c) > LONGEST_KEPT:
-                del young[c]
-        if len(young) > self.keep // 2:
-            self.old, self.young = young, {}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        block, size = [], 0
-        for t in texts:
-            block.append(t)
-            size += len(t)
-            if size >= CHARS_AT_ONCE:
-                yield from self._block(block)
-                block, size = [], 0
-        if block:
-            yield from self._block(block)
+        after = self.signs.get(signs)
+        if after is None:
+            after = self._whole(signs)
+            if len(self.signs) < 10_000:
+                self.signs[signs] = after
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes() + after
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if any(map(text.__contains__, _CONTROLS)) if text.isascii() else _ODD.search(text):
+            return self._whole(text)
+        if not self.spaces:
+            ids = b"".join(map(self.chunks.__getitem__, text.split()))
+        elif any(map(text.__contains__, _MORE)) or text[-1] in " \n":
+            ids = b"".join(map(self.chunks.__getitem__, _SPACED.findall(text)))
+        else:  # a space or newline begins each chunk
+            first, *rest = text.replace("\n", " \n").split(" ")
+            ids = (self.chunks[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        if len(self.spaced) + len(self.chunks) > self.keep // 2:
+            self.spaced.old = self.chunks.old = {}
+            self.spaced, self.chunks = _Known(self._after_space, self.spaced), _Known(self._chunk, self.chunks)
+        return ids
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        return map(self.encode, texts)
 
 
 _encoders: dict[tuple, Encoder] = {}
