@@ -215,14 +215,14 @@ QUERIES = {
     "ml_logistic": _fit("logistic", "classification"), "ml_linsvc": _fit("linear_svc", "classification", maxIter=10), "ml_nb": _fit("naive_bayes", "classification"),
     "ml_mlp": _fit("mlp", "classification", maxIter=10),
     "ml_tune_grid": lambda s, d: M.tune(_cls(s, d), X, "y", "logistic", "classification", LI_KEY),
-    "ml_tune_random": lambda s, d: M.tune(_li(s, d).select(*LI_KEY, *X, "l_extendedprice"), X, "l_extendedprice", "elastic_net", "regression", LI_KEY, draws=3),
+    "ml_tune_random": lambda s, d: M.tune(_li(s, d).select(*LI_KEY, *X, "l_extendedprice"), X, "l_extendedprice", "elastic_net", "regression", LI_KEY, draws=50),
     "ml_cv": lambda s, d: M.cross_validate(_cls(s, d), X, "y", "decision_tree", "classification", LI_KEY, 3),
     "ml_importance": _importance, "ml_score": _stored,
     "sel_rfe": lambda s, d: M.recursive_elimination(_li(s, d).select(*LI_KEY, *X, "l_extendedprice"), [*X, "l_linenumber"], "l_extendedprice", "regression", 2),
     "learn_curve": lambda s, d: M.learning_curve(_cls(s, d), X, "y", "decision_tree", "classification", LI_KEY, (.2, .4, .6, .8, 1.0)),
     **{f"stab_{n}": (lambda n: lambda s, d: _stability(s, d).select(n))(n) for n in ("noise", "dropout", "bootstrap", "repeat")},
     "perm_importance": _permuted,
-    "opt_corr_filter": lambda s, d: A.correlation_filter(_li(s, d).select(*LI_KEY, *FOUR, (F.col("l_quantity") * 2 + F.col("l_tax")).alias("echo")), [*FOUR, "echo"]).select(*LI_KEY),
+    "opt_corr_filter": lambda s, d: A.correlation_filter(_li(s, d).select(*LI_KEY, *FOUR, (F.col("l_quantity") * 2 + F.col("l_tax")).alias("echo")), [*FOUR, "echo"]),
     "opt_vif_filter": lambda s, d: A.vif_filter(_li(s, d).select(*LI_KEY, *FOUR, (F.col("l_quantity") * 2 + F.col("l_tax")).alias("echo")), [*FOUR, "echo"]),
     "opt_missing_flags": lambda s, d: A.missing_flags(view(s, d, "orders_dirty")).select("o_orderkey", "o_totalprice_missing"),
     "stat_spearman": lambda s, d: rounded(A.spearman(load(s, d, "orders"), "o_totalprice", "o_custkey", ["o_orderkey"])),
@@ -285,7 +285,7 @@ SQL = {
     "outlier_lof": r(f"""WITH {NB.format(k=20)}, kd AS (SELECT id, max(dist) AS kd FROM nb GROUP BY 1), lrd AS (SELECT nb.id, 1 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM nb JOIN kd ON kd.id = nid GROUP BY 1),
         l AS (SELECT nb.id, avg(b.lrd) / any_value(a.lrd) AS lof FROM nb JOIN lrd b ON b.id = nid JOIN lrd a ON a.id = nb.id GROUP BY 1) SELECT id, lof, lof > (SELECT quantile_cont(lof, 0.95) FROM l) AS outlier FROM l""", "lof", 5),
     "under_tomek": f"WITH {NB.format(k=1)} SELECT vec_id AS id, CAST(label = 0 AS INTEGER) AS cls FROM embeddings e WHERE NOT (label <> 0 AND EXISTS (SELECT 1 FROM nb a JOIN nb b ON b.id = a.nid AND b.nid = a.id JOIN embeddings o ON o.vec_id = a.nid WHERE a.id = e.vec_id AND o.label = 0))",
-    "opt_corr_filter": f"SELECT {KEYS} FROM lineitem",
+    "opt_corr_filter": f"SELECT {KEYS}, {', '.join(FOUR)} FROM lineitem",
     "opt_missing_flags": with_views("orders_dirty", "SELECT o_orderkey, CAST(o_totalprice IS NULL AS INTEGER) AS o_totalprice_missing FROM orders_dirty"),
     "stat_spearman": r("SELECT corr(a, b) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS b FROM orders)", "spearman"),
     "stat_kruskal": r("""SELECT (12 / (n * (n + 1)) * sum(rs * rs / k) - 3 * (n + 1)) / (1 - any_value(ties) / (n * n * n - n)) AS h, count(*) AS groups, CAST(n AS BIGINT) AS n FROM (SELECT g, CAST(sum(rk) AS DOUBLE) AS rs, count(*) AS k, any_value(n) AS n FROM (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import functools
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,14 +50,23 @@ def timestamp(c: str | Column, dtype: T.DataType | None = None) -> Column:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """Turn NaN into null once, at ingest; every operator then only knows nulls."""
-    out = []
-    for f in df.schema.fields:
-        c = as_col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c), c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """Turn NaN into null; every operator then only knows nulls.  Without fractional columns ``df`` itself comes back."""
+    fractional = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not fractional or getattr(df, "_assayer_nan_free", False):
+        return df
+    out = df.select(*[(F.when(~F.isnan(as_col(c)), as_col(c)) if c in fractional else as_col(c)).alias(c) for c in df.columns])
+    out._assayer_nan_free = True  # operators call each other; the columns need it once
+    return out
+
+
+def nan_is_missing(operator: Callable) -> Callable:
+    """An operator whose DataFrame arguments have their NaN read as null."""
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        read = lambda x: nan_to_null(x) if isinstance(x, DataFrame) else x
+        return operator(*map(read, args), **{k: read(v) for k, v in kwargs.items()})
+
+    return run
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.values import all_of, any_of, as_col, clip, number, total
+from assayer.functions.values import all_of, any_of, as_col, clip, nan_is_missing, number, total
 from assayer.operators.profile import iqr_fences, mean_std
 from assayer.plans.columns import dtype, long_agg, numeric_columns, value_counts
 from assayer.plans.ordered import neighbours
 from assayer.plans.quantiles import even_quantiles, exact_quantiles, order_statistics
 
 
+@nan_is_missing
 def dedup(df: DataFrame, subset: Sequence[str] | None = None, order_by: Sequence[str] = ()) -> DataFrame:
     """Drop duplicate rows; with ``subset`` the first row in ``order_by`` order is kept.
 
@@ -41,23 +42,27 @@ def _inside(df: DataFrame, cols: Sequence[str], bounds: Mapping[str, tuple[float
     return all_of([number(c, dtype(df, c)).between(*bounds[c]) for c in cols if c in bounds])
 
 
+@nan_is_missing
 def z_bounds(df: DataFrame, cols: Sequence[str], limit: float, sample: bool = True) -> dict[str, tuple[float, float]]:
     """mean -+ limit * deviation; constant columns are left out."""
     return {c: (m - limit * s, m + limit * s) for c, (m, s) in mean_std(df, cols, sample).items() if s}
 
 
+@nan_is_missing
 def remove_outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
     """Keep rows inside the fences of every numeric column; a null in any of them drops the row."""
     cols = numeric_columns(df, cols)
     return df.filter(_inside(df, cols, iqr_fences(df, cols, k)))
 
 
+@nan_is_missing
 def remove_outliers_z(df: DataFrame, cols: Sequence[str] | None = None, limit: float = 3.0) -> DataFrame:
     """Keep rows within ``limit`` deviations in every numeric column; constant columns are ignored."""
     cols = numeric_columns(df, cols)
     return df.filter(_inside(df, cols, z_bounds(df, cols, limit)))
 
 
+@nan_is_missing
 def flag_outliers(df: DataFrame, methods: Sequence[str] = ("iqr", "zscore"), cols: Sequence[str] | None = None,
                   vote: str = "majority", k: float = 1.5, limit: float = 3.0,
                   extra: Mapping[str, Column] | None = None) -> DataFrame:
@@ -77,6 +82,7 @@ def flag_outliers(df: DataFrame, methods: Sequence[str] = ("iqr", "zscore"), col
 
 # ---- per-column outlier treatment -----------------------------------------------------------
 
+@nan_is_missing
 def outlier_bounds(df: DataFrame, cols: Sequence[str], method: str, threshold: float = 1.5) -> dict[str, tuple[float, float]]:
     """Limits per column for a treatment: percentile, fence, deviation or rank based."""
     if method == "cap":
@@ -93,6 +99,7 @@ def outlier_bounds(df: DataFrame, cols: Sequence[str], method: str, threshold: f
     return iqr_fences(df, cols, threshold)
 
 
+@nan_is_missing
 def treat_outliers(df: DataFrame, method: str, cols: Sequence[str] | None = None, threshold: float = 1.5,
                    bounds: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
     """remove (nulls kept), cap, winsorize, iqr_cap, zscore_cap or null."""
@@ -109,6 +116,7 @@ def treat_outliers(df: DataFrame, method: str, cols: Sequence[str] | None = None
 
 # ---- imputation -----------------------------------------------------------------------------
 
+@nan_is_missing
 def fill_values(df: DataFrame, method: str, cols: Sequence[str]) -> dict[str, object]:
     """The one fill value per column: mean, median or most_frequent (smallest on ties)."""
     if method == "median":
@@ -120,12 +128,14 @@ def fill_values(df: DataFrame, method: str, cols: Sequence[str]) -> dict[str, ob
     return {c: row["v"] if row else None for c, row in native.items()}
 
 
+@nan_is_missing
 def impute(df: DataFrame, method: str, cols: Sequence[str], value: object = 0, values: Mapping[str, object] | None = None) -> DataFrame:
     """mean, median, most_frequent or constant; pass ``values`` to reuse the fit of another table."""
     fills = values or ({c: value for c in cols} if method == "constant" else fill_values(df, method, cols))
     return df.withColumns({c: F.coalesce(as_col(c), F.lit(fills[c])) for c in cols if fills[c] is not None})
 
 
+@nan_is_missing
 def impute_ordered(df: DataFrame, method: str, col: str, order_by: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
     """forward_fill, backward_fill, or interpolate by row position (leading nulls stay, trailing take the last value)."""
     n = neighbours(df, col, order_by, key)
@@ -143,6 +153,7 @@ def impute_ordered(df: DataFrame, method: str, col: str, order_by: Sequence[str]
 
 # ---- transforms -----------------------------------------------------------------------------
 
+@nan_is_missing
 def transform(df: DataFrame, method: str, cols: Sequence[str], degree: int = 2, lows: Mapping[str, float] | None = None) -> DataFrame:
     """log, log1p, sqrt, square, reciprocal, polynomial; log and sqrt shift by the (fitted) minimum where needed."""
     x = {c: number(c, dtype(df, c)) for c in cols}
@@ -176,6 +187,7 @@ def _power(x: Column, lam: float, family: str) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+@nan_is_missing
 def power_lambdas(df: DataFrame, family: str, cols: Sequence[str], grid: int = 17, rounds: int = 4) -> dict[str, float | None]:
     """Maximum-likelihood exponent per column.
 
@@ -203,6 +215,7 @@ def power_lambdas(df: DataFrame, family: str, cols: Sequence[str], grid: int = 1
     return out
 
 
+@nan_is_missing
 def power_transform(df: DataFrame, family: str, cols: Sequence[str]) -> DataFrame:
     """Box-Cox, or Yeo-Johnson followed by standardisation."""
     lams = power_lambdas(df, family, cols)
@@ -212,6 +225,7 @@ def power_transform(df: DataFrame, family: str, cols: Sequence[str]) -> DataFram
 
 # ---- scaling --------------------------------------------------------------------------------
 
+@nan_is_missing
 def fit_scale(df: DataFrame, method: str, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     """(centre, width) per column; a zero width counts as one, so constants become zero."""
     if method == "standard":
@@ -225,6 +239,7 @@ def fit_scale(df: DataFrame, method: str, cols: Sequence[str]) -> dict[str, tupl
     return {c: (m, w if w else 1.0) for c, (m, w) in pairs.items() if m is not None}
 
 
+@nan_is_missing
 def scale(df: DataFrame, method: str, cols: Sequence[str], fitted: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
     """standard (population deviation), minmax, robust, maxabs, quantile_uniform or quantile_normal."""
     if method.startswith("quantile"):
@@ -233,6 +248,7 @@ def scale(df: DataFrame, method: str, cols: Sequence[str], fitted: Mapping[str,
     return df.withColumns({c: (number(c, dtype(df, c)) - m) / w for c, (m, w) in f.items()})
 
 
+@nan_is_missing
 def quantile_scale(df: DataFrame, cols: Sequence[str], normal: bool = False, steps: int = 1000) -> DataFrame:
     """Position among up to ``steps`` exact quantiles, mean of the left and right reading on ties; optional normal scores."""
     from assayer.functions.distributions import normal_quantile
@@ -264,6 +280,7 @@ def _rank_among(refs: Sequence[float]):
 
 # ---- binning --------------------------------------------------------------------------------
 
+@nan_is_missing
 def bin_equal_width(df: DataFrame, col: str, bins: int = 5, name: str | None = None) -> DataFrame:
     """Right-closed bins of equal width, the minimum in the first one."""
     x = number(col, dtype(df, col))
@@ -274,6 +291,7 @@ def bin_equal_width(df: DataFrame, col: str, bins: int = 5, name: str | None = N
     return df.withColumn(name or f"{col}_binned", F.when(at < 0, 0).when(at >= bins, bins - 1).otherwise(at).cast("int"))
 
 
+@nan_is_missing
 def bin_quantile(df: DataFrame, col: str, bins: int = 5, drop_duplicates: bool = True, name: str | None = None) -> DataFrame:
     """Right-closed bins between quantile edges; repeated edges are merged, or leave the table unchanged."""
     edges = exact_quantiles(df, [col], [i / bins for i in range(bins + 1)])[col]
@@ -286,6 +304,7 @@ def bin_quantile(df: DataFrame, col: str, bins: int = 5, drop_duplicates: bool =
     return df.withColumn(name or f"{col}_binned", at)
 
 
+@nan_is_missing
 def bin_kmeans(df: DataFrame, col: str, bins: int = 5, seed: int = 42, name: str | None = None) -> DataFrame:
     """One-dimensional k-means; bins numbered by centre, edges half way between centres."""
     from pyspark.ml.clustering import KMeans
@@ -302,12 +321,14 @@ def bin_kmeans(df: DataFrame, col: str, bins: int = 5, seed: int = 42, name: str
 
 # ---- options declared by the reference's configuration ---------------------------------------
 
+@nan_is_missing
 def drop_low_variance(df: DataFrame, threshold: float = .01, cols: Sequence[str] | None = None) -> DataFrame:
     """Drop numeric columns whose sample variance is below the threshold."""
     cols = numeric_columns(df, cols)
     return df.drop(*[c for c, (_, s) in mean_std(df, cols).items() if s is not None and s * s < threshold])
 
 
+@nan_is_missing
 def drop_missing(df: DataFrame, column_share: float = .3, row_share: float = .5) -> DataFrame:
     """Drop columns with more than ``column_share`` nulls, then rows with more than ``row_share`` nulls."""
     rows = long_agg(df, df.columns, {"m": lambda c: F.avg(as_col(c).isNull().cast("double"))}).collect()
@@ -316,6 +337,7 @@ def drop_missing(df: DataFrame, column_share: float = .3, row_share: float = .5)
     return kept.filter(empty <= row_share * len(kept.columns))
 
 
+@nan_is_missing
 def correct_skew(df: DataFrame, cols: Sequence[str] | None = None, limit: float = 1.0) -> DataFrame:
     """log1p of the shifted value for columns with an absolute skewness over ``limit``."""
     cols = numeric_columns(df, cols)
@@ -324,6 +346,7 @@ def correct_skew(df: DataFrame, cols: Sequence[str] | None = None, limit: float
                            for f in facts if f["g"] is not None and abs(f["g"]) > limit})
 
 
+@nan_is_missing
 def downcast(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Integers to the narrowest type that holds the whole column."""
     from assayer.plans.columns import INTEGRAL, of_kind
@@ -339,6 +362,7 @@ def downcast(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns(out)
 
 
+@nan_is_missing
 def bucket_rare(df: DataFrame, col: str, max_categories: int, other: str = "other") -> DataFrame:
     """Keep the most frequent values, the rest becomes one value; null stays null."""
     top = value_counts(df, [col]).orderBy(F.desc("n"), F.asc("value")).limit(max_categories)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.values import as_col, number, share
+from assayer.functions.values import as_col, nan_is_missing, number, share
 from assayer.plans.columns import dtype, long_agg, numeric_columns, text_columns, union_all, unpivot_number, value_counts
 from assayer.plans.ordered import running_sums
 from assayer.plans.quantiles import exact_quantiles
@@ -17,12 +17,14 @@ NUMERIC_LIMIT, CATEGORY_LIMIT, MISSING_LIMIT, DISTANCE_LIMIT, EPS = .5, .3, .1,
 # -------------------------------------------------------------------------------------------
 
 
+@nan_is_missing
 def shared(ref: DataFrame, cur: DataFrame, skip: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """Numeric and text columns present in both tables, without target and prediction columns."""
     names = [c for c in ref.columns if c in cur.columns and c not in skip]
     return numeric_columns(ref, names), text_columns(ref, names)
 
 
+@nan_is_missing
 def numeric(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Shift of mean and deviation in reference deviations."""
     def facts(df: DataFrame, tag: str) -> DataFrame:
@@ -47,12 +49,14 @@ def _shares(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
                     na.alias("n_ref"), nb.alias("n_cur"))
 
 
+@nan_is_missing
 def categorical(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One minus the overlap of the value distributions; nulls are left out."""
     score = 1 - F.sum(F.least("p", "q"))
     return _shares(ref, cur, cols).groupBy("column_name").agg(score.alias("distribution_drift"), (score > CATEGORY_LIMIT).alias("drifted"))
 
 
+@nan_is_missing
 def table(ref: DataFrame, cur: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """One row per shared column plus ``__any__``."""
     nums, texts = shared(ref, cur, skip)
@@ -66,6 +70,7 @@ def table(ref: DataFrame, cur: DataFrame, skip: Sequence[str] = ()) -> DataFrame
                                      F.avg(F.col("drifted").cast("double")).alias("score"), F.bool_or("drifted").alias("drifted")))
 
 
+@nan_is_missing
 def kolmogorov_smirnov(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Largest gap of the two empirical distribution functions per column.
 
@@ -76,20 +81,21 @@ def kolmogorov_smirnov(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> D
     vals = rows.groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     run = running_sums(vals, {"ca": F.col("a"), "cb": F.col("b")}, ["value"], ["column_name"])
     tot = vals.groupBy("column_name").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    gap = F.abs(share(F.col("ca"), F.col("ta")) - share(F.col("cb"), F.col("tb")))
+    gap = F.abs(F.coalesce(share(F.col("ca"), F.col("ta")), F.lit(0.0)) - F.coalesce(share(F.col("cb"), F.col("tb")), F.lit(0.0)))
     n = F.max("ta") * F.max("tb") / (F.max("ta") + F.max("tb"))
     return run.join(F.broadcast(tot), "column_name").groupBy("column_name").agg(F.max(gap).alias("ks"), F.sqrt(n).alias("root_n"))
 
 
+@nan_is_missing
 def population_stability(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     """Population stability index over the deciles of the reference."""
-    edges = {c: sorted(set(q[1:-1])) for c, q in exact_quantiles(ref, cols, [i / bins for i in range(bins + 1)]).items() if q[0] is not None}
+    edges = {c: sorted(set(q[1:-1])) for c, q in _edges_of(ref, cols, bins).items()}
 
     def binned(df: DataFrame, tag: str) -> DataFrame:
         pairs = []
         for c, es in edges.items():
             x = number(c, dtype(df, c))
-            at = F.lit(0)
+            at = F.when(x.isNotNull(), F.lit(0))
             for e in es:
                 at = at + (x > F.lit(e)).cast("int")
             pairs.append(F.struct(F.lit(c).alias("column_name"), at.alias("bin")))
@@ -98,13 +104,22 @@ def population_stability(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bi
 
     a, b = binned(ref, "na"), binned(cur, "nb")
     ta, tb = a.groupBy("column_name").agg(F.sum("na").alias("ta")), b.groupBy("column_name").agg(F.sum("nb").alias("tb"))
-    j = a.join(b, ["column_name", "bin"], "full_outer").join(F.broadcast(ta), "column_name").join(F.broadcast(tb), "column_name")
+    j = a.join(b, ["column_name", "bin"], "full_outer").join(F.broadcast(ta), "column_name", "left").join(F.broadcast(tb), "column_name", "left")
     floor = F.lit(1e-6)  # empty bins count as a millionth
     p = F.greatest(F.coalesce(share(F.col("na"), F.col("ta")), F.lit(0.0)), floor)
     q = F.greatest(F.coalesce(share(F.col("nb"), F.col("tb")), F.lit(0.0)), floor)
-    return j.groupBy("column_name").agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
+    found = j.groupBy("column_name").agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
+    every = ref.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")  # a column empty on both sides has not moved
+    return F.broadcast(every).join(found, "column_name", "left").select("column_name", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
+def _edges_of(ref: DataFrame, cols: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Deciles per column; a column without values in the reference has one bin."""
+    found = exact_quantiles(ref, cols, [i / bins for i in range(bins + 1)])
+    return {c: q if q[0] is not None else [] for c, q in found.items()}
+
+
+@nan_is_missing
 def categorical_distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Chi-square statistic and Jensen-Shannon distance of the value distributions."""
     sh = _shares(ref, cur, cols)
@@ -119,6 +134,7 @@ def categorical_distances(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -
         F.sqrt(F.greatest(F.sum(kl(F.col("p")) + kl(F.col("q"))) / 2, F.lit(0.0))).alias("js_distance"))
 
 
+@nan_is_missing
 def distribution(ref: DataFrame, cur: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Distribution distances of every shared column and whether they pass the limit."""
     nums, texts = shared(ref, cur, skip)
@@ -132,6 +148,7 @@ def distribution(ref: DataFrame, cur: DataFrame, skip: Sequence[str] = ()) -> Da
     return union_all(parts).withColumn("drifted", F.col("distance") > DISTANCE_LIMIT)
 
 
+@nan_is_missing
 def missing(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Increase of the missing share per column."""
     def facts(df: DataFrame, tag: str) -> DataFrame:
@@ -147,6 +164,7 @@ def level(score: Column, limit: float) -> Column:
     return F.when(score >= 2 * limit, "CRITICAL").when(score >= limit, "WARNING").otherwise("INFO")
 
 
+@nan_is_missing
 def alerts(ref: DataFrame, cur: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Alert level per shared column for drift, and for missing values."""
     nums, texts = shared(ref, cur, skip)
@@ -157,6 +175,7 @@ def alerts(ref: DataFrame, cur: DataFrame, skip: Sequence[str] = ()) -> DataFram
     return drift.unionByName(gaps)
 
 
+@nan_is_missing
 def summary(ref: DataFrame, cur: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Rows, shared columns and alert counts of a monitoring run."""
     nums, texts = shared(ref, cur, skip)

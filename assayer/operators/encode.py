@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.columns_text import cyclic
-from assayer.functions.values import as_col, number
+from assayer.functions.values import as_col, nan_is_missing, number
 from assayer.operators.profile import pearson_pairs
 from assayer.plans.columns import TEMPORAL, dtype, numeric_columns
 from assayer.plans.lookup import lookup_join
 from assayer.plans.ordered import lags, row_numbers
 
 
+@nan_is_missing
 def one_hot(df: DataFrame, col: str, values: Sequence[str] | None = None, max_categories: int = 1000) -> DataFrame:
     """One boolean column per sorted value; null is false everywhere. More values than allowed is an error, not a cut."""
     if values is None:
@@ -27,18 +28,21 @@ def one_hot(df: DataFrame, col: str, values: Sequence[str] | None = None, max_ca
     return df.select(*[as_col(c) for c in df.columns if c != col], *flags)
 
 
+@nan_is_missing
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """(value, code): 0-based rank of every distinct value in sort order, ranked over ranges."""
     vals = df.select(as_col(col).alias(col)).where(as_col(col).isNotNull()).distinct()
     return row_numbers(vals, [col], name="__code").select(col, (F.col("__code") - 1).alias("__code"))
 
 
+@nan_is_missing
 def label(df: DataFrame, col: str, codes: DataFrame | None = None) -> DataFrame:
     """Replace values by their codes; null and unseen values stay null."""
     coded = lookup_join(df, codes if codes is not None else label_codes(df, col), [col])
     return coded.withColumn(col, F.col("__code")).select(*df.columns)
 
 
+@nan_is_missing
 def ordinal(df: DataFrame, col: str, order: Sequence[str] | None = None) -> DataFrame:
     """Position in the given (or sort) order; unknown values get -1."""
     if order is not None:
@@ -48,6 +52,7 @@ def ordinal(df: DataFrame, col: str, order: Sequence[str] | None = None) -> Data
     return coded.withColumn(col, F.coalesce(F.col("__code"), F.lit(-1))).select(*df.columns)
 
 
+@nan_is_missing
 def binary(df: DataFrame, col: str) -> DataFrame:
     """Bits of the label code, lowest first; a single value needs no bit."""
     codes = label_codes(df, col)
@@ -58,12 +63,14 @@ def binary(df: DataFrame, col: str) -> DataFrame:
                         *[F.shiftright(F.col("__code"), i).bitwiseAND(F.lit(1).cast("bigint")).alias(f"{col}_binary_{i}") for i in range(bits)])
 
 
+@nan_is_missing
 def frequency(df: DataFrame, col: str) -> DataFrame:
     """Replace a value by its number of rows."""
     dim = df.where(as_col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
     return lookup_join(df, dim, [col]).withColumn(col, F.col("__n")).select(*df.columns)
 
 
+@nan_is_missing
 def target_means(df: DataFrame, col: str, target: str, smoothing: float = 0.0) -> DataFrame:
     """(value, mean of target), drawn towards the global mean by ``smoothing`` pseudo rows."""
     y = number(target, dtype(df, target))
@@ -75,12 +82,14 @@ def target_means(df: DataFrame, col: str, target: str, smoothing: float = 0.0) -
         col, ((F.col("s") + smoothing * F.col("m")) / (F.col("n") + smoothing)).alias("__mean"))
 
 
+@nan_is_missing
 def target(df: DataFrame, col: str, target_col: str, smoothing: float = 0.0, means: DataFrame | None = None) -> DataFrame:
     """Replace a value by its target mean; pass ``means`` fitted on training rows to avoid leakage."""
     dim = means if means is not None else target_means(df, col, target_col, smoothing)
     return lookup_join(df, dim, [col]).withColumn(col, F.col("__mean")).select(*df.columns)
 
 
+@nan_is_missing
 def target_out_of_fold(df: DataFrame, col: str, target_col: str, fold: str) -> DataFrame:
     """Target mean of a value over the rows of all OTHER folds."""
     y = number(target_col, dtype(df, target_col))
@@ -91,6 +100,7 @@ def target_out_of_fold(df: DataFrame, col: str, target_col: str, fold: str) -> D
     return lookup_join(df, dim, [col, fold]).withColumn(col, F.col("__mean")).select(*df.columns)
 
 
+@nan_is_missing
 def hashed(df: DataFrame, col: str, width: int = 8) -> DataFrame:
     """``width`` indicator columns by value hash."""
     slot = F.pmod(F.xxhash64(as_col(col)), F.lit(width))
@@ -98,10 +108,12 @@ def hashed(df: DataFrame, col: str, width: int = 8) -> DataFrame:
                      *[F.when(as_col(col).isNotNull(), (slot == i).cast("int")).otherwise(0).alias(f"{col}_hash_{i}") for i in range(width)])
 
 
+@nan_is_missing
 def interaction(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return df.withColumns({f"{a}_x_{b}": as_col(a) * as_col(b) for a, b in pairs})
 
 
+@nan_is_missing
 def cyclic_dates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Sine/cosine features of every temporal column; hours only where a column has more than one hour."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, TEMPORAL) and (cols is None or f.name in cols)]
@@ -112,15 +124,17 @@ def cyclic_dates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns(out)
 
 
+@nan_is_missing
 def lag_features(df: DataFrame, order_by: Sequence[str], key: Sequence[str] = (), cols: Sequence[str] | None = None,
-                 offsets: Sequence[int] = (1, 7, 30), most: int = 5) -> DataFrame:
-    """Lags of the first ``most`` numeric columns in row order."""
+                 offsets: Sequence[int] = (1, 7, 30), most: int | None = None) -> DataFrame:
+    """Lags of all numeric columns, or of the first ``most``, in row order."""
     cols = [c for c in numeric_columns(df, cols) if c not in order_by and c not in key][:most]
     return lags(df, cols, offsets, order_by, key)
 
 
 # ---- feature selection ------------------------------------------------------------------------
 
+@nan_is_missing
 def chi2_scores(df: DataFrame, cols: Sequence[str], label_col: str) -> DataFrame:
     """Chi-square of non-negative features against a class: class sums against their expected share."""
     sums = df.groupBy(as_col(label_col).alias("y")).agg(
@@ -133,13 +147,14 @@ def chi2_scores(df: DataFrame, cols: Sequence[str], label_col: str) -> DataFrame
         F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("score"))
 
 
+@nan_is_missing
 def f_class_scores(df: DataFrame, cols: Sequence[str], label_col: str) -> DataFrame:
     """One-way analysis-of-variance F of every feature by class, from class counts, sums and squares."""
     x = {c: number(c, dtype(df, c)) for c in cols}
-    per = df.groupBy(as_col(label_col).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[
-        e for i, c in enumerate(cols) for e in (F.avg(x[c]).alias(f"m{i}"), F.var_pop(x[c]).alias(f"v{i}"))])
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v")) for i, c in enumerate(cols)]
-    long = per.select("n", F.inline(F.array(*rows)))
+    per = df.where(as_col(label_col).isNotNull()).groupBy(as_col(label_col).alias("y")).agg(*[
+        e for i, c in enumerate(cols) for e in (F.count(x[c]).cast("double").alias(f"n{i}"), F.avg(x[c]).alias(f"m{i}"), F.var_pop(x[c]).alias(f"v{i}"))])
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v")) for i, c in enumerate(cols)]
+    long = per.select(F.inline(F.array(*rows))).where("n > 0")  # a class counts for the features that it has values of
     n, k = F.sum("n"), F.count(F.lit(1))
     within = F.sum(F.col("n") * F.col("v"))
     mean = F.sum(F.col("n") * F.col("m")) / n
@@ -147,15 +162,19 @@ def f_class_scores(df: DataFrame, cols: Sequence[str], label_col: str) -> DataFr
     return long.groupBy("feature").agg((between / (k - 1) / (within / (n - k))).alias("score"))
 
 
+@nan_is_missing
 def f_regression_scores(df: DataFrame, cols: Sequence[str], target_col: str) -> DataFrame:
     """F of a simple regression on the target, from Pearson r."""
-    n = df.count()
+    y = number(target_col, dtype(df, target_col))
+    both = df.agg(*[F.count(F.when(number(c, dtype(df, c)).isNotNull(), y)).alias(f"n{i}") for i, c in enumerate(cols)])
+    n = both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n")) for i, c in enumerate(cols)])))
     pairs = pearson_pairs(df, [*cols, target_col]).where((F.col("feature1") == target_col) | (F.col("feature2") == target_col))
     r2 = F.col("r") * F.col("r")
     return pairs.select(F.when(F.col("feature1") == target_col, F.col("feature2")).otherwise(F.col("feature1")).alias("feature"),
-                        (r2 / (1 - r2) * (n - 2)).alias("score"))
+                        r2.alias("r2")).join(F.broadcast(n), "feature").select("feature", (F.col("r2") / (1 - F.col("r2")) * (F.col("n") - 2)).alias("score"))
 
 
+@nan_is_missing
 def mutual_information(df: DataFrame, cols: Sequence[str], label_col: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of equal-width binned features and a class, from joint counts."""
     ends = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(as_col(c)).cast("double").alias(f"lo{i}"), F.max(as_col(c)).cast("double").alias(f"hi{i}"))]).first()
@@ -188,8 +207,12 @@ def select_by_rules(scores: DataFrame, rules: DataFrame, threshold: float, most:
     must, never = F.col("rule_type") == "must_include", F.col("rule_type") == "must_exclude"
     cand = joined.where(~F.coalesce(never, F.lit(False)) & (F.coalesce(must, F.lit(False)) | (F.col("score") >= threshold)))
     rank = F.when(must, 0).when(F.col("rule_type") == "preference", 1).otherwise(2)
-    return (cand.select("feature", "score", F.coalesce("rule_type", F.lit("score")).alias("reason"), rank.alias("tier"))
-            .orderBy("tier", F.desc_nulls_last("score"), "feature").limit(most))
+    ranked = cand.select("feature", "score", F.coalesce("rule_type", F.lit("score")).alias("reason"), rank.alias("tier"))
+    mandatory = ranked.where("tier = 0")  # never cut; the others fill what is left of ``most``
+    others = ranked.where("tier > 0").withColumn("__at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tier", F.desc_nulls_last("score"), "feature")))
+    held = mandatory.agg(F.count(F.lit(1)).alias("__held"))
+    chosen = others.crossJoin(F.broadcast(held)).where(F.col("__at") <= F.lit(most) - F.col("__held")).drop("__at", "__held")
+    return mandatory.unionByName(chosen).orderBy("tier", F.desc_nulls_last("score"), "feature")
 
 
 def combine_selections(chosen: DataFrame, strategy: str = "intersection") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.normality import chi2_two_tail, corrected_kurtosis, corrected_skew, k_squared
-from assayer.functions.values import as_col, labels, number, once, share, timestamp, total
+from assayer.functions.values import as_col, labels, nan_is_missing, number, once, share, timestamp, total
 from assayer.operators.profile import top_values
 from assayer.plans.columns import (
     TEMPORAL, dtype, flat_columns, kind_name, long_agg, numeric_columns, text_columns, union_all, unpivot_number, unpivot_text)
@@ -24,6 +24,7 @@ IDENTIFIER_RATIO, CATEGORY_RATIO, MAX_CATEGORIES = .95, .5, 50
 # -------------------------------------------------------------------------------------------
 
 
+@nan_is_missing
 def evidence(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per column: counts, parse and pattern ratios, moments of the numeric reading.
 
@@ -123,12 +124,14 @@ def advised(dec: DataFrame) -> DataFrame:
         (t == "text", "preprocess_text"), (missing > .1, "handle_missing_values")))
 
 
+@nan_is_missing
 def infer(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Inferred type, confidence and advice for all columns, from one pass over the table."""
     return advised(decided(scored(evidence(df, cols)))).select(
         "column_name", "original_type", "inferred_type", "confidence", "n_rows", "non_null", "unique_count", "advice")
 
 
+@nan_is_missing
 def statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Counts and ratios of all columns; mean, spread and corrected moments of the numeric reading."""
     cols = flat_columns(df, cols)
@@ -151,6 +154,7 @@ def statistics(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         corrected_kurtosis(F.col("n"), F.col("g2")).alias("kurtosis"))
 
 
+@nan_is_missing
 def top_categories(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """Top values of the columns inferred categorical."""
     inferred = cut(infer(df, cols).where(F.col("inferred_type") == "categorical").select("column_name"))

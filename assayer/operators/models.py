@@ -22,11 +22,17 @@ from assayer.plans.gram import complete, least_squares
 from assayer.session import cut
 
 # ---- fixed values: parameter values per family ------------------------------------------------
+# Named as MLlib names them: an unbounded depth is MLlib's largest, 30; C is 1 / regParam; l1 and l2 are elasticNetParam 1 and 0
+# (linear_svc has l2 only); a smallest leaf is minInstancesPerNode, and a smallest split has no counterpart.
 GRIDS = {
-    "ridge": {"regParam": [.1, 1.0, 10.0, 100.0]}, "lasso": {"regParam": [.01, .1, 1.0, 10.0]},
-    "elastic_net": {"regParam": [.1, 1.0], "elasticNetParam": [.2, .5, .8]},
-    "random_forest": {"numTrees": [50, 100], "maxDepth": [5, 10]}, "gbt": {"maxIter": [20, 50], "maxDepth": [3, 5]},
-    "decision_tree": {"maxDepth": [3, 5, 10]}, "logistic": {"regParam": [0.0, .01, .1, 1.0]}, "linear_svc": {"regParam": [.01, .1, 1.0]},
+    "ridge": {"regParam": [.1, 1.0, 10.0, 100.0]},
+    "lasso": {"regParam": [.01, .1, 1.0, 10.0]},
+    "elastic_net": {"regParam": [.1, 1.0, 10.0], "elasticNetParam": [.1, .5, .9]},
+    "random_forest": {"numTrees": [100, 200, 500], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2]},
+    "gbt": {"maxIter": [100, 200], "stepSize": [.01, .1, .2], "maxDepth": [3, 6]},
+    "decision_tree": {"maxDepth": [10, 20, 30]},
+    "logistic": {"regParam": [10.0, 1.0, .1], "elasticNetParam": [1.0, 0.0]},
+    "linear_svc": {"regParam": [10.0, 1.0, .1]},
 }
 # -------------------------------------------------------------------------------------------
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.normality import chi2_two_tail, k_squared
-from assayer.functions.values import as_col, number, share
+from assayer.functions.values import as_col, nan_is_missing, number, share
 from assayer.operators.profile import iqr_fences, pearson_pairs
 from assayer.plans.columns import (
     dtype, flat_columns, long_agg, numeric_columns, text_columns, union_all, unpivot_text)
@@ -29,6 +29,7 @@ FORMATS = (
 # -------------------------------------------------------------------------------------------
 
 
+@nan_is_missing
 def formats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Columns whose trimmed text matches a format at its threshold, with the smallest and largest match.
 
@@ -47,6 +48,7 @@ def formats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return matched
 
 
+@nan_is_missing
 def format_examples(df: DataFrame, matched: DataFrame) -> DataFrame:
     """Add the smallest and largest matching value to a (small) table of matched formats."""
     rx = {name: rx for _, name, rx, _ in FORMATS}
@@ -62,6 +64,7 @@ def format_examples(df: DataFrame, matched: DataFrame) -> DataFrame:
     return matched.join(F.broadcast(ex), ["column_name", "pattern_name"])
 
 
+@nan_is_missing
 def steps(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column_name, total_count, n_number, n_steps, top_step, top_count): the most common sorted difference.
 
@@ -87,6 +90,7 @@ def steps(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         F.col("top.s").alias("top_step"), (-F.col("top.k")).alias("top_count"))
 
 
+@nan_is_missing
 def sequential(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Whether a column is at least 80 % numeric with over 70 % equal sorted differences."""
     ok = (F.col("n_number") >= .8 * F.col("total_count")) & (share(F.col("top_count"), F.col("n_steps")) > .7)
@@ -99,6 +103,7 @@ def _named(rows: DataFrame, name: str, kind: str, cond: Column, conf: Column, ma
                                    total.cast("bigint").alias("total_count"), ratio.cast("double").alias("match_ratio"))
 
 
+@nan_is_missing
 def identifiers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Constant columns and columns over 95 % unique."""
     base = long_agg(df, flat_columns(df, cols), {"n": lambda c: F.count(as_col(c))}, distinct="u")
@@ -112,6 +117,7 @@ def _readable(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
     return [c for c in flat_columns(df, cols) if c in numeric_columns(df) or c in text_columns(df)]
 
 
+@nan_is_missing
 def normal(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """D'Agostino-Pearson verdict on the numeric reading of every column with at least ten numbers."""
     num = lambda c: number(c, dtype(df, c))
@@ -123,6 +129,7 @@ def normal(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         "column_name", "total_count", "n_number", p.alias("p_value"), (p > .05).alias("is_normal"))
 
 
+@nan_is_missing
 def uniform(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """Spread of the counts in equal-width bins over their mean; below 0.3 a column counts as uniform."""
     num = lambda c: number(c, dtype(df, c))
@@ -146,6 +153,7 @@ def uniform(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 10) ->
     return counts.groupBy("column_name").agg(n.cast("bigint").alias("n_number"), cv.alias("bin_cv"), (cv < .3).alias("is_uniform"))
 
 
+@nan_is_missing
 def far_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 3.0) -> DataFrame:
     """Numeric readings outside Q1/Q3 -+ k*IQR of columns with at least ten numbers."""
     num = lambda c: number(c, dtype(df, c))
@@ -158,6 +166,7 @@ def far_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 3.
                   F.least(F.lit(.9), 2 * ratio), F.col("out"), F.col("n"), ratio)
 
 
+@nan_is_missing
 def mixed_case(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Text columns where over a tenth of the values hold capitals and over a tenth small letters."""
     base = long_agg(df, text_columns(df, cols), {
@@ -168,11 +177,13 @@ def mixed_case(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return _named(base, "case_inconsistency", "anomaly", ratio > .1, ratio, less, F.col("n"), ratio)
 
 
+@nan_is_missing
 def high_correlation(df: DataFrame, cols: Sequence[str] | None = None, limit: float = .8) -> DataFrame:
     """Numeric pairs with an absolute Pearson r of at least ``limit``."""
     return pearson_pairs(df, cols).where(F.abs("r") >= limit)
 
 
+@nan_is_missing
 def detect(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Every pattern found in every column, plus the cross-column row."""
     cols = flat_columns(df, cols)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.values import any_of, as_col, labels, number, share, total
+from assayer.functions.values import any_of, as_col, labels, nan_is_missing, number, share, total
 from assayer.plans.columns import (
     dtype, flat_columns, kind_name, long_agg, numeric_columns, text_columns, value_counts)
 from assayer.plans.quantiles import exact_quantiles, quantile_frame
@@ -28,6 +28,7 @@ def _missing(c: str) -> Column:
     return F.count_if(as_col(c).isNull())
 
 
+@nan_is_missing
 def inspect(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Shape, storage kind, nulls and distinct values per column."""
     return long_agg(df, flat_columns(df, cols), {
@@ -38,6 +39,7 @@ def inspect(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     }, distinct="distinct_count").withColumn("null_pct", 100 * share(F.col("null_count"), F.col("n_rows")))
 
 
+@nan_is_missing
 def counts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Row, missing and distinct counts with their percentages; ``exact=False`` uses a sketch for distinct."""
     sketch = {} if exact else {"unique_count": lambda c: F.approx_count_distinct(as_col(c))}
@@ -47,6 +49,7 @@ def counts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True)
             .withColumn("unique_pct", 100 * share(F.col("unique_count"), F.col("count"))))
 
 
+@nan_is_missing
 def numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Mean, sample deviation, range and quartiles."""
     cols = numeric_columns(df, cols)
@@ -58,6 +61,7 @@ def numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return stats.join(F.broadcast(quart), "column_name")
 
 
+@nan_is_missing
 def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Population skewness and excess kurtosis."""
     num = lambda c: number(c, dtype(df, c))
@@ -66,12 +70,14 @@ def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         "kurtosis": lambda c: F.nanvl(F.kurtosis(num(c)), F.lit(None))})
 
 
+@nan_is_missing
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float) -> dict[str, tuple[float, float]]:
     """Lower and upper fence per column with values (columns without values are left out)."""
     q = exact_quantiles(df, cols, [.25, .75])
     return {c: (a - k * (b - a), b + k * (b - a)) for c, (a, b) in q.items() if a is not None}
 
 
+@nan_is_missing
 def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
     """Values outside Q1 - k*IQR .. Q3 + k*IQR per column."""
     cols = numeric_columns(df, cols)
@@ -82,6 +88,7 @@ def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.
         "outliers": lambda c: F.count_if((num(c) < f[c][0]) | (num(c) > f[c][1]))})
 
 
+@nan_is_missing
 def mean_std(df: DataFrame, cols: Sequence[str], sample: bool = True) -> dict[str, tuple[float, float]]:
     """Mean and deviation per column on the driver: two numbers a column."""
     dev = F.stddev_samp if sample else F.stddev_pop
@@ -90,6 +97,7 @@ def mean_std(df: DataFrame, cols: Sequence[str], sample: bool = True) -> dict[st
     return {r["column_name"]: (r["m"], r["s"]) for r in rows}
 
 
+@nan_is_missing
 def outliers_z(df: DataFrame, cols: Sequence[str] | None = None, limit: float = 3.0) -> DataFrame:
     """Values more than ``limit`` sample deviations from the mean; constant columns have none."""
     cols = numeric_columns(df, cols)
@@ -102,6 +110,7 @@ def outliers_z(df: DataFrame, cols: Sequence[str] | None = None, limit: float =
     return long_agg(df, cols, {"outliers": n_out})
 
 
+@nan_is_missing
 def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """The ``k`` most frequent values per column; ties go to the smaller value.
 
@@ -112,6 +121,7 @@ def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) ->
             .where(F.col("rank") <= k))
 
 
+@nan_is_missing
 def categorical(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """Cardinality, mode and top-k values per text column."""
     cols = text_columns(df, cols)
@@ -125,6 +135,7 @@ def categorical(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -
         "column_name", "cardinality", F.col("m.value").alias("mode_value"), (-F.col("m.n")).alias("mode_count"), "top_values")
 
 
+@nan_is_missing
 def text_length(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Length statistics and edge-blank flag per text column."""
     return long_agg(df, text_columns(df, cols), {
@@ -133,18 +144,21 @@ def text_length(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         "has_edge_blank": lambda c: F.coalesce(F.bool_or(as_col(c).rlike(EDGE_BLANK)), F.lit(False))})
 
 
+@nan_is_missing
 def has_duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Whether any value (null counts as one) repeats."""
     base = long_agg(df, flat_columns(df, cols), {"n": _rows, "nulls": _missing}, distinct="u")
     return base.select("column_name", (F.col("n") > F.col("u") + F.least(F.col("nulls"), F.lit(1))).alias("has_duplicates"))
 
 
+@nan_is_missing
 def date_suspect(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Text columns where some value contains a date form (whole column, not its first rows)."""
     return long_agg(df, text_columns(df, cols), {"suspected_date": lambda c: F.coalesce(F.bool_or(
         any_of(as_col(c).rlike(p) for p in SUSPECT_DATE_PATTERNS)), F.lit(False))})
 
 
+@nan_is_missing
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(n_rows, duplicate_rows): all copies but the first. Copies are counted map-side before the shuffle."""
     groups = df.groupBy(*[as_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
@@ -152,6 +166,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
                       F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+@nan_is_missing
 def dataset(df: DataFrame) -> DataFrame:
     """Shape, missing cells and duplicate rows of the table."""
     cells = df.agg(total([F.count_if(as_col(c).isNull()) for c in df.columns]).alias("missing_cells"))
@@ -159,6 +174,7 @@ def dataset(df: DataFrame) -> DataFrame:
         "n_rows", F.lit(len(df.columns)).alias("n_columns"), "missing_cells", "duplicate_rows")
 
 
+@nan_is_missing
 def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None, complete: bool = False) -> DataFrame:
     """Pearson r of every numeric pair, all pairs in one aggregation.
 
@@ -177,6 +193,7 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None, complete: bo
     return d.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+@nan_is_missing
 def cramers_v_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Cramer's V of every text pair from joint counts; only distinct value pairs are shuffled."""
     cols = text_columns(df, cols)
@@ -196,6 +213,7 @@ def cramers_v_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         F.col("s") - 1, F.least(F.col("nx"), F.col("ny")) - 1), F.lit(0.0))).alias("v"))
 
 
+@nan_is_missing
 def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """The full per-column record: counts, moments, outliers, text facts (null where not applicable)."""
     cols = flat_columns(df, cols)
@@ -268,6 +286,7 @@ def recipe(prof: DataFrame) -> DataFrame:
         F.when(is_num, F.when(skewed, "robust").otherwise("standard")).alias("scaling"))
 
 
+@nan_is_missing
 def recipe_basic(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Simpler recipe: identifiers, imputation by missing share, and the type text columns parse as."""
     from assayer.functions.values import timestamp
@@ -290,6 +309,7 @@ def recipe_basic(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                .otherwise("string")).alias("convert_to"))
 
 
+@nan_is_missing
 def basic(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Short profile: counts for every column and mean, deviation and range for numbers."""
     cols = flat_columns(df, cols)
@@ -303,6 +323,7 @@ def basic(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             .withColumn("unique_pct", 100 * share(F.col("unique_count"), F.col("n"))).drop("n"))
 
 
+@nan_is_missing
 def traits(df: DataFrame, target: str, few: int = 20) -> DataFrame:
     """Size and width class, problem kind and class balance relative to a target column."""
     feats = [c for c in df.columns if c != target]

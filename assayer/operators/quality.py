@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.values import as_col, band, number, share, timestamp
+from assayer.functions.values import as_col, band, nan_is_missing, number, share, timestamp
 from assayer.operators import infer as I
 from assayer.operators import patterns as PT
 from assayer.operators.profile import duplicate_rows
@@ -56,6 +56,7 @@ def _n(c: str) -> Column:
     return F.count(as_col(c))
 
 
+@nan_is_missing
 def completeness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Missing share per column with its severity."""
     base = long_agg(df, flat_columns(df, cols), {"n_rows": lambda c: F.count(F.lit(1)), "missing": lambda c: F.count_if(as_col(c).isNull())})
@@ -64,6 +65,7 @@ def completeness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                        F.when(ratio > .5, "high").when(ratio > .2, "medium").alias("severity"))
 
 
+@nan_is_missing
 def consistency_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Case and edge-blank consistency per text column with values."""
     base = long_agg(df, text_columns(df, cols), {
@@ -74,6 +76,7 @@ def consistency_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     return base.select("column_name", cs.alias("case_score"), ws.alias("blank_score"), ((cs + ws) / 2).alias("score"))
 
 
+@nan_is_missing
 def consistency_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Share of the values of (inferred numeric) text columns made of number characters only."""
     def clean(c: str) -> Column:
@@ -85,6 +88,7 @@ def consistency_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return base.select("column_name", "n", (F.col("n") - F.col("clean")).alias("odd"), share(F.col("clean"), F.col("n")).alias("score"))
 
 
+@nan_is_missing
 def consistency(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Score per non-empty column: text consistency, and 1 for typed columns."""
     cols = flat_columns(df, cols)
@@ -97,6 +101,7 @@ def consistency(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return union_all(parts)
 
 
+@nan_is_missing
 def accuracy(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Valid share per column; the rule (email, phone, date, generic) follows the column name."""
     def rule(c: str) -> str:
@@ -122,6 +127,7 @@ def accuracy(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                        F.when(generic & (score < .95), "low").when(~generic & (score < .9), "medium").alias("severity"))
 
 
+@nan_is_missing
 def validity(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Share of values obeying the name rules: no negatives, percentages within 0..100."""
     nums = numeric_columns(df)
@@ -141,6 +147,7 @@ def validity(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                        F.when(F.col("off_percent") > 0, "high").when(F.col("negative") > 0, "medium").alias("severity"))
 
 
+@nan_is_missing
 def target_validity(df: DataFrame, target: str) -> DataFrame:
     """One row for a numeric two-valued target: 0.7 when the rarer class is below one percent."""
     classes = df.where(as_col(target).isNotNull()).groupBy(as_col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
@@ -151,6 +158,7 @@ def target_validity(df: DataFrame, target: str) -> DataFrame:
                         F.when(bad, .7).otherwise(1.0).alias("score"))
 
 
+@nan_is_missing
 def uniqueness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Distinct share per non-empty column; over 95 % is reported as a potential identifier."""
     cols = flat_columns(df, cols)
@@ -160,6 +168,7 @@ def uniqueness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                        F.when(ratio > .95, "info").alias("severity"))
 
 
+@nan_is_missing
 def timeliness(df: DataFrame, as_of: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Age of the newest value of every date-named column that parses for over 80 % of the rows."""
     named = [c for c in flat_columns(df, cols) if any(w in c.lower() for w in DATE_NAMES)
@@ -175,6 +184,7 @@ def timeliness(df: DataFrame, as_of: str, cols: Sequence[str] | None = None) ->
         F.when(days >= 90, "high").when(days > 30, "medium").alias("severity"))
 
 
+@nan_is_missing
 def dimensions(df: DataFrame, as_of: str, target: str | None = None, cols: Sequence[str] | None = None) -> DataFrame:
     """One row per dimension: ratio, banded score, weight, grade."""
     cols = flat_columns(df, cols)
@@ -204,6 +214,7 @@ def overall(dims: DataFrame) -> DataFrame:
     return dims.agg(score.alias("overall_score")).withColumn("grade", grade(F.col("overall_score")))
 
 
+@nan_is_missing
 def confidence(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Trust in the assessment from the number of rows and the completeness."""
     facts = completeness(df, cols).agg(F.max("n_rows").alias("n_rows"), (1 - share(F.sum("missing"), F.sum("n_rows"))).alias("complete"))
@@ -235,6 +246,7 @@ def issues_from_patterns(found: DataFrame) -> DataFrame:
             .unionByName(_issue(ident, F.lit("info"), name, F.lit("potential_identifier"))))
 
 
+@nan_is_missing
 def issues_from_metrics(df: DataFrame, dims: DataFrame, as_of: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Issues of each dimension's columns and of poor dimensions as a whole."""
     cols = flat_columns(df, cols)
@@ -288,6 +300,7 @@ def advice(score: Column, high: Column, medium: Column, bounds: tuple[float, flo
                                                 F.when(medium > 5, "consider_medium_issues"))), ",")
 
 
+@nan_is_missing
 def assess(df: DataFrame, as_of: str, target: str | None = None, cols: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Inference, patterns, dimensions, issues and scores of a table, each as a table."""
     cols = flat_columns(df, cols)
@@ -300,6 +313,7 @@ def assess(df: DataFrame, as_of: str, target: str | None = None, cols: Sequence[
             "scores": penalised(issues, overall(dims), cols)}
 
 
+@nan_is_missing
 def basic_assessment(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Issue rows of the short assessment plus the overall row (100 minus penalties) and the completeness row."""
     cols = flat_columns(df, cols)
@@ -319,6 +333,7 @@ def basic_assessment(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
                                      F.lit("completeness").alias("issue_type"), F.col("v").alias("value"))))
 
 
+@nan_is_missing
 def validate(df: DataFrame, id_rows: int = 100) -> DataFrame:
     """Empty table (critical), all-null columns (error), identifier-like columns of larger tables (warning)."""
     cols = flat_columns(df)

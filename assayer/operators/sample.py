@@ -14,6 +14,7 @@ from assayer.operators.profile import mean_std
 from assayer.plans.columns import dtype, numeric_columns, text_columns
 from assayer.plans.lookup import lookup_join
 from assayer.plans.ordered import row_numbers
+from assayer.session import cut
 
 # ---- fixed values -------------------------------------------------------------------------
 DRIFT = {"low": (.1, .05, .02), "medium": (.3, .1, .05), "high": (.5, .2, .1)}  # shift, noise, missing
@@ -106,21 +107,22 @@ def add_noise(df: DataFrame, level: float, key: Sequence[str], cols: Sequence[st
     return drawn.withColumns({c: number(c, dtype(df, c)) + F.col(f"__z_{c}") * (level * sd[c]) for c in cols}).select(*df.columns)
 
 
-def synthesize_drift(df: DataFrame, severity: str, key: Sequence[str], target: str | None = None, seed: int = 42, max_values: int = 1000) -> DataFrame:
+def synthesize_drift(df: DataFrame, severity: str, key: Sequence[str], target: str | None = None, seed: int = 42) -> DataFrame:
     """Shift and noise on numbers, swapped categories, planted nulls; key and target untouched."""
     shift, noise, missing = DRIFT[severity]
     skip = {*key, target}
     nums = [c for c in numeric_columns(df) if c not in skip]
     out = add_noise(df, math.hypot(shift, noise), key, nums, seed) if nums else df
-    new = {}
     for c in [c for c in text_columns(df) if c not in skip]:
-        vals = [r[0] for r in df.select(c).where(as_col(c).isNotNull()).distinct().orderBy(c).limit(max_values + 1).collect()]
-        if not 1 < len(vals) <= max_values:
+        values = df.select(as_col(c).alias("__v")).where("__v is not null").distinct()
+        codes = cut(row_numbers(values, ["__v"], name="__code").withColumn("__code", F.col("__code") - 1))
+        n = codes.count()
+        if n < 2:
             continue
-        arr = F.array(*[F.lit(v) for v in vals])
-        hop = 1 + F.floor(unit_hash(key, f"{seed}-to-{c}") * (len(vals) - 1)).cast("int")
-        other = F.element_at(arr, (F.pmod(F.array_position(arr, as_col(c)).cast("int") - 1 + hop, F.lit(len(vals))) + 1).cast("int"))
-        new[c] = F.when(as_col(c).isNotNull() & (unit_hash(key, f"{seed}-swap-{c}") < shift), other).otherwise(as_col(c))
-    out = out.withColumns(new) if new else out
+        hop = 1 + F.floor(unit_hash(key, f"{seed}-to-{c}") * (n - 1)).cast("int")
+        coded = lookup_join(out.withColumn("__v", as_col(c)), codes, ["__v"]).drop("__v")
+        moved = coded.withColumn("__to", F.when(unit_hash(key, f"{seed}-swap-{c}") < shift, F.pmod(F.col("__code") + hop, F.lit(n))))
+        other = codes.select(F.col("__v").alias("__new"), F.col("__code").alias("__to"))
+        out = lookup_join(moved, other, ["__to"]).withColumn(c, F.coalesce("__new", as_col(c))).drop("__new", "__to", "__code").select(*df.columns)
     gone = [c for c in nums + text_columns(df) if c not in skip]
     return out.withColumns({c: F.when(unit_hash(key, f"{seed}-null-{c}") >= missing, as_col(c)) for c in gone})

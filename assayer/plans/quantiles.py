@@ -169,7 +169,8 @@ def _ranks(df, wanted, accuracy, settle, exact_ranks=None):
 
 
 def _num(v: float) -> str:
-    return f"{float(v)!r}D"
+    """A double in SQL; infinity has no literal."""
+    return f"CAST('{float(v)!r}' AS DOUBLE)" if math.isinf(v) else f"{float(v)!r}D"
 
 
 def _sketch(d: DataFrame, wanted: Mapping[int, tuple], accuracy: int) -> dict[int, dict]:

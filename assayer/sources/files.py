@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +57,8 @@ def sanitise_unquoted(df: DataFrame, sep: str = ";") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, preset: str | None = None, sep: str = ",", quoting: str = "minimal", quote: str = '"',
-              escape: str = '"', encoding: str = "UTF-8", line_sep: str = "\n") -> None:
-    """CSV by preset or by options; ``quoting`` is minimal, all or none."""
+              escape: str = '"', encoding: str = "UTF-8", line_sep: str = "\n") -> bool:
+    """CSV by preset or by options; ``quoting`` is minimal, all or none.  False: the options didn't fit, it is plain CSV."""
     opts = dict(PRESETS[preset]) if preset else {"sep": sep, "quoteAll": quoting == "all", "quote": "" if quoting == "none" else quote, "escape": escape}
     if opts.get("quote") == "":
         df = sanitise_unquoted(df, str(opts["sep"]))
@@ -68,8 +69,10 @@ def write_csv(df: DataFrame, path: str, preset: str | None = None, sep: str = ",
         writer = writer.option(k, v)
     try:
         writer.csv(path)
-    except Exception:  # an output format the data cannot take falls back to plain CSV
+        return True
+    except (AnalysisException, IllegalArgumentException):  # options or types that the format can't take; any other failure is raised
         df.write.mode("overwrite").option("header", True).option("sep", ",").csv(path)
+        return False
 
 
 def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "json") -> None:

@@ -188,3 +188,52 @@ def test_bootstrap_weights_average_one(spark):
     df = spark.range(3000)
     w = S.bootstrap(df, ["id"], 4).agg(F.sum("weight")).first()[0] / 12000
     assert abs(w - 1) < .05
+
+
+def test_nan_counts_as_missing_everywhere(spark):
+    from assayer.operators import clean, drift, profile
+
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, 1.0), (2, nan), (3, None), (4, 3.0)], "k int, x double")
+    row = profile.counts(df, ["x"]).first()
+    assert (row["missing_count"], row["unique_count"]) == (2, 2)
+    assert sorted(r["x"] for r in clean.impute(df, "mean", ["x"]).collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert sorted(r["x"] for r in clean.impute(df, "constant", ["x"], 9.0).collect()) == [1.0, 3.0, 9.0, 9.0]
+    wide = spark.createDataFrame([(-inf,), (1.0,), (2.0,), (3.0,), (inf,)], "x double")
+    q = profile.numeric(wide).first()
+    assert (q["q25"], q["q50"], q["q75"]) == (1.0, 2.0, 3.0)
+    gone = spark.createDataFrame([(1, None), (2, nan)], "k int, x double")
+    psi = {r["column_name"]: r["psi"] for r in drift.population_stability(df, gone, ["x", "k"]).collect()}
+    assert psi["x"] > 1 and set(psi) == {"x", "k"}
+    assert drift.population_stability(gone, df, ["x"]).first()["psi"] > 1
+    assert drift.population_stability(gone, gone, ["x"]).first()["psi"] == 0
+    assert drift.kolmogorov_smirnov(df, gone, ["x"]).first()["ks"] == 1
+
+
+def test_scores_use_the_rows_a_feature_has(spark):
+    from assayer.operators import encode
+
+    rows = [(float(i % 7), None if i % 3 == 0 else float(i), "ab"[i % 2], float(i * i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, b double, y string, t double")
+    whole = df.where("b is not null")
+    for fn, target in ((encode.f_class_scores, "y"), (encode.f_regression_scores, "t")):
+        assert abs(fn(df, ["a", "b"], target).where("feature = 'b'").first()["score"] - fn(whole, ["b"], target).first()["score"]) < 1e-9
+
+
+def test_mandatory_features_and_all_lags_stay(spark):
+    from assayer.operators import encode
+
+    scores = spark.createDataFrame([(f"f{i}", float(i)) for i in range(6)], "feature string, score double")
+    rules = spark.createDataFrame([(f"f{i}", "must_include", 1) for i in range(3)], "feature string, rule_type string, priority int")
+    assert [r["feature"] for r in encode.select_by_rules(scores, rules, 0.5, 2).collect()] == ["f2", "f1", "f0"]
+    assert [r["feature"] for r in encode.select_by_rules(scores, rules, 0.5, 4).collect()] == ["f2", "f1", "f0", "f5"]
+    wide = spark.createDataFrame([(i, *[float(i)] * 7) for i in range(5)], "k int, " + ", ".join(f"c{j} double" for j in range(7)))
+    assert sum("_lag_1" in c for c in encode.lag_features(wide, ["k"], offsets=(1,)).columns) == 7
+
+
+def test_drift_swaps_categories_of_any_number(spark):
+    from assayer.operators.sample import synthesize_drift
+
+    df = spark.range(1500).selectExpr("id", "concat('v', id) AS c")
+    out = {r["id"]: r["c"] for r in synthesize_drift(df, "high", ["id"]).collect()}
+    assert len(out) == 1500 and sum(v is not None and v != f"v{k}" for k, v in out.items()) > 300
