@@ -24,6 +24,7 @@ from assayer.llm.common import small_batches, stored, text_of
 
 TRAIN_ROWS = 16_000
 THRESHOLD = 0.3
+MARGIN = 1.0
 SHORTEST, LONGEST = 4, 8  # letters of a word beginning
 
 # Letters of other scripts that look like Latin ones, and characters put for letters.
@@ -178,7 +179,7 @@ def learn(rows: DataFrame, bound: float = 2.0, open_bound: float = 0.5) -> Lexic
     Entries whose log-odds reach ``open_bound`` (all bounds hold for the lower 95 % limit) are candidates; phrases around them
     that other documents have rather than toxic ones are exceptions; without those a candidate must reach ``bound``.  A word
     beginning is taken only where it covers clearly more toxic documents than any word or longer beginning under it, an
-    entry only where it is the heaviest of enough toxic documents.  Without rows of both labels the lexicon is empty.
+    entry only where enough toxic documents have none that is heavier by MARGIN.  Without rows of both labels the lexicon is empty.
     """
     rows = stored(rows, "train")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy(F.col("__toxic").alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -211,10 +212,15 @@ def learn(rows: DataFrame, bound: float = 2.0, open_bound: float = 0.5) -> Lexic
             if found[k][0] < 1.15 * under:
                 continue
         terms[k] = good[k]
-    # words of a text that comes in many copies look telling too; an entry stays if it is the heaviest in enough toxic documents
+    # words of a text that comes in many copies look telling too; an entry stays if no much heavier one stands in enough of its toxic documents
     every = Matcher(Lexicon(terms, matcher.exceptions, (0, 0, 0)))
-    heaviest = lambda f: {max(own, key=lambda t: (terms[t], t))} if (own := every.matched(f)) else set()
-    first = {r["key"] for r in _counted(rows, heaviest, least).collect() if lower(r["yes"], r["no"]) >= bound}
+
+    def telling(folded: str) -> set[str]:
+        own = every.matched(folded)
+        top = max((terms[t] for t in own), default=0.0)
+        return {t for t in own if terms[t] >= top - MARGIN}
+
+    first = {r["key"] for r in _counted(rows, telling, least).collect() if lower(r["yes"], r["no"]) >= bound}
     terms = {t: w for t, w in terms.items() if t in first}
     kept = Matcher(Lexicon(terms, frozenset(), (0, 0, 0)))
     exceptions = frozenset(p for p in matcher.exceptions if kept.hits(p))
