@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from assayer.operators import drift as D
 from assayer.operators import evaluate as EV
 from assayer.operators import kpi as K
 from assayer.operators.profile import pearson_pairs
+from assayer.session import shared_folder
 from assayer.streaming import monitor as M
 
 LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -88,7 +88,7 @@ def _stream(s, d, build):
     """Run the streaming form over the events files and read back the closed windows."""
     schema = load(s, d, "events").schema
     src = s.readStream.schema(schema).parquet(os.path.join(d, "event[s].parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
-    base = tempfile.mkdtemp(prefix="spark-")
+    base = shared_folder(s, "stream")
     q = M.append_files(build(src), f"{base}/out", f"{base}/state").start()
     q.awaitTermination()
     return s.read.parquet(f"{base}/out")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from assayer.operators import knn as N
 from assayer.operators import models as M
 from assayer.operators import sample as S
 from assayer.operators.profile import traits
-from assayer.session import cut
+from assayer.session import cut, shared_folder
 
 LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEYS = ", ".join(LI_KEY)
@@ -87,7 +86,7 @@ def _stored(s, d):
     """Save a fitted pipeline, load it back and score the table with it."""
     from pyspark.ml import PipelineModel
 
-    path = tempfile.mkdtemp(prefix="spark-") + "/model"
+    path = shared_folder(s, "model")
     M.fit(_cls(s, d), [*X, "l_linestatus"], "y", "logistic", "classification").write().overwrite().save(path)
     return M.score_table(PipelineModel.load(path), _cls(s, d), "y", "classification", LI_KEY, positive=True)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from assayer.catalog.fixtures import load, per_column, r, rounded, view, with_views
 from assayer.operators import profile as P
 from assayer.sources import files as IO
+from assayer.session import shared_folder
 
 LI_NUM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
 LI_TXT = "l_returnflag l_linestatus"
@@ -83,7 +83,7 @@ def _csv_round_trip(how):
     """Write the customer table as CSV in some form, read it back and return it typed."""
     def run(s, d):
         src = load(s, d, "customer")
-        path = tempfile.mkdtemp(prefix="spark-") + "/csv"
+        path = shared_folder(s, "csv")
         typed = lambda df: df.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), F.col("c_name").cast("string").alias("c_name"),
                                      F.col("c_nationkey").cast("int").alias("c_nationkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
         if how == "plain":
