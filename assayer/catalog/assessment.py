@@ -88,10 +88,7 @@ def _stream(s, d, build):
     """Run the streaming form over the events files and read back the closed windows."""
     schema = load(s, d, "events").schema
     src = s.readStream.schema(schema).parquet(os.path.join(d, "event[s].parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
-    base = shared_folder(s, "stream")
-    q = M.append_files(build(src), f"{base}/out", f"{base}/state").start()
-    q.awaitTermination()
-    return s.read.parquet(f"{base}/out")
+    return M.run_and_close(src, build, "ts", shared_folder(s, "stream"))
 
 
 def _ovr(s, d):
@@ -122,7 +119,7 @@ QUERIES = {
     "ev_train_scores_reg": lambda s, d: rounded(EV.train_scores(_splits(_reg(s, d)), "split", "regression"), 4),
     "res_stats": lambda s, d: rounded(EV.residual_stats(_reg(s, d)), 4),
     "res_hetero": lambda s, d: rounded(EV.residual_heteroscedasticity(_reg(s, d)).select("r", "n")),
-    "res_autocorr": lambda s, d: rounded(EV.durbin_watson(_reg(s, d), F.col("y") - F.col("yhat"), LI_KEY)),
+    "res_autocorr": lambda s, d: rounded(EV.durbin_watson(_reg(s, d), F.col("y") - F.col("yhat"), [*LI_KEY, "y", "yhat"])),
     "res_outliers": lambda s, d: rounded(EV.residual_outliers(_reg(s, d), 2.0)),
     "res_quantiles": lambda s, d: rounded(EV.error_quantiles(_reg(s, d)), 4),
     "feat_corr_pairs": lambda s, d: rounded(pearson_pairs(load(s, d, "lineitem"), FEATS).agg(F.count_if(F.abs("r") > .7).alias("n_high"), F.max(F.abs("r")).alias("max_r"), F.avg(F.abs("r")).alias("mean_r"))),
@@ -154,7 +151,7 @@ QUERIES = {
     "rule_triggers": lambda s, d: rounded(K.triggers(view(s, d, "orders_dirty").withColumns({"o_totalprice": F.col("o_totalprice") / 1e6, "o_custkey": F.col("o_custkey") / 1e3}), ["o_totalprice", "o_custkey"])),
     "quality_gate": lambda s, d: rounded(K.quality_gate(view(s, d, "orders_dirty"), view(s, d, "orders_dirty").dropna(), "o_orderstatus")),
     "stream_drift": lambda s, d: rounded(M.window_drift(view(s, d, "events_cur"), _profile(s, d), "ts", "value", "event_type")),
-    "stream_shares": lambda s, d: rounded(M.window_shares(view(s, d, "events_cur"), {x["category"]: x["ref_share"] for x in _profile(s, d).collect()}, "ts", "event_type")),
+    "stream_shares": lambda s, d: rounded(M.window_shares(view(s, d, "events_cur"), _profile(s, d), "ts", "event_type")),
     "stream_quality": lambda s, d: rounded(M.window_quality(view(s, d, "events_gaps"), "ts", "value", 1.0, 50.0, "event_type", ["click", "view", "purchase"])),
     "stream_drift_run": lambda s, d: rounded(_stream(s, d, lambda src: M.window_drift(src, _profile(s, d), "ts", "value", "event_type", late="1 hour"))),
     "stream_quality_run": lambda s, d: rounded(_stream(s, d, lambda src: M.window_quality(src, "ts", "value", 1.0, 50.0, "event_type", ["click", "view", "purchase"], late="1 hour"))),
@@ -220,7 +217,7 @@ SQL = {
     "ev_train_scores_reg": PR(r("""SELECT CASE WHEN l_linenumber <= 4 THEN 'train' WHEN l_linenumber <= 5 THEN 'val' ELSE 'test' END AS split, sqrt(avg(power(y - yhat, 2))) AS rmse, avg(abs(y - yhat)) AS mae, 1 - avg(power(y - yhat, 2)) / var_pop(y) AS r2 FROM pred_reg GROUP BY 1""", "rmse mae r2", 4)),
     "res_stats": PR(r("SELECT avg(e) AS mean, stddev_pop(e) AS std, avg(power(e - m, 3)) / power(avg(power(e - m, 2)), 1.5) AS skewness, avg(power(e - m, 4)) / power(avg(power(e - m, 2)), 2) - 3 AS kurtosis FROM (SELECT y - yhat AS e, avg(y - yhat) OVER () AS m FROM pred_reg)", "mean std skewness kurtosis", 4)),
     "res_hetero": PR(r("SELECT corr(abs(y - yhat), yhat) AS r, count(*) AS n FROM pred_reg", "r")),
-    "res_autocorr": PR(r(f"SELECT sum(power(e - b, 2)) / sum(e * e) AS durbin_watson, count(*) AS n FROM (SELECT y - yhat AS e, lag(y - yhat) OVER (ORDER BY {', '.join(LI_KEY)}) AS b FROM pred_reg)", "durbin_watson")),
+    "res_autocorr": PR(r(f"SELECT sum(power(e - b, 2)) / sum(e * e) AS durbin_watson, count(*) AS n FROM (SELECT y - yhat AS e, lag(y - yhat) OVER (ORDER BY {', '.join(LI_KEY)}, y, yhat) AS b FROM pred_reg)", "durbin_watson")),
     "res_outliers": PR(r("SELECT count(*) FILTER (z) AS z_outliers, count(*) FILTER (i) AS iqr_outliers, avg(CASE WHEN z OR i THEN 1.0 ELSE 0 END) AS outlier_share FROM (SELECT abs(y - yhat - m) / s > 2 AS z, y - yhat < a - 1.5 * (b - a) OR y - yhat > b + 1.5 * (b - a) AS i FROM pred_reg, (SELECT avg(y - yhat) AS m, stddev_pop(y - yhat) AS s, quantile_cont(y - yhat, 0.25) AS a, quantile_cont(y - yhat, 0.75) AS b FROM pred_reg))", "outlier_share")),
     "res_quantiles": PR(r("SELECT CAST(p AS DOUBLE) AS prob, CAST(v AS DOUBLE) AS abs_error FROM (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99]) AS p, unnest(quantile_cont(abs(y - yhat), [0.5, 0.75, 0.9, 0.95, 0.99])) AS v FROM pred_reg)", "abs_error", 4)),
     "feat_corr_pairs": r("SELECT count(*) FILTER (r > 0.7) AS n_high, max(r) AS max_r, avg(r) AS mean_r FROM (" + " UNION ALL ".join(f"SELECT abs(corr({a}, {b})) AS r FROM lineitem" for i, a in enumerate(FEATS) for b in FEATS[i + 1:]) + ")", "max_r mean_r"),
@@ -261,4 +258,6 @@ SQL = {
     "stream_drift": EVS(r(f"WITH {PROF} SELECT window_start, c.category, n, mean, std, abs(mean - rm) / (rs + 1e-8) AS mean_drift, {LEVEL('abs(mean - rm) / (rs + 1e-8)', .5)} AS level FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS category, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM events_cur GROUP BY 1, 2) c LEFT JOIN prof ON prof.category = c.category", "mean std mean_drift")),
     "stream_shares": EVS(r(f"WITH {PROF} SELECT window_start, n, 1 - o AS distribution_drift, {LEVEL('1 - o', .3)} AS level FROM (SELECT window_start, any_value(t) AS n, sum(least(k * 1.0 / t, sh)) AS o FROM (SELECT w.window_start, w.t, p.sh, (SELECT count(*) FROM events_cur e WHERE time_bucket(INTERVAL 1 DAY, e.ts) = w.window_start AND e.event_type = p.category) AS k FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS t FROM events_cur GROUP BY 1) w, prof p) GROUP BY 1)", "distribution_drift")),
     "stream_quality": with_views("events_gaps", r("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, count(*) - count(value) AS nulls, count(*) FILTER (value < 1 OR value > 50) AS out_of_range, count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase')) AS bad_category, count(value) * 1.0 / count(*) AS completeness FROM events_gaps GROUP BY 1", "completeness")),
+    "stream_drift_run": EVS(r(f"WITH {PROF} SELECT window_start, c.category, n, mean, std, abs(mean - rm) / (rs + 1e-8) AS mean_drift, {LEVEL('abs(mean - rm) / (rs + 1e-8)', .5)} AS level FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS category, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM events GROUP BY 1, 2) c LEFT JOIN prof ON prof.category = c.category", "mean std mean_drift")),
+    "stream_quality_run": r("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, count(*) - count(value) AS nulls, count(*) FILTER (value < 1 OR value > 50) AS out_of_range, count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase')) AS bad_category, count(value) * 1.0 / count(*) AS completeness FROM events GROUP BY 1", "completeness"),
 }

@@ -202,6 +202,7 @@ QUERIES = {
     "sel_f": lambda s, d: rounded(E.f_class_scores(load(s, d, "lineitem"), SEL, "l_returnflag").withColumn("kind", F.lit("class")).unionByName(
         E.f_regression_scores(load(s, d, "lineitem"), SEL[:1] + SEL[2:], "l_extendedprice").withColumn("kind", F.lit("regression"))), 2),
     "sel_mi": lambda s, d: rounded(E.mutual_information(load(s, d, "lineitem"), SEL, "l_returnflag")),
+    "sel_mi_regression": lambda s, d: rounded(E.mutual_information(load(s, d, "lineitem"), [c for c in SEL if c != "l_extendedprice"], "l_extendedprice", target_bins=10)),
     "sel_rules": _rules, "sel_vote": _votes,
     "recipe_apply": lambda s, d: rounded(apply_recipe(_od(s, d), RECIPE)),
     "pipeline_clean": lambda s, d: rounded(Pipeline.standard(RECIPE).run(_dirty_dup(s, d))),
@@ -210,7 +211,7 @@ QUERIES = {
     "opt_low_variance": lambda s, d: C.drop_low_variance(view(s, d, "const_cols").select("p_partkey", "p_size", "constant_number"), .01),
     "opt_drop_missing": lambda s, d: C.drop_missing(view(s, d, "const_cols").select("p_partkey", "p_brand", "empty_text")),
     "opt_skew": lambda s, d: rounded(C.correct_skew(_od(s, d).select("o_orderkey", "o_totalprice"), ["o_totalprice"], 1.0)),
-    "opt_downcast": lambda s, d: C.downcast(_li(s, d).select(*LI_KEY)),
+    "opt_downcast": lambda s, d: s.createDataFrame(C.downcast(load(s, d, "lineitem")).dtypes, "column_name string, type string"),
     "opt_bucket_rare": lambda s, d: C.bucket_rare(load(s, d, "part").select("p_partkey", "p_name"), "p_name", 10),
     # relational surface
     "rel_scan_filter": lambda s, d: load(s, d, "lineitem").where("l_quantity > 30 AND l_discount < 0.05 AND l_returnflag = 'R'").select(*LI_KEY, "l_quantity"),
@@ -254,7 +255,7 @@ SQL = {
     "text_remove_digits": _text_sql("regexp_replace({x}, '[0-9]+', '', 'g')"), "text_remove_punct": _text_sql("regexp_replace({x}, '[^\\p{L}\\p{N}_\\s]', '', 'g')"),
     "text_collapse_ws": _text_sql("regexp_replace({x}, '\\s+', ' ', 'g')"),
     "text_regex_replace": "SELECT c_custkey, replace(regexp_replace(c_name, '^(\\w+)#0*(\\d)', '\\2:\\1', 'g'), 'C', 'K') AS out FROM customer",
-    "text_currency": CTX("SELECT c_custkey, regexp_replace(balance, '[^0-9.\\-]', '', 'g') AS out FROM customer_text"),
+    "text_currency": CTX("SELECT c_custkey, TRY_CAST(regexp_replace(balance, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS out FROM customer_text"),
     "text_clean_log": OD("SELECT count(DISTINCT o_orderpriority) AS before, count(DISTINCT upper(trim(o_orderpriority))) AS after FROM orders_dirty"),
     "constraint_min": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS out FROM customer",
     "constraint_max": OD("SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 250000.0 ELSE o_totalprice END AS out FROM orders_dirty"),
@@ -312,6 +313,8 @@ SQL = {
     "sel_f": r(f"SELECT *, 'class' AS kind FROM ({FCLASS}) UNION ALL SELECT *, 'regression' FROM ({FREG})", "score", 2),
     "sel_mi": r("\nUNION ALL\n".join(f"""SELECT '{c}' AS feature, sum(o / n * ln(o * n / (nb * ny))) AS score FROM (SELECT DISTINCT b, y, CAST(count(*) OVER (PARTITION BY b, y) AS DOUBLE) AS o, CAST(count(*) OVER (PARTITION BY b) AS DOUBLE) AS nb, count(*) OVER (PARTITION BY y) AS ny, count(*) OVER () AS n
         FROM (SELECT l_returnflag AS y, least(floor(({c} - lo) / ((hi - lo) / 10)), 9) AS b FROM lineitem, (SELECT min({c}) AS lo, max({c}) AS hi FROM lineitem)))""" for c in SEL), "score"),
+    "sel_mi_regression": r("\nUNION ALL\n".join(f"""SELECT '{c}' AS feature, sum(o / n * ln(o * n / (nb * ny))) AS score FROM (SELECT DISTINCT b, y, CAST(count(*) OVER (PARTITION BY b, y) AS DOUBLE) AS o, CAST(count(*) OVER (PARTITION BY b) AS DOUBLE) AS nb, count(*) OVER (PARTITION BY y) AS ny, count(*) OVER () AS n
+        FROM (SELECT least(floor((l_extendedprice - ly) / ((hy - ly) / 10)), 9) AS y, least(floor(({c} - lo) / ((hi - lo) / 10)), 9) AS b FROM lineitem, (SELECT min({c}) AS lo, max({c}) AS hi, min(l_extendedprice) AS ly, max(l_extendedprice) AS hy FROM lineitem)))""" for c in SEL if c != "l_extendedprice"), "score"),
     "sel_rules": f"""SELECT feature, CASE feature WHEN 'l_tax' THEN 'must_include' WHEN 'l_discount' THEN 'score' ELSE 'preference' END AS reason, CASE feature WHEN 'l_tax' THEN 0 WHEN 'l_discount' THEN 2 ELSE 1 END AS tier
         FROM ({FCLASS}) WHERE feature <> 'l_quantity' ORDER BY tier, score DESC LIMIT 3""",
     "sel_vote": f"""SELECT feature, count(*) AS votes FROM (SELECT * FROM (SELECT feature FROM ({CHI2}) ORDER BY score DESC LIMIT 2) UNION ALL SELECT * FROM (SELECT feature FROM ({FCLASS}) ORDER BY score DESC LIMIT 2)
@@ -327,7 +330,9 @@ SQL = {
             (SELECT quantile_cont(CAST(o_totalprice AS DOUBLE), 0.25) AS a, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.75) AS b FROM orders_dirty) WHERE o_totalprice BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a))"""),
     "opt_low_variance": "SELECT p_partkey, p_size FROM part", "opt_drop_missing": "SELECT p_partkey, p_brand FROM part",
     "opt_skew": OD(r("SELECT o_orderkey, ln(1 + o_totalprice - least((SELECT min(o_totalprice) FROM orders_dirty), 0)) AS o_totalprice FROM orders_dirty", "o_totalprice")),
-    "opt_downcast": f"SELECT {', '.join(LI_KEY)} FROM lineitem",
+    "opt_downcast": "\nUNION ALL\n".join([f"""SELECT '{c}' AS column_name, CASE WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint'
+        WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'int' ELSE 'bigint' END AS type FROM lineitem""" for c in LI_KEY] + ["""SELECT column_name, CASE data_type WHEN 'VARCHAR' THEN 'string'
+        WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END FROM duckdb_columns() WHERE table_name = 'lineitem' AND data_type NOT IN ('BIGINT', 'INTEGER')"""]),
     "opt_bucket_rare": "SELECT p_partkey, CASE WHEN p_name IN (SELECT p_name FROM part GROUP BY 1 ORDER BY count(*) DESC, p_name LIMIT 10) THEN p_name ELSE 'other' END AS p_name FROM part",
     "rel_scan_filter": f"SELECT {', '.join(LI_KEY)}, l_quantity FROM lineitem WHERE l_quantity > 30 AND l_discount < 0.05 AND l_returnflag = 'R'",
     "rel_group_agg": r("SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_quantity) AS avg_quantity, sum(l_extendedprice) AS sum_price FROM lineitem GROUP BY 1, 2", "avg_quantity sum_price", 2),

@@ -78,7 +78,7 @@ def _prepared(s, d):
 
 def _importance(s, d):
     df = _li(s, d).select(*LI_KEY, *X, "l_extendedprice")
-    model = M.fit(df, X, "l_extendedprice", "random_forest", "regression", numTrees=10)
+    model = M.fit(df, X, "l_extendedprice", "random_forest", "regression", numTrees=100)
     return M.importance(model, model.transform(df))
 
 
@@ -100,12 +100,12 @@ def _stability(s, d):
 
 
 def _stability_of(df):
-    return M.stability_table(M.fit(df, X, "y", "decision_tree", "classification"), df, X, "y", "classification", LI_KEY, rounds=10)
+    return M.stability_table(M.fit(df, X, "y", "decision_tree", "classification"), df, X, "y", "classification", LI_KEY)
 
 
 def _permuted(s, d):
     df = _li(s, d).select(*LI_KEY, *X, "l_extendedprice")
-    return M.permutation_importance(M.fit(df, X, "l_extendedprice", "linear", "regression"), df, X, "l_extendedprice", "regression", LI_KEY, 2)
+    return M.permutation_importance(M.fit(df, X, "l_extendedprice", "linear", "regression"), df, X, "l_extendedprice", "regression", LI_KEY)
 
 
 def _train_test(s, d):
@@ -141,11 +141,11 @@ def _smote(variant):
 
 
 def _iforest(s, d):
-    return AN.remove_isolated(load(s, d, "customer"), ["c_custkey"], ["c_acctbal", "c_nationkey"], .05, trees=50)
+    return AN.remove_isolated(load(s, d, "customer"), ["c_custkey"], ["c_acctbal", "c_nationkey"], .05)
 
 
 def _iforest_1d(s, d):
-    return AN.remove_isolated(view(s, d, "orders_dirty").select("o_orderkey", "o_totalprice").dropna(), ["o_orderkey"], ["o_totalprice"], .1, trees=50)
+    return AN.remove_isolated(view(s, d, "orders_dirty").select("o_orderkey", "o_totalprice"), ["o_orderkey"], ["o_totalprice"], .1)
 
 
 def _lof(s, d):
@@ -171,7 +171,7 @@ QUERIES = {
     "as_mc_reco": lambda s, d: A.multicollinearity_advice(A.correlation_risk(_li(s, d), [*X, "l_extendedprice"]), A.vif(_li(s, d), [*X, "l_extendedprice"], True)),
     "as_mc_interpret": lambda s, d: rounded(A.correlation_risk(_li(s, d), [*X, "l_extendedprice"]).select("feature1", "feature2", "r", A.interpret_correlation(F.col("r")).alias("meaning"))),
     "as_linearity": lambda s, d: A.linearity(_li(s, d), "l_extendedprice", X, LI_KEY),
-    "as_independence": lambda s, d: rounded(A.independence(_li(s, d), "l_extendedprice", ["l_quantity"], LI_KEY)),
+    "as_independence": lambda s, d: rounded(A.independence(_li(s, d), "l_extendedprice", ["l_quantity"], [*LI_KEY, "l_extendedprice", "l_quantity"])),
     "as_class_balance": lambda s, d: rounded(A.class_balance(load(s, d, "orders"), "o_orderstatus").unionByName(A.class_balance(load(s, d, "labels"), "toxic"))),
     "as_all": lambda s, d: _checks(s, d), "as_reco": lambda s, d: A.advice(_checks(s, d)), "as_summary": lambda s, d: A.summary(_checks(s, d)),
     "target_kind": lambda s, d: A.target_kind(load(s, d, "orders"), "o_orderstatus").unionByName(A.target_kind(load(s, d, "orders"), "o_totalprice")).unionByName(
@@ -189,7 +189,7 @@ QUERIES = {
     "class_weight": lambda s, d: rounded(S.class_weights(load(s, d, "labels"), "quality")),
     "resample_gate": lambda s, d: rounded(S.needs_resampling(load(s, d, "labels"), "toxic")),
     "under_random": lambda s, d: S.under_random(load(s, d, "labels").select("doc_id", "toxic"), "toxic", ["doc_id"]),
-    "bootstrap": lambda s, d: S.bootstrap(load(s, d, "events").select("event_id", "value"), ["event_id"], 10).groupBy("round").agg(F.sum("weight").cast("bigint").alias("drawn"), F.count(F.lit(1)).alias("rows")),
+    "bootstrap": lambda s, d: S.bootstrap(load(s, d, "events").select("event_id", "value"), ["event_id"]).groupBy("round").agg(F.sum("weight").cast("bigint").alias("drawn"), F.count(F.lit(1)).alias("rows")),
     "noise_inject": lambda s, d: rounded(S.add_noise(load(s, d, "customer").select("c_custkey", "c_acctbal"), .1, ["c_custkey"])),
     "drift_synth": lambda s, d: rounded(S.synthesize_drift(load(s, d, "orders").drop("o_orderdate"), "medium", ["o_orderkey"], "o_orderstatus")),
     "drift_train_test": lambda s, d: rounded(_train_test(s, d)),
@@ -203,22 +203,22 @@ QUERIES = {
     "under_tomek": lambda s, d: N.tomek(_emb(s, d).withColumn("cls", (F.col("label") == 0).cast("int")), "cls", 0).select("id", "cls"),
     "outlier_iforest": _iforest, "col_out_iforest": _iforest_1d,
     "outlier_elliptic": lambda s, d: AN.remove_elliptic(load(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), ["c_nationkey", "c_acctbal"], .05),
-    "impute_iterative": lambda s, d: rounded(M.chained_imputation(_li(s, d).select(*LI_KEY, "l_quantity", "l_discount", F.when(F.col("l_partkey") % 5 != 0, F.col("l_extendedprice")).alias("l_extendedprice")), ["l_quantity", "l_discount", "l_extendedprice"], 2), 3),
+    "impute_iterative": lambda s, d: rounded(M.chained_imputation(_li(s, d).select(*LI_KEY, "l_quantity", "l_discount", F.when(F.col("l_partkey") % 5 != 0, F.col("l_extendedprice")).alias("l_extendedprice")), ["l_quantity", "l_discount", "l_extendedprice"], 10), 3),
     # models
     "ml_ols": lambda s, d: rounded(_ols(s, d)),
     "ml_prepare": _prepared,
     "ml_linear": _fit("linear", "regression"), "ml_ridge": _fit("ridge", "regression"), "ml_lasso": _fit("lasso", "regression"), "ml_elastic_net": _fit("elastic_net", "regression"),
-    "ml_rf": _fit("random_forest", "classification", numTrees=10), "ml_rf_regression": _fit("random_forest", "regression", numTrees=10),
-    "ml_gbt": _fit("gbt", "classification", maxIter=5), "ml_gbt_regression": _fit("gbt", "regression", maxIter=5),
+    "ml_rf": _fit("random_forest", "classification", numTrees=100), "ml_rf_regression": _fit("random_forest", "regression", numTrees=100),
+    "ml_gbt": _fit("gbt", "classification", maxIter=100, maxDepth=3), "ml_gbt_regression": _fit("gbt", "regression", maxIter=100, maxDepth=3),
     "ml_dt": _fit("decision_tree", "classification"), "ml_dt_regression": _fit("decision_tree", "regression"),
-    "ml_logistic": _fit("logistic", "classification"), "ml_linsvc": _fit("linear_svc", "classification", maxIter=10), "ml_nb": _fit("naive_bayes", "classification"),
-    "ml_mlp": _fit("mlp", "classification", maxIter=10),
+    "ml_logistic": _fit("logistic", "classification"), "ml_linsvc": _fit("linear_svc", "classification"), "ml_nb": _fit("naive_bayes", "classification"),
+    "ml_mlp": _fit("mlp", "classification"),
     "ml_tune_grid": lambda s, d: M.tune(_cls(s, d), X, "y", "logistic", "classification", LI_KEY),
     "ml_tune_random": lambda s, d: M.tune(_li(s, d).select(*LI_KEY, *X, "l_extendedprice"), X, "l_extendedprice", "elastic_net", "regression", LI_KEY, draws=50),
-    "ml_cv": lambda s, d: M.cross_validate(_cls(s, d), X, "y", "decision_tree", "classification", LI_KEY, 3),
+    "ml_cv": lambda s, d: M.cross_validate(_cls(s, d), X, "y", "decision_tree", "classification", LI_KEY),
     "ml_importance": _importance, "ml_score": _stored,
     "sel_rfe": lambda s, d: M.recursive_elimination(_li(s, d).select(*LI_KEY, *X, "l_extendedprice"), [*X, "l_linenumber"], "l_extendedprice", "regression", 2),
-    "learn_curve": lambda s, d: M.learning_curve(_cls(s, d), X, "y", "decision_tree", "classification", LI_KEY, (.2, .4, .6, .8, 1.0)),
+    "learn_curve": lambda s, d: M.learning_curve(_cls(s, d), X, "y", "decision_tree", "classification", LI_KEY),
     **{f"stab_{n}": (lambda n: lambda s, d: _stability(s, d).select(n))(n) for n in ("noise", "dropout", "bootstrap", "repeat")},
     "perm_importance": _permuted,
     "opt_corr_filter": lambda s, d: A.correlation_filter(_li(s, d).select(*LI_KEY, *FOUR, (F.col("l_quantity") * 2 + F.col("l_tax")).alias("echo")), [*FOUR, "echo"]),
@@ -229,7 +229,10 @@ QUERIES = {
     "stat_theils_u": lambda s, d: rounded(A.theils_u(load(s, d, "part"), "p_brand", "p_type")),
     "stat_ndcg": lambda s, d: rounded(EV.ranking_quality(_li(s, d).select(F.col("l_suppkey").alias("q"), F.col("l_quantity").alias("gain"), F.col("l_extendedprice").alias("score"), *LI_KEY), "q", LI_KEY, 10)),
     "opt_tfidf": lambda s, d: M.text_features(load(s, d, "documents"), "text").select("doc_id", _nnz("text_features").alias("terms")),
-    "opt_count_text": lambda s, d: M.text_features(load(s, d, "documents"), "text", "count", 2000).select("doc_id", _nnz("text_features").alias("terms")),
+    "opt_count_text": lambda s, d: M.text_features(load(s, d, "documents"), "text", "count").select(
+        "doc_id", F.size("text_features").alias("terms"), F.aggregate(F.map_values("text_features"), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("words"),
+        F.array_max(F.map_values("text_features")).alias("most")),
+    "opt_hash_text": lambda s, d: M.text_features(load(s, d, "documents"), "text", "hash").select("doc_id", _total("text_features").alias("words")),
 }
 
 
@@ -239,7 +242,14 @@ def _nnz(c):
     return F.size(F.filter(vector_to_array(c), lambda v: v > 0))
 
 
+def _total(c):
+    from pyspark.ml.functions import vector_to_array
+
+    return F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, b: a + b).cast("bigint")
+
+
 FOUR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]  # in schema order
+WORDS = r"SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: x <> '') AS w FROM documents"
 CORR = "SELECT feature1, feature2, r, CASE WHEN r >= 0.95 THEN 'extreme' WHEN r >= 0.9 THEN 'high' WHEN r >= 0.7 THEN 'moderate' ELSE 'none' END AS band FROM (" + " UNION ALL ".join(
     f"SELECT '{a}' AS feature1, '{b}' AS feature2, abs(corr({a}, {b})) AS r FROM lineitem" for i, a in enumerate(FOUR) for b in FOUR[i + 1:]) + ")"
 RISK = f"SELECT feature, risk_score, CASE WHEN risk_score >= 3 THEN 'extreme' WHEN risk_score >= 2 THEN 'high' WHEN risk_score >= 1 THEN 'moderate' ELSE 'low' END AS risk_level FROM (SELECT feature, CAST(sum(CASE band WHEN 'extreme' THEN 3 WHEN 'high' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END) AS BIGINT) AS risk_score FROM (SELECT unnest([feature1, feature2]) AS feature, band FROM ({CORR})) GROUP BY 1)"
@@ -258,7 +268,7 @@ SQL = {
     "as_vif_centered": r(VIF_("power(corr(l_quantity, l_extendedprice), 2)"), "vif r2_with_others"),
     "as_mc_interpret": r(f"SELECT feature1, feature2, r, CASE WHEN r >= 0.95 THEN 'nearly_perfect' WHEN r >= 0.9 THEN 'very_strong' WHEN r >= 0.7 THEN 'strong' WHEN r >= 0.5 THEN 'moderate' ELSE 'weak' END AS meaning FROM ({CORR})", "r"),
     "as_independence": r(f"""SELECT 'durbin_watson' AS "check", 'l_extendedprice' AS column_name, s AS statistic, CAST(NULL AS DOUBLE) AS p_value, n, s BETWEEN 1.5 AND 2.5 AS passed FROM (SELECT sum(power(e - b, 2)) / sum(e * e) AS s, count(*) AS n FROM (
-        SELECT e, lag(e) OVER (ORDER BY {KEYS}) AS b FROM (SELECT {KEYS}, l_extendedprice - i - sl * l_quantity AS e FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS i, regr_slope(l_extendedprice, l_quantity) AS sl FROM lineitem))))""", "statistic"),
+        SELECT e, lag(e) OVER (ORDER BY {KEYS}, l_extendedprice, l_quantity) AS b FROM (SELECT {KEYS}, l_extendedprice, l_quantity, l_extendedprice - i - sl * l_quantity AS e FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS i, regr_slope(l_extendedprice, l_quantity) AS sl FROM lineitem))))""", "statistic"),
     "as_class_balance": r(" UNION ALL ".join(f"""SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS classes, arg_min(c, (-n, c)) AS major_class, max(n) * 1.0 / sum(n) AS major_share, arg_min(c, (n, c)) AS minor_class, min(n) * 1.0 / sum(n) AS minor_share,
         max(n) * 1.0 / min(n) AS imbalance_ratio, max(n) * 1.0 / sum(n) > 0.9 AS imbalanced FROM (SELECT CAST({c} AS VARCHAR) AS c, count(*) AS n FROM {t} GROUP BY 1)""" for t, c in (("orders", "o_orderstatus"), ("labels", "toxic"))), "major_share minor_share imbalance_ratio"),
     "target_kind": """SELECT 'o_orderstatus' AS column_name, count(DISTINCT o_orderstatus) AS distinct_values, 'classification' AS target_kind FROM orders UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice), 'regression' FROM orders
@@ -276,7 +286,7 @@ SQL = {
     "class_weight": r("SELECT quality, n, sum(n) OVER () * 1.0 / (count(*) OVER () * n) AS weight FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1)", "weight"),
     "resample_gate": r("SELECT max(n) * 1.0 / sum(n) AS majority_share, max(n) >= 0.7 * sum(n) AS resample FROM (SELECT toxic, count(*) AS n FROM labels GROUP BY 1)", "majority_share"),
     "under_random": f"SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY {_hash('doc_id', 42)}, doc_id) AS rn FROM labels) WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic))",
-    "bootstrap": "WITH u AS (SELECT k AS round, " + _hash("event_id, concat('42-', k)", "x").replace(", 'x')", ")") + " AS u FROM events, (SELECT CAST(unnest(range(10)) AS INTEGER) AS k)), w AS (SELECT round, len(list_filter(c, lambda v: v <= u)) AS w FROM u, (SELECT [exp(-1.0::DOUBLE) * x FOR x IN [1.0::DOUBLE, 2, 2.5, 2.5 + 1 / 6.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE + 1 / 120.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE + 1 / 120.0::DOUBLE + 1 / 720.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE + 1 / 120.0::DOUBLE + 1 / 720.0::DOUBLE + 1 / 5040.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE + 1 / 120.0::DOUBLE + 1 / 720.0::DOUBLE + 1 / 5040.0::DOUBLE + 1 / 40320.0::DOUBLE]] AS c)) SELECT round, CAST(sum(w) AS BIGINT) AS drawn, count(*) AS rows FROM w WHERE w > 0 GROUP BY 1",
+    "bootstrap": "WITH u AS (SELECT k AS round, " + _hash("event_id, concat('42-', k)", "x").replace(", 'x')", ")") + " AS u FROM events, (SELECT CAST(unnest(range(50)) AS INTEGER) AS k)), w AS (SELECT round, len(list_filter(c, lambda v: v <= u)) AS w FROM u, (SELECT [exp(-1.0::DOUBLE) * x FOR x IN [1.0::DOUBLE, 2, 2.5, 2.5 + 1 / 6.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE + 1 / 120.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE + 1 / 120.0::DOUBLE + 1 / 720.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE + 1 / 120.0::DOUBLE + 1 / 720.0::DOUBLE + 1 / 5040.0::DOUBLE, 2.5 + 1 / 6.0::DOUBLE + 1 / 24.0::DOUBLE + 1 / 120.0::DOUBLE + 1 / 720.0::DOUBLE + 1 / 5040.0::DOUBLE + 1 / 40320.0::DOUBLE]] AS c)) SELECT round, CAST(sum(w) AS BIGINT) AS drawn, count(*) AS rows FROM w WHERE w > 0 GROUP BY 1",
     "knn_join": r(f"WITH {NB.format(k=5)} SELECT id, nid, dist, CAST(rk AS INTEGER) AS rank FROM nb", "dist"),
     "ml_knn": f"WITH {NB.format(k=5)} SELECT id, arg_min(label, (-k, label)) AS yhat FROM (SELECT id, label, count(*) AS k FROM nb JOIN embeddings ON vec_id = nid GROUP BY 1, 2) GROUP BY 1",
     "ml_knn_regression": r(f"WITH {NB.format(k=5)} SELECT id, sum(label / (dist + 1e-10)) / sum(1 / (dist + 1e-10)) AS yhat FROM nb JOIN embeddings ON vec_id = nid GROUP BY 1", "yhat"),
@@ -284,6 +294,8 @@ SQL = {
     "outlier_lof": r(f"""WITH {NB.format(k=20)}, kd AS (SELECT id, max(dist) AS kd FROM nb GROUP BY 1), lrd AS (SELECT nb.id, 1 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM nb JOIN kd ON kd.id = nid GROUP BY 1),
         l AS (SELECT nb.id, avg(b.lrd) / any_value(a.lrd) AS lof FROM nb JOIN lrd b ON b.id = nid JOIN lrd a ON a.id = nb.id GROUP BY 1) SELECT id, lof, lof > (SELECT quantile_cont(lof, 0.95) FROM l) AS outlier FROM l""", "lof", 5),
     "under_tomek": f"WITH {NB.format(k=1)} SELECT vec_id AS id, CAST(label = 0 AS INTEGER) AS cls FROM embeddings e WHERE NOT (label <> 0 AND EXISTS (SELECT 1 FROM nb a JOIN nb b ON b.id = a.nid AND b.nid = a.id JOIN embeddings o ON o.vec_id = a.nid WHERE a.id = e.vec_id AND o.label = 0))",
+    "opt_count_text": f"SELECT doc_id, len(list_distinct(w)) AS terms, CAST(len(w) AS BIGINT) AS words, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(w) AS x) GROUP BY x)) AS most FROM ({WORDS})",
+    "opt_hash_text": f"SELECT doc_id, len(w) AS words FROM ({WORDS})",
     "opt_corr_filter": f"SELECT {KEYS}, {', '.join(FOUR)} FROM lineitem",
     "opt_missing_flags": with_views("orders_dirty", "SELECT o_orderkey, CAST(o_totalprice IS NULL AS INTEGER) AS o_totalprice_missing FROM orders_dirty"),
     "stat_spearman": r("SELECT corr(a, b) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS b FROM orders)", "spearman"),

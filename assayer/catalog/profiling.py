@@ -92,6 +92,9 @@ def _csv_round_trip(how):
         if how == "auto":
             IO.write_csv(src, path, "pipe_separated")
             return typed(IO.read_csv_auto(s, path))
+        if how in ("semicolon_or_comma", "first_that_splits"):
+            IO.write_csv(src, path, "clean_semicolon")
+            return typed(IO.read_csv_auto(s, path, rule=how))
         if how == "fallback":
             accented = src.withColumn("c_name", F.concat("c_name", F.lit(" \u00e9")))
             IO.write_csv(accented, path, sep=";", encoding="ISO-8859-1")
@@ -105,13 +108,14 @@ def _csv_round_trip(how):
         out = None
         for name, opts in IO.PRESETS.items():
             IO.write_csv(src, f"{path}/{name}", name)
-            back = IO.read_csv(s, f"{path}/{name}", str(opts["sep"])).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")).select(F.lit(name).alias("preset"), "n", "total")
+            back = typed(IO.read_csv(s, f"{path}/{name}", str(opts["sep"]))).withColumn("preset", F.lit(name))
             out = back if out is None else out.unionByName(back)
         return out
     return run
 
 
 QUERIES = {
+    "src_csv_pair_rule": _csv_round_trip("semicolon_or_comma"), "src_csv_split_rule": _csv_round_trip("first_that_splits"),
     "src_csv": _csv_round_trip("plain"), "src_csv_auto": _csv_round_trip("auto"), "src_encoding_fallback": _csv_round_trip("fallback"),
     "sink_csv": _csv_round_trip("all"), "sink_csv_presets": _csv_round_trip("presets"), "sink_report": _csv_round_trip("report"),
     "src_parquet": lambda s, d: load(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"),
@@ -139,9 +143,10 @@ QUERIES = {
 }
 
 SQL = {
+    "src_csv_pair_rule": "SELECT * FROM customer", "src_csv_split_rule": "SELECT * FROM customer",
     "src_csv": "SELECT * FROM customer", "src_csv_auto": "SELECT * FROM customer", "sink_csv": "SELECT * FROM customer", "sink_report": "SELECT * FROM customer",
     "src_encoding_fallback": "SELECT * REPLACE (concat(c_name, ' \u00e9') AS c_name) FROM customer",
-    "sink_csv_presets": "SELECT p AS preset, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer, (SELECT unnest(['quoted_semicolon', 'clean_semicolon', 'standard_csv', 'tab_separated', 'pipe_separated', 'no_quotes']) AS p) GROUP BY 1",
+    "sink_csv_presets": "SELECT customer.*, p AS preset FROM customer, (SELECT unnest(['quoted_semicolon', 'clean_semicolon', 'standard_csv', 'tab_separated', 'pipe_separated', 'no_quotes']) AS p)",
     "src_parquet": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "inspect_basic": r("\nUNION ALL\n".join(
         f"""SELECT '{c}' AS column_name, count(*) AS n_rows, 6 AS n_columns, '{k}' AS kind, count(*) - count({c}) AS null_count,

@@ -55,7 +55,7 @@ TEXT = {
     "remove_digits": lambda c: F.regexp_replace(c, r"\d+", ""),
     "remove_punctuation": lambda c: F.regexp_replace(c, r"(?U)[^\w\s]", ""),
     "remove_extra_spaces": lambda c: F.regexp_replace(c, r"\s+", " "),
-    "currency_to_numeric": lambda c: F.regexp_replace(c, r"[^0-9.\-]", ""),
+    "currency_to_numeric": lambda c: F.regexp_replace(c, r"[^0-9.\-]", "").try_cast("double"),  # null if no number is left
 }
 
 

@@ -96,10 +96,10 @@ def feature_risk(pairs: DataFrame) -> DataFrame:
         "risk_level", band(F.col("risk_score"), [(3, "extreme"), (2, "high"), (1, "moderate")], "low"))
 
 
-def vif(df: DataFrame, features: Sequence[str], center: bool = False) -> DataFrame:
+def vif(df: DataFrame, features: Sequence[str], center: bool = False, max_features: int = MAX_FEATURES) -> DataFrame:
     """Variance inflation per feature; uncentred by default (no intercept), ``center=True`` for the usual form."""
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features")
+    if len(features) > max_features:
+        raise ValueError(f"more than {max_features} features")
     d = complete(df, features)
     n, s, g = cross_products(d, features)
     if center:

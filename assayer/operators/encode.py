@@ -175,15 +175,24 @@ def f_regression_scores(df: DataFrame, cols: Sequence[str], target_col: str) ->
 
 
 @nan_is_missing
-def mutual_information(df: DataFrame, cols: Sequence[str], label_col: str, bins: int = 10) -> DataFrame:
-    """Mutual information (nats) of equal-width binned features and a class, from joint counts."""
-    ends = df.agg(*[e for i, c in enumerate(cols) for e in (F.min(as_col(c)).cast("double").alias(f"lo{i}"), F.max(as_col(c)).cast("double").alias(f"hi{i}"))]).first()
-    rows = []
-    for i, c in enumerate(cols):
+def mutual_information(df: DataFrame, cols: Sequence[str], label_col: str, bins: int = 10, target_bins: int | None = None) -> DataFrame:
+    """Mutual information (nats) of equal-width binned features and a class, from joint counts.
+
+    ``target_bins`` makes classes of a continuous target in the same way.
+    """
+    measured = [*cols, label_col] if target_bins else list(cols)
+    ends = df.agg(*[e for i, c in enumerate(measured) for e in (F.min(as_col(c)).cast("double").alias(f"lo{i}"), F.max(as_col(c)).cast("double").alias(f"hi{i}"))]).first()
+
+    def binned(i: int, c: str, k: int):
+        if ends[f"lo{i}"] is None:  # no value at all
+            return F.lit(None).cast("bigint")
         lo, width = ends[f"lo{i}"], (ends[f"hi{i}"] - ends[f"lo{i}"]) or 1.0
-        at = F.floor((number(c, dtype(df, c)) - lo) / (width / bins))
-        rows.append(F.struct(F.lit(c).alias("feature"), F.when(at >= bins, bins - 1).otherwise(at).alias("b")))
-    joint = (df.select(as_col(label_col).alias("y"), F.inline(F.array(*rows))).where("b is not null and y is not null")
+        at = F.floor((number(c, dtype(df, c)) - lo) / (width / k))
+        return F.when(at >= k, k - 1).otherwise(at)
+
+    rows = [F.struct(F.lit(c).alias("feature"), binned(i, c, bins).alias("b")) for i, c in enumerate(cols)]
+    label = binned(len(cols), label_col, target_bins) if target_bins else as_col(label_col)
+    joint = (df.select(label.alias("y"), F.inline(F.array(*rows))).where("b is not null and y is not null")
              .groupBy("feature", "b", "y").agg(F.count(F.lit(1)).cast("double").alias("o")))
     bx = joint.groupBy("feature", "b").agg(F.sum("o").alias("nb"))
     by = joint.groupBy("feature", "y").agg(F.sum("o").alias("ny"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
-    CountVectorizer, HashingTF, IDF, Imputer, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler)
+    HashingTF, IDF, Imputer, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from assayer.operators.evaluate import stability
 from assayer.operators.sample import bootstrap, folds, shuffled, with_gaussians
 from assayer.plans.columns import dtype, numeric_columns, text_columns
 from assayer.plans.gram import complete, least_squares
-from assayer.session import cut
+from assayer.session import cut, ensure_checkpoint_dir
 
 # ---- fixed values: parameter values per family ------------------------------------------------
 # Named as MLlib names them: an unbounded depth is MLlib's largest, 30; C is 1 / regParam; l1 and l2 are elasticNetParam 1 and 0
@@ -88,6 +89,7 @@ def fit(df: DataFrame, features: Sequence[str], target: str, name: str, kind: st
         prep = preparation(df, features, scale).fit(df)
         width = len(prep.transform(df.limit(1)).select("features").first()["features"])
         params["layers"] = [width, 8, max(2, len(labels) or data.select("label").distinct().count())]
+    ensure_checkpoint_dir(df.sparkSession)  # boosting cuts its lineage there
     return Pipeline(stages=[preparation(df, features, scale), estimator(name, kind, **params)]).fit(data)
 
 
@@ -116,9 +118,12 @@ def evaluator(kind: str):
 
 def tune(df: DataFrame, features: Sequence[str], target: str, name: str, kind: str, key: Sequence[str], k: int = 3,
          grid: Mapping[str, Sequence] | None = None, draws: int | None = None, parallelism: int = 4, seed: int = 42) -> DataFrame:
-    """(params, score, best): grid search, or ``draws`` hashed points of it, over exact hashed folds."""
+    """(params, score, best): grid search, or ``draws`` hashed points of it, over exact hashed folds.
+
+    Folds have the class shares of the table, and the preparation is fitted on the training folds only.
+    """
     data, _ = with_label(df, target, kind)
-    data = folds(data, key, k, seed=seed)
+    data = folds(data, key, k, "label" if kind == "classification" else None, seed).cache()
     est = estimator(name, kind)
     build = ParamGridBuilder()
     for p, values in (grid or GRIDS[name]).items():
@@ -128,25 +133,29 @@ def tune(df: DataFrame, features: Sequence[str], target: str, name: str, kind: s
         import hashlib
 
         points = sorted(points, key=lambda m: hashlib.md5(f"{seed}{sorted((p.name, v) for p, v in m.items())}".encode()).hexdigest())[:draws]
-    prep = preparation(df, features).fit(data).transform(data).select("features", "label", "fold").cache()
-    cv = CrossValidator(estimator=est, estimatorParamMaps=points, evaluator=evaluator(kind), numFolds=k, foldCol="fold", parallelism=parallelism)
-    scores = cv.fit(prep).avgMetrics
-    prep.unpersist()
+    whole = Pipeline(stages=[preparation(df, features), est])
+    cv = CrossValidator(estimator=whole, estimatorParamMaps=points, evaluator=evaluator(kind), numFolds=k, foldCol="fold", parallelism=parallelism)
+    try:
+        scores = cv.fit(data).avgMetrics
+    finally:
+        data.unpersist()
     best = min(scores) if kind == "regression" else max(scores)
     rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(s), bool(s == best)) for m, s in zip(points, scores)]
     return df.sparkSession.createDataFrame(rows, "params string, score double, best boolean")
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, name: str, kind: str, key: Sequence[str], k: int = 5) -> DataFrame:
-    """Mean and deviation of the fold scores."""
-    data = folds(df, key, k).cache()
-    parts = None
-    for i in range(k):
-        model = fit(data.where(F.col("fold") != i), features, target, name, kind)
-        s = metric(score_table(model, data.where(F.col("fold") == i), target, kind, key), kind)
-        parts = s if parts is None else parts.unionByName(s)
-    out = parts.agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.count(F.lit(1)).alias("folds"))
-    return cut(out)
+    """Mean and deviation of the fold scores; folds have the class shares of the table."""
+    data = folds(df, key, k, target if kind == "classification" else None).cache()
+    try:
+        scores = []
+        for i in range(k):
+            model = fit(data.where(F.col("fold") != i), features, target, name, kind)
+            scores.append((i, metric(score_table(model, data.where(F.col("fold") == i), target, kind, key), kind).first()["score"]))
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame(scores, "fold int, score double").agg(
+        F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.count(F.lit(1)).alias("folds"))
 
 
 def importance(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -173,17 +182,39 @@ def recursive_elimination(df: DataFrame, features: Sequence[str], target: str, k
 
 
 def learning_curve(df: DataFrame, features: Sequence[str], target: str, name: str, kind: str, key: Sequence[str],
-                   sizes: Sequence[float] = tuple(i / 10 for i in range(1, 11))) -> DataFrame:
-    """Train and test score for growing hashed prefixes of the training rows."""
-    data = df.withColumn("__u", unit_hash(key, "curve")).withColumn("__t", unit_hash(key, "test") < .2).cache()
-    test, parts = data.where("__t"), None
-    for s in sizes:
-        train = data.where(~F.col("__t") & (F.col("__u") < s))
-        model = fit(train, features, target, name, kind)
-        pair = metric(score_table(model, train, target, kind, key), kind).withColumnRenamed("score", "train_score").crossJoin(
-            metric(score_table(model, test, target, kind, key), kind).withColumnRenamed("score", "test_score")).withColumn("size", F.lit(float(s)))
-        parts = pair if parts is None else parts.unionByName(pair)
-    return cut(parts)
+                   sizes: Sequence[float] = tuple(i / 10 for i in range(1, 11)), k: int = 5, parallelism: int = 4) -> DataFrame:
+    """Per size: mean and deviation over ``k`` folds of the score on the training rows and on the fold left out.
+
+    The training rows are hashed prefixes of the other folds.  Every row also carries the whole curve's ``convergence_rate``
+    (mean step of the test means over the later half), ``overfitting_score`` (mean gap of the last three sizes) and
+    ``final_gap``.  Two numbers per fit reach the driver.
+    """
+    data = folds(df, key, k, target if kind == "classification" else None).withColumn("__u", unit_hash(key, "curve")).cache()
+
+    def point(at: tuple[float, int]) -> tuple[float, int, float | None, float | None]:
+        size, i = at
+        train = (F.col("fold") != i) & (F.col("__u") < size)
+        model = fit(data.where(train), features, target, name, kind)
+        both = data.where(train | (F.col("fold") == i)).withColumn("__part", F.col("fold") == i)
+        got = {r["__part"]: r["score"] for r in metric(score_table(model, both, target, kind, ["__part"]), kind, ["__part"]).collect()}
+        return float(size), i, got.get(False), got.get(True)
+
+    data.count()
+    try:
+        with ThreadPool(parallelism) as pool:
+            points = pool.map(point, [(s, i) for s in sizes for i in range(k)])
+    finally:
+        data.unpersist()
+    curve = df.sparkSession.createDataFrame(points, "size double, fold int, train double, test double").groupBy("size").agg(
+        *[f(c).alias(f"{c}_{n}") for c in ("train", "test") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    rows = F.array_sort(F.collect_list(F.struct("size", "test_mean", (F.col("train_mean") - F.col("test_mean")).alias("gap"))))
+    m, half = len(sizes), len(sizes) // 2
+    at = lambda i, c: F.col("rows")[i][c]
+    last = range(max(0, m - 3), m)
+    facts = curve.agg(rows.alias("rows")).select(
+        ((at(m - 1, "test_mean") - at(half, "test_mean")) / (m - 1 - half) if m >= 3 else F.lit(0.0)).alias("convergence_rate"),
+        (sum((at(i, "gap") for i in last), F.lit(0.0)) / len(last)).alias("overfitting_score"), at(m - 1, "gap").alias("final_gap"))
+    return curve.crossJoin(F.broadcast(facts))
 
 
 def perturbed(model: Transformer, df: DataFrame, target: str, kind: str, key: Sequence[str], copies: DataFrame) -> DataFrame:
@@ -210,7 +241,7 @@ def dropout_copies(df: DataFrame, cols: Sequence[str], rates: Sequence[float]) -
 
 
 def stability_table(model: Transformer, df: DataFrame, cols: Sequence[str], target: str, kind: str, key: Sequence[str],
-                    noise: Sequence[float] = (.01, .05, .1, .2), dropout: Sequence[float] = (.1, .2, .3, .5), rounds: int = 20) -> DataFrame:
+                    noise: Sequence[float] = (.01, .05, .1, .2), dropout: Sequence[float] = (.1, .2, .3, .5), rounds: int = 50) -> DataFrame:
     """Score retention under noise and dropout, bootstrap stability, repeatability and the weighted total."""
     preds = cut(score_table(model, df, target, kind, key))
     base = metric(preds, kind).select(F.col("score").alias("base"))
@@ -224,29 +255,33 @@ def stability_table(model: Transformer, df: DataFrame, cols: Sequence[str], targ
         score = F.sum(F.col("weight") * (F.col("y") == F.col("yhat")).cast("double")) / F.sum("weight")
     boots = bootstrap(preds, key, rounds).groupBy("round").agg(score.alias("score"))
     boot = boots.agg((1 - F.stddev_pop("score") / (F.avg("score") + 1e-8)).alias("bootstrap"))
-    again = score_table(model, df, target, kind, key).select(*key, F.col("yhat").alias("second"))
-    repeat = preds.join(again, list(key)).agg(F.coalesce(F.corr("yhat", "second"), F.lit(1.0)).alias("repeat"))
+    first = model.transform(df).select(*df.columns, F.col("prediction").alias("__first"))  # both predictions on the row itself
+    repeat = model.transform(first).agg(F.coalesce(F.corr("__first", "prediction"), F.lit(1.0)).alias("repeat"))
     out = keep(noise_copies(df, cols, noise, key), "noise").crossJoin(keep(dropout_copies(df, cols, dropout), "dropout")).crossJoin(boot).crossJoin(repeat)
     return out.withColumn("overall", stability(F.col("noise"), F.col("dropout"), F.col("bootstrap"), F.col("repeat")))
 
 
-def permutation_importance(model: Transformer, df: DataFrame, cols: Sequence[str], target: str, kind: str, key: Sequence[str], repeats: int = 5) -> DataFrame:
+def permutation_importance(model: Transformer, df: DataFrame, cols: Sequence[str], target: str, kind: str, key: Sequence[str], repeats: int = 30,
+                           at_once: int = 10) -> DataFrame:
     """Mean and deviation of the score drop when a column is shuffled among the rows.
 
-    The shuffle pairs two hash orders by exact row number, so it is a true permutation and costs one join per repeat.
+    The shuffle pairs two hash orders by exact row number, so it is a true permutation.  ``at_once`` repeats share their jobs
+    and need that many copies of the table in the shared folder meanwhile.
     """
-    base = metric(score_table(model, df, target, kind, key), kind).select(F.col("score").alias("base"))
-    parts = None
-    for rep in range(repeats):
-        home = shuffled(df, key, (), seed=1000 + rep)
-        other = shuffled(df.select(*key, *cols), key, (), seed=2000 + rep).select("rn", *[as_col(c).alias(f"__s_{c}") for c in cols])
-        both = cut(home.join(other, "rn"))
+    base = metric(score_table(model, df, target, kind, key), kind).first()["score"]
+    drops = []
+    for start in range(0, repeats, at_once):
+        each = df.withColumn("__rep", F.explode(F.sequence(F.lit(start), F.lit(min(start + at_once, repeats) - 1))))
+        home = shuffled(each, [*key, "__rep"], ["__rep"], seed=1000)
+        other = shuffled(each.select(*key, "__rep", *[c for c in cols if c not in key]), [*key, "__rep"], ["__rep"], seed=2000).select(
+            "__rep", "rn", *[as_col(c).alias(f"__s_{c}") for c in cols])
+        both = cut(home.join(other, ["__rep", "rn"]))
         for c in cols:
-            moved = both.withColumn(c, F.col(f"__s_{c}")).select(*df.columns)
-            s = metric(score_table(model, moved, target, kind, key), kind).select(F.lit(c).alias("feature"), "score")
-            parts = s if parts is None else parts.unionByName(s)
-    drop = F.col("base") - F.col("score")
-    return cut(parts.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("std")))
+            moved = both.withColumn(c, F.col(f"__s_{c}")).select(*df.columns, "__rep")
+            scores = metric(score_table(model, moved, target, kind, ["__rep"]), kind, ["__rep"]).collect()
+            drops += [(c, base - r["score"]) for r in scores if r["score"] is not None and base is not None]
+    return df.sparkSession.createDataFrame(drops, "feature string, drop double").groupBy("feature").agg(
+        F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
 
 
 def chained_imputation(df: DataFrame, cols: Sequence[str], rounds: int = 5, ridge: float = 1e-3) -> DataFrame:
@@ -271,10 +306,18 @@ def chained_imputation(df: DataFrame, cols: Sequence[str], rounds: int = 5, ridg
 
 
 def text_features(df: DataFrame, col: str, method: str = "tfidf", size: int = 1 << 12) -> DataFrame:
-    """Word features of whole texts: tfidf, count or hash; adds a vector ``text_features``."""
+    """Word features of whole texts: adds ``text_features``, a vector of ``size`` hashed slots for tfidf and hash.
+
+    For count it is a map of every word to its count: the whole vocabulary, and no list of it anywhere.
+    """
     words = RegexTokenizer(inputCol=col, outputCol="__words", pattern=r"\W+", gaps=True).transform(df)
     if method == "count":
-        return CountVectorizer(inputCol="__words", outputCol="text_features", vocabSize=size).fit(words).transform(words).drop("__words")
+        w = F.col("__words")
+        rows = words.withColumn("__words", F.array_sort(w)).withColumn("__at", F.when(F.size(w) > 0, F.filter(
+            F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))).otherwise(F.array().cast("array<int>")))
+        ends = F.concat(F.slice("__at", F.lit(2), F.size("__at")), F.array(F.size(w)))  # where the next word begins
+        counts = F.zip_with("__at", ends, lambda a, b: F.struct(F.get(w, a), (b - a).cast("bigint")))
+        return rows.withColumn("text_features", F.map_from_entries(F.filter(counts, lambda e: e["col1"].isNotNull()))).drop("__words", "__at")
     tf = HashingTF(inputCol="__words", outputCol="__tf" if method == "tfidf" else "text_features", numFeatures=size).transform(words)
     if method == "hash":
         return tf.drop("__words")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assayer.functions.values import number
 from assayer.plans.columns import dtype
 
-MAX_FEATURES = 50
+MAX_FEATURES = 2000  # the driver solves as many equations; 32 MB of products per task
 
 
 def complete(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -22,7 +22,7 @@ def complete(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Da
 
 
 def cross_products(df: DataFrame, cols: Sequence[str], shift: Sequence[float] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, sums, X'X) of the columns after subtracting ``shift``; one row per cell and task is shuffled."""
+    """(n, sums, X'X) of the columns after subtracting ``shift``; one row per cell of the upper triangle and task is shuffled."""
     p = len(cols)
     base = np.zeros(p) if shift is None else np.asarray(shift, dtype=float)
 
@@ -31,8 +31,8 @@ def cross_products(df: DataFrame, cols: Sequence[str], shift: Sequence[float] |
         for pdf in parts:
             x = pdf.to_numpy(dtype=float) - base
             n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
-        i, j = np.indices((p, p))
-        cells = [pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": g.ravel()}),
+        i, j = np.triu_indices(p)
+        cells = [pd.DataFrame({"i": i, "j": j, "v": g[i, j]}),
                  pd.DataFrame({"i": np.arange(p), "j": -1, "v": s}), pd.DataFrame({"i": [-1], "j": [-1], "v": [float(n)]})]
         yield pd.concat(cells).astype({"i": "int32", "j": "int32", "v": "float64"})
 
@@ -44,7 +44,7 @@ def cross_products(df: DataFrame, cols: Sequence[str], shift: Sequence[float] |
         elif r["j"] < 0:
             s[r["i"]] = r["v"]
         else:
-            g[r["i"], r["j"]] = r["v"]
+            g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["v"]
     return n, s, g
 
 
@@ -57,17 +57,17 @@ class Fit:
     r2: float
 
     def predict(self) -> Column:
-        out = F.lit(float(self.intercept))
-        for c, b in zip(self.features, self.coef):
-            out = out + F.col(c) * F.lit(float(b))
-        return out
+        terms = [F.lit(float(self.intercept)), *[F.col(c) * F.lit(float(b)) for c, b in zip(self.features, self.coef)]]
+        while len(terms) > 1:  # by halves, so that many features make no deep expression
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2:]
+        return terms[0]
 
 
-def least_squares(df: DataFrame, features: Sequence[str], target: str, ridge: float = 0.0) -> Fit:
+def least_squares(df: DataFrame, features: Sequence[str], target: str, ridge: float = 0.0, max_features: int = MAX_FEATURES) -> Fit:
     """Ordinary (or ridge) least squares with intercept; columns are centred before the products are formed."""
     features = list(features)
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features")
+    if len(features) > max_features:
+        raise ValueError(f"more than {max_features} features")
     cols = [*features, target]
     means = np.array(df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first(), dtype=float)
     n, s, g = cross_products(df, cols, means)

@@ -32,15 +32,27 @@ def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     return row["value"] if row else ""
 
 
-def detect_delimiter(spark: SparkSession, path: str, default: str = ",") -> str:
-    """The delimiter most frequent in the header line (first in the fixed order on ties)."""
+def detect_delimiter(spark: SparkSession, path: str, default: str = ",", rule: str = "most") -> str:
+    """The delimiter of the header line, by one of three rules.
+
+    most: the most frequent (first in the fixed order on ties).  semicolon_or_comma: the more frequent of the two.
+    first_that_splits: the semicolon, then the comma, if it gives more than one column, else the most frequent.
+    """
     head = first_line(spark, path)
+    if rule == "semicolon_or_comma":
+        return ";" if head.count(";") > head.count(",") else ","
+    if rule == "first_that_splits":
+        for sep in (";", ","):
+            if sep in head:
+                return sep
+    elif rule != "most":
+        raise ValueError(f"unknown rule {rule}")
     best = max(DELIMITERS, key=head.count)
     return best if head.count(best) else default
 
 
-def read_csv_auto(spark: SparkSession, path: str, default: str = ",", **kw) -> DataFrame:
-    return read_csv(spark, path, detect_delimiter(spark, path, default), **kw)
+def read_csv_auto(spark: SparkSession, path: str, default: str = ",", rule: str = "most", **kw) -> DataFrame:
+    return read_csv(spark, path, detect_delimiter(spark, path, default, rule), **kw)
 
 
 def read_csv_fallback(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:

@@ -5,7 +5,7 @@ A stream keeps one small state row per open window (and category); the stored re
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from assayer.functions.values import as_col, share
 from assayer.operators.drift import CATEGORY_LIMIT, NUMERIC_LIMIT, level
 
 EPS = 1e-8
+END = "2999-12-31 00:00:00"  # later than any event
 
 
 def reference_profile(ref: DataFrame, value: str, category: str) -> DataFrame:
@@ -39,14 +40,19 @@ def window_drift(df: DataFrame, profile: DataFrame, ts: str, value: str, categor
     return j.select(F.col("w.start").alias("window_start"), "category", "n", "mean", "std", shift.alias("mean_drift"), level(shift, NUMERIC_LIMIT).alias("level"))
 
 
-def window_shares(df: DataFrame, ref_shares: Mapping[str, float], ts: str, category: str, width: str = "1 day", late: str | None = None) -> DataFrame:
-    """One minus the overlap of each window's category shares with the stored shares (a small map)."""
-    n = F.count(F.lit(1))
-    overlap = F.lit(0.0)
-    for v, p in sorted(ref_shares.items()):
-        overlap = overlap + F.least(share(F.count_if(as_col(category) == v), n), F.lit(float(p)))
-    return _windows(df, ts, width, late).agg(n.alias("n"), (1 - overlap).alias("distribution_drift")).select(
-        F.col("w.start").alias("window_start"), "n", "distribution_drift", level(F.col("distribution_drift"), CATEGORY_LIMIT).alias("level"))
+def window_shares(df: DataFrame, profile: DataFrame, ts: str, category: str, width: str = "1 day") -> DataFrame:
+    """One minus the overlap of each window's category shares with the stored shares, for tables.
+
+    A stream writes the counts of ``window_drift``; its closed windows are such a table.  The categories are joined, never
+    collected, so their number does not matter.
+    """
+    per = _windows(df, ts, width, None, as_col(category).alias("category")).agg(F.count(F.lit(1)).alias("k"))
+    total = per.groupBy("w").agg(F.sum("k").alias("n"))
+    known = per.join(profile.select("category", "ref_share"), "category")  # an unknown category overlaps with nothing
+    hit = known.join(total, "w").groupBy("w").agg(F.sum(F.least(share(F.col("k"), F.col("n")), F.col("ref_share"))).alias("hit"))
+    drift = 1 - F.coalesce("hit", F.lit(0.0))
+    return total.join(hit, "w", "left").select(F.col("w.start").alias("window_start"), "n", drift.alias("distribution_drift"),
+                                               level(drift, CATEGORY_LIMIT).alias("level"))
 
 
 def window_quality(df: DataFrame, ts: str, value: str, lo: float, hi: float, category: str, allowed: Sequence[str],
@@ -64,3 +70,22 @@ def append_files(result: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     """Exactly-once Parquet output of closed windows; restartable from ``checkpoint``."""
     return (result.writeStream.outputMode("append").format("parquet").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+
+
+def run_and_close(src: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str, folder: str) -> DataFrame:
+    """Run ``build`` over all that a file stream holds now, close its last windows, and return what was written.
+
+    A window is written when the watermark passes its end, which nothing does for the last ones.  So the query reads a
+    second folder beside the events: empty in the first run; then a single row far ahead goes there and the query, restarted
+    from its own state, closes every window.  The row's own window stays open and is never written.  This ends the stream:
+    events that come later are late.
+    """
+    spark, schema = src.sparkSession, src.schema
+    marks, out, state = f"{folder}/marks", f"{folder}/out", f"{folder}/state"
+    spark.createDataFrame([], schema).write.parquet(marks)
+    whole = build(src.unionByName(spark.readStream.schema(schema).parquet(marks)))
+    append_files(whole, out, state).start().awaitTermination()
+    row = [F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*row).write.mode("append").parquet(marks)
+    append_files(whole, out, state).start().awaitTermination()
+    return spark.read.schema(whole.schema).parquet(out)
