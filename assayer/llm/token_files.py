@@ -36,7 +36,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, spaces: bool
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, spaces)
+        encode = encoder(tokenizer, spaces).many
         for b in batches:
             ids = [x + end for x in encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])

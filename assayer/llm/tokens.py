@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Between a visible character and white space no pre-token of either file format goes on, so a text's ids are its chunks' ids
 # in order.  A text with rare white space, or with controls that are white space to Python only, is encoded whole.
@@ -18,6 +22,15 @@ _SPACED = re.compile(r"\s*\S+|\s+")
 # them as they are.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ž]+)([.,;:!?#$%&*|]*)")
 LONGEST_KEPT = 64
+BLOCK_CHARS = 4_000_000
+
+
+def _odd(text: str) -> bool:
+    return any(map(text.__contains__, _CONTROLS)) if text.isascii() else _ODD.search(text) is not None
+
+
+def _loose(text: str) -> bool:
+    return any(map(text.__contains__, _MORE)) or text[-1] in " \n"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,6 +83,8 @@ class Encoder:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _after_space(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha() and len(piece) < LONGEST_KEPT:
+            return array("I", [t.id for t in self.tokenize(_LETTERS[32] + piece)]).tobytes()
         if piece[0] == "\n":
             return self.newline + (self._chunk(piece[1:]) if len(piece) > 1 else b"")
         return self._chunk(" " + piece)
@@ -95,19 +110,64 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(map(text.__contains__, _CONTROLS)) if text.isascii() else _ODD.search(text):
+        if _odd(text):
             return self._whole(text)
         if not self.spaces:
             ids = b"".join(map(self.chunks.__getitem__, text.split()))
-        elif any(map(text.__contains__, _MORE)) or text[-1] in " \n":
+        elif _loose(text):
             ids = b"".join(map(self.chunks.__getitem__, _SPACED.findall(text)))
         else:  # a space or newline begins each chunk
             first, *rest = text.replace("\n", " \n").split(" ")
             ids = (self.chunks[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        self._turn()
+        return ids
+
+    def _turn(self) -> None:
         if len(self.spaced) + len(self.chunks) > self.keep // 2:
             self.spaced.old = self.chunks.old = {}
             self.spaced, self.chunks = _Known(self._after_space, self.spaced), _Known(self._chunk, self.chunks)
-        return ids
+
+    def _block(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of texts of single spaces and newlines: each distinct piece is looked up once and its ids are copied to its places."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
+        ends, pieces = split.offsets.to_numpy(), split.flatten()
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        firsts = pieces.take(pa.array(ends[:-1])).to_pylist()  # no space before them
+        ids = [self.spaced[w] if w else b"" for w in words] + [self.chunks[w] if w else b"" for w in firsts]
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[ends[:-1]] = len(words) + np.arange(len(texts))
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin, size = (np.cumsum(size) - size)[at], size[at]
+        stop = np.cumsum(size)
+        out = flat[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]))]
+        self._turn()
+        last = stop[ends[1:] - 1].tolist()
+        return [out[a:b].tobytes() for a, b in zip([0, *last], last)]
+
+    def many(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text, by blocks where its white space allows; a text beyond BLOCK_CHARS is encoded by itself."""
+        found: list[bytes] = [b""] * len(texts)
+        block, chars = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.spaces or len(text) > BLOCK_CHARS or _odd(text) or _loose(text):
+                found[i] = self.encode(text)
+                continue
+            block.append(i)
+            chars += len(text)
+            if chars > BLOCK_CHARS:
+                self._fill(found, texts, block)
+                block, chars = [], 0
+        if block:
+            self._fill(found, texts, block)
+        return found
+
+    def _fill(self, found: list[bytes], texts: Sequence[str], block: Sequence[int]) -> None:
+        for i, ids in zip(block, self._block([texts[i] for i in block])):
+            found[i] = ids
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         return map(self.encode, texts)

@@ -481,3 +481,22 @@ def test_pipeline_against_brute_force(spark, small):
     packed = corpus_pipeline.run(spark, SF).collect()
     tok = tokenizers.Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     check_packed(packed, [(r["doc_id"], r["text"]) for r in before], tok, 4096, 1)
+
+
+def test_blocks_of_texts_have_the_ids_of_single_texts(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from assayer.llm import tokens
+
+    texts = ["", "a", " lead", "two  spaces", "tail ", "line\nnext\n", "\nfirst", "x" * 90 + " y", "na\u00efve caf\u00e9, ok!", "tab\there", "one two one two",
+             "odd\u2003space", "a b\nc d", "don't stop 12,5 (now)", "<|endoftext|> here", "\u4f60\u597d w\u00f6rld \U0001f600 end", "word" * 20 + " and more", "dot. dot", "A\x1cb"] * 3
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for chars in (4, 100, 4_000_000):
+        monkeypatch.setattr(tokens, "BLOCK_CHARS", chars)
+        encode = tokens.Encoder(path, True, keep=20)
+        assert encode.many(texts) == want and encode.many(texts[::-1]) == want[::-1]
+    assert encode.many([]) == []
