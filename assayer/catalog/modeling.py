@@ -73,7 +73,8 @@ def _prepared(s, d):
 
     df = _cls(s, d)
     out = M.preparation(df, [*X, "l_linestatus"], scale=True).fit(df).transform(df)
-    return out.select(*LI_KEY, vector_to_array("features").alias("features"), "y")
+    slots = out.select(*LI_KEY, vector_to_array("features").alias("features"), "y")
+    return rounded(slots.select(*LI_KEY, *[F.col("features")[i].alias(f"slot{i}") for i in range(5)], "y"))
 
 
 def _importance(s, d):
@@ -296,6 +297,16 @@ SQL = {
     "under_tomek": f"WITH {NB.format(k=1)} SELECT vec_id AS id, CAST(label = 0 AS INTEGER) AS cls FROM embeddings e WHERE NOT (label <> 0 AND EXISTS (SELECT 1 FROM nb a JOIN nb b ON b.id = a.nid AND b.nid = a.id JOIN embeddings o ON o.vec_id = a.nid WHERE a.id = e.vec_id AND o.label = 0))",
     "opt_count_text": f"SELECT doc_id, len(list_distinct(w)) AS terms, CAST(len(w) AS BIGINT) AS words, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(w) AS x) GROUP BY x)) AS most FROM ({WORDS})",
     "opt_hash_text": f"SELECT doc_id, len(w) AS words FROM ({WORDS})",
+    # the other columns have no gap, so every round repeats one ridge regression on two standardised columns
+    "impute_iterative": r(f"""WITH t AS (SELECT {KEYS}, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d, CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_extendedprice AS DOUBLE) END AS p FROM lineitem),
+        s AS (SELECT avg(q) AS mq, avg(d) AS md, avg(p) AS mp, sqrt(var_pop(q) * count(*)) AS sq, sqrt(var_pop(d) * count(*)) AS sd, covar_pop(q, p) * count(*) AS qp, covar_pop(d, p) * count(*) AS dp, corr(q, d) AS c FROM t WHERE p IS NOT NULL),
+        m AS (SELECT *, (1.001::DOUBLE * qp / sq - c * dp / sd) / (1.001::DOUBLE * 1.001::DOUBLE - c * c) / sq AS bq, (1.001::DOUBLE * dp / sd - c * qp / sq) / (1.001::DOUBLE * 1.001::DOUBLE - c * c) / sd AS bd FROM s)
+        SELECT {KEYS}, q AS l_quantity, d AS l_discount, coalesce(p, mp + bq * (q - mq) + bd * (d - md)) AS l_extendedprice FROM t, m""", "l_quantity l_discount l_extendedprice", 3),
+    "ml_prepare": r(f"""WITH f AS (SELECT l_linestatus AS v, row_number() OVER (ORDER BY count(*) DESC, l_linestatus) AS k FROM lineitem GROUP BY 1),
+        t AS (SELECT l.*, CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE 0 END AS one, CASE WHEN k = 2 THEN 1.0::DOUBLE ELSE 0 END AS two FROM lineitem l JOIN f ON v = l_linestatus)
+        SELECT {KEYS}, {', '.join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS slot{i}" for i, c in enumerate([*X, "one", "two"]))}, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM t""",
+        "slot0 slot1 slot2 slot3 slot4"),
+    "stab_repeat": "SELECT 1.0::DOUBLE AS repeat",
     "opt_corr_filter": f"SELECT {KEYS}, {', '.join(FOUR)} FROM lineitem",
     "opt_missing_flags": with_views("orders_dirty", "SELECT o_orderkey, CAST(o_totalprice IS NULL AS INTEGER) AS o_totalprice_missing FROM orders_dirty"),
     "stat_spearman": r("SELECT corr(a, b) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS b FROM orders)", "spearman"),

@@ -237,3 +237,84 @@ def test_drift_swaps_categories_of_any_number(spark):
     df = spark.range(1500).selectExpr("id", "concat('v', id) AS c")
     out = {r["id"]: r["c"] for r in synthesize_drift(df, "high", ["id"]).collect()}
     assert len(out) == 1500 and sum(v is not None and v != f"v{k}" for k, v in out.items()) > 300
+
+
+def _planted(spark, n=3000):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    return spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "a": a, "b": b, "y": 3 * a + .1 * rng.normal(size=n), "cls": (a + .3 * rng.normal(size=n) > 1).astype("int32")}))
+
+
+def test_models_score_on_rows_they_have_not_seen(spark):
+    from assayer.operators import models as M
+    from assayer.operators.sample import split
+
+    df = split(_planted(spark), ["k"], val=0.0)
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    for name, kind, target, least, more in (
+            ("linear", "regression", "y", .99, {}), ("ridge", "regression", "y", .85, {}), ("lasso", "regression", "y", .95, {}), ("elastic_net", "regression", "y", .95, {}),
+            ("random_forest", "regression", "y", .85, {"numTrees": 20}), ("gbt", "regression", "y", .9, {"maxIter": 10}), ("decision_tree", "regression", "y", .9, {}),
+            ("random_forest", "classification", "cls", .9, {"numTrees": 20}), ("gbt", "classification", "cls", .9, {"maxIter": 5}), ("decision_tree", "classification", "cls", .9, {}),
+            ("logistic", "classification", "cls", .9, {}), ("linear_svc", "classification", "cls", .9, {}), ("naive_bayes", "classification", "cls", .85, {}), ("mlp", "classification", "cls", .9, {})):
+        model = M.fit(train, ["a", "b"], target, name, kind, **more)
+        assert M.metric(M.score_table(model, test, target, kind, ["k"]), kind).first()["score"] > least, name
+
+
+def test_learning_curve_and_cross_validation(spark):
+    from assayer.operators import models as M
+    from assayer.operators.sample import folds
+
+    df = _planted(spark, 1000).cache()
+    shares = folds(df, ["k"], 5, "cls").groupBy("fold").agg(F.sum("cls").alias("n")).collect()
+    assert max(r["n"] for r in shares) - min(r["n"] for r in shares) <= 1
+    curve = sorted(M.learning_curve(df, ["a", "b"], "y", "linear", "regression", ["k"], (.25, .5, .75, 1.0), k=3).collect(), key=lambda r: r["size"])
+    test, gap = [r["test_mean"] for r in curve], [r["train_mean"] - r["test_mean"] for r in curve]
+    assert len(curve) == 4 and min(test) > .99
+    assert curve[0]["final_gap"] == pytest.approx(gap[-1]) and curve[0]["overfitting_score"] == pytest.approx(np.mean(gap[-3:]))
+    assert curve[0]["convergence_rate"] == pytest.approx(np.mean(np.diff(test[2:])))
+    cv = M.cross_validate(df, ["a", "b"], "cls", "decision_tree", "classification", ["k"], 3).first()
+    assert cv["folds"] == 3 and cv["mean_score"] > .85
+    tuned = M.tune(df, ["a", "b"], "y", "ridge", "regression", ["k"], 2, {"regParam": [.1, 100.0]}).collect()
+    assert [r["best"] for r in sorted(tuned, key=lambda r: r["params"])] == [True, False]
+
+
+def test_permutation_finds_the_feature_that_counts(spark):
+    from assayer.operators import models as M
+
+    df = _planted(spark, 500)
+    got = {r["feature"]: r for r in M.permutation_importance(M.fit(df, ["a", "b"], "y", "linear", "regression"), df, ["a", "b"], "y", "regression", ["k"], 5, at_once=2).collect()}
+    assert got["a"]["importance"] > 1 and abs(got["b"]["importance"]) < .01 and got["a"]["std"] > 0
+
+
+def test_many_features(spark):
+    from assayer.operators import assume as A
+
+    x = np.random.default_rng(9).normal(size=(400, 60))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"x{i}" for i in range(60)]).assign(y=x.sum(axis=1)))
+    vifs = {r["feature"]: r["vif"] for r in A.vif(df, [f"x{i}" for i in range(60)], center=True).collect()}
+    want = np.diag(np.linalg.inv(np.corrcoef(x.T)))
+    assert [vifs[f"x{i}"] for i in range(60)] == pytest.approx(list(want))
+    noisy = df.withColumn("y", F.col("x0") + F.col("x1") * F.rand(3))
+    white = A.heteroscedasticity(noisy, "y", [f"x{i}" for i in range(10)], white=True).first()  # 65 terms
+    assert white["n"] == 400 and not white["passed"]
+    with pytest.raises(ValueError):
+        A.vif(df, ["x0", "x1", "x2"], max_features=2)
+
+
+def test_word_counts_have_the_whole_vocabulary(spark):
+    from assayer.operators import models as M
+
+    df = spark.createDataFrame([(1, "a b, a"), (2, ""), (3, " ".join(f"w{i}" for i in range(3000)))], "k int, t string")
+    got = {r["k"]: r["text_features"] for r in M.text_features(df, "t", "count").collect()}
+    assert got[1] == {"a": 2, "b": 1} and got[2] == {} and len(got[3]) == 3000 and set(got[3].values()) == {1}
+
+
+def test_delimiter_rules(spark, tmp_path):
+    from assayer.sources import files as IO
+
+    path = str(tmp_path / "t.csv")
+    with open(path, "w") as f:
+        f.write("a,b,c;d\n1,2,3;4\n")
+    assert [IO.detect_delimiter(spark, path, rule=r) for r in ("most", "semicolon_or_comma", "first_that_splits")] == [",", ",", ";"]
+    with pytest.raises(ValueError):
+        IO.detect_delimiter(spark, path, rule="none")
