@@ -19,8 +19,8 @@ from assayer.plans.columns import dtype, union_all
 
 ACCURACY = 1_000  # sketch size: rank error of at most n / ACCURACY per scan
 SETTLE = 200_000  # most rows that are ranked exactly in one window
-SKETCHES_PER_SCAN = 2
-COLUMNS_PER_SCAN = 4
+GROUPS_PER_SCAN = 100  # sketches held by one task; above 128 groups Spark sorts instead of hashing
+TERMS = 48  # cuts per column up to which a cell is a plain sum of comparisons
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str] | Mapping[str, Sequence[float]],
@@ -174,32 +174,45 @@ def _num(v: float) -> str:
 
 
 def _sketch(d: DataFrame, wanted: Mapping[int, tuple], accuracy: int) -> dict[int, dict]:
-    """Count, range and approximate quantiles per entry; a few columns per scan, sketches merged map-side."""
-    parts, items = [], list(wanted.items())
-    for at in range(0, len(items), SKETCHES_PER_SCAN):
-        rows = [F.struct(F.lit(k).alias("k"), F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-                         F.percentile_approx(x, [float(p) for p in g], accuracy).alias("g"))
-                for k, (x, g) in items[at:at + SKETCHES_PER_SCAN]]
-        parts.append(d.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
-    return {row["k"]: row.asDict() for row in union_all(parts).collect()}
+    """Count, range and approximate quantiles per entry from one scan; sketches are merged map-side.
+
+    Values are unpivoted, so the plan does not grow with the columns.  All entries are asked for the same grid, which costs
+    only at the merge, and keep their own part of it.
+    """
+    keys = list(wanted)
+    grid = sorted({float(p) for _, g in wanted.values() for p in g})
+    parts = []
+    for at in range(0, len(keys), GROUPS_PER_SCAN):
+        some = keys[at:at + GROUPS_PER_SCAN]
+        pairs = [F.struct(F.lit(k).alias("k"), wanted[k][0].alias("x")) for k in some]
+        parts.append(d.select(F.inline(F.array(*pairs))).groupBy("k").agg(
+            F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile_approx("x", grid, accuracy).alias("g")))
+    out = {k: {"k": k, "n": 0, "lo": None, "hi": None, "g": None} for k in keys}  # an empty table has no group
+    for row in union_all(parts).collect():
+        own = {float(p) for p in wanted[row["k"]][1]}
+        out[row["k"]] = {**row.asDict(), "g": row["g"] and [v for p, v in zip(grid, row["g"]) if p in own]}
+    return out
 
 
 def _cell_counts(d: DataFrame, cuts: Mapping[int, Sequence[float]]) -> DataFrame:
-    """Rows per cell (i, cell): even cells lie between two cuts, odd cells equal one."""
-    def cell(x: str, vs: Sequence[float], first: int = 0) -> str:
-        if not vs:
-            return str(2 * first)
-        mid = len(vs) // 2
-        return (f"CASE WHEN {x} < {_num(vs[mid])} THEN {cell(x, vs[:mid], first)} WHEN {x} = {_num(vs[mid])} THEN "
-                f"{2 * (first + mid) + 1} ELSE {cell(x, vs[mid + 1:], first + mid + 1)} END")
-
-    parts, items = [], list(cuts.items())
-    for at in range(0, len(items), COLUMNS_PER_SCAN):
-        some = ", ".join(f"named_struct('i', {i}, 'cell', CASE WHEN q{i} IS NOT NULL THEN {cell(f'q{i}', vs)} END)"
-                         for i, vs in items[at:at + COLUMNS_PER_SCAN])
-        parts.append(d.selectExpr(f"inline(array({some}))").where("cell is not null")
-                     .groupBy("i", "cell").agg(F.count(F.lit(1)).alias("m")))
-    return union_all(parts)
+    """Rows per cell (i, cell) from one scan: even cells lie between two cuts, odd cells equal one.
+
+    A value's cell is twice the cuts below it plus one if it equals a cut.  The cuts are a constant table with a row of the
+    same width for each column, so the generated code does not grow with the columns.
+    """
+    width = max(len(vs) for vs in cuts.values())
+    at = {i: k * width for k, i in enumerate(cuts)}
+    table = ", ".join(_num(v) if v is not None else "CAST(NULL AS DOUBLE)"
+                      for vs in cuts.values() for v in [*vs, *[None] * (width - len(vs))])
+    pairs = ", ".join(f"named_struct('i', {i}, 'at', {at[i]}, 'x', q{i})" for i in cuts)
+    if width <= TERMS:
+        cut = [f"get(array({table}), at + {j})" for j in range(width)]
+        cell = " + ".join(f"CASE WHEN x > {c} THEN 2 WHEN x = {c} THEN 1 ELSE 0 END" for c in cut)
+    else:
+        cell = (f"aggregate(slice(array({table}), at + 1, {width}), 0, "
+                f"(s, c) -> s + CASE WHEN x > c THEN 2 WHEN x = c THEN 1 ELSE 0 END)")
+    return (d.selectExpr(f"inline(array({pairs}))").where("x is not null").selectExpr("i", f"{cell} AS cell")
+            .groupBy("i", "cell").agg(F.count(F.lit(1)).alias("m")))
 
 
 def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
