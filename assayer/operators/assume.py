@@ -167,25 +167,32 @@ def linearity(df: DataFrame, target: str, features: Sequence[str], order_by: Seq
         start[r] = acc.copy()
         acc = acc + sums[r]
 
+    step = max(1, 1_000_000 // (p + 1) ** 2)  # rows whose sums are held at once
+
     def recurse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = s1 = s2 = 0.0
-        state, inv = None, None
+        state, started = None, False
         for pdf in parts:
             if not len(pdf):
                 continue
             if state is None:
                 state = start[int(pdf[RANGE].iloc[0])].copy()
-            x = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(float)])
-            for xi, yi in zip(x, pdf["y"].to_numpy(float)):
-                if inv is None and state[0, 0] > 2 * p and np.linalg.cond(state[:p, :p]) < 1e12:
-                    inv = np.linalg.inv(state[:p, :p])
-                if inv is not None:
-                    u = inv @ xi
-                    w = (yi - state[:p, p] @ u) / math.sqrt(1 + xi @ u)
-                    n, s1, s2 = n + 1, s1 + w, s2 + w * w
-                    inv = inv - np.outer(u, u) / (1 + xi @ u)
-                z = np.append(xi, yi)
-                state += np.outer(z, z)
+            for at in range(0, len(pdf), step):
+                some = pdf.iloc[at:at + step]
+                z = np.column_stack([np.ones(len(some)), some[xs].to_numpy(float), some["y"].to_numpy(float)])
+                grams = np.cumsum(z[:, :, None] * z[:, None, :], axis=0)
+                before = np.concatenate([state[None], state + grams[:-1]])  # what each row's predecessors sum to
+                state = state + grams[-1]
+                if not started:
+                    enough = np.flatnonzero(before[:, 0, 0] > 2 * p)
+                    solvable = enough[np.linalg.cond(before[enough, :p, :p]) < 1e12] if len(enough) else enough
+                    if not len(solvable):
+                        continue
+                    started, before, z = True, before[solvable[0]:], z[solvable[0]:]
+                x = z[:, :p]
+                u = np.linalg.solve(before[:, :p, :p], x[:, :, None])[:, :, 0]
+                w = (z[:, p] - (before[:, :p, p] * u).sum(axis=1)) / np.sqrt(1 + (x * u).sum(axis=1))
+                n, s1, s2 = n + len(w), s1 + w.sum(), s2 + (w * w).sum()
         yield pd.DataFrame({"n": [n], "s1": [s1], "s2": [s2]})
 
     row = (base.sortWithinPartitions(*order).select(RANGE, *xs, "y").mapInPandas(recurse, "n double, s1 double, s2 double")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions.columns_text import cyclic
 from assayer.functions.values import as_col, nan_is_missing, number
-from assayer.operators.profile import pearson_pairs
 from assayer.plans.columns import TEMPORAL, dtype, numeric_columns
+from assayer.plans.gram import correlations
 from assayer.plans.lookup import lookup_join
 from assayer.plans.ordered import lags, row_numbers
 
@@ -164,14 +164,11 @@ def f_class_scores(df: DataFrame, cols: Sequence[str], label_col: str) -> DataFr
 
 @nan_is_missing
 def f_regression_scores(df: DataFrame, cols: Sequence[str], target_col: str) -> DataFrame:
-    """F of a simple regression on the target, from Pearson r."""
-    y = number(target_col, dtype(df, target_col))
-    both = df.agg(*[F.count(F.when(number(c, dtype(df, c)).isNotNull(), y)).alias(f"n{i}") for i, c in enumerate(cols)])
-    n = both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n")) for i, c in enumerate(cols)])))
-    pairs = pearson_pairs(df, [*cols, target_col]).where((F.col("feature1") == target_col) | (F.col("feature2") == target_col))
+    """F of a simple regression on the target, from Pearson r over the rows that have both."""
+    pairs = correlations(df, [*cols, target_col], against=target_col)
     r2 = F.col("r") * F.col("r")
-    return pairs.select(F.when(F.col("feature1") == target_col, F.col("feature2")).otherwise(F.col("feature1")).alias("feature"),
-                        r2.alias("r2")).join(F.broadcast(n), "feature").select("feature", (F.col("r2") / (1 - F.col("r2")) * (F.col("n") - 2)).alias("score"))
+    other = F.when(F.col("feature1") == target_col, F.col("feature2")).otherwise(F.col("feature1"))
+    return pairs.select(other.alias("feature"), (r2 / (1 - r2) * (F.col("n") - 2)).alias("score"))
 
 
 @nan_is_missing

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from assayer.functions.values import any_of, as_col, labels, nan_is_missing, number, share, total
 from assayer.plans.columns import (
     VALUE_KEY, dtype, flat_columns, kind_name, long_agg, numeric_columns, text_columns, value_counts, value_key, value_present)
+from assayer.plans.gram import correlations
 from assayer.plans.quantiles import exact_quantiles, quantile_frame
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -177,21 +178,13 @@ def dataset(df: DataFrame) -> DataFrame:
 
 @nan_is_missing
 def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None, complete: bool = False) -> DataFrame:
-    """Pearson r of every numeric pair, all pairs in one aggregation.
+    """Pearson r of every numeric pair from one pass of matrix products.
 
     ``complete=True`` first drops rows with a null in any of the columns (otherwise pairwise).
     """
     cols = numeric_columns(df, cols)
     d = df.select(*[number(c, dtype(df, c)).alias(c) for c in cols])
-    if complete:
-        d = d.dropna()
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    rows = []
-    for a, b in pairs:
-        both = as_col(a).isNotNull() & as_col(b).isNotNull()
-        r = F.corr(F.when(both, as_col(a)), F.when(both, as_col(b)))
-        rows.append(F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.nanvl(r, F.lit(None)).alias("r")))
-    return d.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return correlations(d.dropna() if complete else d, cols).drop("n")
 
 
 @nan_is_missing

@@ -48,6 +48,52 @@ def cross_products(df: DataFrame, cols: Sequence[str], shift: Sequence[float] |
     return n, s, g
 
 
+def correlations(df: DataFrame, cols: Sequence[str], against: str | None = None) -> DataFrame:
+    """(feature1, feature2, n, r): Pearson r of every pair, or of every column with ``against``, over the rows that have both.
+
+    One pass of matrix products: a task sends a row per pair, whatever the number of rows.  Values are taken about an approximate
+    median, which is a value of the column near its mean; a side without spread has no r.
+    """
+    from assayer.plans.quantiles import sketch
+
+    cols = list(cols)
+    d = df.select(*[number(c, dtype(df, c)).alias(f"q{i}") for i, c in enumerate(cols)])
+    mids = sketch(d, {i: (F.col(f"q{i}"), [.5]) for i in range(len(cols))}, 200)
+    mid = np.array([m["g"][0] if m["g"] and np.isfinite(m["g"][0]) else 0.0 for m in mids.values()])
+    i, j = np.triu_indices(len(cols), 1)
+    if against is not None:
+        t = cols.index(against)
+        i, j = i[(i == t) | (j == t)], j[(i == t) | (j == t)]
+    names = ["n", "si", "sj", "qi", "qj", "g"]
+
+    def block(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((6, len(i)))
+        for pdf in parts:
+            x = pdf.to_numpy(dtype=float) - mid
+            has = (~np.isnan(x)).astype(float)
+            x = np.where(has > 0, x, 0.0)
+            with np.errstate(invalid="ignore", over="ignore"):
+                if against is None:
+                    sums, squares = x.T @ has, (x * x).T @ has
+                    out += np.stack([(has.T @ has)[i, j], sums[i, j], sums[j, i], squares[i, j], squares[j, i], (x.T @ x)[i, j]])
+                else:
+                    for k, (a, b) in enumerate(zip(i, j)):
+                        both = has[:, a] * has[:, b]
+                        u, v = x[:, a] * both, x[:, b] * both
+                        out[:, k] += (both.sum(), u.sum(), v.sum(), u @ u, v @ v, u @ v)
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), **dict(zip(names, out))})
+
+    cells = d.mapInPandas(block, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    s = cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    spread = lambda q, t: F.when(F.col(q) - F.col(t) * F.col(t) / n > 1e-13 * F.col(q), F.col(q) - F.col(t) * F.col(t) / n)
+    r = F.try_divide(F.col("g") - F.col("si") * F.col("sj") / n, F.sqrt(spread("qi", "si")) * F.sqrt(spread("qj", "sj")))
+    label = F.array(*map(F.lit, cols))
+    return s.select(
+        F.get(label, "i").alias("feature1"), F.get(label, "j").alias("feature2"), F.col("n").cast("bigint").alias("n"),
+        F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+
+
 @dataclass
 class Fit:
     features: list[str]

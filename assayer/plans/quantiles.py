@@ -92,7 +92,7 @@ def _ranks(df, wanted, accuracy, settle, exact_ranks=None):
     d = df.select(*[number(c, dtype(df, c)).alias(f"q{i}") for i, c in enumerate(names)])
     step = 2.0 / accuracy
     grids = [sorted({min(max(p + s, 0.0), 1.0) for p in wanted[c] for s in (-step, step)}) for c in names]
-    first = _sketch(d, {i: (F.col(f"q{i}"), g) for i, g in enumerate(grids)}, accuracy)
+    first = sketch(d, {i: (F.col(f"q{i}"), g) for i, g in enumerate(grids)}, accuracy)
     n = {i: first[i]["n"] for i in range(len(names))}
     found: dict[tuple[int, int], float] = {}
     open_: dict[tuple[int, int], None] = {}
@@ -160,7 +160,7 @@ def _ranks(df, wanted, accuracy, settle, exact_ranks=None):
                         open_.pop((key[0], r), None)
         if large:
             keys = list(large)
-            again = _sketch(d, {k: (F.when((F.col(f"q{i}") > F.lit(a)) & (F.col(f"q{i}") < F.lit(b)), F.col(f"q{i}")),
+            again = sketch(d, {k: (F.when((F.col(f"q{i}") > F.lit(a)) & (F.col(f"q{i}") < F.lit(b)), F.col(f"q{i}")),
                                     [min(max((r - base) / inside + s, 0.0), 1.0) for r in large[i, a, b, base, inside] for s in (-step, step)])
                                 for k, (i, a, b, base, inside) in enumerate(keys)}, accuracy)
             for k, key in enumerate(keys):
@@ -173,7 +173,7 @@ def _num(v: float) -> str:
     return f"CAST('{float(v)!r}' AS DOUBLE)" if math.isinf(v) else f"{float(v)!r}D"
 
 
-def _sketch(d: DataFrame, wanted: Mapping[int, tuple], accuracy: int) -> dict[int, dict]:
+def sketch(d: DataFrame, wanted: Mapping[int, tuple], accuracy: int) -> dict[int, dict]:
     """Count, range and approximate quantiles per entry from one scan; sketches are merged map-side.
 
     Values are unpivoted, so the plan does not grow with the columns.  All entries are asked for the same grid, which costs

@@ -67,12 +67,68 @@ def test_lags_with_tiles_smaller_than_a_key(spark):
     assert np.allclose(whole["before"], pdf.sort_values("id")["v"].shift(1), equal_nan=True)
 
 
-def test_lookup_join_salted_equals_broadcast(spark):
+def test_lookup_join_by_hot_keys_equals_broadcast(spark):
     _, df = hot_frame(spark)
-    dim = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    small = lookup_join(df, dim, ["k"]).agg(F.sum("n"), F.count("*")).first()
-    salted = lookup_join(df, dim, ["k"], broadcast_rows=1).agg(F.sum("n"), F.count("*")).first()
-    assert small == salted
+    df = df.withColumn("k", F.when(F.col("id") % 10 != 0, F.col("k")))
+    dim = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("n"))
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, lookup_join(df, dim, ["k"], how).select("id", "k", "n").collect()))
+        got = sorted(map(tuple, lookup_join(df, dim, ["k"], how, broadcast_rows=1, hot_keys=3).select("id", "k", "n").collect()),
+                     key=lambda r: r[0])
+        assert got == sorted(want, key=lambda r: r[0]), how
+
+
+def test_lookup_join_of_equal_narrow_rows_is_balanced(spark):
+    """One value in nine tenths of identical one-column rows: they are not shuffled, and no output partition holds them all."""
+    df = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 10 != 0, F.lit(7)).otherwise(F.col("id") % 997).cast("long").alias("k"))
+    dim = spark.range(0, 1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("n"))
+    out = lookup_join(df, dim, ["k"], broadcast_rows=1, hot_keys=5)
+    sizes = [r["m"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("m")).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 4_000
+    assert out.where("n <> 2 * k or n is null").count() == 0
+
+
+def test_scans_do_not_grow_with_the_columns(spark, tmp_path):
+    """The record of a wide table comes from one scan, after three for the quartiles of all columns."""
+    from assayer.operators.profile import profile
+
+    wide = spark.range(0, 500).select(*[(F.col("id") % (i + 3)).cast("double").alias(f"c{i}") for i in range(30)],
+                                      *[F.concat(F.lit("t"), F.col("id") % (i + 2)).alias(f"s{i}") for i in range(10)])
+    wide.write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    counts = distinct_counts(df, df.columns)
+    out = profile(df)
+    for frame in (counts, out):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = {r["column_name"]: r for r in out.collect()}
+    pdf = df.toPandas()
+    for c in ("c0", "c17", "c29"):
+        assert np.isclose(got[c]["mean"], pdf[c].mean()) and np.isclose(got[c]["std"], pdf[c].std())
+        assert np.isclose(got[c]["q25"], pdf[c].quantile(.25)) and got[c]["unique_count"] == pdf[c].nunique()
+    assert {r["column_name"]: r["unique_count"] for r in counts.collect()} == {c: pdf[c].nunique() for c in pdf}
+
+
+def test_long_texts_and_empty_tables_are_counted(spark):
+    from assayer.operators.profile import profile
+
+    df = spark.createDataFrame([("x" * 40,), ("x" * 41,), ("x" * 40,), (None,), ("",)], "t string")
+    assert distinct_counts(df, ["t"]).first()["unique_count"] == 3
+    empty = spark.createDataFrame([], "t string, v double")
+    got = {r["column_name"]: (r["count"], r["missing_count"], r["unique_count"], r["mean"]) for r in profile(empty).collect()}
+    assert got == {"t": (0, 0, 0, None), "v": (0, 0, 0, None)}
+
+
+def test_profile_keeps_digits_far_from_zero(spark):
+    """A narrow column at a large offset: sums about zero would lose the deviation."""
+    from assayer.operators.profile import profile
+
+    v = [1e9 + x for x in (0.0, 0.25, 0.5, 1.0, 4.0)]
+    got = profile(spark.createDataFrame([(x,) for x in v], "v double")).first()
+    s = pd.Series(v)
+    m = (s - 1e9) - (s - 1e9).mean()
+    assert np.isclose(got["std"], s.std(), rtol=1e-9) and np.isclose(got["mean"], s.mean(), rtol=1e-15)
+    assert np.isclose(got["skewness"], (m ** 3).mean() / (m ** 2).mean() ** 1.5)
+    assert np.isclose(got["kurtosis"], (m ** 4).mean() / (m ** 2).mean() ** 2 - 3)
 
 
 def test_long_agg_splits_scans_and_counts_distinct(spark):
@@ -88,3 +144,22 @@ def test_sequential_allows_some_gaps_and_counts_repeats(spark):
     got = {r["column_name"]: (r["is_sequential"], r["top_step"], r["n_steps"]) for r in sequential(df).collect()}
     assert got["a"] == (True, 1.0, 99) and got["c"] == (True, 2.0, 99) and not got["b"][0]
     assert got["d"] == (True, 0.0, 99)  # repeats are zero differences
+
+
+def test_correlations_over_the_rows_that_have_both(spark):
+    from assayer.plans.gram import correlations
+
+    rng = np.random.default_rng(3)
+    n = 600
+    pdf = pd.DataFrame({"a": rng.normal(1e6, 1, n), "b": rng.normal(0, 1, n), "c": np.full(n, 0.1), "d": np.full(n, np.nan)})
+    pdf["b"] += pdf["a"] - 1e6
+    pdf.loc[rng.random(n) < .3, "a"] = np.nan
+    pdf.loc[rng.random(n) < .2, "b"] = np.nan
+    df = spark.createDataFrame(pdf)
+    got = {(r["feature1"], r["feature2"]): (r["n"], r["r"]) for r in correlations(df, list("abcd")).collect()}
+    both = pdf[["a", "b"]].dropna()
+    assert len(got) == 6 and got["a", "b"][0] == len(both)
+    assert np.isclose(got["a", "b"][1], both["a"].corr(both["b"]), rtol=1e-9)
+    assert all(got[p][1] is None for p in got if p != ("a", "b")) and got["a", "d"][0] == 0
+    one = {(r["feature1"], r["feature2"]): (r["n"], r["r"]) for r in correlations(df, list("abcd"), against="b").collect()}
+    assert set(one) == {("a", "b"), ("b", "c"), ("b", "d")} and np.isclose(one["a", "b"][1], got["a", "b"][1], rtol=1e-12)
