@@ -126,7 +126,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= kk)
     named = top.join(pts.select("vid", "ids"), "vid").groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list(F.transform(
         "ids", lambda i: F.struct(F.col("dist").alias("dist"), i.alias("nid")))))).alias("cand"))
-    # back to every original row: the lookup side is unique per vector and salted when large
+    # back to every original row: the lookup side is unique per vector, hot vectors are split when it is large
     rows = lookup_join(qmap, lookup_join(qs, named, ["qid"]).select("vec", "cand"), ["vec"])
     others = F.filter("cand", lambda s: s["nid"] != F.col("id")) if exclude_self else F.col("cand")
     return rows.select("id", F.posexplode(F.slice(others, 1, k)).alias("pos", "s")).select(
@@ -137,15 +137,16 @@ def local_outlier_factor(points: DataFrame, k: int = 20) -> DataFrame:
     """(id, lof) by k-distance, reachability and local density over one neighbour table."""
     nb = cut(knn_join(points, points, k))
     kd = nb.groupBy(F.col("id").alias("nid")).agg(F.max("dist").alias("kdist"))
-    lrd = nb.join(kd, "nid").groupBy("id").agg((1 / (F.avg(F.greatest("dist", "kdist")) + 1e-10)).alias("lrd"))
+    lrd = lookup_join(nb, kd, ["nid"], "inner").groupBy("id").agg((1 / (F.avg(F.greatest("dist", "kdist")) + 1e-10)).alias("lrd"))
     far = lrd.select(F.col("id").alias("nid"), F.col("lrd").alias("nlrd"))
-    return nb.join(far, "nid").groupBy("id").agg(F.avg("nlrd").alias("m")).join(lrd, "id").select("id", (F.col("m") / F.col("lrd")).alias("lof"))
+    return lookup_join(nb, far, ["nid"], "inner").groupBy("id").agg(F.avg("nlrd").alias("m")).join(lrd, "id").select("id", (F.col("m") / F.col("lrd")).alias("lof"))
 
 
 def predict(queries: DataFrame, points: DataFrame, value: str, k: int = 5, kind: str = "classification", weights: str = "uniform",
             exclude_self: bool = False) -> DataFrame:
     """Majority vote (smaller class on ties) or mean of the ``k`` nearest points, optionally by inverse distance."""
-    nb = knn_join(queries, points, k, exclude_self).join(points.select(F.col("id").alias("nid"), F.col(value).alias("v")), "nid")
+    # copies of a vector all name the same neighbours, so these ids can be hot
+    nb = lookup_join(cut(knn_join(queries, points, k, exclude_self)), points.select(F.col("id").alias("nid"), F.col(value).alias("v")), ["nid"], "inner")
     w = 1 / (F.col("dist") + 1e-10) if weights == "distance" else F.lit(1.0)
     if kind == "regression":
         return nb.groupBy("id").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("yhat"))

@@ -91,7 +91,7 @@ def correlations(df: DataFrame, cols: Sequence[str], against: str | None = None)
     label = F.array(*map(F.lit, cols))
     return s.select(
         F.get(label, "i").alias("feature1"), F.get(label, "j").alias("feature2"), F.col("n").cast("bigint").alias("n"),
-        F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+        F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 @dataclass
