@@ -211,7 +211,8 @@ def cramers_v_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """The full per-column record: counts, moments, outliers, text facts (null where not applicable).
 
-    The table is read four times, whatever its width: three times for the exact quartiles of all columns, once for the
+    The table is read four times, whatever its width: three times for the exact quartiles of all columns (further
+    rounds where more than ``SETTLE`` rows lie between two cuts), once for the
     counts of every column's values, which give all the rest.  Power sums are taken about the median, which is at most one
     deviation from the mean, so nothing cancels.
     """
