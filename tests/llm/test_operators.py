@@ -500,3 +500,54 @@ def test_blocks_of_texts_have_the_ids_of_single_texts(monkeypatch):
         encode = tokens.Encoder(path, True, keep=20)
         assert encode.many(texts) == want and encode.many(texts[::-1]) == want[::-1]
     assert encode.many([]) == []
+
+
+# near copies of the pipeline
+def jaccard_components(texts, words=5, least=0.8):
+    """doc_id -> smallest doc_id reachable, by comparing all pairs of shingle sets."""
+    sets = {}
+    for d, t in texts:
+        own = brute.WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(own[i:i + words]) for i in range(len(own) - words + 1)} or ({tuple(own)} if own else set())
+    up = {d: d for d in sets}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if both >= least * either:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in ids}
+
+
+@pytest.mark.parametrize("per_member", [0, 8])
+def test_near_duplicates_stage_against_brute_jaccard(spark, small, odd, monkeypatch, per_member):
+    """Near copies many bits apart go, in chains, in dense groups and in groups below the limit; those below it stay."""
+    import corpus_pipeline
+    from assayer.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "PAIRS_PER_MEMBER", per_member)
+    rng = random.Random(4)
+    rows = []
+    for group, edits in enumerate([1, 3, 5, 6, 8, 12]):
+        text = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        for _ in range(8):
+            own = list(text)
+            for k in rng.sample(range(200), edits):
+                own[k] = f"x{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(own)))
+            if group % 2:
+                text = own
+    made = frame(spark, rows)
+    whole = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select(small.columns)
+    for df in (made, whole, small):
+        want = jaccard_components([(r["doc_id"], r["text"]) for r in df.collect()])
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == sorted({c for c in want.values()})
+    parts = jaccard_components(rows)
+    assert any(parts[d] != d and (brute.simhash(t, 5) ^ brute.simhash(dict(rows)[parts[d]], 5)).bit_count() > 4 for d, t in rows)
