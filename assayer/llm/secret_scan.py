@@ -114,9 +114,9 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
 
 
 def find(text: str, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans: lexed ones are added where no base span covers any of them."""
+    """Base spans, and all spans: lexed ones are added unless a base span covers them entirely."""
     base = base_spans(text)
-    added = [s for s in lexed_spans(text, threshold) if not any(s.start < b.end and b.start < s.end for b in base)]
+    added = [s for s in lexed_spans(text, threshold) if not any(b.start <= s.start and s.end <= b.end for b in base)]
     order = lambda s: (s.start, KINDS.index(s.kind), s.end)
     return sorted(base, key=order), sorted(base + added, key=order)
 

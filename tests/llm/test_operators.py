@@ -326,6 +326,17 @@ def test_redacted_keeps_columns_and_nulls(spark, odd):
     assert not any("hunter2" in (r["text"] or "") for r in out.collect()) and out.count() == odd.count()
 
 
+def test_no_part_of_a_literal_stays_beside_a_base_span(spark):
+    for literal in ("Tr0ub4dor&3xyz!long", "correct horse battery 42!", "Zq!7-" + "0a1b2c3d" * 4 + "-Yw?9"):
+        text = f'password = "{literal}"\nplain text stays'
+        base, every = secret_scan.find(text)
+        assert base == [s for s in every if s.kind != "literal"] and base
+        at = text.index(literal)
+        assert set(range(at, at + len(literal))) <= {k for s in every for k in range(s.start, s.end)}
+        assert secret_scan.redacted(frame(spark, [(1, text)])).first()["text"].endswith('[SECRET]"\nplain text stays')
+        assert secret_scan.redact(text, every).count("[SECRET]") == 1
+
+
 # 7 token counts
 def best_segmentation(word, scores, unknown):
     best = [(0.0, 0)] + [None] * len(word)
