@@ -40,9 +40,10 @@ _PAIR = re.compile(r"""
     (?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})(?P=q)          # name, quoted or not
     [\x20\t]*(?::=|=>|==?|:)[\x20\t]*                                   # := => = :
     (?:(?P<many>(?:(?:"[^"\n]*"|'[^'\n]*')(?:[\x20\t]*\+[\x20\t]*)?)+)  # one or more joined quoted literals
-      |(?P<bare>[A-Za-z0-9_./+=@:$%^&*~\-]{1,200}))""", re.X)
+      |(?P<bare>[A-Za-z0-9_./+=@:$%^&*~\-]+))""", re.X)
 _QUOTED = re.compile(r""""([^"\n]*)"|'([^'\n]*)'""")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*$")
+_PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -87,6 +88,12 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * min(1.0, n / 12) * (0.6 + 0.2 * min(classes, 3) - 0.2)
 
 
+def plain_name(value: str) -> bool:
+    """Whether a bare value reads as a variable's name: no digits but at the end of a part, and parts as long as words."""
+    pieces = _PIECES.findall(value)
+    return not re.search("[0-9]", re.sub("_[0-9]+(?=[_.]|$)", "", value)) and sum(map(len, pieces)) >= 3 * len(pieces)
+
+
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals whose names, their own or one they are passed on to, tell of a secret."""
     if "=" not in text and ":" not in text:
@@ -98,11 +105,11 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
         if m["many"] is not None:
             parts = [(q.start(1), q.end(1)) if q[1] is not None else (q.start(2), q.end(2)) for q in _QUOTED.finditer(text, *m.span("many"))]
             held = (parts, "".join(text[a:b] for a, b in parts))
-        elif _NAME.match(m["bare"]):
-            if m["bare"] not in literals:
-                literals.pop(name, None)
-                continue
+        elif m["bare"] in literals:
             held = literals[m["bare"]]
+        elif _NAME.match(m["bare"]) and (plain_name(m["bare"]) or text[m.end():m.end() + 1] in ("(", "[")):
+            literals.pop(name, None)
+            continue
         else:
             held = ([m.span("bare")], m["bare"])
         literals[name] = held

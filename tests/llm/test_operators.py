@@ -337,6 +337,22 @@ def test_no_part_of_a_literal_stays_beside_a_base_span(spark):
         assert secret_scan.redact(text, every).count("[SECRET]") == 1
 
 
+def test_bare_literals_are_whole():
+    rng = random.Random(9)
+    long = "eyJ" + "".join(rng.choice("abcXYZ019_.") for _ in range(400))
+    for name, value in (("DB_PASSPHRASE", "Xy7fGk29QwLmZ81v"), ("private_key", "Abc123xyz789Q"), ("db_pwd", "hunter2secret"), ("auth_token", long),
+                        ("DB_PWD", "7" + long), ("bearer", "QwErTyUiOpAsDf"), ("client_secret", long + "+/=")):
+        for text in (f"{name}={value}", f"a: 1\n{name}: {value}\nb: 2"):
+            every = secret_scan.find(text)[1]
+            at = text.index(value)
+            assert set(range(at, at + len(value))) <= {k for s in every for k in range(s.start, s.end)}, (name, value)
+            assert value[-6:] not in secret_scan.redact(text, every)
+    for text in ("db_pwd = user_input", "pwd = args.pwd_value", "passphrase = readPassphrase", "pwd = input_1", "pwd = decode64(x)", "pwd = row2[0]", "passphrase: none"):
+        assert not secret_scan.find(text)[1], text
+    text = 'Ab3 = "zz-77-QQ-kk"\nDB_PWD = Ab3\n'
+    assert [text[s.start:s.end] for s in secret_scan.find(text)[1]] == ["zz-77-QQ-kk"]
+
+
 # 7 token counts
 def best_segmentation(word, scores, unknown):
     best = [(0.0, 0)] + [None] * len(word)
