@@ -38,6 +38,9 @@ _WORDS_OUT = frozenset("ad ads adv advert adverts advertisement advertising adse
                        "masthead comment comments disqus replies respond reply share sharing social related recommended newsletter subscribe "
                        "signup login popup modal toolbar pagination pager skip form search".split())
 _ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXT = _HEADINGS | frozenset("p ul ol menu li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hgroup".split())
+_WHOLE = frozenset(("", "/html", "/html/body", "/body"))
 _MAIN_ROLES = frozenset(("main", "article"))
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -150,11 +153,21 @@ def _close(stack: list[tuple[str, str, int]], tags: tuple[str, ...], scope) -> N
             return
 
 
-def select(found: list[Block], width: float = 1.0, strict: float = 0.5) -> list[Block]:
-    """Blocks whose path's smoothed and fused ratio reaches the threshold, ``strict`` standard deviations of the page's ratios.
+def _container(path: str) -> str:
+    """The path of the element that holds a block's paragraph, heading, list or table."""
+    own = path.split("/")
+    while len(own) > 2 and own[-1].split(".")[0] in _TEXT:
+        own.pop()
+    return "/".join(own)
 
-    Blocks with prior -1 have ratio 0.  Where a page has an article or main element, only paths within it are candidates and
-    their prior puts them over the threshold; else the ratios decide alone.
+
+def select(found: list[Block], width: float = 1.0, strict: float = 0.5, outside: float = 0.25, share: float = 0.5) -> list[Block]:
+    """All blocks of the containers that the smoothed and fused ratios choose.
+
+    A container counts with the sum of its own blocks' ratios; one with a block that reaches the threshold, ``strict`` standard
+    deviations of the page's ratios, and with at least ``share`` of the largest sum is chosen.  Blocks with prior -1 never
+    count; where a page has an article or main element, ratios beside it are weighed by ``outside``.  Headings of what holds a
+    chosen container stay; of the body itself only what is not in another container.
     """
     open_blocks = [b for b in found if b.prior >= 0]
     if not open_blocks:
@@ -168,11 +181,23 @@ def select(found: list[Block], width: float = 1.0, strict: float = 0.5) -> list[
         s[2] += len(_PUNCTUATION.findall(b.text))
     length = [sums[b.path][1] / sums[b.path][0] for b in open_blocks]
     points = [(sums[b.path][2] + 0.1) / sums[b.path][0] for b in open_blocks]
-    ratio = [x * y for x, y in zip(_smooth(length, width), _smooth(points, width))]
+    ratio = [x * y * (outside if marked and b.prior < 1 else 1) for b, x, y in zip(open_blocks, _smooth(length, width), _smooth(points, width))]
     mean = sum(ratio) / len(ratio)
     limit = strict * math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    score = [0.0 if marked and b.prior < 1 else max(r, limit) if marked else r for b, r in zip(open_blocks, ratio)]
-    return [b for b, s in zip(open_blocks, score) if s >= limit and (s > 0 or not limit and (b.prior > 0 or not marked))]
+    held = [_container(b.path) for b in open_blocks]
+    mass: dict[str, float] = {}
+    for c, r in zip(held, ratio):
+        mass[c] = mass.get(c, 0.0) + r
+    least = share * max(mass.values())
+    chosen = {c for c, r in zip(held, ratio) if r >= limit and mass[c] >= least}
+    above = {c[:k] for c in chosen for k in range(len(c)) if c[k] == "/"}
+
+    def stays(path: str, own: str) -> bool:
+        if own in chosen or own in above and own not in _WHOLE and path.rsplit("/", 1)[1].split(".")[0] in _HEADINGS:
+            return True
+        return any(own.startswith(c + "/") for c in chosen if c not in _WHOLE)
+
+    return [b for b, c in zip(open_blocks, held) if stays(b.path, c)]
 
 
 def _smooth(values: list[float], width: float) -> list[float]:

@@ -471,6 +471,28 @@ def test_main_text(body, want):
     assert main_text.main_text(PAGE.replace("{}", body)) == want
 
 
+def test_unmarked_article_is_whole():
+    long = "A long paragraph of text, with commas, and points; it goes on, and on, so that its ratio is high."
+    parts = ["<h1>Head</h1>"] + [f"<p>{long} {k}</p>" for k in range(8)] + ["<h2>List</h2><ul>"] + [f"<li>item {k}" for k in range(8)] + ["</ul><h2>End</h2>"]
+    parts += [f"<p>{long} again {k}</p>" for k in range(3)]
+    got = main_text.main_text(PAGE.replace("{}", "<div id=content>" + "".join(parts) + "</div><div class=x9>Short, beside.</div>")).split("\n")
+    assert got == ["Head", *[f"{long} {k}" for k in range(8)], "List", *[f"item {k}" for k in range(8)], "End", *[f"{long} again {k}" for k in range(3)]]
+
+
+def test_ratios_decide_on_marked_pages_too():
+    long = "A long paragraph of text, with commas, and points; it goes on, and on, so that its ratio is high."
+    cards = "".join(f"<article><p>Card {k}</p></article>" for k in range(3))
+    got = main_text.main_text(PAGE.replace("{}", f"<div class=x1><h1>Head</h1><p>{long}</p><p>{long}</p><p>{long}</p></div><div class=x2>{cards}</div>"))
+    assert got == "\n".join(["Head", long, long, long])
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_given_pages_by_ratios(spark, tag):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        want = "\n".join(b.text for b in main_text.blocks(r["html"]) if b.prior > 0)
+        assert main_text.main_text(re.sub(r"(</?)article\b", rf"\1{tag}", r["html"])) == want
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     df = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame([(None, None, None), (1, "u", "")], "page_id long, url string, html string"))
