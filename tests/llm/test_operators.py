@@ -600,3 +600,12 @@ def test_near_duplicates_stage_against_brute_jaccard(spark, small, odd, monkeypa
         assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == sorted({c for c in want.values()})
     parts = jaccard_components(rows)
     assert any(parts[d] != d and (brute.simhash(t, 5) ^ brute.simhash(dict(rows)[parts[d]], 5)).bit_count() > 4 for d, t in rows)
+
+
+def test_near_duplicates_stage_keeps_a_row_of_each_component(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(3, b), (5, a), (5, b + " end"), (None, "alone here"), (None, "alone here"), (None, b)]
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect())
+    assert got == Counter([(3, b), (5, a), (None, "alone here")])
