@@ -153,7 +153,7 @@ def _linker(bits: int, most: int, small: int = 32):
             keys.append(key)
             fps.append(fp)
             held += len(key)
-            if held < max(BLOCK_ROWS, most + 1):
+            if held < BLOCK_ROWS:
                 continue
             key, fp = np.concatenate(keys), np.concatenate(fps)
             last = int(np.searchsorted(key, key[-1]))

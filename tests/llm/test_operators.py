@@ -609,3 +609,19 @@ def test_near_duplicates_stage_keeps_a_row_of_each_component(spark):
     rows = [(3, b), (5, a), (5, b + " end"), (None, "alone here"), (None, "alone here"), (None, b)]
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF).collect())
     assert got == Counter([(3, b), (5, a), (None, "alone here")])
+
+
+def test_linker_sends_links_before_its_input_ends(monkeypatch):
+    """Blocks end at key borders for an unbounded bucket size too, as in the second pass."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 100)
+    taken = []
+
+    def batches():
+        for k in range(50):
+            taken.append(k)
+            yield simhash.pa.RecordBatch.from_arrays([simhash.pa.array([k] * 30), simhash.pa.array([(k << 40) + (i % 2) for i in range(30)])], names=["key", "fp"])
+
+    out = simhash._linker(4, 1 << 40)(batches())
+    first = next(out)
+    assert len(taken) < 10
+    assert first.num_rows + sum(b.num_rows for b in out) == 50
