@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.llm import fingerprints, main_text, mixing, packing, quality_rules, secret_scan, simhash, token_counts, token_files, toxicity
+from assayer.llm import (centroid_clusters, conversation_repair, fingerprints, main_text, mixing, packing, personal_data, quality_rules,
+                         secret_scan, simhash, token_counts, token_files, toxicity)
 from assayer.llm.common import table
 
 MIX_EPOCHS = 1.0
 MIX_SEED = 42
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SEED = 40, 5, 2
 
 
 def vocabulary(name: str) -> str:
@@ -63,6 +65,18 @@ def op10_main_text(spark, sf):
     return main_text.extract(table(spark, sf, "pages"))
 
 
+def op11_conversation_repair(spark, sf):
+    return conversation_repair.repaired(table(spark, sf, "conversations"))
+
+
+def op12_centroid_clusters(spark, sf):
+    return centroid_clusters.cluster(table(spark, sf, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SEED)
+
+
+def op13_personal_data(spark, sf):
+    return personal_data.scan(table(spark, sf, "documents"))
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
 
@@ -71,7 +85,7 @@ def pipeline(spark, sf):
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_toxicity, op4_simhash_near_duplicates, op5_token_files,
                                    op6_secret_scan, op7_token_counts, op8_version_fingerprints, op9_quality_rules, op10_main_text,
-                                   pipeline)}
+                                   op11_conversation_repair, op12_centroid_clusters, op13_personal_data, pipeline)}
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
