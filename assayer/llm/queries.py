@@ -89,7 +89,32 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_toxi
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+
+
+def _clusters_sql() -> str:
+    """The rounds one after the other: each assigns every vector (a) and moves the centroids (c)."""
+    far = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    near = "SELECT r, min(struct_pack(d := {far}, c := c.c)) AS best FROM kept v, c{k} c GROUP BY r"
+    moved = """c{n} AS MATERIALIZED (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM (
+    SELECT a.best.c AS c, i, sum(q[i]) AS s, count(*) AS n FROM a{k} a JOIN kept USING (r), range(1, 65) AS t(i) GROUP BY 1, 2) GROUP BY c) m ON m.c = c.c)"""
+    rounds = ",\n".join(f"a{k} AS MATERIALIZED ({near.format(far=far, k=k)})" + (",\n" + moved.format(k=k, n=k + 1) if k < CLUSTER_ROUNDS else "")
+                        for k in range(CLUSTER_ROUNDS + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INTEGER) AS c, q FROM (
+    SELECT sha256('{CLUSTER_SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM kept ORDER BY h, q LIMIT {CLUSTERS})),
+{rounds}
+SELECT vec_id, a.best.c AS cluster, CAST(a.best.d AS BIGINT) AS distance, CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{CLUSTER_ROUNDS} a JOIN kept USING (r) JOIN c{CLUSTER_ROUNDS} c ON c.c = a.best.c"""
+
+
 SQL = {
+    "op12_centroid_clusters": _clusters_sql(),
     "op1_mix_sources": f"""
 WITH sizes AS (
   SELECT coalesce(source, '') AS s, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM documents GROUP BY 1),
