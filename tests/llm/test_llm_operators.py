@@ -520,8 +520,7 @@ def test_pipeline_against_brute_force(spark, small):
             want = {d for d, r in docs.items() if not (len(w := brute.WORD.findall(r["text"])) < 10 or 100 * brute.repeat_words(r["text"]) > 20 * len(w))}
             assert {r["doc_id"] for r in rows} == want
         elif name == "near_duplicates":
-            parts = brute.near_components({r["doc_id"]: r["text"] for r in before}, 5)
-            assert {r["doc_id"] for r in rows} == {d for d, (_, c) in parts.items() if c == d}
+            assert {r["doc_id"] for r in rows} == set(jaccard_components([(r["doc_id"], r["text"]) for r in before]).values())
         elif name == "secrets":
             assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before} and not any(brute.secrets(r["text"]) for r in rows)
         else:
@@ -575,13 +574,13 @@ def jaccard_components(texts, words=5, least=0.8):
     return {d: root(d) for d in ids}
 
 
-@pytest.mark.parametrize("per_member", [0, 8])
-def test_near_duplicates_stage_against_brute_jaccard(spark, small, odd, monkeypatch, per_member):
+@pytest.mark.parametrize("block", [2, 1024])
+def test_near_duplicates_stage_against_brute_jaccard(spark, small, odd, monkeypatch, block):
     """Near copies many bits apart go, in chains, in dense groups and in groups below the limit; those below it stay."""
     import corpus_pipeline
     from assayer.llm import near_copies
 
-    monkeypatch.setattr(near_copies, "PAIRS_PER_MEMBER", per_member)
+    monkeypatch.setattr(near_copies, "BLOCK_SETS", block)
     rng = random.Random(4)
     rows = []
     for group, edits in enumerate([1, 3, 5, 6, 8, 12]):
@@ -611,6 +610,27 @@ def test_near_duplicates_stage_keeps_a_row_of_each_component(spark):
     assert got == Counter([(3, b), (5, a), (None, "alone here")])
 
 
+def test_near_duplicates_stage_with_clashing_columns(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(60))
+    df = frame(spark, [(1, text), (2, text + " end"), (3, None), (4, "")], row=1, node="n", part=2, order=3, bands=4, size=5, key=6, doc=7, __node=8, __row=9)
+    df = df.withColumn("a.b", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    out = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert out.dtypes == df.dtypes and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+    assert corpus_pipeline.near_duplicates(spark, df.limit(0), SF).collect() == []
+
+
+def test_similar_sets_by_products():
+    from assayer.llm import near_copies
+
+    rng = random.Random(8)
+    sets = [np.array(sorted(rng.sample(range(12), rng.randrange(1, 12)))) for _ in range(90)]
+    for near, at in ((near_copies.similar(sets, 0.8), 0.8), (near_copies.similar(sets, 0.5), 0.5)):
+        want = [[len(set(a) & set(b)) >= at * len(set(a) | set(b)) for b in sets] for a in sets]
+        assert near.tolist() == want
+
+
 def test_linker_sends_links_before_its_input_ends(monkeypatch):
     """Blocks end at key borders for an unbounded bucket size too, as in the second pass."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 100)
