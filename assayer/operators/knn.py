@@ -1,14 +1,19 @@
 """Exact k-nearest-neighbour join and the operators built on it.
 
-Equal vectors are first reduced to one (with at most k+1 ids), so copies are compared once.  Vectors are spread
-over cells around hashed pivots; by the triangle inequality a query only visits cells that can hold one of its
-neighbours.  Large cells are cut into blocks and their queries into chunks, so every task compares two bounded
-blocks with numpy and returns k rows per query, never all pairs.
+Equal vectors are first reduced to one (with at most k+1 ids), so copies are compared once.  Points of a counted, small size
+are sent to all tasks, and each query is answered where it lies.  Beyond that size vectors are spread over cells around
+hashed pivots and the search takes two rounds: a query first meets its own cell, which gives its true k-th distance so far,
+and then, by the triangle inequality, only the cells that can hold anything nearer.  Large cells are cut into blocks and
+their queries into chunks, so every task compares two bounded blocks with numpy and returns k rows per query, never all
+pairs; the k best of all tasks are kept by a rank filter, which Spark applies before the shuffle too.
+
+A component may be missing (NaN).  Then only the components that a query has count, and only points that have all of them
+may answer; distances on fewer components are never larger, so the same pivots, cells and bounds hold for every pattern.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +27,14 @@ from assayer.plans.ordered import row_numbers
 from assayer.session import cut
 
 BLOCK = 20_000       # most points, and about as many queries, in one comparison task
+DIRECT = 20_000      # most points, and
+DIRECT_CELLS = 4_000_000  # most components of all points, that are sent to all tasks
 MAX_PIVOTS = 1_024   # pivots on the driver: at most this many vectors
+ROWS = 500           # queries compared at once
+
+#: Rows of the first matrix, slots, places in the second, distances of the k nearest; a slot is what is looked for.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Match = Callable[[np.ndarray, np.ndarray, np.ndarray, int], Iterator[Found]]
 
 
 def vectors(df: DataFrame, id_col: str, cols: Sequence[str] | str, keep: Sequence[str] = ()) -> DataFrame:
@@ -49,6 +61,23 @@ def _dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _known_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances on the components that a row of ``a`` has; ``b`` is whole."""
+    if not np.isnan(a).any():
+        return _dist(a, b)
+    out = np.empty((len(a), len(b)))
+    for mask, rows in _patterns(a):
+        out[rows] = _dist(a[rows][:, mask], b[:, mask])
+    return out
+
+
+def _patterns(a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each set of components that rows have (as a mask), and those rows."""
+    masks, which = np.unique(~np.isnan(a), axis=0, return_inverse=True)
+    for k, mask in enumerate(masks):
+        yield mask, np.flatnonzero(which.ravel() == k)
+
+
 def _smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and positions of the k nearest by (distance, id)."""
     for i, d in enumerate(dist):
@@ -56,74 +85,144 @@ def _smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int,
         yield i, pos[np.lexsort((ids[pos], d[pos]))][:k]
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """(id, nid, dist, rank) of the ``k`` nearest points of every query (both tables: id, vec); ties by smaller id."""
-    kk = k + 1 if exclude_self else k
-    pts = cut(_distinct(points, k))
-    # vectors of a query that is also a point are looked up once per distinct vector
-    qmap = queries.select("id", "vec")
-    qs = cut(qmap.groupBy("vec").agg(F.min("id").alias("qid")))
-    n = pts.count()
-    if n == 0:
-        return queries.sparkSession.createDataFrame([], "id bigint, nid bigint, dist double, rank int")
+def _gathered(dist: np.ndarray, ids: np.ndarray, k: int, rows: np.ndarray, places: np.ndarray, slot: int) -> Found:
+    at = list(_smallest(dist, ids, k))
+    size = np.array([len(p) for _, p in at], dtype=int)
+    pos = np.concatenate([p for _, p in at]) if at else np.zeros(0, dtype=int)
+    row = np.repeat(np.arange(len(at)), size)
+    return rows[row], np.full(len(row), slot), places[pos], dist[row, pos]
+
+
+def match_whole(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> Iterator[Found]:
+    """The k nearest rows of ``b`` to every row of ``a``."""
+    yield _gathered(_dist(a, b), ids, k, np.arange(len(a)), np.arange(len(b)), 0)
+
+
+def match_missing(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> Iterator[Found]:
+    """For every missing component (slot) of a row of ``a`` the k nearest rows of ``b`` that have it and all that the row has."""
+    have = ~np.isnan(b)
+    for mask, rows in _patterns(a):
+        if not mask.any():
+            continue
+        able = have[:, mask].all(axis=1)
+        for slot in np.flatnonzero(~mask):
+            places = np.flatnonzero(able & have[:, slot])
+            if len(places):
+                yield _gathered(_dist(a[rows][:, mask], b[places][:, mask]), ids[places], k, rows, places, int(slot))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def _search(qs: DataFrame, pts: DataFrame, n: int, kk: int, match: Match, block: int, seed: int) -> DataFrame:
+    """(qid, slot, vid, dist): the kk nearest of the ``n`` points (vid, vec, ids) for each slot of a query (qid, vec), in two rounds."""
     m = max(1, min(MAX_PIVOTS, n // max(1, block // 20)))
-    picked = pts.withColumn("h", unit_hash(["vid"], seed)).orderBy("h", "vid").limit(m).select("vec").collect()
+    whole = F.transform("vec", lambda x: F.nanvl(x, F.lit(0.0)))
+    picked = pts.withColumn("h", unit_hash(["vid"], seed)).orderBy("h", "vid").limit(m).select(whole.alias("vec")).collect()
     pivots = np.array([r["vec"] for r in picked], dtype=float)
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
-                d = _dist(np.stack(pdf["vec"].to_numpy()), pivots)
+                d = _known_dist(_matrix(pdf["vec"]), pivots)
                 c = d.argmin(axis=1)
-                yield pdf.assign(cell=c.astype("int32"), pd_=d[np.arange(len(c)), c])
+                yield pdf.assign(cell=c.astype("int32"), away=d[np.arange(len(c)), c])
 
-    placed = cut(pts.select("vid", "vec").mapInPandas(place, "vid bigint, vec array<double>, cell int, pd_ double"))
-    w = Window.partitionBy("cell").orderBy("pd_", "vid")
-    near = placed.select("cell", "pd_", "vid").withColumn("r", F.row_number().over(w)).where(F.col("r") <= kk).select("cell", "pd_").collect()
-    sizes = {r["cell"]: (r["n"], r["rad"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pd_").alias("rad")).collect()}
+    placed = cut(pts.select("vid", "vec").mapInPandas(place, "vid bigint, vec array<double>, cell int, away double"))
+    asking = cut(qs.select("qid", "vec").mapInPandas(place, "qid bigint, vec array<double>, cell int, away double").drop("away"))
+    sizes = {r["cell"]: (r["n"], r["rad"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("rad")).collect()}
     cells = np.array(sorted(sizes), dtype=int)
     radius = np.array([sizes[c][1] for c in cells])
-    close_cell = np.array([np.searchsorted(cells, r["cell"]) for r in near], dtype=int)
-    close_dist = np.array([r["pd_"] for r in near])
-    n_blocks = {c: max(1, -(-sizes[c][0] // block)) for c in sizes}
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": pd.Series(dtype="int64"), "slot": pd.Series(dtype="int32"), "vid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})]
+        if len(a) and len(b):
+            ids, bm = b["vid"].to_numpy(), _matrix(b["vec"])
+            for at in range(0, len(a), ROWS):
+                some = a.iloc[at:at + ROWS]
+                names, bound = some["qid"].to_numpy(), some["bound"].to_numpy()
+                for row, slot, pos, dist in match(_matrix(some["vec"]), bm, ids, kk):
+                    near = dist <= bound[row]
+                    out.append(pd.DataFrame({"qid": names[row[near]], "slot": slot[near].astype("int32"), "vid": ids[pos[near]], "dist": dist[near]}))
+        return pd.concat(out, ignore_index=True)
+
+    def met(asked: DataFrame) -> DataFrame:
+        """The kk nearest of the points in the cells that queries (qid, vec, bound, cell) name."""
+        n_asked = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        shape = qs.sparkSession.createDataFrame([(int(c), max(1, -(-sizes[c][0] // block)), max(1, -(-n_asked[c] // block))) for c in sizes if c in n_asked],
+                                                "cell int, nb int, nc int")
+        left = (asked.join(F.broadcast(shape), "cell").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("nc")).cast("int"))
+                .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("cell", "blk", "chunk", "qid", "vec", "bound"))
+        right = (placed.join(F.broadcast(shape), "cell").withColumn("blk", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int"))
+                 .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).select("cell", "blk", "chunk", "vid", "vec"))
+        keys = ["cell", "blk", "chunk"]
+        return best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "qid bigint, slot int, vid bigint, dist double"))
+
+    def best(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("qid", "slot").orderBy("dist", "vid")
+        return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= kk).drop("r")
+
+    own = cut(met(asking.withColumn("bound", F.lit(float("inf")))))
+    # A query's bound is the greatest k-th distance of its slots, infinite if its cell could not fill each of them.
+    slots = F.greatest(F.lit(1), F.size(F.filter("vec", F.isnan))) if match is match_missing else F.lit(1)
+    kth = own.groupBy("qid").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("found"))
+    bound = F.when(F.col("found") >= kk * slots, F.col("far")).otherwise(F.lit(float("inf")))
+    bounded = asking.join(kth, "qid", "left").select("qid", "vec", "cell", bound.alias("bound"))
 
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for at in range(0, len(pdf), 2000):
-                some = pdf.iloc[at:at + 2000]
-                d = _dist(np.stack(some["vec"].to_numpy()), pivots[cells])
-                upper = d[:, close_cell] + close_dist  # every point is at most this far away
-                bound = np.partition(upper, kk - 1, axis=1)[:, kk - 1] if upper.shape[1] >= kk else np.full(len(some), np.inf)
-                q, c = np.nonzero(d - radius <= bound[:, None] * (1 + 1e-9) + 1e-12)
-                yield pd.DataFrame({"qid": some["qid"].to_numpy()[q], "vec": some["vec"].to_numpy()[q], "cell": cells[c].astype("int32")})
-
-    routed = cut(qs.select("qid", "vec").mapInPandas(route, "qid bigint, vec array<double>, cell int"))
-    asked = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_chunks = {c: max(1, -(-asked.get(c, 0) // block)) for c in sizes}
-    spark = queries.sparkSession
-    shape = spark.createDataFrame([(int(c), int(n_blocks[c]), int(n_chunks[c])) for c in sizes], "cell int, nb int, nc int")
-    left = (routed.join(F.broadcast(shape), "cell")
-            .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("nc")).cast("int"))
-            .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("cell", "blk", "chunk", "qid", "vec"))
-    right = (placed.join(F.broadcast(shape), "cell")
-             .withColumn("blk", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int"))
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).select("cell", "blk", "chunk", "vid", "vec"))
+            for at in range(0, len(pdf), ROWS):
+                some = pdf.iloc[at:at + ROWS]
+                least = _known_dist(_matrix(some["vec"]), pivots[cells]) - radius
+                ask = (least <= some["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12) & (cells[None, :] != some["cell"].to_numpy()[:, None])
+                yield some.assign(cells=[cells[r].astype("int32") for r in ask]).drop(columns="cell")
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "vid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        ids, bm, q, v, ds = b["vid"].to_numpy(), np.stack(b["vec"].to_numpy()), [], [], []
-        for at in range(0, len(a), 500):
-            some = a.iloc[at:at + 500]
-            d, names = _dist(np.stack(some["vec"].to_numpy()), bm), some["qid"].to_numpy()
-            for i, pos in _smallest(d, ids, kk):
-                q.append(np.full(len(pos), names[i])), v.append(ids[pos]), ds.append(d[i, pos])
-        return pd.DataFrame({"qid": np.concatenate(q), "vid": np.concatenate(v), "dist": np.concatenate(ds)})
-
-    keys = ["cell", "blk", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "qid bigint, vid bigint, dist double")
-    best = Window.partitionBy("qid").orderBy("dist", "vid")
-    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= kk)
+    # One row a query; a vector is copied to its cells in the shuffle only.
+    routed = bounded.mapInPandas(route, "qid bigint, vec array<double>, bound double, cells array<int>")
+    return best(own.unionByName(met(routed.select("qid", "vec", "bound", F.explode("cells").alias("cell")))))
+
+
+def _sent(pts: DataFrame, n: int, direct: int) -> tuple | None:
+    """(vids, matrix, ids) of points of a small size on the driver, to be sent to all tasks; else None."""
+    if n > direct or n and n * (pts.select(F.size("vec")).first()[0]) > DIRECT_CELLS:
+        return None
+    rows = sorted((r["vid"], r["vec"], r["ids"]) for r in pts.collect())
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), [r[2] for r in rows]
+
+
+def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = True, block: int = BLOCK, seed: int = 42,
+             direct: int = DIRECT) -> DataFrame:
+    """(id, nid, dist, rank) of the ``k`` nearest points of every query (both tables: id, vec); ties by smaller id."""
+    kk = k + 1 if exclude_self else k
+    pts = cut(_distinct(points, k))
+    n = pts.count()
+    if n == 0:
+        return queries.sparkSession.createDataFrame([], "id bigint, nid bigint, dist double, rank int")
+    sent = _sent(pts, n, direct)
+    if sent is not None:
+        held = queries.sparkSession.sparkContext.broadcast(sent)
+
+        def answer(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            vids, matrix, ids = held.value
+            for pdf in parts:
+                for at in range(0, len(pdf), ROWS):
+                    some, out = pdf.iloc[at:at + ROWS], []
+                    names = some["id"].to_numpy()
+                    for row, _, pos, dist in match_whole(_matrix(some["vec"]), matrix, vids, kk):
+                        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                        for a, b in zip(starts, np.r_[starts[1:], len(row)]):
+                            own = sorted((d, i) for p, d in zip(pos[a:b].tolist(), dist[a:b].tolist()) for i in ids[p]
+                                         if not exclude_self or i != names[row[a]])[:k]
+                            out += [(names[row[a]], i, d, r) for r, (d, i) in enumerate(own, 1)]
+                    yield pd.DataFrame(out, columns=["id", "nid", "dist", "rank"])
+
+        spread = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return queries.select("id", "vec").repartition(spread, "id").mapInPandas(answer, "id bigint, nid bigint, dist double, rank int")
+    # vectors of a query that is also a point are looked up once per distinct vector
+    qmap = queries.select("id", "vec")
+    qs = cut(qmap.groupBy("vec").agg(F.min("id").alias("qid")))
+    top = _search(qs, pts, n, kk, match_whole, block, seed)
     named = top.join(pts.select("vid", "ids"), "vid").groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list(F.transform(
         "ids", lambda i: F.struct(F.col("dist").alias("dist"), i.alias("nid")))))).alias("cand"))
     # back to every original row: the lookup side is unique per vector, hot vectors are split when it is large
@@ -154,34 +253,66 @@ def predict(queries: DataFrame, points: DataFrame, value: str, k: int = 5, kind:
     return votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "v")).alias("m")).select("id", F.col("m.v").alias("yhat"))
 
 
-def impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+def impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None, k: int = 5, block: int = BLOCK, seed: int = 42,
+           direct: int = DIRECT) -> DataFrame:
     """Fill every numeric column with the mean of the ``k`` nearest rows that have a value.
 
-    Rows are handled per pattern of missing columns: distance over the columns present in the pattern.
+    Distance is over the columns that the row has, donors have all of them and the column; a row without any gets the mean
+    of all values.  One index serves all patterns of missing columns, so the number of jobs does not depend on them.
     """
     cols = [c for c in numeric_columns(df, cols) if c != id_col]
-    df = cut(df)
-    mask = F.concat(*[F.when(as_col(c).isNull(), "1").otherwise("0") for c in cols])
-    patterns = [r[0] for r in df.select(mask.alias("p")).distinct().collect()]
-    fills = []
-    for p in patterns:
-        present = [c for c, bit in zip(cols, p) if bit == "0"]
-        for c in [c for c, bit in zip(cols, p) if bit == "1"]:
-            rows = df.where(mask == p)
-            donors = df.where(as_col(c).isNotNull())
-            if not present:
-                fills.append(rows.select(as_col(id_col).alias("id"), F.lit(c).alias("col")).crossJoin(F.broadcast(donors.agg(F.avg(c).alias("yhat")))))
-                continue
-            got = predict(vectors(rows, id_col, present), vectors(donors, id_col, present, [c]), c, k, "regression")
-            fills.append(got.select("id", F.lit(c).alias("col"), "yhat"))
-    if not fills:
+    if not cols:
         return df
-    long = fills[0]
-    for f in fills[1:]:
-        long = long.unionByName(f)
-    wide = long.groupBy("id").pivot("col", cols).agg(F.first("yhat")).select(F.col("id").alias("__id"), *[as_col(c).alias(f"__f_{c}") for c in cols])
-    return df.join(wide, as_col(id_col) == F.col("__id"), "left").select(
-        *[F.coalesce(as_col(c), F.col(f"__f_{c}")).alias(c) if c in cols else as_col(c) for c in df.columns])
+    df = cut(df)
+    vec = F.array(*[F.coalesce(number(c, dtype(df, c)), F.lit(float("nan"))) for c in cols])
+    rows = df.select(as_col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
+    gaps = F.size(F.filter("vec", F.isnan))
+    asking = rows.where((gaps > 0) & (gaps < len(cols)))
+    pts = cut(_distinct(rows.where(gaps < len(cols)), k))
+    n = pts.count()
+    means = df.agg(*[F.avg(number(c, dtype(df, c))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    fills = None
+    if n:
+        sent = _sent(pts, n, direct)
+        if sent is not None:
+            held = df.sparkSession.sparkContext.broadcast(sent)
+
+            def answer(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                vids, matrix, ids = held.value
+                for pdf in parts:
+                    for at in range(0, len(pdf), ROWS):
+                        some = pdf.iloc[at:at + ROWS]
+                        whole = _matrix(some["vec"])
+                        for row, slot, pos, dist in match_missing(_matrix(some["vec"]), matrix, vids, k):
+                            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                            for a, b in zip(starts, np.r_[starts[1:], len(row)]):
+                                own = sorted((d, i, p) for p, d in zip(pos[a:b].tolist(), dist[a:b].tolist()) for i in ids[p])[:k]
+                                whole[row[a], slot[a]] = np.mean([matrix[p, slot[a]] for *_, p in own])
+                        yield pd.DataFrame({"id": some["id"], "fill": list(whole)})
+
+            spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            fills = asking.repartition(spread, "id").mapInPandas(answer, "id bigint, fill array<double>")
+        else:
+            qs = cut(asking.groupBy("vec").agg(F.min("id").alias("qid")))
+            top = _search(qs, pts, n, k, match_missing, block, seed)
+            near = top.join(pts.select("vid", "ids", F.col("vec").alias("other")), "vid").groupBy("qid", "slot").agg(
+                F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(
+                    F.col("dist").alias("dist"), i.alias("nid"), F.get("other", F.col("slot")).alias("v")))))), 1, k).alias("near"))
+            mean = F.aggregate("near", F.lit(0.0), lambda a, x: a + x["v"]) / F.size("near")
+            filled = near.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("slot", mean.alias("v")))).alias("found"))
+            each = lookup_join(qs, filled, ["qid"]).select("vec", F.transform(F.col("vec"), lambda x, i: F.when(
+                F.isnan(x), F.element_at(F.col("found"), i)).otherwise(x)).alias("fill"))
+            fills = lookup_join(asking, each, ["vec"]).select("id", "fill")
+    out = df if fills is None else df.join(fills.select(F.col("id").alias("__id"), F.col("fill").alias("__fill")), as_col(id_col) == F.col("__id"), "left")
+    at = {c: i for i, c in enumerate(cols)}
+    alone = ~F.coalesce(*[number(c, dtype(df, c)) for c in cols]).isNotNull()
+
+    def value(c: str) -> Column:
+        own = number(c, dtype(df, c))
+        near = F.lit(None).cast("double") if fills is None else F.get("__fill", F.lit(at[c]))
+        return F.coalesce(own, F.when(~F.isnan(near), near), F.when(alone, F.lit(means[f"m{at[c]}"]))).alias(c)
+
+    return out.select(*[value(c) if c in at else as_col(c) for c in df.columns])
 
 
 def smote(points: DataFrame, label: str, minority, k: int = 5, variant: str = "smote", seed: int = 42) -> DataFrame:
@@ -196,7 +327,7 @@ def smote(points: DataFrame, label: str, minority, k: int = 5, variant: str = "s
     need = sizes["hi"] - sizes["lo"]
     seeds = mine.select("id", "vec")
     if variant != "smote":
-        around = knn_join(mine.select("id", "vec"), pts.select("id", "vec"), 2 * k).join(pts.select(F.col("id").alias("nid"), "label"), "nid")
+        around = lookup_join(knn_join(mine.select("id", "vec"), pts.select("id", "vec"), 2 * k), pts.select(F.col("id").alias("nid"), "label"), ["nid"], "inner")
         risk = around.groupBy("id").agg(F.avg((F.col("label") != minority).cast("double")).alias("risk"))
         kept = risk.where((F.col("risk") >= .5) & (F.col("risk") < 1)) if variant == "borderline" else risk.where("risk > 0")
         seeds = seeds.join(kept, "id")
@@ -214,7 +345,7 @@ def smote(points: DataFrame, label: str, minority, k: int = 5, variant: str = "s
     nb = knn_join(mine.select("id", "vec"), mine.select("id", "vec"), k).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "nid"))).alias("near"))
     plan = seeds.where("copies > 0").select("id", "vec", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).join(nb, "id")
     pick = (F.floor(unit_hash(["id", "copy"], f"{seed}-n") * F.size("near")) + 1).cast("int")
-    plan = plan.withColumn("nid", F.element_at("near", pick)["nid"]).join(mine.select(F.col("id").alias("nid"), F.col("vec").alias("other")), "nid")
+    plan = lookup_join(plan.withColumn("nid", F.element_at("near", pick)["nid"]), mine.select(F.col("id").alias("nid"), F.col("vec").alias("other")), ["nid"], "inner")
     u = unit_hash(["id", "copy"], f"{seed}-u")
     made = plan.withColumn("u", u).select("id", F.zip_with("vec", "other", lambda a, b: a + F.col("u") * (b - a)).alias("vec"),
                                           F.lit(minority).alias("label"), F.lit(True).alias("synthetic"))
@@ -227,7 +358,7 @@ def tomek(points: DataFrame, label: str, majority) -> DataFrame:
     back = nb.select(F.col("id").alias("nid"), F.col("nid").alias("id"))
     pairs = nb.join(back, ["id", "nid"])
     lab = points.select("id", as_col(label).alias("a"))
-    drop = (pairs.join(lab, "id").join(lab.select(F.col("id").alias("nid"), F.col("a").alias("b")), "nid")
+    drop = (lookup_join(pairs.join(lab, "id"), lab.select(F.col("id").alias("nid"), F.col("a").alias("b")), ["nid"], "inner")
             .where((F.col("a") != F.col("b")) & (F.col("a") == majority)).select("id"))
     return points.join(drop, "id", "left_anti")
 

@@ -116,15 +116,15 @@ def _brute(x, ids, k):
     return out
 
 
-@pytest.mark.parametrize("block", [15, 60, 20_000])
-def test_knn_matches_brute_force_with_copies(spark, block):
+@pytest.mark.parametrize("block, direct", [(15, 0), (60, 0), (20_000, 20_000)])
+def test_knn_matches_brute_force_with_copies(spark, block, direct):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(240, 3)).round(1)
     x[:80] = x[0]  # a third of the rows are copies of one vector
     ids = np.arange(240)
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id bigint, vec array<double>")
     got = {}
-    for r in N.knn_join(df, df, 4, block=block).collect():
+    for r in N.knn_join(df, df, 4, block=block, direct=direct).collect():
         got.setdefault(r["id"], []).append((r["dist"], r["nid"]))
     want = _brute(x, ids, 4)
     for i, nearest in want.items():  # equal distances may differ in the last bit, so distances are compared
@@ -132,6 +132,45 @@ def test_knn_matches_brute_force_with_copies(spark, block):
         assert np.allclose([d for d, _ in sorted(got[i])], [d for d, _ in nearest])
 
 
+@pytest.mark.parametrize("block, direct", [(12, 0), (20_000, 20_000)])
+def test_knn_imputation_of_many_patterns(spark, block, direct):
+    """All patterns of five incomplete columns against brute force, with copies and a row that has nothing."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 9, (150, 5)).astype(float) + rng.normal(0, .01, (150, 5))
+    x[100:130] = x[100]
+    x[rng.random(x.shape) < .25] = np.nan
+    x[140] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double, e double")
+    got = {r["id"]: np.array(r[1:], dtype=float) for r in N.impute(df, "id", list("abcde"), 4, block=block, direct=direct).collect()}
+    assert len(got) == 150
+    for i, r in enumerate(x):
+        has = ~np.isnan(r)
+        for c in range(5):
+            if has[c]:
+                want = r[c]
+            else:
+                able = [j for j in range(150) if not np.isnan(x[j, c]) and not np.isnan(x[j, has]).any()]
+                near = sorted((np.sqrt(((x[j, has] - r[has]) ** 2).sum()), j) for j in able)[:4 if has.any() else None]
+                want = np.mean([x[j, c] for _, j in near]) if near else np.nan
+            assert np.isclose(got[i][c], want, equal_nan=True), (i, c)
+
+
+def test_knn_imputation_starts_as_many_jobs_for_many_patterns(spark):
+    def jobs(cols):
+        rng, sc = np.random.default_rng(1), spark.sparkContext
+        x = rng.normal(size=(60, 5))
+        x[:, :cols][rng.random((60, cols)) < .3] = np.nan
+        df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id bigint, a double, b double, c double, d double, e double")
+        sc.setJobGroup(f"knn{cols}", "impute")
+        N.impute(df, "id", list("abcde")).count()
+        n = len(sc.statusTracker().getJobIdsForGroup(f"knn{cols}"))
+        sc.setJobGroup("other", "other")
+        return n
+
+    assert jobs(1) == jobs(5)
+
+
 def test_smote_balances_and_tomek_only_drops_majority(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(0, 1, (60, 2)), rng.normal(1.5, 1, (20, 2))])
