@@ -1,4 +1,8 @@
-"""Least squares from one cross-product pass: tasks send a p x p block, the driver solves p equations."""
+"""Least squares from one cross-product pass: tasks send packed tiles of the products, the driver solves p equations.
+
+A task sends one binary value for each tile of TILE x TILE columns, whatever the number of rows or cells.  Tiles are added by a
+tree: FAN tasks' tiles in one place first, each added up as it streams in, then the rest.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,9 @@ from pyspark.sql import functions as F
 from assayer.functions.values import number
 from assayer.plans.columns import dtype
 
+TILE = 256
+FAN = 64
+SMALL = 64  # columns whose products take a few pages only
 MAX_FEATURES = 2000  # the driver solves as many equations; 32 MB of products per task
 
 
@@ -21,8 +28,51 @@ def complete(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Da
     return df.select(*keep, *[number(c, dtype(df, c)).alias(c) for c in cols if c not in keep]).dropna(subset=list(cols))
 
 
-def cross_products(df: DataFrame, cols: Sequence[str], shift: Sequence[float] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, sums, X'X) of the columns after subtracting ``shift``; one row per cell of the upper triangle and task is shuffled."""
+_CELLS = "i int, j int, at int, v binary"
+
+
+def _tiles(p: int, tile: int = TILE) -> list[tuple[int, int]]:
+    """First rows and columns of the tiles of an upper triangle."""
+    return [(i, j) for i in range(0, p, tile) for j in range(i, p, tile)]
+
+
+def _packed(at: int, cells: Sequence[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame([(i, j, at, np.ascontiguousarray(v).tobytes()) for i, j, v in cells], columns=["i", "j", "at", "v"]).astype(
+        {"i": "int32", "j": "int32", "at": "int32"})
+
+
+def _added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of the tiles of equal (i, j, at); rows come sorted, so one sum is held."""
+    key, total = None, None
+    for pdf in parts:
+        for i, j, at, v in pdf.itertuples(index=False):
+            if (i, j, at) != key:
+                if key is not None:
+                    yield _packed(key[2], [(key[0], key[1], total)])
+                key, total = (i, j, at), np.zeros(len(v) // 8)
+            total += np.frombuffer(v)
+    if key is not None:
+        yield _packed(key[2], [(key[0], key[1], total)])
+
+
+def _summed(tiles: DataFrame, p: int, fan: int = FAN) -> DataFrame:
+    """(i, j, at, v) with one row for each tile; products of a few columns are added in one step."""
+    first = [] if p <= SMALL and fan == FAN else [F.floor(F.col("at") / fan).cast("int")]
+    for at in (*first, F.lit(0)):
+        keyed = tiles.withColumn("at", at).repartition("i", "j", "at").sortWithinPartitions("i", "j", "at")
+        tiles = keyed.mapInPandas(_added, _CELLS)
+    return tiles
+
+
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def cross_products(df: DataFrame, cols: Sequence[str], shift: Sequence[float] | None = None, tile: int = TILE,
+                   fan: int = FAN) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, sums, X'X) of the columns after subtracting ``shift``."""
     p = len(cols)
     base = np.zeros(p) if shift is None else np.asarray(shift, dtype=float)
 
@@ -31,60 +81,69 @@ def cross_products(df: DataFrame, cols: Sequence[str], shift: Sequence[float] |
         for pdf in parts:
             x = pdf.to_numpy(dtype=float) - base
             n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
-        i, j = np.triu_indices(p)
-        cells = [pd.DataFrame({"i": i, "j": j, "v": g[i, j]}),
-                 pd.DataFrame({"i": np.arange(p), "j": -1, "v": s}), pd.DataFrame({"i": [-1], "j": [-1], "v": [float(n)]})]
-        yield pd.concat(cells).astype({"i": "int32", "j": "int32", "v": "float64"})
+        if n:
+            yield _packed(_task(), [(-1, -1, np.append(s, n)), *[(i, j, g[i:i + tile, j:j + tile]) for i, j in _tiles(p, tile)]])
 
-    rows = df.select(*cols).mapInPandas(block, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     n, s, g = 0, np.zeros(p), np.zeros((p, p))
-    for r in rows:
-        if r["i"] < 0:
-            n = int(r["v"])
-        elif r["j"] < 0:
-            s[r["i"]] = r["v"]
+    for r in _summed(df.select(*cols).mapInPandas(block, _CELLS), p, fan).collect():
+        v, i, j = np.frombuffer(bytes(r["v"])), r["i"], r["j"]
+        if i < 0:
+            n, s = int(v[-1]), v[:-1].copy()
         else:
-            g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["v"]
+            part = v.reshape(min(tile, p - i), -1)
+            g[i:i + tile, j:j + tile] = part
+            g[j:j + tile, i:i + tile] = part.T
     return n, s, g
 
 
-def correlations(df: DataFrame, cols: Sequence[str], against: str | None = None) -> DataFrame:
+def correlations(df: DataFrame, cols: Sequence[str], against: str | None = None, tile: int = TILE, fan: int = FAN) -> DataFrame:
     """(feature1, feature2, n, r): Pearson r of every pair, or of every column with ``against``, over the rows that have both.
 
-    One pass of matrix products: a task sends a row per pair, whatever the number of rows.  Values are taken about an approximate
-    median, which is a value of the column near its mean; a side without spread has no r.
+    One pass of matrix products: a task sends a value per tile of pairs, whatever the number of rows.  Values are taken about an
+    approximate median, which is a value of the column near its mean; a side without spread has no r.
     """
     from assayer.plans.quantiles import sketch
 
     cols = list(cols)
+    p = len(cols)
     d = df.select(*[number(c, dtype(df, c)).alias(f"q{i}") for i, c in enumerate(cols)])
-    mids = sketch(d, {i: (F.col(f"q{i}"), [.5]) for i in range(len(cols))}, 200)
+    mids = sketch(d, {i: (F.col(f"q{i}"), [.5]) for i in range(p)}, 200)
     mid = np.array([m["g"][0] if m["g"] and np.isfinite(m["g"][0]) else 0.0 for m in mids.values()])
-    i, j = np.triu_indices(len(cols), 1)
-    if against is not None:
-        t = cols.index(against)
-        i, j = i[(i == t) | (j == t)], j[(i == t) | (j == t)]
+    t = None if against is None else cols.index(against)
     names = ["n", "si", "sj", "qi", "qj", "g"]
 
     def block(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((6, len(i)))
+        out = np.zeros((4, p, p)) if t is None else np.zeros((6, p))
         for pdf in parts:
             x = pdf.to_numpy(dtype=float) - mid
             has = (~np.isnan(x)).astype(float)
             x = np.where(has > 0, x, 0.0)
             with np.errstate(invalid="ignore", over="ignore"):
-                if against is None:
-                    sums, squares = x.T @ has, (x * x).T @ has
-                    out += np.stack([(has.T @ has)[i, j], sums[i, j], sums[j, i], squares[i, j], squares[j, i], (x.T @ x)[i, j]])
+                if t is None:
+                    out += np.stack([has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x])
+                else:
+                    u, own = x[:, t], has[:, t]
+                    out += np.stack([has.T @ own, x.T @ own, has.T @ u, (x * x).T @ own, has.T @ (u * u), x.T @ u])
+        if t is not None:
+            yield _packed(_task(), [(-1, -1, out)])
+            return
+        n, s, q, g = out
+        yield _packed(_task(), [(i, j, np.stack([n[i:i + tile, j:j + tile], s[i:i + tile, j:j + tile], s[j:j + tile, i:i + tile].T,
+                                                  q[i:i + tile, j:j + tile], q[j:j + tile, i:i + tile].T, g[i:i + tile, j:j + tile]])) for i, j in _tiles(p, tile)])
+
+    def pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for i, j, _, v in pdf.itertuples(index=False):
+                v = np.frombuffer(v).reshape(6, -1)
+                if t is not None:
+                    a, b, keep = np.minimum(np.arange(p), t), np.maximum(np.arange(p), t), np.arange(p) != t
                 else:
-                    for k, (a, b) in enumerate(zip(i, j)):
-                        both = has[:, a] * has[:, b]
-                        u, v = x[:, a] * both, x[:, b] * both
-                        out[:, k] += (both.sum(), u.sum(), v.sum(), u @ u, v @ v, u @ v)
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), **dict(zip(names, out))})
-
-    cells = d.mapInPandas(block, "i int, j int, " + ", ".join(f"{c} double" for c in names))
-    s = cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+                    a, b = np.indices((min(tile, p - i), min(tile, p - j))).reshape(2, -1)
+                    a, b = a + i, b + j
+                    keep = a < b
+                yield pd.DataFrame({"i": a[keep].astype("int32"), "j": b[keep].astype("int32"), **{c: x[keep] for c, x in zip(names, v)}})
+
+    s = _summed(d.mapInPandas(block, _CELLS), p, fan).mapInPandas(pairs, "i int, j int, " + ", ".join(f"{c} double" for c in names))
     n = F.nullif(F.col("n"), F.lit(0.0))
     spread = lambda q, t: F.when(F.col(q) - F.col(t) * F.col(t) / n > 1e-13 * F.col(q), F.col(q) - F.col(t) * F.col(t) / n)
     r = F.try_divide(F.col("g") - F.col("si") * F.col("sj") / n, F.sqrt(spread("qi", "si")) * F.sqrt(spread("qj", "sj")))

@@ -163,3 +163,35 @@ def test_correlations_over_the_rows_that_have_both(spark):
     assert all(got[p][1] is None for p in got if p != ("a", "b")) and got["a", "d"][0] == 0
     one = {(r["feature1"], r["feature2"]): (r["n"], r["r"]) for r in correlations(df, list("abcd"), against="b").collect()}
     assert set(one) == {("a", "b"), ("b", "c"), ("b", "d")} and np.isclose(one["a", "b"][1], got["a", "b"][1], rtol=1e-12)
+
+
+def test_products_in_tiles_match_numpy(spark):
+    """Tiles smaller than the table's width, some not square, missing values, more tasks than meet at once."""
+    from assayer.plans import gram
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 7)) @ rng.normal(size=(7, 7))
+    cols = [f"c{i}" for i in range(7)]
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"{c} double" for c in cols)).repartition(9)
+    n, s, g = gram.cross_products(df, cols, [1.0] * 7, tile=3, fan=2)
+    assert n == 200 and np.allclose(s, (x - 1).sum(axis=0)) and np.allclose(g, (x - 1).T @ (x - 1))
+    holes = x.copy()
+    holes[rng.random(x.shape) < .1] = np.nan
+    want = pd.DataFrame(holes, columns=cols).corr()
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in holes], ", ".join(f"{c} double" for c in cols)).repartition(9)
+    got = {(r["feature1"], r["feature2"]): r["r"] for r in gram.correlations(df, cols, None, 3, 2).collect()}
+    assert len(got) == 21 and all(np.isclose(v, want.loc[a, b]) for (a, b), v in got.items())
+    one = {(r["feature1"], r["feature2"]): r["r"] for r in gram.correlations(df, cols, "c4").collect()}
+    assert len(one) == 6 and all(np.isclose(v, got[k]) for k, v in one.items())
+
+
+def test_wide_products_send_a_row_per_tile(spark):
+    from assayer.plans import gram
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 600))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(4)
+    df = df.select(*[F.get("v", F.lit(i)).alias(f"c{i}") for i in range(600)])
+    assert len(gram._tiles(600)) == 6 and len(gram._tiles(2000)) == 36
+    n, s, g = gram.cross_products(df, df.columns)
+    assert n == 40 and np.allclose(g, x.T @ x)
