@@ -149,7 +149,9 @@ def _ranks(df, wanted, accuracy, settle, exact_ranks=None):
             picked = " OR ".join(f"(k = {k} AND c - m <= {r - key[3]} AND c > {r - key[3]})"
                                  for k, key in enumerate(keys) for r in small[key])
             w = Window.partitionBy("k").orderBy("v")
-            hits = (d.where(" OR ".join(within)).selectExpr(f"inline(array_compact(array({pairs})))")
+            # a generator computes the values once, however often the conditions name them
+            held = d.select(F.inline(F.array(F.struct(*[f"q{i}" for i in sorted({k[0] for k in keys})]))))
+            hits = (held.where(" OR ".join(within)).selectExpr(f"inline(array_compact(array({pairs})))")
                     .groupBy("k", "v").agg(F.count(F.lit(1)).alias("m"))
                     .withColumn("c", F.sum("m").over(w)).where(picked).collect())
             for h in hits:

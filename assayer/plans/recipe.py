@@ -86,7 +86,8 @@ def _scalars(df: DataFrame, recipe: Recipe) -> DataFrame:
 
 def apply_recipe(df: DataFrame, recipe: Recipe, order_by: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
     """Run a recipe on a table; position-based imputation needs ``order_by``."""
-    df = _scalars(df, recipe)
+    # Fits read the table again and again: the scalar steps are run once and cut, and never copied into a fit's expressions.
+    df = cut(_scalars(df, recipe))
     for method, cols in _groups(recipe, df.columns, lambda r: r.impute).items():
         if method in ("forward_fill", "backward_fill", "interpolate"):
             for c in cols:
