@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from assayer.catalog.fixtures import load, per_column, r, rounded, view, with_views
 from assayer.catalog.profiling import CT_ALL, CT_TXT, LI_NUM
 from assayer.operators import infer as I
@@ -72,7 +74,15 @@ ADVICE = """concat_ws(',', CASE WHEN confidence < 0.4 THEN 'review_low_confidenc
     WHEN 'datetime' THEN 'extract_temporal_features' WHEN 'numeric' THEN CASE WHEN original_type = 'text' THEN 'convert_to_number' END
     WHEN 'categorical' THEN CASE WHEN u > 20 THEN 'encode_high_cardinality' ELSE 'encode_categorical' END WHEN 'text' THEN 'preprocess_text' END,
     CASE WHEN 1 - non_null * 1.0 / n_rows > 0.1 THEN 'handle_missing_values' END)"""
-INFER = f"SELECT column_name, original_type, inferred_type, CAST(confidence AS DOUBLE) AS confidence, n_rows, non_null, u AS unique_count, {ADVICE} AS advice FROM ({DECIDED})"
+DETECTED = """concat_ws(',', CASE WHEN non_null = 0 THEN 'all_null' END, CASE WHEN dp > 0 THEN 'datetime_pattern' END, CASE WHEN dc > 0.7 THEN 'datetime_convertible' END,
+    CASE WHEN np > 0 THEN 'numeric_pattern' END, CASE WHEN nc > 0.8 THEN 'numeric_convertible' END,
+    CASE ctype WHEN 'identifier' THEN 'unique_identifier' WHEN 'categorical' THEN 'categorical' WHEN 'continuous' THEN 'continuous_high_cardinality' END,
+    CASE stype WHEN 'continuous_normal' THEN 'normal_distribution' WHEN 'continuous_skewed' THEN 'non_normal_distribution' END)"""
+SAMPLES = ("SELECT column_name, array_to_string(list_transform(list_sort(list(struct_pack(h := h, v := v)))[1:10], lambda x: x.v), ' | ') AS sample_values FROM ("
+           "SELECT column_name, min(h) AS h, arg_min(v, h) AS v FROM (SELECT *, md5(v) AS h FROM ("
+           + "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM customer_text WHERE {c} IS NOT NULL" for c in CT_KIND)
+           + ")) GROUP BY column_name, substr(h, 1, 2)) GROUP BY 1")
+INFER = f"SELECT column_name, original_type, inferred_type, CAST(confidence AS DOUBLE) AS confidence, n_rows, non_null, u AS unique_count, {ADVICE} AS advice, {DETECTED} AS patterns_detected FROM ({DECIDED})"
 
 
 def _infer(s, d):
@@ -149,10 +159,10 @@ QUERIES = {
     "infer_all_null": lambda s, d: I.infer(view(s, d, "const_cols"), ["empty_text", "constant_text", "p_partkey"]).select("column_name", "inferred_type", "confidence"),
     "infer_stats": lambda s, d: rounded(I.statistics(view(s, d, "customer_text"))),
     "infer_top_categories": lambda s, d: I.top_categories(view(s, d, "customer_text")).select("column_name", "value", "n", "rank"),
-    "infer_table": lambda s, d: rounded(_infer(s, d)),
+    "infer_table": lambda s, d: rounded(I.with_samples(view(s, d, "customer_text"), _infer(s, d)).withColumn("sample_values", F.array_join("sample_values", " | "))),
     "infer_reco": lambda s, d: _infer(s, d).select("column_name", "advice"),
     "infer_report": lambda s, d: I.report(_infer(s, d)),
-    "pat_regex": lambda s, d: rounded(PT.format_examples(view(s, d, "customer_text"), PT.formats(view(s, d, "customer_text")))),
+    "pat_regex": lambda s, d: rounded(PT.format_examples(view(s, d, "customer_text"), PT.formats(view(s, d, "customer_text"))).withColumn("examples", F.array_join("examples", " | "))),
     "pat_sequential": lambda s, d: rounded(PT.sequential(load(s, d, "orders"))),
     "pat_constant": lambda s, d: PT.identifiers(view(s, d, "const_cols")).where("pattern_name = 'constant_value'"),
     "pat_unique_id": lambda s, d: rounded(PT.identifiers(view(s, d, "const_cols")).where("pattern_name = 'unique_identifier'")),
@@ -181,15 +191,15 @@ SQL = {
         quantile_cont(x, 0.5) AS median, skewness(x) AS skewness, kurtosis(x) AS kurtosis FROM (SELECT *, {num_text(c, k)} AS x FROM customer_text)""" for c, k in CT_KIND.items()), "missing_ratio unique_ratio mean std min max median skewness kurtosis")),
     "infer_top_categories": _ct(f"""WITH chosen AS MATERIALIZED (SELECT column_name FROM ({DECIDED}) WHERE inferred_type = 'categorical') SELECT column_name, value, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM (""" + per_column(
         CT_TXT, "SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM customer_text WHERE {c} IS NOT NULL GROUP BY 2") + f")) WHERE rank <= 10 AND column_name IN (SELECT column_name FROM chosen)"),
-    "infer_table": _ct(r(INFER, "confidence")),
+    "infer_table": _ct(r(f"SELECT i.*, e.sample_values FROM ({INFER}) i LEFT JOIN ({SAMPLES}) e ON e.column_name = i.column_name", "confidence")),
     "infer_reco": _ct(f"SELECT column_name, advice FROM ({INFER})"),
     "infer_report": _ct(f"""SELECT 'confidence' AS section, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS item, count(*) AS n FROM ({INFER}) GROUP BY 2
         UNION ALL SELECT 'type', inferred_type, count(*) FROM ({INFER}) GROUP BY 2
         UNION ALL SELECT 'advice', CASE WHEN confidence < 0.4 THEN 'high_priority' WHEN confidence < 0.6 THEN 'medium_priority' ELSE 'low_priority' END,
             CAST(sum(CASE WHEN advice = '' THEN 0 ELSE length(advice) - length(replace(advice, ',', '')) + 1 END) AS BIGINT) FROM ({INFER}) GROUP BY 2"""),
-    "pat_regex": _ct(r(f"SELECT f.*, e.first_example, e.last_example FROM ({FORMATS_SQL}) f JOIN (" + "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS column_name, '{name}' AS pattern_name, min({c}) FILTER (regexp_matches(trim({c}), '{rx}', {flag})) AS first_example, max({c}) FILTER (regexp_matches(trim({c}), '{rx}', {flag})) AS last_example FROM customer_text"
-        for c in CT_TXT.split() for name, rx, flag, _ in SQL_FORMATS) + ") e ON e.column_name = f.column_name AND e.pattern_name = f.pattern_name", SHAPE_D)),
+    "pat_regex": _ct(r(f"SELECT f.*, array_to_string(e.examples, ' | ') AS examples, concat('values read as ', replace(f.pattern_name, '_', ' ')) AS description FROM ({FORMATS_SQL}) f JOIN (SELECT column_name, pattern_name, list_transform(list_sort(list(struct_pack(h := h, v := v)))[1:5], lambda x: x.v) AS examples FROM (SELECT column_name, pattern_name, min(h) AS h, arg_min(v, h) AS v FROM (SELECT *, md5(v) AS h FROM (" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, '{name}' AS pattern_name, {c} AS v FROM customer_text WHERE regexp_matches(trim({c}), '{rx}', {flag})"
+        for c in CT_TXT.split() for name, rx, flag, _ in SQL_FORMATS) + ")) GROUP BY column_name, pattern_name, substr(h, 1, 2)) GROUP BY 1, 2) e ON e.column_name = f.column_name AND e.pattern_name = f.pattern_name", SHAPE_D)),
     "pat_sequential": r(named_sql("orders", {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "text", "o_totalprice": "float", "o_orderpriority": "text"})["seq"], "top_step"),
     "pat_constant": with_views("const_cols", "SELECT * FROM (" + named_sql("const_cols", dict.fromkeys("p_partkey p_brand p_size p_retailprice constant_text constant_number empty_text part_id".split(), "text"))["ident"] + ") WHERE pattern_name = 'constant_value'"),
     "pat_unique_id": with_views("const_cols", r("SELECT * FROM (" + named_sql("const_cols", dict.fromkeys("p_partkey p_brand p_size p_retailprice constant_text constant_number empty_text part_id".split(), "text"))["ident"] + ") WHERE pattern_name = 'unique_identifier'", SHAPE_D)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ from assayer.functions.normality import chi2_two_tail, corrected_kurtosis, corre
 from assayer.functions.values import as_col, labels, nan_is_missing, number, once, share, timestamp, total
 from assayer.operators.profile import top_values
 from assayer.plans.columns import (
-    TEMPORAL, dtype, flat_columns, kind_name, long_agg, numeric_columns, text_columns, union_all, unpivot_number, unpivot_text)
+    TEMPORAL, dtype, flat_columns, kind_name, long_agg, numeric_columns, sampled, text_columns, union_all, unpivot_number, unpivot_text)
 from assayer.plans.quantiles import exact_quantiles
 from assayer.session import cut
 
@@ -128,7 +128,25 @@ def advised(dec: DataFrame) -> DataFrame:
 def infer(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Inferred type, confidence and advice for all columns, from one pass over the table."""
     return advised(decided(scored(evidence(df, cols)))).select(
-        "column_name", "original_type", "inferred_type", "confidence", "n_rows", "non_null", "unique_count", "advice")
+        "column_name", "original_type", "inferred_type", "confidence", "n_rows", "non_null", "unique_count", "advice", detected().alias("patterns_detected"))
+
+
+def detected() -> Column:
+    """Codes of all evidence that was found in a column, in the order in which it is gathered."""
+    some = F.col("non_null") > 0
+    kind, shape = F.col("cardinality_type"), F.col("distribution_type")
+    return labels(
+        (~some, "all_null"), (some & (F.col("date_patterns") > 0), "datetime_pattern"), (some & (F.col("date_parse") > .7), "datetime_convertible"),
+        (some & (F.col("number_patterns") > 0), "numeric_pattern"), (some & (F.col("number_parse") > .8), "numeric_convertible"),
+        (kind == "identifier", "unique_identifier"), (kind == "categorical", "categorical"), (kind == "continuous", "continuous_high_cardinality"),
+        (shape == "continuous_normal", "normal_distribution"), (shape == "continuous_skewed", "non_normal_distribution"))
+
+
+@nan_is_missing
+def with_samples(df: DataFrame, inferred: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
+    """Add ``sample_values``, up to ``k`` different values of each column as text, to the (small) table of ``infer``."""
+    examples = sampled(unpivot_text(df, flat_columns(df, cols)), ["column_name"], k).withColumnRenamed("examples", "sample_values")
+    return inferred.join(F.broadcast(examples), "column_name", "left")
 
 
 @nan_is_missing

@@ -11,7 +11,7 @@ from assayer.functions.normality import chi2_two_tail, k_squared
 from assayer.functions.values import as_col, nan_is_missing, number, share
 from assayer.operators.profile import iqr_fences, pearson_pairs
 from assayer.plans.columns import (
-    dtype, flat_columns, long_agg, numeric_columns, text_columns, union_all, unpivot_text)
+    dtype, flat_columns, long_agg, numeric_columns, text_columns, union_all, unpivot_text, sampled)
 from assayer.plans.ordered import successive
 
 # ---- fixed values: (group, name, regex, threshold) ------------------------------------------
@@ -49,19 +49,17 @@ def formats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 @nan_is_missing
-def format_examples(df: DataFrame, matched: DataFrame) -> DataFrame:
-    """Add the smallest and largest matching value to a (small) table of matched formats."""
+def format_examples(df: DataFrame, matched: DataFrame, k: int = 5) -> DataFrame:
+    """Add up to ``k`` matching values and a description to a (small) table of matched formats; one more scan of their columns."""
     rx = {name: rx for _, name, rx, _ in FORMATS}
+    told = F.concat(F.lit("values read as "), F.replace("pattern_name", F.lit("_"), F.lit(" "))).alias("description")
     found = [(r["column_name"], r["pattern_name"]) for r in matched.select("column_name", "pattern_name").collect()]
     if not found:
-        return matched.withColumns({"first_example": F.lit(None).cast("string"), "last_example": F.lit(None).cast("string")})
-    rows = []
-    for c, name in found:
-        hit = F.when(F.trim(as_col(c)).rlike(rx[name]), as_col(c))
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(name).alias("pattern_name"),
-                             F.min(hit).alias("first_example"), F.max(hit).alias("last_example")))
-    ex = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
-    return matched.join(F.broadcast(ex), ["column_name", "pattern_name"])
+        return matched.select("*", F.lit(None).cast("array<string>").alias("examples"), told)
+    hits = [F.struct(F.lit(c).alias("column_name"), F.lit(name).alias("pattern_name"), F.when(F.trim(as_col(c)).rlike(rx[name]), as_col(c)).alias("value"))
+            for c, name in found]
+    examples = sampled(df.select(F.inline(F.array(*hits))), ["column_name", "pattern_name"], k)
+    return matched.join(F.broadcast(examples), ["column_name", "pattern_name"], "left").select("*", told)
 
 
 @nan_is_missing

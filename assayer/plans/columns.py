@@ -140,3 +140,17 @@ def unpivot_number(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column_name, value, n): partial counts are built before the shuffle, so a hot value is one row per task."""
     return unpivot_text(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+SAMPLE_CLASSES = 256  # by the first two digits of an MD5
+
+
+def sampled(values: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """(*keys, examples): up to ``k`` different texts ``value`` of each key, the same on every partitioning.
+
+    Values fall in classes by their hash and each class keeps that of its least hash, which is combined before the shuffle, so
+    a task sends at most SAMPLE_CLASSES values of a key; the first ``k`` classes give the examples, in the order of the hash.
+    """
+    hashed = values.where("value IS NOT NULL").withColumn("h", F.md5("value"))
+    least = hashed.groupBy(*keys, F.substring("h", 1, 2).alias("class")).agg(F.min(F.struct("h", "value")).alias("least"))
+    return least.groupBy(*keys).agg(F.transform(F.slice(F.array_sort(F.collect_list("least")), 1, k), lambda x: x["value"]).alias("examples"))
