@@ -12,6 +12,7 @@ from assayer.operators import anomaly as AN
 from assayer.operators import assume as A
 from assayer.operators import drift as D
 from assayer.operators import evaluate as EV
+from assayer.operators import concordance as K
 from assayer.operators import knn as N
 from assayer.operators import models as M
 from assayer.operators import sample as S
@@ -226,6 +227,7 @@ QUERIES = {
     "opt_vif_filter": lambda s, d: A.vif_filter(_li(s, d).select(*LI_KEY, *FOUR, (F.col("l_quantity") * 2 + F.col("l_tax")).alias("echo")), [*FOUR, "echo"]),
     "opt_missing_flags": lambda s, d: A.missing_flags(view(s, d, "orders_dirty")).select("o_orderkey", "o_totalprice_missing"),
     "stat_spearman": lambda s, d: rounded(A.spearman(load(s, d, "orders"), "o_totalprice", "o_custkey", ["o_orderkey"])),
+    "stat_kendall": lambda s, d: rounded(K.kendall(load(s, d, "part"), "p_size", "p_retailprice")),
     "stat_kruskal": lambda s, d: rounded(A.kruskal_wallis(load(s, d, "orders"), "o_custkey", "o_orderpriority").select("h", "groups", "n"), 4),
     "stat_theils_u": lambda s, d: rounded(A.theils_u(load(s, d, "part"), "p_brand", "p_type")),
     "stat_ndcg": lambda s, d: rounded(EV.ranking_quality(_li(s, d).select(F.col("l_suppkey").alias("q"), F.col("l_quantity").alias("gain"), F.col("l_extendedprice").alias("score"), *LI_KEY), "q", LI_KEY, 10)),
@@ -309,6 +311,10 @@ SQL = {
     "stab_repeat": "SELECT 1.0::DOUBLE AS repeat",
     "opt_corr_filter": f"SELECT {KEYS}, {', '.join(FOUR)} FROM lineitem",
     "opt_missing_flags": with_views("orders_dirty", "SELECT o_orderkey, CAST(o_totalprice IS NULL AS INTEGER) AS o_totalprice_missing FROM orders_dirty"),
+    "stat_kendall": r("""SELECT (c - q) / sqrt(CAST(n0 - n1 AS DOUBLE)) / sqrt(CAST(n0 - n2 AS DOUBLE)) AS tau, n, CAST(c AS DOUBLE) AS concordant, CAST(q AS DOUBLE) AS discordant FROM (
+        SELECT count(*) FILTER ((a.x < b.x AND a.y < b.y)) AS c, count(*) FILTER (a.x < b.x AND a.y > b.y) AS q FROM v a, v b),
+        (SELECT count(*) AS n, count(*) * (count(*) - 1) / 2 AS n0 FROM v), (SELECT sum(m * (m - 1) / 2) AS n1 FROM (SELECT count(*) AS m FROM v GROUP BY x)),
+        (SELECT sum(m * (m - 1) / 2) AS n2 FROM (SELECT count(*) AS m FROM v GROUP BY y))""".replace(" v a, v b", " (SELECT p_size AS x, p_retailprice AS y FROM part) a, (SELECT p_size AS x, p_retailprice AS y FROM part) b").replace("FROM v", "FROM (SELECT p_size AS x, p_retailprice AS y FROM part)"), "tau"),
     "stat_spearman": r("SELECT corr(a, b) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS b FROM orders)", "spearman"),
     "stat_kruskal": r("""SELECT (12 / (n * (n + 1)) * sum(rs * rs / k) - 3 * (n + 1)) / (1 - any_value(ties) / (n * n * n - n)) AS h, count(*) AS groups, CAST(n AS BIGINT) AS n FROM (SELECT g, CAST(sum(rk) AS DOUBLE) AS rs, count(*) AS k, any_value(n) AS n FROM (
         SELECT o_orderpriority AS g, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS rk, CAST(count(*) OVER () AS DOUBLE) AS n FROM orders) GROUP BY 1), (SELECT CAST(sum(m * m * m - m) AS DOUBLE) AS ties FROM (SELECT count(*) AS m FROM orders GROUP BY o_custkey)) GROUP BY n""", "h", 4),

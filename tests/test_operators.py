@@ -357,3 +357,31 @@ def test_delimiter_rules(spark, tmp_path):
     assert [IO.detect_delimiter(spark, path, rule=r) for r in ("most", "semicolon_or_comma", "first_that_splits")] == [",", ",", ";"]
     with pytest.raises(ValueError):
         IO.detect_delimiter(spark, path, rule="none")
+
+
+@pytest.mark.parametrize("cell_pairs", [7, 40, 1_000_000])
+def test_kendall_matches_all_pairs(spark, cell_pairs):
+    """Ties in both columns, a value that a third of all rows share, repeated and missing pairs, small and large cells."""
+    from assayer.operators import concordance as K
+
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 25, 260).astype(float), rng.integers(0, 40, 260).astype(float)
+    b[:90] = 17.0
+    rows = [(float(x), float(y)) for x, y in zip(a, b)] + [(None, 1.0), (2.0, None), (float("nan"), 3.0)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    got = K.kendall(df, "a", "b", cell_pairs).first()
+    s = np.sign(a[:, None] - a[None]) * np.sign(b[:, None] - b[None])
+    c, q = int((s > 0).sum() // 2), int((s < 0).sum() // 2)
+    tied = lambda x: sum(k * (k - 1) // 2 for k in np.unique(x, return_counts=True)[1].tolist())
+    n0 = 260 * 259 // 2
+    assert (got["n"], got["concordant"], got["discordant"]) == (260, c, q)
+    assert np.isclose(got["tau"], (c - q) / np.sqrt(float(n0 - tied(a)) * float(n0 - tied(b))))
+    assert K.kendall(df.where("a > 99"), "a", "b").first()["tau"] is None
+
+
+def test_samples_are_the_same_on_every_partitioning(spark):
+    from assayer.plans.columns import sampled
+
+    df = spark.createDataFrame([("k", f"v{i % 40}") for i in range(400)] + [("few", "x"), ("few", "x"), ("few", None)], "key string, value string")
+    one, two = ({r["key"]: r["examples"] for r in sampled(df.repartition(p), ["key"], 5).collect()} for p in (1, 7))
+    assert one == two and one["few"] == ["x"] and len(set(one["k"])) == 5
