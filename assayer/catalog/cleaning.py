@@ -9,6 +9,8 @@ from assayer.functions import columns_text as CT
 from assayer.functions.values import as_col, clip
 from assayer.operators import clean as C
 from assayer.operators import encode as E
+from assayer.operators.dates import parse_dates
+from assayer.plans.defaults import complete
 from assayer.plans.ordered import successive
 from assayer.plans.recipe import ColumnRecipe, Pipeline, apply_recipe
 from assayer.sources.files import sanitise_unquoted
@@ -110,6 +112,25 @@ RECIPE_SQL = f"""clean AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalp
         CAST(isodow(dt) - 1 AS INTEGER) AS o_orderdate_dayofweek, o_custkey * o_orderkey AS o_custkey_x_o_orderkey FROM capped, sc"""
 
 
+def _noted(s, d):
+    """Dates as text: mixed formats, a format that days beyond twelve settle, and a text that is none."""
+    day = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey")
+    return load(s, d, "orders").select("o_orderkey", F.when(k % 3 == 0, day("yyyy-MM-dd")).when(k % 3 == 1, day("dd/MM/yyyy")).otherwise(day("d MMM yyyy")).alias("mixed"),
+                                       day("dd-MM-yyyy").alias("settled"), F.when(k % 20 != 0, day("MM/dd/yyyy")).otherwise("unknown").alias("mostly"), "o_orderpriority")
+
+
+def _gappy(s, d):
+    k = F.col("o_orderkey")
+    return load(s, d, "orders").select(
+        "o_orderkey", F.when(k % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"), F.when(k % 5 != 0, F.exp(F.col("o_totalprice") / 50000)).alias("skewed"),
+        F.when(k % 3 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 4 == 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+
+
+GAPPY = """g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 5 <> 0 THEN exp(o_totalprice / 50000) END AS skewed,
+    CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS o_orderpriority FROM orders)"""
+
+
 def _dirty_dup(s, d):
     od = _od(s, d)
     return od.unionByName(od.where("o_orderstatus = 'P'"))
@@ -213,6 +234,10 @@ QUERIES = {
     "opt_skew": lambda s, d: rounded(C.correct_skew(_od(s, d).select("o_orderkey", "o_totalprice"), ["o_totalprice"], 1.0)),
     "opt_downcast": lambda s, d: s.createDataFrame(C.downcast(load(s, d, "lineitem")).dtypes, "column_name string, type string"),
     "opt_bucket_rare": lambda s, d: C.bucket_rare(load(s, d, "part").select("p_partkey", "p_name"), "p_name", 10),
+    "opt_date_parse": lambda s, d: parse_dates(_noted(s, d)),
+    "opt_global_impute": lambda s, d: rounded(apply_recipe(_gappy(s, d), complete(_gappy(s, d), {}, ["o_orderkey"], scaling=None, encoding=None))),
+    "opt_global_scale": lambda s, d: rounded(apply_recipe(_gappy(s, d), complete(_gappy(s, d), {"o_totalprice": ColumnRecipe(scale="minmax")}, ["o_orderkey"], None, None, encoding=None))),
+    "opt_global_encode": lambda s, d: rounded(apply_recipe(_gappy(s, d), complete(_gappy(s, d), {}, ["o_orderkey"], None, None, scaling=None, max_cardinality=4))),
     # relational surface
     "rel_scan_filter": lambda s, d: load(s, d, "lineitem").where("l_quantity > 30 AND l_discount < 0.05 AND l_returnflag = 'R'").select(*LI_KEY, "l_quantity"),
     "rel_group_agg": lambda s, d: rounded(load(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("avg_quantity"), F.sum("l_extendedprice").alias("sum_price")), 2),
@@ -231,6 +256,10 @@ QUERIES = {
 
 _EV = "events_gaps"
 SQL = {
+    "opt_date_parse": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS mixed, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS settled, CASE WHEN o_orderkey % 20 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS mostly, o_orderpriority FROM orders",
+    "opt_global_impute": r(f"WITH {GAPPY} SELECT o_orderkey, coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM g)) AS o_totalprice, coalesce(skewed, (SELECT quantile_cont(skewed, 0.5) FROM g)) AS skewed, coalesce(o_orderstatus, (SELECT o_orderstatus FROM g WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderstatus, coalesce(o_orderpriority, 'missing') AS o_orderpriority FROM g", "o_totalprice skewed"),
+    "opt_global_scale": r(f"WITH {GAPPY} SELECT o_orderkey, (o_totalprice - (SELECT min(o_totalprice) FROM g)) / (SELECT max(o_totalprice) - min(o_totalprice) FROM g) AS o_totalprice, (skewed - (SELECT avg(skewed) FROM g)) / (SELECT stddev_pop(skewed) FROM g) AS skewed, o_orderstatus, o_orderpriority FROM g", "o_totalprice skewed"),
+    "opt_global_encode": r(f"WITH {GAPPY} SELECT o_orderkey, o_totalprice, skewed, coalesce(o_orderstatus = 'F', false) AS \"o_orderstatus_F\", coalesce(o_orderstatus = 'O', false) AS \"o_orderstatus_O\", coalesce(o_orderstatus = 'P', false) AS \"o_orderstatus_P\", o_orderpriority FROM g", "skewed"),
     "sink_noquote_sanitise": "SELECT doc_id, " + ", ".join(f"replace(replace(replace({c}, ',', '_'), '''', ''), '\"', '') AS {c}" for c in ("text", "lang", "source")) + " FROM documents",
     "dedup": with_views("orders_dup", "SELECT DISTINCT * FROM orders_dup"),
     "dedup_subset": "SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS rk FROM orders) WHERE rk = 1",
@@ -294,7 +323,7 @@ SQL = {
     "bin_equal_width": OD("SELECT o_orderkey, CAST(CASE WHEN o_totalprice IS NULL THEN NULL ELSE greatest(ceil((o_totalprice - lo) / ((hi - lo) / 7)) - 1, 0) END AS INTEGER) AS o_totalprice_binned FROM orders_dirty, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders_dirty)"),
     "bin_equal_freq": f"SELECT {', '.join(LI_KEY)}, l_discount, CAST(len(list_filter(e[2:-2], lambda v: v < l_discount)) AS INTEGER) AS l_discount_binned FROM lineitem, (SELECT list_sort(list_distinct(quantile_cont(l_discount, [{', '.join(str(i / 20) for i in range(21))}]))) AS e FROM lineitem)",
     "bin_quantile": OD(f"SELECT o_orderkey, CASE WHEN o_totalprice IS NOT NULL THEN CAST(len(list_filter(e, lambda v: v < o_totalprice)) AS INTEGER) END AS o_totalprice_binned FROM orders_dirty, (SELECT quantile_cont(CAST(o_totalprice AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS e FROM orders_dirty)"),
-    "enc_onehot": "SELECT o_orderkey, o_orderstatus = 'F' AS \"o_orderstatus_F\", o_orderstatus = 'O' AS \"o_orderstatus_O\", o_orderstatus = 'P' AS \"o_orderstatus_P\" FROM orders",
+    "enc_onehot": "SELECT o_orderkey, coalesce(o_orderstatus = 'F', false) AS \"o_orderstatus_F\", coalesce(o_orderstatus = 'O', false) AS \"o_orderstatus_O\", o_orderstatus = 'P' AS \"o_orderstatus_P\" FROM orders",
     "enc_label": "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand FROM part",
     "enc_ordinal": OD("SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '4-NOT SPECIFIED' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '1-URGENT' THEN 4 ELSE -1 END AS BIGINT) AS o_orderpriority FROM orders_dirty"),
     "enc_binary": "SELECT p_partkey, " + ", ".join(f"(c >> {i}) & 1 AS p_brand_binary_{i}" for i in range(5)) + " FROM (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS c FROM part)",

@@ -385,3 +385,36 @@ def test_samples_are_the_same_on_every_partitioning(spark):
     df = spark.createDataFrame([("k", f"v{i % 40}") for i in range(400)] + [("few", "x"), ("few", "x"), ("few", None)], "key string, value string")
     one, two = ({r["key"]: r["examples"] for r in sampled(df.repartition(p), ["key"], 5).collect()} for p in (1, 7))
     assert one == two and one["few"] == ["x"] and len(set(one["k"])) == 5
+
+
+def test_date_formats_are_settled_by_the_whole_column(spark):
+    import datetime as dt
+
+    from assayer.operators import dates as D
+
+    rows = [("01/02/2024", "01/02/2024", "2024-03-05", "x", "2024-02-30"), ("25/12/2024", "02/03/2024", "05.03.2024", "y", "2024-02-29"),
+            (" 03/04/2024 ", None, "5 Mar 2024", "2024-01-01", None), (None, "03/04/2024", "2024-03-05 10:20:30", "z", "2024-01-01")]
+    df = spark.createDataFrame(rows, "settled string, open string, mixed string, text string, `odd.name` string")
+    day = lambda m, d, *t: dt.datetime(2024, m, d, *t)
+    got = D.parse_dates(df, least=0.6).collect()
+    assert [r["settled"] for r in got] == [day(2, 1), day(12, 25), day(4, 3), None]
+    assert [r["open"] for r in got] == [day(1, 2), day(2, 3), None, day(3, 4)]
+    assert [r["mixed"] for r in got] == [day(3, 5), day(3, 5), day(3, 5), day(3, 5, 10, 20, 30)]
+    assert [r["text"] for r in got] == ["x", "y", "2024-01-01", "z"] and [r["odd.name"] for r in got] == [None, day(2, 29), None, day(1, 1)]
+    assert [r["open"] for r in D.parse_dates(df, ["open"], day_first=True).collect()] == [day(2, 1), day(3, 2), None, day(4, 3)]
+    assert D.parse_dates(df.limit(0)).dtypes == df.dtypes and D.parse_dates(spark.range(3)).columns == ["id"]
+
+
+def test_open_steps_of_a_recipe_follow_the_table(spark):
+    from assayer.plans.defaults import complete
+
+    df = spark.createDataFrame([(i, float(i) if i % 4 else None, float(2 ** i) if i % 3 else None, "ab"[i % 2] if i % 5 else None, f"t{i}") for i in range(20)],
+                               "id int, even double, skewed double, few string, many string")
+    got = complete(df, {"even": ColumnRecipe(scale="minmax")}, ["id"], max_cardinality=5)
+    assert "id" not in got and (got["even"].impute, got["even"].scale) == ("mean", "minmax")
+    assert (got["skewed"].impute, got["skewed"].scale) == ("median", "standard")
+    assert (got["few"].impute, got["few"].encode, got["few"].scale) == ("most_frequent", "onehot", None)
+    assert "many" not in got
+    done = apply_recipe(df, got)
+    assert done.where("even IS NULL OR skewed IS NULL").count() == 0 and "few_a" in done.columns
+    assert complete(df, {}, df.columns) == {} and complete(df.limit(0), {}, impute_num=None)["even"].scale == "standard"
