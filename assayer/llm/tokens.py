@@ -70,7 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        # a text that holds the name of a special token is encoded whole, by the library's default as one id
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenize, self.spaces, self.keep = self.tokenizer.model.tokenize, spaces, keep
@@ -107,10 +108,13 @@ class Encoder:
                 self.signs[signs] = after
         return array("I", [t.id for t in self.tokenize(word)]).tobytes() + after
 
+    def _alone(self, text: str) -> bool:
+        return any(map(text.__contains__, self.special)) or _odd(text)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _odd(text):
+        if self._alone(text):
             return self._whole(text)
         if not self.spaces:
             ids = b"".join(map(self.chunks.__getitem__, text.split()))
@@ -153,7 +157,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.spaces or len(text) > BLOCK_CHARS or _odd(text) or _loose(text):
+            if not self.spaces or len(text) > BLOCK_CHARS or self._alone(text) or _loose(text):
                 found[i] = self.encode(text)
                 continue
             block.append(i)

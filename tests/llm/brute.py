@@ -64,7 +64,7 @@ def odd_texts():
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
     long = say(60_000)
     texts = [None, "", "  \n\t ", "one", "one two three", say(30), say(400), long, say(12) + "\n" + say(200)]
-    texts += [texts[6], texts[6] + " end", texts[6].upper(), "\x1c odd\x1fone ", "a b 　 c", "password = hunter2secret\n" + say(20)]
+    texts += [texts[6], texts[6] + " end", texts[6].upper(), "\x1c odd\x1fone ", "a b 　 c", "password = hunter2secret\n" + say(20), "end <|endoftext|> of <|startoftext|>x <|ENDOFTEXT|>"]
     return list(enumerate(texts))
 
 

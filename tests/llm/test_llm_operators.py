@@ -144,7 +144,6 @@ def check_packed(rows, docs, tok, capacity, end):
 def test_packing(spark, odd, none, small, capacity):
     path = vocabulary("word_bpe_49k.json")
     tok = tokenizers.Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     for df in (odd, small):
         used, least = check_packed(packing.pack_documents(df, path, capacity).collect(), texts_of(df), tok, capacity, 1)
         assert used <= 1.05 * least + 2
@@ -269,7 +268,6 @@ def test_codes_round_trip():
 def test_token_files(spark, odd, none, small, monkeypatch):
     path = vocabulary("byte_bpe_50k.json")
     tok = tokenizers.Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     for df in (odd, small):
         folder, ids = token_files.tokenize_to_files(df, path, 2)
         rows = token_files.read_files(spark, folder, ids, with_ids=True).collect()
@@ -538,10 +536,9 @@ def test_blocks_of_texts_have_the_ids_of_single_texts(monkeypatch):
     from assayer.llm import tokens
 
     texts = ["", "a", " lead", "two  spaces", "tail ", "line\nnext\n", "\nfirst", "x" * 90 + " y", "na\u00efve caf\u00e9, ok!", "tab\there", "one two one two",
-             "odd\u2003space", "a b\nc d", "don't stop 12,5 (now)", "<|endoftext|> here", "\u4f60\u597d w\u00f6rld \U0001f600 end", "word" * 20 + " and more", "dot. dot", "A\x1cb"] * 3
+             "odd\u2003space", "a b\nc d", "don't stop 12,5 (now)", "<|endoftext|> here", "mid<|endoftext|>dle <|startoftext|>", "two <|endoftext|>\n<|endoftext|>", "\u4f60\u597d w\u00f6rld \U0001f600 end", "word" * 20 + " and more", "dot. dot", "A\x1cb"] * 3
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
     for chars in (4, 100, 4_000_000):
         monkeypatch.setattr(tokens, "BLOCK_CHARS", chars)
