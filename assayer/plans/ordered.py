@@ -13,14 +13,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.session import cut
+from assayer.session import cut, input_bytes
 
 RANGE = "__range"
+#: Bytes of input files for one range, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 128 << 20, 200_000
+
+
+def range_count(df: DataFrame) -> int:
+    """One range for each RANGE_BYTES that ``df`` reads, at least the shuffle partitions of the session."""
+    by_size = min(MOST_RANGES, -(-input_bytes(df) // RANGE_BYTES))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
 
 
 def ranged(df: DataFrame, order_by: Sequence[str], key: Sequence[str] = (), parts: int | None = None) -> DataFrame:
-    """``df`` cut into ordered ranges, range number in ``__range``."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``df`` cut into ordered ranges, range number in ``__range``; ``parts`` ranges, or as many as its input's size asks for."""
+    parts = parts or range_count(df)
     spread = df.repartitionByRange(parts, *key, *order_by)
     return cut(spread.withColumn(RANGE, F.spark_partition_id()))
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables that ``cut`` wrote, by application, in order.
+_cuts: dict[str, list[str]] = {}
+
 
 def local_session(cpus: int | str = "*", app: str = "assayer", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own session."""
@@ -45,6 +50,54 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on the checkpoint folder, so that a lost executor replays nothing before it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` on the checkpoint folder, so that a lost executor replays nothing before it.
+
+    The copy stays until the ``scope`` around it ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    if path := cut_folder(done._jdf.queryExecution().logical()):
+        _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return done
+
+
+def cut_folder(leaf) -> str | None:
+    """The checkpoint folder that a leaf of a plan reads, None for other leaves."""
+    if leaf.getClass().getSimpleName() != "LogicalRDD":
+        return None
+    path = leaf.rdd().getCheckpointFile()
+    return path.get() if path.isDefined() else None
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was cut inside; results that build on it must have been written by then.  Scopes may be nested."""
+    own = _cuts.setdefault(spark.sparkContext.applicationId, [])
+    first = len(own)
+    try:
+        yield
+    finally:
+        for path in own[first:]:
+            at, files = _files(spark, path)
+            files.delete(at, True)
+        del own[first:]
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, cut tables included, as its plan knows them without a job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if path := cut_folder(leaf):
+            at, files = _files(df.sparkSession, path)
+            total += files.getContentSummary(at).getLength()
+        elif leaf.getClass().getSimpleName() != "LogicalRDD":  # a table made from rows has no known size
+            total += int(str(leaf.stats().sizeInBytes()))
+    return total

@@ -195,3 +195,50 @@ def test_wide_products_send_a_row_per_tile(spark):
     assert len(gram._tiles(600)) == 6 and len(gram._tiles(2000)) == 36
     n, s, g = gram.cross_products(df, df.columns)
     assert n == 40 and np.allclose(g, x.T @ x)
+
+
+def test_ranges_follow_the_bytes_read(spark, monkeypatch, tmp_path):
+    from assayer.plans import ordered
+    from assayer.session import cut, input_bytes
+
+    df = spark.range(20_000).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("t"))
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert ordered.range_count(read) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = cut(read)
+    assert input_bytes(read) > 300_000 and 100_000 < input_bytes(held.join(held.withColumnRenamed("t", "u"), "id")) < 20_000_000
+    monkeypatch.setattr(ordered, "RANGE_BYTES", input_bytes(read) // 20)
+    few = ordered.range_count(read)
+    twice = ordered.range_count(read.unionByName(read))
+    assert few in (20, 21) and 40 <= twice <= 42
+    assert ordered.ranged(read, ["id"]).select(ordered.RANGE).distinct().count() == few
+    numbered = ordered.row_numbers(read, ["id"])
+    assert numbered.where("rn <> id + 1").isEmpty() and numbered.count() == 20_000
+
+
+def test_scope_deletes_what_was_cut_inside(spark, tmp_path):
+    import os
+
+    from assayer import session
+    from assayer.plans import ordered
+
+    df = spark.range(1000)
+    before = session.cut(df)
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    old = set(os.listdir(root))
+    with session.scope(spark):
+        numbered = ordered.row_numbers(df, ["id"])
+        with session.scope(spark):
+            session.cut(df.where("id > 5"))
+            inner = set(os.listdir(root))
+        assert len(inner - old) == 2 and len(set(os.listdir(root)) - old) == 1
+        numbered.write.parquet(str(tmp_path / "out"))
+    assert set(os.listdir(root)) == old and before.count() == 1000
+    try:
+        with session.scope(spark):
+            session.cut(df)
+            raise ValueError("the copy goes after a failure, too")
+    except ValueError:
+        pass
+    assert set(os.listdir(root)) == old
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
