@@ -2,7 +2,8 @@
 
 A page becomes text blocks, each with its root-to-leaf path of tags.  Text length and punctuation are added up per path and
 divided by the path's nodes; both ratios are smoothed along the page, fused and held against a threshold.  What the markup
-says outright (an article or main element, menus, adverts, forms, scripts) weighs in as a prior on the path.
+says outright (an article or main element, menus, adverts, forms, scripts) weighs in as a prior on the path.  An article or
+main element that holds a chosen container is kept whole, but for what is never main text.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ _WORDS_OUT = frozenset("ad ads adv advert adverts advertisement advertising adse
                        "consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer "
                        "masthead comment comments disqus replies respond reply share sharing social related recommended newsletter subscribe "
                        "signup login popup modal toolbar pagination pager skip form search".split())
+# Of the words above, those that also name a subject: `related-work` is text, `related-posts` is not, as the words below say no more
+# than "part of the page".
+_SUBJECTS = frozenset("alert form menu notice notices promotion recommended related reply respond search share sharing skip social".split())
+_NEUTRAL = frozenset("area bar block body bottom box btn button buttons card cards container content footer group header icons inline inner item "
+                     "items left link links list main middle module outer panel placeholder post posts right row section slot stories story "
+                     "text thread title top unit wrap wrapper".split())
 _ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TEXT = _HEADINGS | frozenset("p ul ol menu li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hgroup".split())
@@ -55,44 +62,55 @@ class Block(NamedTuple):
     path: str
     text: str
     prior: int  # 1 within an article or main element, -1 in what is never main text, 0 else
+    root: str = ""  # the path of the innermost article or main element
 
 
-def _prior(tag: str, attributes: str, above: int, inside: bool) -> tuple[int, str]:
-    """Prior of an element, given that above it, and the name it has in a path."""
+def _out(names: str, inside: bool) -> bool:
+    """Whether class and id name what is never main text; within an article or main element a subject word must be what the name ends in."""
+    found = _WORDS_OUT.intersection(_SPLIT.split(names))
+    if not found or not inside or not found <= _SUBJECTS:
+        return bool(found)
+    parts = [[w for w in _SPLIT.split(n) if w and not w.isdigit() and w not in _NEUTRAL] for n in names.split()]
+    return any(p and p[-1] in _WORDS_OUT for p in parts)
+
+
+def _prior(tag: str, attributes: str, above: int, inside: bool) -> tuple[int, str, bool]:
+    """Prior of an element, given that above it, the name it has in a path, and whether an article or main element begins."""
     names = ""
     if attributes:
         got = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
         names = " ".join(got[k] for k in ("class", "id") if k in got).lower()
         role = got.get("role", "").lower()
         hidden = "hidden" in got and got["hidden"].lower() != "until-found" or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
-        words = _SPLIT.split(names)
-        if hidden or role in _ROLES_OUT or not _WORDS_OUT.isdisjoint(words) and tag not in ("body", "html", "article", "main"):
-            return -1, f"{tag}.{names.split()[0]}" if names else tag
+        if hidden or role in _ROLES_OUT or tag not in ("body", "html", "article", "main") and _out(names, above > 0):
+            return -1, f"{tag}.{names.split()[0]}" if names.split() else tag, False
         if role in _MAIN_ROLES or got.get("itemprop", "").lower() == "articlebody":
-            return (-1 if above < 0 else 1), tag
+            return (-1 if above < 0 else 1), tag, above >= 0
     shown = f"{tag}.{names.split()[0]}" if names.split() else tag
     if above < 0 or tag in _NEVER or tag in ("header", "footer") and not inside:
-        return -1, shown
+        return -1, shown, False
     if tag == "footer":
-        return -1, shown
-    return (1 if tag in ("article", "main") else above), shown
+        return -1, shown, False
+    begins = tag in ("article", "main")
+    return (1 if begins else above), shown, begins
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; character references are decoded, white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int]] = [("", "", 0)]  # tag, path, prior
+    stack: list[tuple[str, str, int, str]] = [("", "", 0, "")]  # tag, path, prior, root
     held: list[str] = []
-    block = [("", 0)]
+    block = [("", 0, "")]
 
     def end_block() -> None:
         if held:
             text = " ".join(references.unescape("".join(held)).split())
             if text:
-                out.append(Block(*block[0][:1], text, block[0][1]))
+                path, prior, root = block[0]
+                out.append(Block(path, text, prior, root))
             held.clear()
         own = next((s for s in reversed(stack) if s[0] not in _INLINE), stack[0])
-        block[0] = (own[1], own[2])
+        block[0] = own[1:]
 
     at, n = 0, len(page)
     while at < n:
@@ -133,18 +151,19 @@ def blocks(page: str) -> list[Block]:
             _close(stack, ("p",), _BARRIER)
         elif tag in _SAME:
             _close(stack, _SAME[tag], _SCOPE[tag])
-        prior, name = _prior(tag, m[3] or m[6] or "", stack[-1][2], any(s[0] in ("article", "main") for s in stack))
+        prior, name, begins = _prior(tag, m[3] or m[6] or "", stack[-1][2], any(s[0] in ("article", "main") for s in stack))
         if tag not in _VOID:
             if inline and prior < 0 <= stack[-1][2]:
                 end_block()
-            stack.append((tag, f"{stack[-1][1]}/{name}", prior))
+            path = f"{stack[-1][1]}/{name}"
+            stack.append((tag, path, prior, path if begins else stack[-1][3]))
         if not inline or prior < 0:
             end_block()
     end_block()
     return out
 
 
-def _close(stack: list[tuple[str, str, int]], tags: tuple[str, ...], scope) -> None:
+def _close(stack: list[tuple[str, str, int, str]], tags: tuple[str, ...], scope) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k][0] in tags:
             del stack[k:]
@@ -166,8 +185,9 @@ def select(found: list[Block], width: float = 1.0, strict: float = 0.5, outside:
 
     A container counts with the sum of its own blocks' ratios; one with a block that reaches the threshold, ``strict`` standard
     deviations of the page's ratios, and with at least ``share`` of the largest sum is chosen.  Blocks with prior -1 never
-    count; where a page has an article or main element, ratios beside it are weighed by ``outside``.  Headings of what holds a
-    chosen container stay; of the body itself only what is not in another container.
+    count; where a page has an article or main element, ratios beside it are weighed by ``outside``.  All blocks of an article
+    or main element with a chosen container stay, but for those of another such element in it.  Headings of what holds a chosen
+    container stay; of the body itself only what is not in another container.
     """
     open_blocks = [b for b in found if b.prior >= 0]
     if not open_blocks:
@@ -190,6 +210,7 @@ def select(found: list[Block], width: float = 1.0, strict: float = 0.5, outside:
         mass[c] = mass.get(c, 0.0) + r
     least = share * max(mass.values())
     chosen = {c for c, r in zip(held, ratio) if r >= limit and mass[c] >= least}
+    whole = {b.root for b, c in zip(open_blocks, held) if b.root and c in chosen}
     above = {c[:k] for c in chosen for k in range(len(c)) if c[k] == "/"}
 
     def stays(path: str, own: str) -> bool:
@@ -197,7 +218,7 @@ def select(found: list[Block], width: float = 1.0, strict: float = 0.5, outside:
             return True
         return any(own.startswith(c + "/") for c in chosen if c not in _WHOLE)
 
-    return [b for b, c in zip(open_blocks, held) if stays(b.path, c)]
+    return [b for b, c in zip(open_blocks, held) if b.root in whole or stays(b.path, c)]
 
 
 def _smooth(values: list[float], width: float) -> list[float]:
