@@ -21,7 +21,8 @@ def vocabulary(name: str) -> str:
 
 def op1_mix_sources(spark, sf):
     """Every source gets the same share of the output's characters; the output is as large as the input."""
-    return mixing.mix_sources(table(spark, sf, "documents"), None, MIX_EPOCHS, MIX_SEED)
+    mixed = mixing.mix_sources(table(spark, sf, "documents"), None, MIX_EPOCHS, MIX_SEED)
+    return mixed.withColumn("copy", mixed["copy"].cast("int"))
 
 
 def op2_pack_sequences(spark, sf):

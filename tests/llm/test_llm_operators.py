@@ -96,6 +96,39 @@ def test_mix_reaches_weights_and_is_shuffled(spark):
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
 
 
+def test_mix_at_large_rates(spark):
+    rng = random.Random(7)
+    cases = [(rate, rng.random()) for rate in (999.5, 1000.0, 1500.0, 40_000.0) for _ in range(60)] + [(1000.0, 1e-12), (1000.0, 1.0)]
+    rates = mixing.poisson_counts(spark.createDataFrame(cases, "rate double, u double"))
+    for r in rates.select("rate", "u", mixing.drawn_count(F.col("u")).alias("n")).collect():
+        k, c = 0, 0.0
+        while c < min(r["u"], 1 - 2 ** -40) and k < r["rate"] * 1.5:
+            c += math.exp(k * math.log(r["rate"]) - r["rate"] - math.lgamma(k + 1))
+            k += 1
+        if r["u"] < 1:
+            assert abs(r["n"] - (k - 1)) <= (0 if r["rate"] < mixing.LARGE_RATE else 1), r
+        else:
+            assert r["n"] > k - 2
+    huge = mixing.poisson_counts(spark.createDataFrame([(3e9,), (1e14,)], "rate double"))
+    assert all(abs(n - rate) < 9 * math.sqrt(rate) for rate, n in huge.select("rate", mixing.drawn_count(F.lit(0.3))).collect())
+    # a source of few characters: all copies are made, numbered without gaps
+    docs = spark.createDataFrame([(1, "ab", "small"), (2, "x" * 60_000, "large"), (3, "", "small")], "doc_id long, text string, source string")
+    rows = mixing.mix_sources(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("top"), F.countDistinct("shuffle_key").alias("keys")).collect()
+    assert {r["doc_id"] for r in rows} >= {1, 3}
+    for r in rows:
+        assert r["n"] == r["top"] + 1 == r["keys"] and (r["doc_id"] == 2 or abs(r["n"] - 15_000) < 800)
+
+
+def test_mix_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "some text", "s", k, "n", 0.5, "d") for k in range(40)],
+                                 "doc_id long, text string, source string, cdf long, __n string, u double, `a.b` string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("doc", "ids", "n", "first", "rate", "part", "__source", "__k", "__u", "copy")})
+    docs = docs.withColumn("pairs", F.create_map(F.lit("a"), F.col("cdf")))
+    out = mixing.mix_sources(docs, epochs=2.0)
+    assert [c for c in out.columns if c not in ("copy", "shuffle_key")] == [c for c in docs.columns if c != "copy"]
+    assert all(r["cdf"] == r["doc_id"] and r["part"] == "part" and r["a.b"] == "d" and r["pairs"] == {"a": r["cdf"]} for r in out.collect())
+
+
 # 2 packing
 def test_plan_places_every_piece_once():
     rng = random.Random(3)
@@ -514,6 +547,15 @@ def test_ratios_decide_on_marked_pages_too():
     assert got == "\n".join(["Head", long, long, long])
 
 
+def test_an_article_is_kept_whole():
+    long = "<p>A long paragraph of the text, with commas, and with stops. It goes on for some time, as it has to.</p>"
+    page = f"""<main><div class=side>Beside it</div><article><h1>Head</h1><div class=a>{long * 3}</div><div class=b><p>A short end.</p></div>
+<section id='related-work'><p>Work of others.</p></section><section class="x search2"><p>Found again</p></section><div class='related-posts'><p>Other post.</p></div>
+<div class='ad-slot-3'>Buy</div><nav>Menu</nav><div class=comments><article><p>Reader says, at some length, that this is so.</p></article></div></article></main>"""
+    got = main_text.main_text(PAGE.replace("{}", page)).split("\n")
+    assert [got[0], *got[4:]] == ["Head", "A short end.", "Work of others.", "Found again"] and len(set(got[1:4])) == 1
+
+
 @pytest.mark.parametrize("tag", ["article", "div"])
 def test_given_pages_by_ratios(spark, tag):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
