@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.distributions import chi2_sf, normal_cdf, t_two_sided
 from assayer.functions.normality import chi2_two_tail, corrected_kurtosis, corrected_skew, jarque_bera, k_squared
-from assayer.functions.values import as_col, band, number, share
+from assayer.functions.values import as_col, band, number, pearson, share
 from assayer.operators.evaluate import durbin_watson
 from assayer.operators.profile import mean_std, pearson_pairs
 from assayer.plans.columns import dtype, long_agg, numeric_columns, text_columns, union_all, unpivot_number
@@ -329,7 +329,7 @@ def spearman(df: DataFrame, a: str, b: str, key: Sequence[str]) -> DataFrame:
     ra = average_ranks(d, a).select(F.col("value").alias(a), F.col("rank").alias("__ra"))
     rb = average_ranks(d, b).select(F.col("value").alias(b), F.col("rank").alias("__rb"))
     both = lookup_join(lookup_join(d, ra, [a]), rb, [b])
-    return both.agg(F.corr("__ra", "__rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return both.agg(pearson(F.col("__ra"), F.col("__rb")).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def kruskal_wallis(df: DataFrame, col: str, group: str) -> DataFrame:

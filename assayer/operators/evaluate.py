@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.distributions import t_two_sided
-from assayer.functions.values import as_col
+from assayer.functions.values import as_col, pearson
 from assayer.plans.columns import union_all
 from assayer.plans.ordered import ranged, running_sums
 from assayer.plans.quantiles import exact_quantiles
@@ -161,7 +161,7 @@ def residual_stats(df: DataFrame) -> DataFrame:
 def residual_heteroscedasticity(df: DataFrame) -> DataFrame:
     """Pearson r of absolute residual and prediction, with its two-sided p."""
     e = F.abs(F.col("y") - F.col("yhat"))
-    row = df.agg(F.corr(e, F.col("yhat").cast("double")).alias("r"), F.count(F.lit(1)).alias("n")).first()
+    row = df.agg(pearson(e, F.col("yhat")).alias("r"), F.count(F.lit(1)).alias("n")).first()
     r, n = row["r"], row["n"]
     p = None if r is None or n < 3 else 0.0 if abs(r) >= 1 else t_two_sided(r * ((n - 2) / (1 - r * r)) ** .5, n - 2)
     return df.sparkSession.createDataFrame([(r, p, n)], "r double, p_value double, n bigint")
@@ -241,7 +241,7 @@ def rank_agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
 
     j = ranked(a, "ra").join(ranked(b, "rb"), "feature")
     return j.agg((F.count_if((F.col("ra") <= k) & (F.col("rb") <= k)) / F.least(F.lit(k), F.count(F.lit(1)))).alias("top_overlap"),
-                 F.corr("ra", "rb").alias("spearman"))
+                 pearson(F.col("ra"), F.col("rb")).alias("spearman"))
 
 
 def interpretability(importances: DataFrame, attributed: bool = False) -> DataFrame:

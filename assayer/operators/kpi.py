@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.values import as_col, clip, number, share
+from assayer.functions.values import as_col, clip, number, pearson, share
 from assayer.operators.evaluate import _ratio, binary_counts
 from assayer.operators.profile import duplicate_rows, iqr_fences
 from assayer.plans.columns import dtype, long_agg, numeric_columns
@@ -89,7 +89,7 @@ def correlation(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Correlation over models (``by``) of accuracy and business profit."""
     c = binary_counts(preds, by)
     tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
-    return c.agg(F.corr(_ratio(tp + tn, tp + tn + fp + fn), (tp * PROFIT_VALUES["tp"] - fp * PROFIT_VALUES["fp"] - fn * PROFIT_VALUES["fn"]).cast("double")).alias("r"),
+    return c.agg(pearson(_ratio(tp + tn, tp + tn + fp + fn), (tp * PROFIT_VALUES["tp"] - fp * PROFIT_VALUES["fp"] - fn * PROFIT_VALUES["fn"]).cast("double")).alias("r"),
                  F.count(F.lit(1)).alias("n_models"))
 
 

@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.values import as_col, number, unit_hash
+from assayer.functions.values import as_col, number, pearson, unit_hash
 from assayer.operators.evaluate import stability
 from assayer.operators.sample import bootstrap, folds, shuffled, with_gaussians
 from assayer.plans.columns import dtype, numeric_columns, text_columns
@@ -256,7 +256,8 @@ def stability_table(model: Transformer, df: DataFrame, cols: Sequence[str], targ
     boots = bootstrap(preds, key, rounds).groupBy("round").agg(score.alias("score"))
     boot = boots.agg((1 - F.stddev_pop("score") / (F.avg("score") + 1e-8)).alias("bootstrap"))
     first = model.transform(df).select(*df.columns, F.col("prediction").alias("__first"))  # both predictions on the row itself
-    repeat = model.transform(first).agg(F.coalesce(F.corr("__first", "prediction"), F.lit(1.0)).alias("repeat"))
+    same = F.bool_and(F.col("__first") == F.col("prediction"))
+    repeat = model.transform(first).agg(F.when(~same, F.coalesce(pearson(F.col("__first"), F.col("prediction")), F.lit(0.0))).otherwise(1.0).alias("repeat"))
     out = keep(noise_copies(df, cols, noise, key), "noise").crossJoin(keep(dropout_copies(df, cols, dropout), "dropout")).crossJoin(boot).crossJoin(repeat)
     return out.withColumn("overall", stability(F.col("noise"), F.col("dropout"), F.col("bootstrap"), F.col("repeat")))
 

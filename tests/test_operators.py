@@ -418,3 +418,13 @@ def test_open_steps_of_a_recipe_follow_the_table(spark):
     done = apply_recipe(df, got)
     assert done.where("even IS NULL OR skewed IS NULL").count() == 0 and "few_a" in done.columns
     assert complete(df, {}, df.columns) == {} and complete(df.limit(0), {}, impute_num=None)["even"].scale == "standard"
+
+
+def test_constant_predictions_have_a_stability_and_no_correlation(spark):
+    df = spark.range(400).selectExpr("id AS k", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS b", "CAST(id % 400 = 0 AS INT) AS y")
+    model = M.fit(df, ["a", "b"], "y", "decision_tree", "classification", maxDepth=1, minInstancesPerNode=150)
+    assert M.score_table(model, df, "y", "classification", ["k"]).select("yhat").distinct().count() == 1
+    got = M.stability_table(model, df, ["a", "b"], "y", "classification", ["k"], rounds=3).first()
+    assert got["noise"] == got["dropout"] == got["repeat"] == 1.0 and 0.99 < got["bootstrap"] <= 1
+    flat = spark.range(50).selectExpr("CAST(id AS DOUBLE) AS y", "CAST(3 AS DOUBLE) AS yhat")
+    assert EV.residual_heteroscedasticity(flat).first()["r"] is None
