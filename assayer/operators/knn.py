@@ -3,9 +3,11 @@
 Equal vectors are first reduced to one (with at most k+1 ids), so copies are compared once.  Points of a counted, small size
 are sent to all tasks, and each query is answered where it lies.  Beyond that size vectors are spread over cells around
 hashed pivots and the search takes two rounds: a query first meets its own cell, which gives its true k-th distance so far,
-and then, by the triangle inequality, only the cells that can hold anything nearer.  Large cells are cut into blocks and
-their queries into chunks, so every task compares two bounded blocks with numpy and returns k rows per query, never all
-pairs; the k best of all tasks are kept by a rank filter, which Spark applies before the shuffle too.
+and then, by the triangle inequality, only the cells that can hold anything nearer.  Small cells travel together in packs, so
+that a query is copied to a few packs and not to each cell; large cells are cut into packs of their own and the queries of a
+pack into chunks.  Every task compares two bounded blocks with numpy and returns k rows per query, never all pairs; the k
+best of all tasks are kept by a rank filter, which Spark applies before the shuffle too.  A matrix product chooses the pairs
+whose exact distance is computed.
 
 A component may be missing (NaN).  Then only the components that a query has count, and only points that have all of them
 may answer; distances on fewer components are never larger, so the same pivots, cells and bounds hold for every pattern.
@@ -30,11 +32,13 @@ BLOCK = 20_000       # most points, and about as many queries, in one comparison
 DIRECT = 20_000      # most points, and
 DIRECT_CELLS = 4_000_000  # most components of all points, that are sent to all tasks
 MAX_PIVOTS = 1_024   # pivots on the driver: at most this many vectors
-ROWS = 500           # queries compared at once
+ROWS = 500           # queries placed or answered at once
+PACKS = 16           # packs of cells that a table makes at most, while a pack's components stay within DIRECT_CELLS
+PRODUCT = 4_000_000  # distances in one matrix product
 
 #: Rows of the first matrix, slots, places in the second, distances of the k nearest; a slot is what is looked for.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-Match = Callable[[np.ndarray, np.ndarray, np.ndarray, int], Iterator[Found]]
+Match = Callable[..., Iterator[Found]]
 
 
 def vectors(df: DataFrame, id_col: str, cols: Sequence[str] | str, keep: Sequence[str] = ()) -> DataFrame:
@@ -78,27 +82,57 @@ def _patterns(a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield mask, np.flatnonzero(which.ravel() == k)
 
 
-def _smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row number and positions of the k nearest by (distance, id)."""
-    for i, d in enumerate(dist):
-        pos = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-        yield i, pos[np.lexsort((ids[pos], d[pos]))][:k]
+def _within(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, position) that hold the k nearest of every row, and little more.
 
-
-def _gathered(dist: np.ndarray, ids: np.ndarray, k: int, rows: np.ndarray, places: np.ndarray, slot: int) -> Found:
-    at = list(_smallest(dist, ids, k))
-    size = np.array([len(p) for _, p in at], dtype=int)
-    pos = np.concatenate([p for _, p in at]) if at else np.zeros(0, dtype=int)
-    row = np.repeat(np.arange(len(at)), size)
-    return rows[row], np.full(len(row), slot), places[pos], dist[row, pos]
-
-
-def match_whole(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> Iterator[Found]:
-    """The k nearest rows of ``b`` to every row of ``a``."""
-    yield _gathered(_dist(a, b), ids, k, np.arange(len(a)), np.arange(len(b)), 0)
-
-
-def match_missing(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> Iterator[Found]:
+    Squared distances from one matrix product choose them; they are kept up to twice the product's rounding error beyond a limit
+    that k points meet: the k-th of the least distances of groups of points.
+    """
+    an, bn = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    if not np.isfinite(an.max(initial=0) + bn.max(initial=0)):  # nothing is left out
+        return np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+    error = 8 * (a.shape[1] + 8) * np.finfo(float).eps * (an + bn.max(initial=0)) + np.finfo(float).tiny
+    near = a @ b.T
+    near *= -2
+    near += bn
+    near += an[:, None]
+    limit = np.full(len(a), np.inf)
+    if len(b) > k:
+        groups = max(k, len(b) // 32)
+        deep = len(b) // groups
+        least = near[:, :deep * groups].reshape(len(a), deep, groups).min(axis=1)
+        limit = np.partition(least, k - 1, axis=1)[:, k - 1]
+    if bound is not None:
+        limit = np.minimum(limit, bound * bound * (1 + 1e-9))
+    return np.nonzero(near <= (limit + 2 * error)[:, None])
+
+
+def _gathered(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None, rows: np.ndarray, places: np.ndarray, slot: int) -> Found:
+    """The k nearest of ``b`` to every row of ``a`` by (exact distance, id); ``rows`` and ``places`` are their numbers."""
+    out: list[Found] = []
+    step = max(1, PRODUCT // max(1, len(b)))
+    for at in range(0, len(a), step):
+        part = a[at:at + step]
+        row, pos = _within(part, b, ids, k, None if bound is None else bound[at:at + step])
+        dist = np.empty(len(row))
+        some = max(1, PRODUCT // max(1, a.shape[1]))
+        for i in range(0, len(row), some):
+            d = part[row[i:i + some]] - b[pos[i:i + some]]
+            dist[i:i + some] = np.sqrt(np.einsum("ij,ij->i", d, d))
+        order = np.lexsort((ids[pos], dist, row))
+        row, pos, dist = row[order], pos[order], dist[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row = row[first]
+        out.append((rows[at + row], np.full(len(row), slot), places[pos[first]], dist[first]))
+    return tuple(map(np.concatenate, zip(*out))) if out else (rows[:0], rows[:0], places[:0], np.zeros(0))
+
+
+def match_whole(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None) -> Iterator[Found]:
+    """The k nearest rows of ``b`` to every row of ``a``; those beyond a row's bound may be missing."""
+    yield _gathered(a, b, ids, k, bound, np.arange(len(a)), np.arange(len(b)), 0)
+
+
+def match_missing(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None) -> Iterator[Found]:
     """For every missing component (slot) of a row of ``a`` the k nearest rows of ``b`` that have it and all that the row has."""
     have = ~np.isnan(b)
     for mask, rows in _patterns(a):
@@ -108,7 +142,7 @@ def match_missing(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> Iter
         for slot in np.flatnonzero(~mask):
             places = np.flatnonzero(able & have[:, slot])
             if len(places):
-                yield _gathered(_dist(a[rows][:, mask], b[places][:, mask]), ids[places], k, rows, places, int(slot))
+                yield _gathered(a[rows][:, mask], b[places][:, mask], ids[places], k, None if bound is None else bound[rows], rows, places, int(slot))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -135,52 +169,91 @@ def _search(qs: DataFrame, pts: DataFrame, n: int, kk: int, match: Match, block:
     cells = np.array(sorted(sizes), dtype=int)
     radius = np.array([sizes[c][1] for c in cells])
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": pd.Series(dtype="int64"), "slot": pd.Series(dtype="int32"), "vid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})]
-        if len(a) and len(b):
-            ids, bm = b["vid"].to_numpy(), _matrix(b["vec"])
-            for at in range(0, len(a), ROWS):
-                some = a.iloc[at:at + ROWS]
-                names, bound = some["qid"].to_numpy(), some["bound"].to_numpy()
-                for row, slot, pos, dist in match(_matrix(some["vec"]), bm, ids, kk):
-                    near = dist <= bound[row]
-                    out.append(pd.DataFrame({"qid": names[row[near]], "slot": slot[near].astype("int32"), "vid": ids[pos[near]], "dist": dist[near]}))
-        return pd.concat(out, ignore_index=True)
-
-    def met(asked: DataFrame) -> DataFrame:
-        """The kk nearest of the points in the cells that queries (qid, vec, bound, cell) name."""
-        n_asked = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        shape = qs.sparkSession.createDataFrame([(int(c), max(1, -(-sizes[c][0] // block)), max(1, -(-n_asked[c] // block))) for c in sizes if c in n_asked],
-                                                "cell int, nb int, nc int")
-        left = (asked.join(F.broadcast(shape), "cell").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("nc")).cast("int"))
-                .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("cell", "blk", "chunk", "qid", "vec", "bound"))
-        right = (placed.join(F.broadcast(shape), "cell").withColumn("blk", F.pmod(F.xxhash64("vid"), F.col("nb")).cast("int"))
-                 .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).select("cell", "blk", "chunk", "vid", "vec"))
-        keys = ["cell", "blk", "chunk"]
-        return best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "qid bigint, slot int, vid bigint, dist double"))
+    # A pack is several small cells or a part of a large one; a cell has the packs from its first on.
+    dim = max(1, pivots.shape[1])
+    pack = max(1, min(max(block, -(-n // PACKS)), max(1000, DIRECT_CELLS // dim)))
+    first, parted, packs, room = {}, {}, 0, 0
+    for c in cells.tolist():
+        size = sizes[c][0]
+        if size > pack:
+            first[c], parted[c], room = packs, -(-size // pack), 0
+            packs += parted[c]
+        else:
+            if size > room:
+                packs, room = packs + 1, pack
+            first[c], parted[c], room = packs - 1, 1, room - size
+    member = np.zeros((len(cells), packs), dtype=np.float32)
+    for i, c in enumerate(cells.tolist()):
+        member[i, first[c]:first[c] + parted[c]] = 1
+    inside = [np.flatnonzero(member[:, p]) for p in range(packs)]
+
+    def asks(vec: np.ndarray, bound: np.ndarray, own: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Whether a query must meet the cells ``some``, other than its own."""
+        least = _known_dist(vec, pivots[cells[some]]) - radius[some]
+        return (least <= bound[:, None] * (1 + 1e-9) + 1e-12) & (cells[some][None, :] != own[:, None])
+
+    def compare_in(home: bool):
+        def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"qid": pd.Series(dtype="int64"), "slot": pd.Series(dtype="int32"), "vid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})]
+            if len(a) and len(b):
+                names, bound, own, am = a["qid"].to_numpy(), a["bound"].to_numpy(), a["cell"].to_numpy(), _matrix(a["vec"])
+                ids, at, bm = b["vid"].to_numpy(), b["cell"].to_numpy(), _matrix(b["vec"])
+                some = inside[key[0]]
+                ask = own[:, None] == cells[some][None, :] if home else asks(am, bound, own, some)
+                held = np.array([(at == c).sum() for c in cells[some]])
+                wide = ask @ held * 4 > len(b)  # such queries meet the pack at once
+                meet = [(np.flatnonzero(wide), np.arange(len(b)))] if not home and wide.any() else []
+                meet += [(np.flatnonzero(ask[:, i] & (home | ~wide)), np.flatnonzero(at == c)) for i, c in enumerate(cells[some])]
+                for rows, places in meet:
+                    if not len(rows) or not len(places):
+                        continue
+                    for row, slot, pos, dist in match(am[rows], bm[places], ids[places], kk, bound[rows]):
+                        row, pos = rows[row], places[pos]
+                        near = (dist <= bound[row]) & (home | (at[pos] != own[row]))  # the own cell has answered
+                        out.append(pd.DataFrame({"qid": names[row[near]], "slot": slot[near].astype("int32"), "vid": ids[pos[near]], "dist": dist[near]}))
+            return pd.concat(out, ignore_index=True)
+        return compare
+
+    spots = qs.sparkSession.createDataFrame([(int(c), first[c], parted[c]) for c in first], "cell int, first int, parted int")
+    dealt = placed.join(F.broadcast(spots), "cell").select("cell", "vid", "vec", (F.col("first") + F.pmod(F.xxhash64("vid"), F.col("parted"))).cast("int").alias("pack"))
+
+    def met(asked: DataFrame, home: bool) -> DataFrame:
+        """The kk nearest of the points in the packs that queries (qid, vec, bound, cell, pack) name."""
+        n_asked = {r["pack"]: r["n"] for r in asked.groupBy("pack").agg(F.count(F.lit(1)).alias("n")).collect()}
+        shape = qs.sparkSession.createDataFrame([(p, -(-m // pack)) for p, m in n_asked.items()], "pack int, nc int")
+        left = (asked.join(F.broadcast(shape), "pack").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("nc")).cast("int"))
+                .select("pack", "chunk", "qid", "vec", "bound", "cell"))
+        right = (dealt.join(F.broadcast(shape), "pack").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)))
+                 .select("pack", "chunk", "vid", "vec", "cell"))
+        keys = ["pack", "chunk"]
+        return best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare_in(home), "qid bigint, slot int, vid bigint, dist double"))
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("qid", "slot").orderBy("dist", "vid")
         return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= kk).drop("r")
 
-    own = cut(met(asking.withColumn("bound", F.lit(float("inf")))))
+    home = asking.join(F.broadcast(spots), "cell").select("qid", "vec", "cell", F.lit(float("inf")).alias("bound"), F.explode(
+        F.sequence(F.col("first"), F.col("first") + F.col("parted") - 1)).alias("pack"))
+    own = cut(met(home, True))
     # A query's bound is the greatest k-th distance of its slots, infinite if its cell could not fill each of them.
     slots = F.greatest(F.lit(1), F.size(F.filter("vec", F.isnan))) if match is match_missing else F.lit(1)
     kth = own.groupBy("qid").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("found"))
     bound = F.when(F.col("found") >= kk * slots, F.col("far")).otherwise(F.lit(float("inf")))
     bounded = asking.join(kth, "qid", "left").select("qid", "vec", "cell", bound.alias("bound"))
 
+    everywhere = np.arange(len(cells))
+
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for at in range(0, len(pdf), ROWS):
                 some = pdf.iloc[at:at + ROWS]
-                least = _known_dist(_matrix(some["vec"]), pivots[cells]) - radius
-                ask = (least <= some["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12) & (cells[None, :] != some["cell"].to_numpy()[:, None])
-                yield some.assign(cells=[cells[r].astype("int32") for r in ask]).drop(columns="cell")
+                ask = asks(_matrix(some["vec"]), some["bound"].to_numpy(), some["cell"].to_numpy(), everywhere)
+                yield some.assign(packs=[np.flatnonzero(r).astype("int32") for r in ask.astype(np.float32) @ member > 0])
 
-    # One row a query; a vector is copied to its cells in the shuffle only.
-    routed = bounded.mapInPandas(route, "qid bigint, vec array<double>, bound double, cells array<int>")
-    return best(own.unionByName(met(routed.select("qid", "vec", "bound", F.explode("cells").alias("cell")))))
+    # One row a query; a vector is copied to its packs in the shuffle only.
+    routed = cut(bounded.mapInPandas(route, "qid bigint, vec array<double>, cell int, bound double, packs array<int>"))
+    # cut, since the joins that follow count it first
+    return cut(best(own.unionByName(met(routed.select("qid", "vec", "bound", "cell", F.explode("packs").alias("pack")), False))))
 
 
 def _sent(pts: DataFrame, n: int, direct: int) -> tuple | None:
@@ -226,7 +299,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     named = top.join(pts.select("vid", "ids"), "vid").groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list(F.transform(
         "ids", lambda i: F.struct(F.col("dist").alias("dist"), i.alias("nid")))))).alias("cand"))
     # back to every original row: the lookup side is unique per vector, hot vectors are split when it is large
-    rows = lookup_join(qmap, lookup_join(qs, named, ["qid"]).select("vec", "cand"), ["vec"])
+    rows = lookup_join(qmap, cut(lookup_join(qs, cut(named), ["qid"]).select("vec", "cand")), ["vec"])
     others = F.filter("cand", lambda s: s["nid"] != F.col("id")) if exclude_self else F.col("cand")
     return rows.select("id", F.posexplode(F.slice(others, 1, k)).alias("pos", "s")).select(
         "id", F.col("s.nid").alias("nid"), F.col("s.dist").alias("dist"), (F.col("pos") + 1).alias("rank"))

@@ -442,3 +442,22 @@ def test_bootstrap_query_counts_rare_weights_as_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
     want = sorted(con.execute(SQL["bootstrap"]).fetchall())
     assert sorted(map(tuple, QUERIES["bootstrap"](spark, str(tmp_path)).collect())) == want
+
+
+def test_knn_copies_a_query_to_packs_and_ranks_by_exact_distance(spark, monkeypatch):
+    """Far from the origin a product's rounding exceeds the gaps; packs of several cells, cells of several packs."""
+    rng = np.random.default_rng(3)
+    x = 1e6 + rng.integers(0, 40, (300, 16)) / 1e4
+    x[:120, 1:] = x[0, 1:]  # one cell holds many
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    want = _brute(x, np.arange(300), 3)
+    monkeypatch.setattr(N, "PACKS", 6)
+    for block, direct in ((20, 0), (20_000, 20_000)):
+        got = {}
+        for r in N.knn_join(df, df, 3, block=block, direct=direct).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append(r["dist"])
+        assert all(np.allclose(got[i], [d for d, _ in w], rtol=1e-12) for i, w in want.items())
+    wide, product = N.match_whole, []
+    monkeypatch.setattr(N, "_dist", lambda a, b: product.append(1))
+    next(wide(x[:9], x, np.arange(300), 4))
+    assert not product  # no difference of all pairs
