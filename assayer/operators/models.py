@@ -12,12 +12,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import (
     HashingTF, IDF, Imputer, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.values import as_col, number, pearson, unit_hash
+from assayer.functions.values import as_col, number, once, pearson, unit_hash
 from assayer.operators.evaluate import stability
-from assayer.operators.sample import bootstrap, folds, shuffled, with_gaussians
+from assayer.operators.sample import bootstrap, folds, with_gaussians
 from assayer.plans.columns import dtype, numeric_columns, text_columns
 from assayer.plans.gram import complete, least_squares
 from assayer.session import cut, ensure_checkpoint_dir
@@ -35,6 +35,7 @@ GRIDS = {
     "logistic": {"regParam": [10.0, 1.0, .1], "elasticNetParam": [1.0, 0.0]},
     "linear_svc": {"regParam": [10.0, 1.0, .1]},
 }
+CLASS_ROWS = 50_000  # rows of one class of a permutation
 # -------------------------------------------------------------------------------------------
 
 
@@ -266,21 +267,24 @@ def permutation_importance(model: Transformer, df: DataFrame, cols: Sequence[str
                            at_once: int = 10) -> DataFrame:
     """Mean and deviation of the score drop when a column is shuffled among the rows.
 
-    The shuffle pairs two hash orders by exact row number, so it is a true permutation.  ``at_once`` repeats share their jobs
-    and need that many copies of the table in the shared folder meanwhile.
+    For each repeat the rows are dealt to classes of some CLASS_ROWS by a hash, and within its class a row takes the values of the
+    next one in hash order, the last those of the first: a true permutation, in which any other row is as likely the partner.
+    All columns are scored in the same pass, and ``at_once`` repeats share a job.
     """
-    base = metric(score_table(model, df, target, kind, key), kind).first()["score"]
+    base, n = metric(score_table(model, df, target, kind, key), kind).first()["score"], df.count()
+    classes = max(1, n // CLASS_ROWS)
+    home = Window.partitionBy("__rep", "__class").orderBy("__h", *key)
+    ends = home.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     drops = []
     for start in range(0, repeats, at_once):
         each = df.withColumn("__rep", F.explode(F.sequence(F.lit(start), F.lit(min(start + at_once, repeats) - 1))))
-        home = shuffled(each, [*key, "__rep"], ["__rep"], seed=1000)
-        other = shuffled(each.select(*key, "__rep", *[c for c in cols if c not in key]), [*key, "__rep"], ["__rep"], seed=2000).select(
-            "__rep", "rn", *[as_col(c).alias(f"__s_{c}") for c in cols])
-        both = cut(home.join(other, ["__rep", "rn"]))
-        for c in cols:
-            moved = both.withColumn(c, F.col(f"__s_{c}")).select(*df.columns, "__rep")
-            scores = metric(score_table(model, moved, target, kind, ["__rep"]), kind, ["__rep"]).collect()
-            drops += [(c, base - r["score"]) for r in scores if r["score"] is not None and base is not None]
+        dealt = once(each, {"__h": unit_hash([*key, "__rep"], 1000)}).withColumn("__class", F.floor(F.col("__h") * classes))
+        other = F.struct(*[as_col(c) for c in cols])
+        paired = dealt.select(*df.columns, "__rep", F.coalesce(F.lead(other).over(home), F.first(other).over(ends)).alias("__other"))
+        moved = paired.withColumn("__col", F.explode(F.array(*[F.lit(c) for c in cols]))).withColumns(
+            {c: F.when(F.col("__col") == c, F.col("__other").getField(c)).otherwise(as_col(c)) for c in cols}).drop("__other")
+        scores = metric(score_table(model, moved, target, kind, ["__rep", "__col"]), kind, ["__rep", "__col"]).collect()
+        drops += [(r["__col"], base - r["score"]) for r in scores if r["score"] is not None and base is not None]
     return df.sparkSession.createDataFrame(drops, "feature string, drop double").groupBy("feature").agg(
         F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
 

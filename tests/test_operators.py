@@ -461,3 +461,19 @@ def test_knn_copies_a_query_to_packs_and_ranks_by_exact_distance(spark, monkeypa
     monkeypatch.setattr(N, "_dist", lambda a, b: product.append(1))
     next(wide(x[:9], x, np.arange(300), 4))
     assert not product  # no difference of all pairs
+
+
+def test_permutation_scores_all_columns_of_a_true_permutation_without_a_cut(spark, monkeypatch):
+    df = _planted(spark, 500)
+    model, moved, score = M.fit(df, ["a", "b"], "y", "linear", "regression"), [], M.score_table
+    monkeypatch.setattr(M, "cut", lambda t: pytest.fail("a copy of the table was written"))
+    monkeypatch.setattr(M, "CLASS_ROWS", 60)
+    monkeypatch.setattr(M, "score_table", lambda m, t, *a, **k: moved.append(t) or score(m, t, *a, **k))
+    assert M.permutation_importance(model, df, ["a", "b"], "y", "regression", ["k"], 3, at_once=3).count() == 2
+    assert len(moved) == 2  # the base, and all columns of all repeats
+    got, own = moved[1].toPandas(), df.toPandas().set_index("k")
+    assert len(got) == 3 * 2 * 500
+    for (_, col), rows in got.groupby(["__rep", "__col"]):
+        rows, kept = rows.set_index("k").sort_index(), "b" if col == "a" else "a"
+        assert sorted(rows[col]) == sorted(own[col]) and (rows[col] != own[col].sort_index()).mean() > .5
+        assert (rows[kept] == own[kept].sort_index()).all()
