@@ -242,3 +242,26 @@ def test_scope_deletes_what_was_cut_inside(spark, tmp_path):
         pass
     assert set(os.listdir(root)) == old
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+
+
+def test_a_small_file_of_many_rows_is_dealt_to_all_cores(spark, tmp_path):
+    from assayer.catalog import quality as CQ
+    from assayer.catalog.fixtures import settled_view
+    from assayer.session import settled
+
+    spark.range(0, 200_000, 1, 1).selectExpr("id AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "id % 90 + 0.5D AS c_acctbal", "'m' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    held = settled_view(spark, str(tmp_path), "customer_text")
+    sizes = [r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes) and sum(sizes) == 200_000
+    assert settled(held) is held and held.agg(F.count_distinct("c_custkey")).first()[0] == 200_000
+    issues = CQ.QUERIES["dq_issues_metric"](spark, str(tmp_path))  # its scans read the dealt rows, not the one file
+    assert "customer.parquet" not in issues._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_are_read_once_per_pass(spark):
+    from assayer.operators import patterns as PT
+
+    df = spark.createDataFrame([(str(i % 50), f"x{i}") for i in range(500)], "a string, b string")
+    assert {r["column_name"]: (r["total_count"], r["n_number"]) for r in PT.normal(df).collect()} == {"a": (500, 500)}
+    text = PT.normal(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RLIKE") <= 2
