@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.catalog.fixtures import load, per_column, r, rounded, view, with_views
+from assayer.catalog.fixtures import load, per_column, r, rounded, settled_view, view, with_views
 from assayer.catalog.profiling import CT_ALL, CT_TXT, LI_NUM
 from assayer.operators import infer as I
 from assayer.operators import patterns as PT
@@ -86,7 +86,7 @@ INFER = f"SELECT column_name, original_type, inferred_type, CAST(confidence AS D
 
 
 def _infer(s, d):
-    return I.infer(view(s, d, "customer_text"))
+    return I.infer(settled_view(s, d, "customer_text"))
 
 
 # ---- patterns -----------------------------------------------------------------------------
@@ -159,10 +159,10 @@ QUERIES = {
     "infer_all_null": lambda s, d: I.infer(view(s, d, "const_cols"), ["empty_text", "constant_text", "p_partkey"]).select("column_name", "inferred_type", "confidence"),
     "infer_stats": lambda s, d: rounded(I.statistics(view(s, d, "customer_text"))),
     "infer_top_categories": lambda s, d: I.top_categories(view(s, d, "customer_text")).select("column_name", "value", "n", "rank"),
-    "infer_table": lambda s, d: rounded(I.with_samples(view(s, d, "customer_text"), _infer(s, d)).withColumn("sample_values", F.array_join("sample_values", " | "))),
+    "infer_table": lambda s, d: rounded(I.with_samples(settled_view(s, d, "customer_text"), _infer(s, d)).withColumn("sample_values", F.array_join("sample_values", " | "))),
     "infer_reco": lambda s, d: _infer(s, d).select("column_name", "advice"),
     "infer_report": lambda s, d: I.report(_infer(s, d)),
-    "pat_regex": lambda s, d: rounded(PT.format_examples(view(s, d, "customer_text"), PT.formats(view(s, d, "customer_text"))).withColumn("examples", F.array_join("examples", " | "))),
+    "pat_regex": lambda s, d: rounded(PT.format_examples(settled_view(s, d, "customer_text"), cut(PT.formats(settled_view(s, d, "customer_text")))).withColumn("examples", F.array_join("examples", " | "))),
     "pat_sequential": lambda s, d: rounded(PT.sequential(load(s, d, "orders"))),
     "pat_constant": lambda s, d: PT.identifiers(view(s, d, "const_cols")).where("pattern_name = 'constant_value'"),
     "pat_unique_id": lambda s, d: rounded(PT.identifiers(view(s, d, "const_cols")).where("pattern_name = 'unique_identifier'")),

@@ -258,6 +258,22 @@ def test_a_small_file_of_many_rows_is_dealt_to_all_cores(spark, tmp_path):
     assert "customer.parquet" not in issues._jdf.queryExecution().executedPlan().toString()
 
 
+def test_samples_sort_no_values(spark):
+    import hashlib
+
+    from assayer.plans.columns import sampled
+
+    values = [f"v{i}" for i in range(3000)] + ["hot"] * 5000
+    df = spark.createDataFrame([("k", v) for v in values], "key string, value string").repartition(5)
+    got = sampled(df, ["key"], 10)
+    least = {}
+    for h, v in sorted({(hashlib.md5(v.encode()).hexdigest(), v) for v in values}, reverse=True):
+        least[h[:2]] = v
+    assert got.first()["examples"] == [least[c] for c in sorted(least)][:10]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "min(bits" in plan  # a least of texts would be a sort of all values in each task
+
+
 def test_numbers_are_read_once_per_pass(spark):
     from assayer.operators import patterns as PT
 
