@@ -36,6 +36,8 @@ GRIDS = {
     "linear_svc": {"regParam": [10.0, 1.0, .1]},
 }
 CLASS_ROWS = 50_000  # rows of one class of a permutation
+WEIGHTED = ("decision_tree", "gbt")  # classifiers that draw no rows: a row of weight n is n equal rows
+FEW = 4  # equal rows are counted where that leaves at most one row of so many
 # -------------------------------------------------------------------------------------------
 
 
@@ -91,9 +93,27 @@ def fit(df: DataFrame, features: Sequence[str], target: str, name: str, kind: st
         width = len(prep.transform(df.limit(1)).select("features").first()["features"])
         params["layers"] = [width, 8, max(2, len(labels) or data.select("label").distinct().count())]
     ensure_checkpoint_dir(df.sparkSession)  # boosting cuts its lineage there
+    if kind == "classification" and name in WEIGHTED and repeats(data, [*features, "label"]):
+        return fit_counted(counted(data, [*features, "label"]), preparation(df, features, scale).fit(data), name, kind, **params)
     return Pipeline(stages=[preparation(df, features, scale), estimator(name, kind, **params)]).fit(data)
 
 
+def repeats(df: DataFrame, cols: Sequence[str]) -> bool:
+    """Whether the rows of ``cols`` are few different ones, by a sketch of some percent."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*[as_col(c) for c in cols])).alias("k")).first()
+    return row["k"] * FEW <= row["n"]
+
+
+def counted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(*cols, __weight): equal rows counted map-side and cut, so that a fit's passes read each different row once."""
+    return cut(df.groupBy(*[as_col(c) for c in cols]).agg(F.count(F.lit(1)).cast("double").alias("__weight")))
+
+
+def fit_counted(rows: DataFrame, prep: PipelineModel, name: str, kind: str, **params) -> PipelineModel:
+    """A WEIGHTED family fitted to counted rows; ``prep`` is fitted by the caller, as its means and orders go by all rows."""
+    return PipelineModel([prep, estimator(name, kind, weightCol="__weight", **params).fit(prep.transform(rows))])
+
+
 def score_table(model: Transformer, df: DataFrame, target: str, kind: str, key: Sequence[str], positive: bool = False) -> DataFrame:
     """(key, y, yhat[, p]): the prediction table all metrics work on."""
     out = model.transform(with_label(df, target, kind)[0])
@@ -105,8 +125,10 @@ def score_table(model: Transformer, df: DataFrame, target: str, kind: str, key:
     return out.select(*cols)
 
 
-def metric(preds: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
-    """r2 or accuracy, optionally per group and by row weight."""
+def metric(preds: DataFrame, kind: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """r2 or accuracy, optionally per group; an accuracy also by row weight."""
+    if weight:
+        return preds.groupBy(*by).agg((F.sum(F.when(F.col("y") == F.col("yhat"), F.col(weight)).otherwise(0.0)) / F.sum(weight)).alias("score"))
     if kind == "regression":
         e = F.col("y") - F.col("yhat")
         return preds.groupBy(*by).agg((1 - F.avg(e * e) / F.var_pop("y")).alias("score"))
@@ -145,16 +167,49 @@ def tune(df: DataFrame, features: Sequence[str], target: str, name: str, kind: s
     return df.sparkSession.createDataFrame(rows, "params string, score double, best boolean")
 
 
+class Passes:
+    """Fits on parts of a table and their scores, over counted rows where a WEIGHTED family has few different ones.
+
+    ``parts`` are the columns that the conditions name.  Counted rows need the whole table again only for the means of
+    missing numbers and the order of texts; without either a preparation is the same on them.
+    """
+
+    def __init__(self, data: DataFrame, df: DataFrame, features: Sequence[str], target: str, name: str, kind: str, parts: Sequence[str]):
+        self.features, self.target, self.name, self.kind = list(features), target, name, kind
+        self.rows, self.whole = None, data
+        if kind == "classification" and name in WEIGHTED and repeats(df, [*features, target]):
+            self.rows = counted(data, [*features, target, *parts])
+            gaps = self.rows.where(F.greatest(*[number(c, dtype(df, c)).isNull() for c in features], F.lit(False))).limit(1).count()
+            self.exact = bool(gaps or text_columns(df, features))
+        if self.rows is None or self.exact:
+            self.whole = data.cache()
+
+    def scores(self, train, test) -> dict[bool, float | None]:
+        """The score on the rows of ``train`` (False) and ``test`` (True) of the model of ``train``."""
+        if self.rows is None:
+            rows, weight = self.whole, None
+            model = fit(rows.where(train), self.features, self.target, self.name, self.kind)
+        else:
+            rows, weight = with_label(self.rows, self.target, self.kind)[0], "__weight"
+            fitted = rows.where(train).groupBy(*[as_col(c) for c in self.features], "label").agg(F.sum("__weight").alias("__weight"))
+            prep = preparation(rows, self.features).fit(self.whole.where(train) if self.exact else rows.where(train))
+            model = fit_counted(fitted, prep, self.name, self.kind)
+        both = rows.where(train | test).withColumn("__part", test)
+        keep = ["__part", weight] if weight else ["__part"]
+        return {r["__part"]: r["score"] for r in metric(score_table(model, both.drop("label"), self.target, self.kind, keep), self.kind, ["__part"], weight).collect()}
+
+    def close(self) -> None:
+        self.whole.unpersist()
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, name: str, kind: str, key: Sequence[str], k: int = 5) -> DataFrame:
     """Mean and deviation of the fold scores; folds have the class shares of the table."""
-    data = folds(df, key, k, target if kind == "classification" else None).cache()
+    data = folds(df, key, k, target if kind == "classification" else None)
+    at = Passes(data, df, features, target, name, kind, ["fold"])
     try:
-        scores = []
-        for i in range(k):
-            model = fit(data.where(F.col("fold") != i), features, target, name, kind)
-            scores.append((i, metric(score_table(model, data.where(F.col("fold") == i), target, kind, key), kind).first()["score"]))
+        scores = [(i, at.scores(F.col("fold") != i, F.col("fold") == i).get(True)) for i in range(k)]
     finally:
-        data.unpersist()
+        at.close()
     return df.sparkSession.createDataFrame(scores, "fold int, score double").agg(
         F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.count(F.lit(1)).alias("folds"))
 
@@ -190,22 +245,23 @@ def learning_curve(df: DataFrame, features: Sequence[str], target: str, name: st
     (mean step of the test means over the later half), ``overfitting_score`` (mean gap of the last three sizes) and
     ``final_gap``.  Two numbers per fit reach the driver.
     """
-    data = folds(df, key, k, target if kind == "classification" else None).withColumn("__u", unit_hash(key, "curve")).cache()
-
-    def point(at: tuple[float, int]) -> tuple[float, int, float | None, float | None]:
-        size, i = at
-        train = (F.col("fold") != i) & (F.col("__u") < size)
-        model = fit(data.where(train), features, target, name, kind)
-        both = data.where(train | (F.col("fold") == i)).withColumn("__part", F.col("fold") == i)
-        got = {r["__part"]: r["score"] for r in metric(score_table(model, both, target, kind, ["__part"]), kind, ["__part"]).collect()}
+    step = F.lit(0)  # how many sizes a row is beyond; it trains from the next size on
+    for x in sizes:
+        step = step + (F.col("__u") >= x).cast("int")
+    data = once(folds(df, key, k, target if kind == "classification" else None), {"__u": unit_hash(key, "curve")}).withColumn("__step", step).drop("__u")
+    at = Passes(data, df, features, target, name, kind, ["fold", "__step"])
+    rank = {x: sum(y <= x for y in sizes) for x in sizes}
+
+    def point(of: tuple[float, int]) -> tuple[float, int, float | None, float | None]:
+        size, i = of
+        got = at.scores((F.col("fold") != i) & (F.col("__step") < rank[size]), F.col("fold") == i)
         return float(size), i, got.get(False), got.get(True)
 
-    data.count()
     try:
         with ThreadPool(parallelism) as pool:
             points = pool.map(point, [(s, i) for s in sizes for i in range(k)])
     finally:
-        data.unpersist()
+        at.close()
     curve = df.sparkSession.createDataFrame(points, "size double, fold int, train double, test double").groupBy("size").agg(
         *[f(c).alias(f"{c}_{n}") for c in ("train", "test") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     rows = F.array_sort(F.collect_list(F.struct("size", "test_mean", (F.col("train_mean") - F.col("test_mean")).alias("gap"))))

@@ -496,3 +496,30 @@ def test_regression_queries_predict_every_row_once(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     assert QUERIES["ml_dt_regression"](spark, sf).count() == 1
     assert seen.value == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_fits_on_counted_rows(spark):
+    """Classifiers without draws read each different row once; scores count all rows, gaps are filled by the mean of all."""
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 8 = 0 THEN NULL ELSE CAST(id % 5 AS DOUBLE) END AS a", "CAST(id % 3 AS DOUBLE) AS b",
+                                      "CAST(id % 5 > 2 OR id % 40 = 0 AS INT) AS y")
+    model = M.fit(df, ["a", "b"], "y", "decision_tree", "classification")
+    assert model.stages[-1].getWeightCol() == "__weight"
+    mean = df.agg(F.avg("a")).first()[0]
+    assert abs(model.stages[0].stages[0].surrogateDF.first()["a"] - mean) < 1e-9
+    plain = M.Pipeline(stages=[M.preparation(df, ["a", "b"]), M.estimator("decision_tree", "classification")]).fit(df.withColumn("label", F.col("y").cast("double")))
+    said = lambda m: [r["yhat"] for r in M.score_table(m, df, "y", "classification", ["id"]).orderBy("id").collect()]
+    assert said(model) == said(plain)
+    assert not M.repeats(df, ["id", "y"])
+
+    sizes, u = (.3, .6, 1.0), M.unit_hash(["id"], "curve")
+    got = {(r["size"]): (r["train_mean"], r["test_mean"]) for r in M.learning_curve(df, ["a", "b"], "y", "decision_tree", "classification", ["id"], sizes, 2).collect()}
+    cut_ = S.folds(df, ["id"], 2, "y").withColumn("u", u)
+    for size in sizes:
+        want = []
+        for i in range(2):
+            train, test = cut_.where((F.col("fold") != i) & (F.col("u") < size)), cut_.where(F.col("fold") == i)
+            m = M.fit(train, ["a", "b"], "y", "decision_tree", "classification")
+            want.append([M.metric(M.score_table(m, part, "y", "classification", ["id"]), "classification").first()[0] for part in (train, test)])
+        assert np.allclose(got[size], np.mean(want, axis=0))
+    both = M.cross_validate(df, ["a", "b"], "y", "decision_tree", "classification", ["id"], 2).first()
+    assert both["folds"] == 2 and np.isclose(both["mean_score"], got[1.0][1])
