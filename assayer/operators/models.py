@@ -11,7 +11,7 @@ from pyspark.ml import regression as MR
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
     HashingTF, IDF, Imputer, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +139,13 @@ def evaluator(kind: str):
     return RegressionEvaluator(metricName="rmse") if kind == "regression" else MulticlassClassificationEvaluator(metricName="accuracy")
 
 
+def _prepared_fold(data: DataFrame, features: Sequence[str], i: int) -> tuple[DataFrame, DataFrame]:
+    """(training, test) rows of fold ``i`` with label and features, prepared by the training rows."""
+    train, test = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
+    prep = preparation(train, features).fit(train)
+    return tuple(prep.transform(part).select("label", "features") for part in (train, test))
+
+
 def tune(df: DataFrame, features: Sequence[str], target: str, name: str, kind: str, key: Sequence[str], k: int = 3,
          grid: Mapping[str, Sequence] | None = None, draws: int | None = None, parallelism: int = 4, seed: int = 42) -> DataFrame:
     """(params, score, best): grid search, or ``draws`` hashed points of it, over exact hashed folds.
@@ -156,12 +163,17 @@ def tune(df: DataFrame, features: Sequence[str], target: str, name: str, kind: s
         import hashlib
 
         points = sorted(points, key=lambda m: hashlib.md5(f"{seed}{sorted((p.name, v) for p, v in m.items())}".encode()).hexdigest())[:draws]
-    whole = Pipeline(stages=[preparation(df, features), est])
-    cv = CrossValidator(estimator=whole, estimatorParamMaps=points, evaluator=evaluator(kind), numFolds=k, foldCol="fold", parallelism=parallelism)
+    judge = evaluator(kind)
+    data.count()
     try:
-        scores = cv.fit(data).avgMetrics
+        with ThreadPool(parallelism) as pool:
+            # a fold's preparation does not depend on the point, so it is fitted once and not once for each point
+            parts = pool.map(lambda i: _prepared_fold(data, features, i), range(k))
+            jobs = [(i, m) for m in range(len(points)) for i in range(k)]
+            each = pool.map(lambda at: judge.evaluate(est.fit(parts[at[0]][0], points[at[1]]).transform(parts[at[0]][1])), jobs)
     finally:
         data.unpersist()
+    scores = [sum(each[m * k:(m + 1) * k]) / k for m in range(len(points))]
     best = min(scores) if kind == "regression" else max(scores)
     rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(s), bool(s == best)) for m, s in zip(points, scores)]
     return df.sparkSession.createDataFrame(rows, "params string, score double, best boolean")

@@ -523,3 +523,13 @@ def test_fits_on_counted_rows(spark):
         assert np.allclose(got[size], np.mean(want, axis=0))
     both = M.cross_validate(df, ["a", "b"], "y", "decision_tree", "classification", ["id"], 2).first()
     assert both["folds"] == 2 and np.isclose(both["mean_score"], got[1.0][1])
+
+
+def test_tuning_prepares_a_fold_once(spark, monkeypatch):
+    from pyspark.ml.feature import Imputer
+
+    fits, plain = [], Imputer._fit
+    monkeypatch.setattr(Imputer, "_fit", lambda self, data: (fits.append(1), plain(self, data))[1])
+    df = spark.range(60).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "2.0D * (id % 7) + id % 3 AS y")
+    got = M.tune(df, ["a"], "y", "ridge", "regression", ["id"], 2, {"regParam": [.1, 1.0, 10.0]}).collect()
+    assert len(fits) == 2 and [r["best"] for r in sorted(got, key=lambda r: r["score"])] == [True, False, False]
