@@ -93,7 +93,8 @@ def fit(df: DataFrame, features: Sequence[str], target: str, name: str, kind: st
         width = len(prep.transform(df.limit(1)).select("features").first()["features"])
         params["layers"] = [width, 8, max(2, len(labels) or data.select("label").distinct().count())]
     ensure_checkpoint_dir(df.sparkSession)  # boosting cuts its lineage there
-    if kind == "classification" and name in WEIGHTED and repeats(data, [*features, "label"]):
+    by_rows = {"minInstancesPerNode", "subsamplingRate"} & set(params)  # these count or draw rows, whatever their weight
+    if kind == "classification" and name in WEIGHTED and not by_rows and repeats(data, [*features, "label"]):
         return fit_counted(counted(data, [*features, "label"]), preparation(df, features, scale).fit(data), name, kind, **params)
     return Pipeline(stages=[preparation(df, features, scale), estimator(name, kind, **params)]).fit(data)
 

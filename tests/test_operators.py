@@ -510,6 +510,8 @@ def test_fits_on_counted_rows(spark):
     said = lambda m: [r["yhat"] for r in M.score_table(m, df, "y", "classification", ["id"]).orderBy("id").collect()]
     assert said(model) == said(plain)
     assert not M.repeats(df, ["id", "y"])
+    held = M.fit(df, ["a", "b"], "y", "decision_tree", "classification", minInstancesPerNode=500)
+    assert held.stages[-1].numNodes > 1  # a least number of rows is of all rows, not of different ones
 
     sizes, u = (.3, .6, 1.0), M.unit_hash(["id"], "curve")
     got = {(r["size"]): (r["train_mean"], r["test_mean"]) for r in M.learning_curve(df, ["a", "b"], "y", "decision_tree", "classification", ["id"], sizes, 2).collect()}
