@@ -47,15 +47,16 @@ def confusion(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     return df.groupBy(as_col(y).alias("y"), as_col(yhat).alias("yhat")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def binary_counts(df: DataFrame, by: Sequence[str] = (), positive: object = 1) -> DataFrame:
+def binary_counts(df: DataFrame, by: Sequence[str] = (), positive: object = 1, weight: str | None = None) -> DataFrame:
+    """The four counts of a two-class prediction table, a row of ``weight`` n as n rows."""
     yes, said = F.col("y") == positive, F.col("yhat") == positive
-    return df.groupBy(*by).agg(F.count_if(yes & said).alias("tp"), F.count_if(~yes & ~said).alias("tn"),
-                               F.count_if(~yes & said).alias("fp"), F.count_if(yes & ~said).alias("fn"))
+    many = lambda cond: F.coalesce(F.sum(F.when(cond, F.col(weight).cast("bigint"))), F.lit(0).cast("bigint")) if weight else F.count_if(cond)
+    return df.groupBy(*by).agg(many(yes & said).alias("tp"), many(~yes & ~said).alias("tn"), many(~yes & said).alias("fp"), many(yes & ~said).alias("fn"))
 
 
-def binary(df: DataFrame, positive: object = 1) -> DataFrame:
+def binary(df: DataFrame, positive: object = 1, weight: str | None = None) -> DataFrame:
     """Accuracy, balanced accuracy, precision, recall, f1, specificity, NPV and error rate."""
-    c = binary_counts(df, positive=positive)
+    c = binary_counts(df, positive=positive, weight=weight)
     tp, tn, fp, fn = (F.col(x) for x in ("tp", "tn", "fp", "fn"))
     rec, spec, prec = _ratio(tp, tp + fn), _ratio(tn, tn + fp), _ratio(tp, tp + fp)
     n = tp + tn + fp + fn

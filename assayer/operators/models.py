@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
@@ -38,6 +40,8 @@ GRIDS = {
 CLASS_ROWS = 50_000  # rows of one class of a permutation
 WEIGHTED = ("decision_tree", "gbt")  # classifiers that draw no rows: a row of weight n is n equal rows
 FEW = 4  # equal rows are counted where that leaves at most one row of so many
+TREE_ROWS = 250_000  # a forest is fitted tree by tree where its different rows are at most so many
+ROWS_A_TASK = 50_000  # of a single tree
 # -------------------------------------------------------------------------------------------
 
 
@@ -93,16 +97,19 @@ def fit(df: DataFrame, features: Sequence[str], target: str, name: str, kind: st
         width = len(prep.transform(df.limit(1)).select("features").first()["features"])
         params["layers"] = [width, 8, max(2, len(labels) or data.select("label").distinct().count())]
     ensure_checkpoint_dir(df.sparkSession)  # boosting cuts its lineage there
-    by_rows = {"minInstancesPerNode", "subsamplingRate"} & set(params)  # these count or draw rows, whatever their weight
-    if kind == "classification" and name in WEIGHTED and not by_rows and repeats(data, [*features, "label"]):
-        return fit_counted(counted(data, [*features, "label"]), preparation(df, features, scale).fit(data), name, kind, **params)
+    by_rows = {"minInstancesPerNode", "subsamplingRate", "bootstrap"} & set(params)  # these count or draw rows, whatever their weight
+    if kind == "classification" and name in (*WEIGHTED, "random_forest") and not by_rows:
+        most = TREE_ROWS if name == "random_forest" else None
+        if repeats(data, [*features, "label"], most):
+            rows, prep = counted(data, [*features, "label"]), preparation(df, features, scale).fit(data)
+            return fit_trees(rows, features, prep, **params) if most else fit_counted(rows, prep, name, kind, **params)
     return Pipeline(stages=[preparation(df, features, scale), estimator(name, kind, **params)]).fit(data)
 
 
-def repeats(df: DataFrame, cols: Sequence[str]) -> bool:
-    """Whether the rows of ``cols`` are few different ones, by a sketch of some percent."""
+def repeats(df: DataFrame, cols: Sequence[str], most: int | None = None) -> bool:
+    """Whether the rows of ``cols`` are few different ones (and at most ``most``), by a sketch of some percent."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*[as_col(c) for c in cols])).alias("k")).first()
-    return row["k"] * FEW <= row["n"]
+    return row["k"] * FEW <= row["n"] and (most is None or row["k"] <= most)
 
 
 def counted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -115,6 +122,67 @@ def fit_counted(rows: DataFrame, prep: PipelineModel, name: str, kind: str, **pa
     return PipelineModel([prep, estimator(name, kind, weightCol="__weight", **params).fit(prep.transform(rows))])
 
 
+def drawn(rows: DataFrame, features: Sequence[str], times: int, seed: int) -> DataFrame:
+    """Counted rows with ``__drawn``: how often each of ``times`` bootstrap samples holds a row of ``__weight`` equal rows.
+
+    A bootstrap takes every single row a Poisson number of times of mean 1, so n equal rows together a Poisson number of mean n.
+    """
+    @F.pandas_udf("array<bigint>")
+    def poisson(n: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, k & (1 << 64) - 1]).poisson(w, times) for w, k in zip(n, h)])
+
+    return rows.withColumn("__drawn", poisson("__weight", F.xxhash64(*[as_col(c) for c in features], "label")))
+
+
+def fit_trees(rows: DataFrame, features: Sequence[str], prep: PipelineModel, numTrees: int = 20, featureSubsetStrategy: str = "auto",
+              seed: int = 42, parallelism: int = 8, **params) -> PipelineModel:
+    """A random forest for classes fitted tree by tree to counted rows; ``prep`` is fitted by the caller.
+
+    A tree weighs a row of n by a draw of its own (``drawn``), so the time of the trees goes by the different rows only.
+    """
+    if featureSubsetStrategy == "auto":
+        featureSubsetStrategy = "all" if numTrees == 1 else "sqrt"
+    n, top = rows.agg(F.count(F.lit(1)), F.max("label")).first()
+    classes = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": int(top) + 1}}  # also of a tree that draws no row of the last
+    data = prep.transform(drawn(rows, features, numTrees, seed)).select(F.col("label").alias("label", metadata=classes), "features", "__drawn")
+    data = data.coalesce(-(-n // ROWS_A_TASK)).cache()
+
+    def tree(t: int):
+        own = data.select("label", "features", F.col("__drawn")[t].cast("double").alias("__weight")).where("__weight > 0")
+        return estimator("random_forest", "classification", seed=seed + t, numTrees=1, bootstrap=False, weightCol="__weight",
+                         featureSubsetStrategy=featureSubsetStrategy, **params).fit(own)
+
+    try:
+        data.count()
+        with ThreadPool(parallelism) as pool:
+            trees = pool.map(tree, range(numTrees), chunksize=1)
+    finally:
+        data.unpersist()
+    return PipelineModel([prep, joined(trees)])
+
+
+def joined(forests: Sequence[MC.RandomForestClassificationModel]) -> MC.RandomForestClassificationModel:
+    """One forest of the trees of several, with the parameters of the first; MLlib has no Python call for it."""
+    from pyspark import SparkContext
+
+    sc, first = SparkContext._active_spark_context, forests[0]
+    made = sc._jvm.org.apache.spark.ml.classification
+    own = [t for f in forests for t in f._java_obj.trees()]
+    trees = sc._gateway.new_array(made.DecisionTreeClassificationModel, len(own))
+    for i, t in enumerate(own):
+        trees[i] = t
+    forest = made.RandomForestClassificationModel(first.uid, trees, first.numFeatures, first.numClasses).copy(first._java_obj.extractParamMap())
+    return MC.RandomForestClassificationModel(forest.set(forest.getParam("numTrees"), len(own)))
+
+
+def score_counts(model: Transformer, df: DataFrame, features: Sequence[str], target: str, kind: str) -> DataFrame:
+    """(y, yhat, weight): a prediction for each different row of features and target where these are few, else for each row."""
+    cols = [*features, target]
+    if not repeats(df, cols):
+        return score_table(model, df, target, kind, []).withColumn("weight", F.lit(1.0))
+    return score_table(model, counted(df, cols), target, kind, ["__weight"]).withColumnRenamed("__weight", "weight")
+
+
 def score_table(model: Transformer, df: DataFrame, target: str, kind: str, key: Sequence[str], positive: bool = False) -> DataFrame:
     """(key, y, yhat[, p]): the prediction table all metrics work on."""
     out = model.transform(with_label(df, target, kind)[0])

@@ -535,3 +535,31 @@ def test_tuning_prepares_a_fold_once(spark, monkeypatch):
     df = spark.range(60).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "2.0D * (id % 7) + id % 3 AS y")
     got = M.tune(df, ["a"], "y", "ridge", "regression", ["id"], 2, {"regParam": [.1, 1.0, 10.0]}).collect()
     assert len(fits) == 2 and [r["best"] for r in sorted(got, key=lambda r: r["score"])] == [True, False, False]
+
+
+def test_forest_is_fitted_to_counted_rows(spark, monkeypatch):
+    """A tree weighs a counted row by a Poisson draw of its mean, every class is known to each tree, and scores count all rows."""
+    df = spark.range(6000).selectExpr("id", "CASE WHEN id % 8 = 0 THEN NULL ELSE CAST(id % 5 AS DOUBLE) END AS a", "CAST(id % 3 AS DOUBLE) AS b",
+                                      "CASE WHEN id = 5 THEN 2 WHEN crc32(CAST(id AS STRING)) % 4 = 0 THEN CAST(id % 5 < 3 AS INT) ELSE CAST(id % 5 > 2 AS INT) END AS y")
+    rows = M.counted(df.withColumn("label", F.col("y").cast("double")), ["a", "b", "label"])
+    pdf = M.drawn(rows, ["a", "b"], 2000, 42).toPandas()
+    got = np.stack(pdf["__drawn"].to_numpy())
+    assert np.allclose(got.mean(axis=1), pdf["__weight"], atol=5 * np.sqrt(pdf["__weight"].max() / 2000))
+    assert np.allclose(got.var(axis=1) / pdf["__weight"], 1, atol=.25) and len({r.tobytes() for r in got}) == len(pdf)
+
+    read, fitted = [], M.counted
+    monkeypatch.setattr(M, "counted", lambda *a: read.append(a) or fitted(*a))
+    model = M.fit(df, ["a", "b"], "y", "random_forest", "classification", numTrees=7)
+    forest = model.stages[-1]
+    assert len(read) == 1 and forest.getNumTrees == 7 and forest.numClasses == 3 and forest.featureImportances.size == 2
+    assert len({t._java_obj.rootNode().impurity() for t in forest.trees}) == 7
+    plain = M.Pipeline(stages=[M.preparation(df, ["a", "b"]), M.estimator("random_forest", "classification", numTrees=7)]).fit(df.withColumn("label", F.col("y").cast("double")))
+    share = lambda m: M.metric(M.score_table(m, df, "y", "classification", ["id"]), "classification").first()[0]
+    assert abs(share(model) - share(plain)) < .02
+    counts = {(r["y"], r["yhat"]): r["n"] for r in M.score_counts(model, df, ["a", "b"], "y", "classification").groupBy("y", "yhat").agg(F.sum("weight").alias("n")).collect()}
+    assert counts == {(r["y"], r["yhat"]): r["count"] for r in M.score_table(model, df, "y", "classification", ["id"]).groupBy("y", "yhat").count().collect()}
+    two = M.score_counts(model, df.where("y < 2"), ["a", "b"], "y", "classification")
+    assert EV.binary(two, weight="weight").collect() == EV.binary(M.score_table(model, df.where("y < 2"), "y", "classification", ["id"])).collect()
+    read.clear()
+    M.fit(df, ["a", "b"], "y", "random_forest", "classification", numTrees=2, minInstancesPerNode=500)
+    assert not read  # a least number of rows is of all rows, not of different ones
