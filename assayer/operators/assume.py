@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 from assayer.functions.distributions import chi2_sf, normal_cdf, t_two_sided
 from assayer.functions.normality import chi2_two_tail, corrected_kurtosis, corrected_skew, jarque_bera, k_squared
 from assayer.functions.values import as_col, band, number, pearson, share
-from assayer.operators.evaluate import durbin_watson
+from assayer.operators.evaluate import durbin_watson_of
 from assayer.operators.profile import mean_std, pearson_pairs
 from assayer.plans.columns import dtype, long_agg, numeric_columns, text_columns, union_all, unpivot_number
 from assayer.plans.gram import MAX_FEATURES, complete, cross_products, least_squares
-from assayer.plans.ordered import RANGE, ranged, running_sums
+from assayer.plans.ordered import RANGE, running_sums, sorted_ranges
 from assayer.session import cut
 
 ALPHA = .05
@@ -135,8 +135,20 @@ def multicollinearity_advice(pairs: DataFrame, vifs: DataFrame) -> DataFrame:
                     F.when(lv("extreme"), "remove").when(lv("high"), "consider_removal").when(lv("moderate"), "review").otherwise("keep").alias("advice"))
 
 
-def linearity(df: DataFrame, target: str, features: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Harvey-Collier: t-test of the mean recursive residual in ``order_by`` order.
+def ordered_rows(df: DataFrame, target: str, features: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """Features ``x0``, ``x1`` ... and target ``y`` as numbers, rows complete in these, sorted in ranges; ``placed``: no null in the order."""
+    order = [f"__o{i}" for i in range(len(order_by))]
+    names = [*[f"x{i}" for i in range(len(features))], "y"]
+    d = df.select(*[as_col(c).alias(o) for c, o in zip(order_by, order)], *[number(c, dtype(df, c)).alias(n) for c, n in zip([*features, target], names)])
+    nan = {o for o, c in zip(order, order_by) if isinstance(dtype(df, c), (T.FloatType, T.DoubleType))}
+    placed = F.lit(True)
+    for o in order:
+        placed = placed & F.col(o).isNotNull() & (~F.isnan(o) if o in nan else F.lit(True))
+    return sorted_ranges(d.dropna(subset=names).withColumn("placed", placed), order, [*names, "placed"])
+
+
+def linearity(df: DataFrame, target: str, features: Sequence[str], order_by: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
+    """Harvey-Collier: t-test of the mean recursive residual in ``order_by`` order; ``rows``: their ``ordered_rows`` if there are any.
 
     Ranges report their cross products, the driver adds up the (range count x p x p) prefix, and every range then
     runs its own recursion from its starting state, batch by batch; no range is held in memory.
@@ -144,12 +156,9 @@ def linearity(df: DataFrame, target: str, features: Sequence[str], order_by: Seq
     names = list(features)
     p = len(names) + 1
     ms = mean_std(complete(df, names), names)
-    keyed = df.select(*[as_col(c).alias(f"__o{i}") for i, c in enumerate(order_by)],
-                      *[((number(c, dtype(df, c)) - ms[c][0]) / (ms[c][1] or 1.0)).alias(f"x{i}") for i, c in enumerate(names)],
-                      number(target, dtype(df, target)).alias("y")).dropna()
-    order = [f"__o{i}" for i in range(len(order_by))]
-    base = ranged(keyed, order)
     xs = [f"x{i}" for i in range(len(names))]
+    rows = ordered_rows(df, target, names, order_by) if rows is None else rows
+    base = rows.where("placed").select(RANGE, *[((F.col(x) - ms[c][0]) / (ms[c][1] or 1.0)).alias(x) for x, c in zip(xs, names)], "y")
 
     def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, rid = np.zeros((p + 1, p + 1)), None
@@ -161,7 +170,7 @@ def linearity(df: DataFrame, target: str, features: Sequence[str], order_by: Seq
         if rid is not None:
             yield pd.DataFrame({"r": [rid], "g": [g.ravel().tolist()]})
 
-    sums = {r["r"]: np.array(r["g"]).reshape(p + 1, p + 1) for r in base.select(RANGE, *xs, "y").mapInPandas(blocks, "r int, g array<double>").collect()}
+    sums = {r["r"]: np.array(r["g"]).reshape(p + 1, p + 1) for r in base.mapInPandas(blocks, "r int, g array<double>").collect()}
     start, acc = {}, np.zeros((p + 1, p + 1))
     for r in sorted(sums):
         start[r] = acc.copy()
@@ -195,7 +204,7 @@ def linearity(df: DataFrame, target: str, features: Sequence[str], order_by: Seq
                 n, s1, s2 = n + len(w), s1 + w.sum(), s2 + (w * w).sum()
         yield pd.DataFrame({"n": [n], "s1": [s1], "s2": [s2]})
 
-    row = (base.sortWithinPartitions(*order).select(RANGE, *xs, "y").mapInPandas(recurse, "n double, s1 double, s2 double")
+    row = (base.mapInPandas(recurse, "n double, s1 double, s2 double")
            .agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).first())
     n, mean = row["n"], row["s1"] / row["n"]
     var = (row["s2"] - n * mean * mean) / (n - 1)
@@ -204,13 +213,11 @@ def linearity(df: DataFrame, target: str, features: Sequence[str], order_by: Seq
     return df.sparkSession.createDataFrame([("harvey_collier", target, float(t), float(pv), int(n), bool(pv > ALPHA))], CHECK)
 
 
-def independence(df: DataFrame, target: str, features: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Durbin-Watson of the least-squares residuals in order; passes between 1.5 and 2.5."""
-    names = [f"__x{i}" for i in range(len(features))]
-    d = df.select(*order_by, *[number(c, dtype(df, c)).alias(n) for c, n in zip(features, names)],
-                  number(target, dtype(df, target)).alias("__y")).dropna(subset=[*names, "__y"])
-    fit = least_squares(d, names, "__y")
-    dw = durbin_watson(d, F.col("__y") - fit.predict(), order_by)
+def independence(df: DataFrame, target: str, features: Sequence[str], order_by: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
+    """Durbin-Watson of the least-squares residuals in order; passes between 1.5 and 2.5.  ``rows``: as for ``linearity``."""
+    rows = ordered_rows(df, target, features, order_by) if rows is None else rows
+    fit = least_squares(rows, [f"x{i}" for i in range(len(features))], "y")
+    dw = durbin_watson_of(rows, F.col("y") - fit.predict())
     s = F.col("durbin_watson")
     return dw.select(F.lit("durbin_watson").alias("check"), F.lit(target).alias("column_name"), s.alias("statistic"),
                      F.lit(None).cast("double").alias("p_value"), F.col("n"), s.between(1.5, 2.5).alias("passed"))
@@ -246,7 +253,8 @@ def all_checks(df: DataFrame, target: str, order_by: Sequence[str], cols: Sequen
     parts = [nm]
     feats = [c for c in nums if c != target]
     if target in nums and feats:
-        parts += [heteroscedasticity(df, target, feats), linearity(df, target, feats, order_by), independence(df, target, feats, order_by)]
+        rows = ordered_rows(df, target, feats, order_by)  # put into order once for both
+        parts += [heteroscedasticity(df, target, feats), linearity(df, target, feats, order_by, rows), independence(df, target, feats, order_by, rows)]
         if len(feats) > 1:
             parts.append(vif(df, feats).select(F.lit("multicollinearity").alias("check"), F.col("feature").alias("column_name"), F.col("vif").alias("statistic"),
                                                F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("bigint").alias("n"), (F.col("vif") < 10).alias("passed")))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.distributions import t_two_sided
 from assayer.functions.values import as_col, pearson
 from assayer.plans.columns import union_all
-from assayer.plans.ordered import ranged, running_sums
+from assayer.plans.ordered import running_sums, sorted_ranges
 from assayer.plans.quantiles import exact_quantiles
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -171,15 +173,37 @@ def residual_heteroscedasticity(df: DataFrame) -> DataFrame:
 def durbin_watson(df: DataFrame, residual: Column, order_by: Sequence[str]) -> DataFrame:
     """Sum of squared successive differences over the sum of squares, in ``order_by`` order.
 
+    Rows are brought into order once; see ``durbin_watson_of``.
+    """
+    return durbin_watson_of(sorted_ranges(df.select(*[as_col(c) for c in order_by], residual.alias("e")), order_by, ["e"]), F.col("e"))
+
+
+def durbin_watson_of(rows: DataFrame, residual: Column) -> DataFrame:
+    """The statistic of ``sorted_ranges``.
+
     Each ordered range reports its own sums and its first and last residual; only those few rows are stitched.
     """
     from pyspark.sql import Window
 
-    base = ranged(df.select(*[as_col(c) for c in order_by], residual.alias("e")), order_by)
-    w = Window.partitionBy("__range").orderBy(*order_by)
-    rows = base.select("__range", "e", F.lag("e").over(w).alias("before"), F.row_number().over(w).alias("at"))
-    per = rows.groupBy("__range").agg(F.sum(F.pow(F.col("e") - F.col("before"), F.lit(2.0))).alias("d"), F.sum(F.col("e") * F.col("e")).alias("s"),
-                                      F.min_by("e", "at").alias("first"), F.max_by("e", "at").alias("last"), F.count(F.lit(1)).alias("n"))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, d, s, first, last = None, 0, 0.0, None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            has, e = b.column(1).is_valid().to_numpy(zero_copy_only=False), b.column(1).fill_null(0.0).to_numpy()
+            if at is None:
+                at, first = b.column(0)[0].as_py(), float(e[0]) if has[0] else None
+            elif last is not None and has[0]:
+                d += (e[0] - last) ** 2
+            steps = np.diff(e)[has[1:] & has[:-1]]
+            d, n, last = d + float(steps @ steps), n + len(e), float(e[-1]) if has[-1] else None
+            if has.any():
+                s = (s or 0.0) + float(e @ e)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([{"__range": at, "n": n, "d": d, "s": s, "first": first, "last": last}], schema=pa.schema(
+                [("__range", pa.int32()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("d", "s", "first", "last")]]))
+
+    per = rows.select("__range", residual.cast("double").alias("e")).mapInArrow(sums, "__range int, n bigint, d double, s double, first double, last double")
     seam = F.col("first") - F.lag("last").over(Window.partitionBy(F.lit(1)).orderBy("__range"))
     return per.withColumn("seam", seam * seam).agg(
         (F.sum(F.coalesce("d", F.lit(0.0)) + F.coalesce("seam", F.lit(0.0))) / F.sum("s")).alias("durbin_watson"), F.sum("n").alias("n"))

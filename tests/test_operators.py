@@ -563,3 +563,27 @@ def test_forest_is_fitted_to_counted_rows(spark, monkeypatch):
     read.clear()
     M.fit(df, ["a", "b"], "y", "random_forest", "classification", numTrees=2, minInstancesPerNode=500)
     assert not read  # a least number of rows is of all rows, not of different ones
+
+
+def test_checks_in_order_sort_once(spark, monkeypatch):
+    """Harvey-Collier and Durbin-Watson share one sorted copy; the statistic goes over range seams and past missing residuals."""
+    from assayer.plans import ordered
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=600)
+    pdf = pd.DataFrame({"i": rng.permutation(600), "x": x, "z": rng.normal(size=600), "y": 2 * x + np.cumsum(rng.normal(size=600))})
+    df, sorted_, made = spark.createDataFrame(pdf), A.sorted_ranges, []
+    monkeypatch.setattr(A, "sorted_ranges", lambda *a: made.append(a) or sorted_(*a))
+    got = {r["check"]: r for r in A.all_checks(df, "y", ["i"], ["x", "z", "y"]).collect()}
+    assert len(made) == 1
+    o = pdf.sort_values("i")
+    m = np.column_stack([np.ones(600), o["x"], o["z"]])
+    e = o["y"] - m @ np.linalg.lstsq(m, o["y"], rcond=None)[0]
+    assert got["durbin_watson"]["n"] == 600 and abs(got["durbin_watson"]["statistic"] - np.sum(np.diff(e) ** 2) / np.sum(e ** 2)) < 1e-9
+    assert abs(got["harvey_collier"]["statistic"] - A.linearity(df, "y", ["x", "z"], ["i"]).first()["statistic"]) < 1e-9
+
+    gaps = spark.range(60).select("id", F.when(F.col("id") % 7 != 3, F.sin("id")).alias("e"))
+    e = np.array([np.nan if i % 7 == 3 else np.sin(i) for i in range(60)])
+    monkeypatch.setattr(ordered, "range_count", lambda df: 11)
+    row = EV.durbin_watson(gaps, F.col("e"), ["id"]).first()
+    assert row["n"] == 60 and abs(row["durbin_watson"] - np.nansum(np.diff(e) ** 2) / np.nansum(e ** 2)) < 1e-12

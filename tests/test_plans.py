@@ -281,3 +281,18 @@ def test_numbers_are_read_once_per_pass(spark):
     assert {r["column_name"]: (r["total_count"], r["n_number"]) for r in PT.normal(df).collect()} == {"a": (500, 500)}
     text = PT.normal(df)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("RLIKE") <= 2
+
+
+def test_few_columns_are_multiplied_by_spark(spark):
+    """The products of a few columns are Spark's own sums and equal those of tiles; an empty table has none."""
+    from assayer.plans import gram
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(500, 4)) + 1e3, columns=list("abcd"))
+    df = spark.createDataFrame(pdf)
+    n, s, g = gram.cross_products(df, list("abcd"), [1e3] * 4)
+    x = pdf.to_numpy() - 1e3
+    assert n == 500 and np.allclose(s, x.sum(axis=0)) and np.allclose(g, x.T @ x)
+    tiled = gram.cross_products(df, list("abcd"), [1e3] * 4, tile=3)
+    assert tiled[0] == n and np.allclose(tiled[1], s) and np.allclose(tiled[2], g)
+    assert gram.cross_products(df.where("a < 0"), list("abcd"))[0] == 0
