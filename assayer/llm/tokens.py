@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ _SPACED = re.compile(r"\s*\S+|\s+")
 # them as they are.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ž]+)([.,;:!?#$%&*|]*)")
 LONGEST_KEPT = 64
+_ID = attrgetter("id")
 BLOCK_CHARS = 4_000_000
 
 
@@ -85,7 +87,7 @@ class Encoder:
 
     def _after_space(self, piece: str) -> bytes:
         if piece.isascii() and piece.isalpha() and len(piece) < LONGEST_KEPT:
-            return array("I", [t.id for t in self.tokenize(_LETTERS[32] + piece)]).tobytes()
+            return array("I", map(_ID, self.tokenize(_LETTERS[32] + piece))).tobytes()
         if piece[0] == "\n":
             return self.newline + (self._chunk(piece[1:]) if len(piece) > 1 else b"")
         return self._chunk(" " + piece)
@@ -95,18 +97,20 @@ class Encoder:
         if not m:
             return self._whole(chunk)
         word, signs = m.groups()
+        after = self.signs.get(signs)
+        if after is None:
+            after = self._whole(signs)
+            if len(self.signs) < 10_000:
+                self.signs[signs] = after
         if not self.spaces:
             word = word.lower()
+        elif signs and word[0] == " ":
+            return self.spaced[word[1:]] + after  # a word is encoded once, whatever signs follow it
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_LETTERS)
         elif word[0] == " ":
             word = _LETTERS[32] + word[1:]
-        after = self.signs.get(signs)
-        if after is None:
-            after = self._whole(signs)
-            if len(self.signs) < 10_000:
-                self.signs[signs] = after
-        return array("I", [t.id for t in self.tokenize(word)]).tobytes() + after
+        return array("I", map(_ID, self.tokenize(word))).tobytes() + after
 
     def _alone(self, text: str) -> bool:
         return any(map(text.__contains__, self.special)) or _odd(text)
@@ -136,8 +140,8 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
         ends, pieces = split.offsets.to_numpy(), split.flatten()
         coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        firsts = pieces.take(pa.array(ends[:-1])).to_pylist()  # no space before them
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each first
+        firsts = pieces.take(pa.array(ends[:-1])).to_numpy(zero_copy_only=False).tolist()  # no space before them
         ids = [self.spaced[w] if w else b"" for w in words] + [self.chunks[w] if w else b"" for w in firsts]
         at = coded.indices.to_numpy().astype(np.int64)
         at[ends[:-1]] = len(words) + np.arange(len(texts))

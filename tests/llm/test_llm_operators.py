@@ -714,3 +714,16 @@ def test_linker_sends_links_before_its_input_ends(monkeypatch):
     first = next(out)
     assert len(taken) < 10
     assert first.num_rows + sum(b.num_rows for b in out) == 50
+
+
+def test_a_word_is_encoded_once_whatever_signs_follow():
+    """Pieces of a word and signs share its ids; the ids are those of the whole text."""
+    import public_tokenizers
+    from assayer.llm.tokens import Encoder
+
+    encode, text = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True), "a zebulon, zebulon. zebulon zebulon!! élanoré, élanoré; élanoré\nzebulon ... x"
+    seen, tokenize = [], encode.tokenize
+    encode.tokenize = lambda word: seen.append(word) or tokenize(word)
+    got = encode.many([text, text])
+    assert got[0] == got[1] == encode._whole(text) == encode.encode(text)
+    assert len(seen) == len(set(seen)) and sum("zebulon" in w for w in seen) == 2  # after a space, and after a newline
