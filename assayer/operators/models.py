@@ -13,6 +13,8 @@ from pyspark.ml import regression as MR
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
     HashingTF, IDF, Imputer, OneHotEncoder, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from assayer.operators.evaluate import stability
 from assayer.operators.sample import bootstrap, folds, with_gaussians
 from assayer.plans.columns import dtype, numeric_columns, text_columns
 from assayer.plans.gram import complete, least_squares
+from assayer.plans.perceptron import solve
 from assayer.session import cut, ensure_checkpoint_dir
 
 # ---- fixed values: parameter values per family ------------------------------------------------
@@ -92,10 +95,13 @@ def with_label(df: DataFrame, target: str, kind: str) -> tuple[DataFrame, list]:
 
 def fit(df: DataFrame, features: Sequence[str], target: str, name: str, kind: str, scale: bool = False, **params) -> PipelineModel:
     data, labels = with_label(df, target, kind)
-    if name == "mlp" and "layers" not in params:
-        prep = preparation(df, features, scale).fit(df)
-        width = len(prep.transform(df.limit(1)).select("features").first()["features"])
-        params["layers"] = [width, 8, max(2, len(labels) or data.select("label").distinct().count())]
+    if name == "mlp" and kind == "classification":
+        few = params.get("solver", "l-bfgs") == "l-bfgs" and repeats(data, [*features, "label"])
+        rows, prep = counted(data, [*features, "label"]) if few else data, preparation(df, features, scale).fit(df)
+        if "layers" not in params:
+            width = len(prep.transform(df.limit(1)).select("features").first()["features"])
+            params["layers"] = [width, 8, max(2, len(labels) or rows.select("label").distinct().count())]
+        return fit_perceptron(rows, prep, **params) if few else PipelineModel([prep, estimator(name, kind, **params).fit(prep.transform(data))])
     ensure_checkpoint_dir(df.sparkSession)  # boosting cuts its lineage there
     by_rows = {"minInstancesPerNode", "subsamplingRate", "bootstrap"} & set(params)  # these count or draw rows, whatever their weight
     if kind == "classification" and name in (*WEIGHTED, "random_forest") and not by_rows:
@@ -122,6 +128,23 @@ def fit_counted(rows: DataFrame, prep: PipelineModel, name: str, kind: str, **pa
     return PipelineModel([prep, estimator(name, kind, weightCol="__weight", **params).fit(prep.transform(rows))])
 
 
+def fit_perceptron(rows: DataFrame, prep: PipelineModel, **params) -> PipelineModel:
+    """A perceptron fitted to counted rows (``plans.perceptron``); ``prep`` is fitted by the caller.
+
+    MLlib checks the rows, draws the first weights and makes the model; a model's ``summary`` is of one row, not of the fit.
+    """
+    est = estimator("mlp", "classification", **params)
+    data = prep.transform(rows).select("features", "label", "__weight").coalesce(-(-rows.count() // ROWS_A_TASK)).cache()
+    try:
+        start = est.fit(data, {est.maxIter: 0}).weights
+        flat = data.select(vector_to_array("features"), "label", "__weight")
+        weights = solve(flat, est.getLayers(), start.toArray(), est.getMaxIter(), est.getTol())
+        model = est.fit(data.limit(1), {est.maxIter: 0, est.initialWeights: Vectors.dense(weights)})
+    finally:
+        data.unpersist()
+    return PipelineModel([prep, model])
+
+
 def drawn(rows: DataFrame, features: Sequence[str], times: int, seed: int) -> DataFrame:
     """Counted rows with ``__drawn``: how often each of ``times`` bootstrap samples holds a row of ``__weight`` equal rows.
 

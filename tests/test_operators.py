@@ -587,3 +587,26 @@ def test_checks_in_order_sort_once(spark, monkeypatch):
     monkeypatch.setattr(ordered, "range_count", lambda df: 11)
     row = EV.durbin_watson(gaps, F.col("e"), ["id"]).first()
     assert row["n"] == 60 and abs(row["durbin_watson"] - np.nansum(np.diff(e) ** 2) / np.nansum(e ** 2)) < 1e-12
+
+
+def test_perceptron_is_fitted_to_counted_rows(spark, monkeypatch):
+    """Counted rows lead to the weights that MLlib finds on all rows; solvers and tables without counts stay MLlib's."""
+    df = spark.range(6400, numPartitions=1).selectExpr(
+        "id", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % 5 AS DOUBLE) END AS a", "CAST(id % 3 AS DOUBLE) AS b", "concat('t', id % 4) AS c",
+        "CASE WHEN crc32(CAST(id AS STRING)) % 4 = 0 THEN CAST(id % 2 AS INT) ELSE CAST(id % 5 > 2 AS INT) + CAST(id % 3 > 1 AS INT) END AS y")
+    read, fitted = [], M.counted
+    monkeypatch.setattr(M, "counted", lambda *a: read.append(a) or fitted(*a))
+    model = M.fit(df, ["a", "b", "c"], "y", "mlp", "classification")
+    assert len(read) == 1 and model.stages[-1].getLayers() == [6, 8, 3]
+    rows = model.stages[0].transform(df.withColumn("label", F.col("y").cast("double")))  # whole blocks of one task: MLlib weighs all rows alike
+    plain = M.estimator("mlp", "classification", layers=[6, 8, 3]).fit(rows.coalesce(1))
+    assert np.allclose(model.stages[-1].weights.toArray(), plain.weights.toArray(), atol=1e-4)
+    said = lambda m: [r["yhat"] for r in M.score_table(m, df, "y", "classification", ["id"]).orderBy("id").collect()]
+    assert said(model) == said(M.PipelineModel([model.stages[0], plain]))
+    short = M.fit(df, ["a", "b"], "y", "mlp", "classification", maxIter=2, layers=[2, 4, 3, 3], seed=7).stages[-1]
+    assert short.getLayers() == [2, 4, 3, 3] and short.weights.size == 12 + 15 + 12 and len(read) == 2
+    M.fit(df, ["a", "b"], "y", "mlp", "classification", maxIter=2, solver="gd")
+    M.fit(df.limit(500), ["a", "id"], "y", "mlp", "classification", maxIter=2)
+    assert len(read) == 2
+    with pytest.raises(Exception, match="(?i)label"):
+        M.fit(df.withColumn("y", F.when(F.col("id") != 5, F.col("y"))), ["a", "b"], "y", "mlp", "classification", layers=[2, 4, 3])

@@ -296,3 +296,22 @@ def test_few_columns_are_multiplied_by_spark(spark):
     tiled = gram.cross_products(df, list("abcd"), [1e3] * 4, tile=3)
     assert tiled[0] == n and np.allclose(tiled[1], s) and np.allclose(tiled[2], g)
     assert gram.cross_products(df.where("a < 0"), list("abcd"))[0] == 0
+
+
+def test_perceptron_loss_and_its_descent():
+    """The gradient is that of the loss, a weight counts a row so often, blocks add up; the descent gets down a bent valley."""
+    from assayer.plans import perceptron as PP
+
+    rng, layers = np.random.default_rng(4), [3, 4, 5, 2]
+    w = rng.normal(size=16 + 25 + 12)
+    rows = [(list(rng.normal(size=3)), float(rng.integers(2)), float(rng.integers(1, 9))) for _ in range(50)]
+    got = PP.loss(next(PP.blocks(rows, 50)), w, layers)
+    near = lambda d: PP.loss(next(PP.blocks(rows, 50)), w + d, layers)[0]
+    assert np.allclose(got[1:], [(near(d) - near(-d)) / 2e-6 for d in 1e-6 * np.eye(len(w))], rtol=1e-4, atol=1e-4)
+    single = [(x, y, 1.0) for x, y, n in rows for _ in range(int(n))]
+    parts = list(PP.blocks(single, 7))
+    assert sum(len(b[1]) for b in parts) == len(single) and np.allclose(sum(PP.loss(b, w, layers) for b in parts), got)
+
+    bent = lambda x: (100 * (x[1] - x[0] ** 2) ** 2 + (1 - x[0]) ** 2, np.array([-400 * x[0] * (x[1] - x[0] ** 2) - 2 * (1 - x[0]), 200 * (x[1] - x[0] ** 2)]))
+    assert np.allclose(PP.descend(bent, np.array([-1.2, 1.0]), 100, 1e-12), 1, atol=1e-4)
+    assert np.allclose(PP.descend(bent, np.array([1.0, 1.0]), 100, 1e-6), 1) and bent(PP.descend(bent, np.array([-1.2, 1.0]), 3, 0.0))[0] < 24.2
