@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -19,9 +20,9 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.values import as_col, number, once, pearson, unit_hash
+from assayer.functions.values import as_col, number, once, pearson, unit_hash, unit_hash64
 from assayer.operators.evaluate import stability
-from assayer.operators.sample import bootstrap, folds, with_gaussians
+from assayer.operators.sample import bootstrap, folds
 from assayer.plans.columns import dtype, numeric_columns, text_columns
 from assayer.plans.gram import complete, least_squares
 from assayer.plans.perceptron import solve
@@ -220,7 +221,8 @@ def score_table(model: Transformer, df: DataFrame, target: str, kind: str, key:
 def metric(preds: DataFrame, kind: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """r2 or accuracy, optionally per group; an accuracy also by row weight."""
     if weight:
-        return preds.groupBy(*by).agg((F.sum(F.when(F.col("y") == F.col("yhat"), F.col(weight)).otherwise(0.0)) / F.sum(weight)).alias("score"))
+        hit = (F.col("y") == F.col("yhat")).cast("double")  # null without a label
+        return preds.groupBy(*by).agg((F.sum(hit * F.col(weight)) / F.sum(F.when(hit.isNotNull(), F.col(weight)))).alias("score"))
     if kind == "regression":
         e = F.col("y") - F.col("yhat")
         return preds.groupBy(*by).agg((1 - F.avg(e * e) / F.var_pop("y")).alias("score"))
@@ -378,18 +380,24 @@ def learning_curve(df: DataFrame, features: Sequence[str], target: str, name: st
     return curve.crossJoin(F.broadcast(facts))
 
 
-def perturbed(model: Transformer, df: DataFrame, target: str, kind: str, key: Sequence[str], copies: DataFrame) -> DataFrame:
+def perturbed(model: Transformer, copies: DataFrame, target: str, kind: str, weight: str | None = None) -> DataFrame:
     """Score per ``level`` of perturbed copies of a table, all levels in one pass."""
-    return metric(score_table(model, copies, target, kind, [*key, "level"]), kind, ["level"])
+    return metric(score_table(model, copies, target, kind, ["level", weight] if weight else ["level"]), kind, ["level"], weight)
 
 
 def noise_copies(df: DataFrame, cols: Sequence[str], levels: Sequence[float], key: Sequence[str]) -> DataFrame:
+    """Per level the rows with normal noise of so many standard deviations, drawn for each row, level and column.
+
+    The normal is of two uniform numbers (Box and Muller): code that the JVM compiles however many columns there are.
+    """
     from assayer.operators.profile import mean_std
 
     sd = {c: s or 0.0 for c, (_, s) in mean_std(df, cols).items()}
     each = df.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
-    drawn = with_gaussians(each, [*key, "level"], {f"__z_{c}": f"noise-{c}" for c in cols})
-    return drawn.withColumns({c: number(c, dtype(df, c)) + F.col(f"__z_{c}") * F.col("level") * sd[c] for c in cols}).select(*each.columns)
+    at = [*key, "level"]
+    drawn = lambda c: F.sqrt(-2 * F.ln(unit_hash64(at, f"noise-{c}"))) * F.cos(2 * math.pi * unit_hash64(at, f"turn-{c}"))
+    noisy = once(each, {f"__n_{c}": number(c, dtype(df, c)) + drawn(c) * F.col("level") * sd[c] for c in cols})  # models refer to them many times
+    return noisy.select(*[F.col(f"`__n_{c}`").alias(c) if c in cols else as_col(c) for c in each.columns])
 
 
 def dropout_copies(df: DataFrame, cols: Sequence[str], rates: Sequence[float]) -> DataFrame:
@@ -401,25 +409,74 @@ def dropout_copies(df: DataFrame, cols: Sequence[str], rates: Sequence[float]) -
     return each.withColumns({c: F.when(F.floor(F.col("level") * len(cols)) > i, F.lit(0.0)).otherwise(number(c, dtype(df, c))) for i, c in enumerate(order)})
 
 
+class Stability:
+    """The parts of a model's stability on a table, each a table of one row and one column, none of which runs another.
+
+    Where a class is predicted and the rows without ``key`` are few different ones, dropout, bootstrap and the base score go
+    over counted rows.  Noise is drawn for every row, and every row is predicted twice for ``repeat``.
+    """
+
+    def __init__(self, model: Transformer, df: DataFrame, cols: Sequence[str], target: str, kind: str, key: Sequence[str]):
+        self.model, self.df, self.cols, self.target, self.kind, self.key = model, df, list(cols), target, kind, list(key)
+        self._counted: list[DataFrame | None] = []
+        self._base: list[DataFrame] = []
+
+    def counted(self) -> DataFrame | None:
+        """Equal rows counted once, None where they are not few."""
+        if not self._counted:
+            own = [c for c in self.df.columns if c not in self.key or c in (*self.cols, self.target)]
+            self._counted.append(counted(self.df, own) if self.kind == "classification" and repeats(self.df, own) else None)
+        return self._counted[0]
+
+    def scored(self) -> tuple[DataFrame, str | None]:
+        """The prediction table and its column of weights, if any."""
+        if (rows := self.counted()) is None:
+            return score_table(self.model, self.df, self.target, self.kind, self.key), None
+        return score_table(self.model, rows, self.target, self.kind, ["__weight"]), "__weight"
+
+    def retained(self, scores: DataFrame, name: str) -> DataFrame:
+        """Mean over the levels of a score against that of the table as it is."""
+        if not self._base:
+            preds, weight = self.scored()
+            self._base.append(cut(metric(preds, self.kind, (), weight).select(F.col("score").alias("base"))))
+        return scores.crossJoin(F.broadcast(self._base[0])).agg(F.avg(F.try_divide(F.col("score"), F.col("base"))).alias(name))
+
+    def noise(self, levels: Sequence[float] = (.01, .05, .1, .2)) -> DataFrame:
+        return self.retained(perturbed(self.model, noise_copies(self.df, self.cols, levels, self.key), self.target, self.kind), "noise")
+
+    def dropout(self, rates: Sequence[float] = (.1, .2, .3, .5)) -> DataFrame:
+        rows = self.counted()
+        copies = dropout_copies(self.df if rows is None else rows, self.cols, rates)
+        return self.retained(perturbed(self.model, copies, self.target, self.kind, None if rows is None else "__weight"), "dropout")
+
+    def bootstrap(self, rounds: int = 50, seed: int = 42) -> DataFrame:
+        """A row is drawn a Poisson number of times of mean 1 a round; n rows of one label and prediction together one of mean n."""
+        preds, weight = self.scored()
+        if self.kind == "regression":
+            e = F.col("y") - F.col("yhat")
+            w = F.col("weight")
+            my = F.sum(w * F.col("y")) / F.sum(w)
+            score = 1 - F.sum(w * e * e) / (F.sum(w * F.col("y") * F.col("y")) - F.sum(w) * my * my)
+            boots = bootstrap(cut(preds), self.key, rounds, seed)
+        else:
+            score = F.sum(F.col("weight") * (F.col("y") == F.col("yhat")).cast("double")) / F.sum("weight")
+            many = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
+            cells = preds.groupBy(F.col("y").alias("label"), "yhat").agg(many.alias("__weight"))
+            boots = drawn(cells, ["yhat"], rounds, seed).select(F.col("label").alias("y"), "yhat", F.posexplode("__drawn").alias("round", "weight"))
+        return boots.groupBy("round").agg(score.alias("score")).agg((1 - F.stddev_pop("score") / (F.avg("score") + 1e-8)).alias("bootstrap"))
+
+    def repeat(self) -> DataFrame:
+        first = self.model.transform(self.df).select(*self.df.columns, F.col("prediction").alias("__first"))  # both predictions on the row itself
+        same = F.bool_and(F.col("__first") == F.col("prediction"))
+        r = F.coalesce(pearson(F.col("__first"), F.col("prediction")), F.lit(0.0))
+        return self.model.transform(first).agg(F.when(~same, r).otherwise(1.0).alias("repeat"))
+
+
 def stability_table(model: Transformer, df: DataFrame, cols: Sequence[str], target: str, kind: str, key: Sequence[str],
                     noise: Sequence[float] = (.01, .05, .1, .2), dropout: Sequence[float] = (.1, .2, .3, .5), rounds: int = 50) -> DataFrame:
     """Score retention under noise and dropout, bootstrap stability, repeatability and the weighted total."""
-    preds = cut(score_table(model, df, target, kind, key))
-    base = metric(preds, kind).select(F.col("score").alias("base"))
-    keep = lambda copies, n: perturbed(model, df, target, kind, key, copies).crossJoin(F.broadcast(base)).agg(F.avg(F.try_divide(F.col("score"), F.col("base"))).alias(n))
-    if kind == "regression":
-        e = F.col("y") - F.col("yhat")
-        w = F.col("weight")
-        my = F.sum(w * F.col("y")) / F.sum(w)
-        score = 1 - F.sum(w * e * e) / (F.sum(w * F.col("y") * F.col("y")) - F.sum(w) * my * my)
-    else:
-        score = F.sum(F.col("weight") * (F.col("y") == F.col("yhat")).cast("double")) / F.sum("weight")
-    boots = bootstrap(preds, key, rounds).groupBy("round").agg(score.alias("score"))
-    boot = boots.agg((1 - F.stddev_pop("score") / (F.avg("score") + 1e-8)).alias("bootstrap"))
-    first = model.transform(df).select(*df.columns, F.col("prediction").alias("__first"))  # both predictions on the row itself
-    same = F.bool_and(F.col("__first") == F.col("prediction"))
-    repeat = model.transform(first).agg(F.when(~same, F.coalesce(pearson(F.col("__first"), F.col("prediction")), F.lit(0.0))).otherwise(1.0).alias("repeat"))
-    out = keep(noise_copies(df, cols, noise, key), "noise").crossJoin(keep(dropout_copies(df, cols, dropout), "dropout")).crossJoin(boot).crossJoin(repeat)
+    of = Stability(model, df, cols, target, kind, key)
+    out = of.noise(noise).crossJoin(of.dropout(dropout)).crossJoin(of.bootstrap(rounds)).crossJoin(of.repeat())
     return out.withColumn("overall", stability(F.col("noise"), F.col("dropout"), F.col("bootstrap"), F.col("repeat")))
 
 

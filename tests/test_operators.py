@@ -610,3 +610,49 @@ def test_perceptron_is_fitted_to_counted_rows(spark, monkeypatch):
     assert len(read) == 2
     with pytest.raises(Exception, match="(?i)label"):
         M.fit(df.withColumn("y", F.when(F.col("id") != 5, F.col("y"))), ["a", "b"], "y", "mlp", "classification", layers=[2, 4, 3])
+
+
+def test_a_stability_query_runs_its_own_part(spark, monkeypatch):
+    """No part draws the noise, the bootstrap or the second prediction of another."""
+    from __spark_entry__ import queries
+
+    from assayer.catalog import modeling
+
+    made, sf = [], "/root/testdata/sf0.001"
+    for name in ("noise_copies", "dropout_copies", "bootstrap", "drawn", "pearson"):
+        monkeypatch.setattr(M, name, lambda *a, _n=name, _f=getattr(M, name): made.append(_n) or _f(*a))
+    monkeypatch.setattr(modeling, "_memo", {})
+    for part, own in (("noise", ["noise_copies"]), ("dropout", ["dropout_copies"]), ("bootstrap", ["drawn"]), ("repeat", ["pearson"])):
+        made.clear()
+        row = queries()[f"stab_{part}"](spark, sf).first()
+        assert list(row.asDict()) == [part] and .9 < row[0] <= 1.1 and made == own
+
+
+def test_stability_of_counted_rows_is_that_of_all(spark, monkeypatch):
+    """Scores over counted rows are those of rows; a cell's Poisson draws scatter as the rows' draws do; noise is normal."""
+    df = spark.range(6000).selectExpr("id AS k", "CAST(id % 5 AS DOUBLE) AS a", "CASE WHEN id % 11 > 0 THEN CAST(id % 3 AS DOUBLE) END AS b",
+                                      "CASE WHEN id % 97 = 0 THEN NULL WHEN crc32(CAST(id AS STRING)) % 4 = 0 THEN CAST(id % 2 AS INT) ELSE CAST(id % 5 > 2 AS INT) END AS y")
+    model = M.fit(df.where("y IS NOT NULL"), ["a", "b"], "y", "decision_tree", "classification")
+    few = M.Stability(model, df, ["a", "b"], "y", "classification", ["k"])
+    assert few.counted().count() <= 60
+    monkeypatch.setattr(M, "repeats", lambda *a: False)
+    each = M.Stability(model, df, ["a", "b"], "y", "classification", ["k"])
+    assert each.counted() is None
+    assert few.dropout((.5, .9)).first()[0] == pytest.approx(each.dropout((.5, .9)).first()[0]) and few.dropout((.9,)).first()[0] < .95
+    assert few.noise((.5,)).first()[0] == pytest.approx(each.noise((.5,)).first()[0])
+    assert few.bootstrap(5).first()[0] == each.bootstrap(5).first()[0]  # the same cells
+    labelled = df.where("y IS NOT NULL")
+    rows = S.bootstrap(M.score_table(model, labelled, "y", "classification", ["k"]), ["k"], 150).groupBy("round").agg(
+        (F.sum(F.col("weight") * (F.col("y") == F.col("yhat")).cast("int")) / F.sum("weight")).alias("s")).agg(F.stddev_pop("s") / F.avg("s")).first()[0]
+    cells = 1 - M.Stability(model, labelled, ["a", "b"], "y", "classification", ["k"]).bootstrap(150).first()[0]
+    assert .75 < cells / rows < 1.33
+
+    noisy = M.noise_copies(df, ["a"], (.1, 2.0), ["k"])
+    assert noisy.columns == [*df.columns, "level"] and noisy.count() == 12_000
+    both = noisy.join(df.select("k", F.col("a").alias("own")), "k").toPandas()
+    z = (both["a"] - both["own"]) / both["level"] / df.toPandas()["a"].std()
+    assert abs(z.mean()) < .03 and abs(z.std() - 1) < .03 and abs((z ** 4).mean() - 3) < .25
+    wide = z.groupby(both["level"]).apply(list)
+    assert abs(np.corrcoef(wide.iloc[0], wide.iloc[1])[0, 1]) < .05
+    again = M.noise_copies(df.repartition(5), ["a"], (.1, 2.0), ["k"])
+    assert sorted((r["k"], r["level"], round(r["a"], 9)) for r in again.collect()) == sorted((r["k"], r["level"], round(r["a"], 9)) for r in noisy.collect())
