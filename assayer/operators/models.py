@@ -43,7 +43,9 @@ GRIDS = {
 }
 CLASS_ROWS = 50_000  # rows of one class of a permutation
 WEIGHTED = ("decision_tree", "gbt")  # classifiers that draw no rows: a row of weight n is n equal rows
+BY_MEANS = ("decision_tree", "gbt")  # regressions by squared error that draw no rows: rows of equal features are one row of their mean
 FEW = 4  # equal rows are counted where that leaves at most one row of so many
+LOOKUP_ROWS = 100_000  # different rows that are predicted once and sent to all tasks, at most
 TREE_ROWS = 250_000  # a forest is fitted tree by tree where its different rows are at most so many
 ROWS_A_TASK = 50_000  # of a single tree
 # -------------------------------------------------------------------------------------------
@@ -110,6 +112,9 @@ def fit(df: DataFrame, features: Sequence[str], target: str, name: str, kind: st
         if repeats(data, [*features, "label"], most):
             rows, prep = counted(data, [*features, "label"]), preparation(df, features, scale).fit(data)
             return fit_trees(rows, features, prep, **params) if most else fit_counted(rows, prep, name, kind, **params)
+    squared = str(params.get("lossType", "squared")).lower() == "squared" and not {"validationIndicatorCol", "weightCol"} & set(params)
+    if kind == "regression" and name in BY_MEANS and squared and not by_rows and repeats(data, features):
+        return fit_counted(means(data, features), preparation(df, features, scale).fit(data), name, kind, **params)
     return Pipeline(stages=[preparation(df, features, scale), estimator(name, kind, **params)]).fit(data)
 
 
@@ -124,6 +129,16 @@ def counted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return cut(df.groupBy(*[as_col(c) for c in cols]).agg(F.count(F.lit(1)).cast("double").alias("__weight")))
 
 
+def means(data: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(*features, label, __weight): the mean label and the number of the rows of equal features, cut.
+
+    Squared error over rows is that over these means plus a part that no split changes, so trees gain by the same splits.  A
+    label that is missing or not finite makes its mean so, and MLlib turns it down as it does with rows.
+    """
+    label = F.when(F.count("label") == F.count(F.lit(1)), F.avg("label")).alias("label")
+    return cut(data.groupBy(*[as_col(c) for c in features]).agg(label, F.count(F.lit(1)).cast("double").alias("__weight")))
+
+
 def fit_counted(rows: DataFrame, prep: PipelineModel, name: str, kind: str, **params) -> PipelineModel:
     """A WEIGHTED family fitted to counted rows; ``prep`` is fitted by the caller, as its means and orders go by all rows."""
     return PipelineModel([prep, estimator(name, kind, weightCol="__weight", **params).fit(prep.transform(rows))])
@@ -207,6 +222,21 @@ def score_counts(model: Transformer, df: DataFrame, features: Sequence[str], tar
     return score_table(model, counted(df, cols), target, kind, ["__weight"]).withColumnRenamed("__weight", "weight")
 
 
+def score_rows(model: Transformer, df: DataFrame, features: Sequence[str], target: str, kind: str) -> DataFrame:
+    """(y, yhat) of every row for metrics that take several passes.
+
+    Where the rows of ``features``, all that the model reads, are few different ones, each of these is predicted once and meets
+    its rows by broadcast; else the predictions of all rows are cut.
+    """
+    if not repeats(df, features, LOOKUP_ROWS):
+        return cut(score_table(model, df, target, kind, []))
+    own = df.groupBy(*[as_col(c).alias(f"__{i}") for i, c in enumerate(features)]).count()
+    said = cut(model.transform(own.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(features)])).select(
+        *[as_col(c).alias(f"__{i}") for i, c in enumerate(features)], F.col("prediction").alias("yhat")))
+    same = [as_col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(features)]
+    return with_label(df, target, kind)[0].join(F.broadcast(said), same).select(F.col("label").alias("y"), "yhat")
+
+
 def score_table(model: Transformer, df: DataFrame, target: str, kind: str, key: Sequence[str], positive: bool = False) -> DataFrame:
     """(key, y, yhat[, p]): the prediction table all metrics work on."""
     out = model.transform(with_label(df, target, kind)[0])

@@ -656,3 +656,29 @@ def test_stability_of_counted_rows_is_that_of_all(spark, monkeypatch):
     assert abs(np.corrcoef(wide.iloc[0], wide.iloc[1])[0, 1]) < .05
     again = M.noise_copies(df.repartition(5), ["a"], (.1, 2.0), ["k"])
     assert sorted((r["k"], r["level"], round(r["a"], 9)) for r in again.collect()) == sorted((r["k"], r["level"], round(r["a"], 9)) for r in noisy.collect())
+
+
+def test_regression_trees_are_fitted_to_means_of_equal_features(spark, monkeypatch):
+    """The trees are those of all rows, every row is scored, gaps are filled by the mean of all; other losses read all rows."""
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 8 = 0 THEN NULL ELSE CAST(id % 7 AS DOUBLE) END AS a", "CAST(id % 3 AS DOUBLE) AS b",
+                                      "concat('t', id % 2) AS c", "(id % 7) * (id % 3) + (crc32(CAST(id AS STRING)) % 1000) / 250.0D AS y")
+    cols, made, plain_means = ["a", "b", "c"], [], M.means
+    monkeypatch.setattr(M, "means", lambda *a: made.append(a) or plain_means(*a))
+    for name, params in (("gbt", {"maxIter": 5, "maxDepth": 3}), ("decision_tree", {})):
+        made.clear()
+        model = M.fit(df, cols, "y", name, "regression", **params)
+        assert len(made) == 1 and model.stages[-1].getWeightCol() == "__weight"
+        plain = M.Pipeline(stages=[M.preparation(df, cols), M.estimator(name, "regression", **params)]).fit(df.withColumn("label", F.col("y").cast("double")))
+        said = lambda m: np.array([r["yhat"] for r in M.score_table(m, df, "y", "regression", ["id"]).orderBy("id").collect()])
+        assert np.allclose(said(model), said(plain)) and np.allclose(model.stages[-1].featureImportances.toArray(), plain.stages[-1].featureImportances.toArray())
+        rows = M.score_rows(model, df, cols, "y", "regression")
+        want = M.score_table(plain, df, "y", "regression", [])
+        assert rows.columns == ["y", "yhat"] and rows.count() == 5000
+        assert np.allclose(EV.regression(rows).toPandas().to_numpy(dtype=float), EV.regression(want).toPandas().to_numpy(dtype=float))
+    made.clear()
+    M.fit(df, cols, "y", "gbt", "regression", maxIter=1, lossType="absolute")
+    M.fit(df, cols, "y", "decision_tree", "regression", minInstancesPerNode=500)
+    M.fit(df, [*cols, "id"], "y", "decision_tree", "regression")
+    assert not made
+    with pytest.raises(Exception, match="(?i)label"):
+        M.fit(df.withColumn("y", F.when(F.col("id") != 5, F.col("y"))), cols, "y", "gbt", "regression", maxIter=1)
