@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
@@ -26,6 +27,7 @@ from assayer.operators.sample import bootstrap, folds
 from assayer.plans.columns import dtype, numeric_columns, text_columns
 from assayer.plans.gram import complete, least_squares
 from assayer.plans.perceptron import solve
+from assayer.plans.permuted import by_class, in_classes, paired, permutation
 from assayer.session import cut, ensure_checkpoint_dir
 
 # ---- fixed values: parameter values per family ------------------------------------------------
@@ -46,6 +48,7 @@ WEIGHTED = ("decision_tree", "gbt")  # classifiers that draw no rows: a row of w
 BY_MEANS = ("decision_tree", "gbt")  # regressions by squared error that draw no rows: rows of equal features are one row of their mean
 FEW = 4  # equal rows are counted where that leaves at most one row of so many
 LOOKUP_ROWS = 100_000  # different rows that are predicted once and sent to all tasks, at most
+SWAPS = 1_000_000  # predictions that tasks look up, of all columns
 TREE_ROWS = 250_000  # a forest is fitted tree by tree where its different rows are at most so many
 ROWS_A_TASK = 50_000  # of a single tree
 # -------------------------------------------------------------------------------------------
@@ -514,28 +517,89 @@ def permutation_importance(model: Transformer, df: DataFrame, cols: Sequence[str
                            at_once: int = 10) -> DataFrame:
     """Mean and deviation of the score drop when a column is shuffled among the rows.
 
-    For each repeat the rows are dealt to classes of some CLASS_ROWS by a hash, and within its class a row takes the values of the
-    next one in hash order, the last those of the first: a true permutation, in which any other row is as likely the partner.
-    All columns are scored in the same pass, and ``at_once`` repeats share a job.
+    The rows are dealt to classes of some CLASS_ROWS by a hash of their key, and in each repeat a class permutes its values at
+    random, the same way for all columns.  The rows are shuffled once a job and never their repeats.  Where the features (all
+    columns but key and target) are few different ones, every value that a column can take in each of them is predicted once,
+    and tasks look the predictions up; else ``at_once`` repeats of all columns are predicted in a job.
     """
     base, n = metric(score_table(model, df, target, kind, key), kind).first()["score"], df.count()
     classes = max(1, n // CLASS_ROWS)
-    home = Window.partitionBy("__rep", "__class").orderBy("__h", *key)
-    ends = home.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    drops = []
-    for start in range(0, repeats, at_once):
-        each = df.withColumn("__rep", F.explode(F.sequence(F.lit(start), F.lit(min(start + at_once, repeats) - 1))))
-        dealt = once(each, {"__h": unit_hash([*key, "__rep"], 1000)}).withColumn("__class", F.floor(F.col("__h") * classes))
-        other = F.struct(*[as_col(c) for c in cols])
-        paired = dealt.select(*df.columns, "__rep", F.coalesce(F.lead(other).over(home), F.first(other).over(ends)).alias("__other"))
-        moved = paired.withColumn("__col", F.explode(F.array(*[F.lit(c) for c in cols]))).withColumns(
-            {c: F.when(F.col("__col") == c, F.col("__other").getField(c)).otherwise(as_col(c)) for c in cols}).drop("__other")
-        scores = metric(score_table(model, moved, target, kind, ["__rep", "__col"]), kind, ["__rep", "__col"]).collect()
-        drops += [(r["__col"], base - r["score"]) for r in scores if r["score"] is not None and base is not None]
+    if base is None:
+        scores = []
+    elif looked_up := predicted_swaps(model, df, cols, target, kind, key):
+        scores = _swap_scores(*looked_up, cols, kind, key, classes, repeats)
+    else:
+        scores = []
+        for start in range(0, repeats, at_once):
+            both = paired(df, cols, key, classes, range(start, min(start + at_once, repeats)))
+            moved = both.withColumn("__col", F.explode(F.array(*[F.lit(c) for c in cols]))).withColumns(
+                {c: F.when(F.col("__col") == c, F.col("__other").getField(c)).otherwise(as_col(c)) for c in cols}).drop("__other")
+            found = metric(score_table(model, moved, target, kind, ["__rep", "__col"]), kind, ["__rep", "__col"]).collect()
+            scores += [(r["__col"], r["score"]) for r in found]
+    drops = [(c, base - score) for c, score in scores if score is not None]
     return df.sparkSession.createDataFrame(drops, "feature string, drop double").groupBy("feature").agg(
         F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
 
 
+def predicted_swaps(model: Transformer, df: DataFrame, cols: Sequence[str], target: str, kind: str,
+                    key: Sequence[str]) -> tuple[DataFrame, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] | None:
+    """Every row as key, ``__y`` and ``__id`` of its different features, and for each column what the model predicts with any of its values.
+
+    For a column: the number of the other features by id, that of its own value by id, and the predictions of both numbers.
+    None where the different rows are more than LOOKUP_ROWS, the predictions more than SWAPS, or the model leaves rows out.
+    """
+    features = [c for c in df.columns if c not in key and c != target]
+    if not cols or not set(cols) <= set(features) or not repeats(df, features, LOOKUP_ROWS):
+        return None
+    own = df.groupBy(*[as_col(c) for c in features]).agg(F.count(F.lit(1)).alias("__n")).drop("__n").coalesce(1)
+    number_of = lambda by: F.dense_rank().over(Window.orderBy(*[as_col(c) for c in by])) - 1 if by else F.lit(0)
+    codes = {f"__r{i}": number_of([f for f in features if f != c]) for i, c in enumerate(cols)} | {f"__v{i}": number_of([c]) for i, c in enumerate(cols)}
+    coded = cut(own.withColumns(codes).coalesce(1).withColumn("__id", F.monotonically_increasing_id().cast("int")))  # one task, so without a gap
+    at = coded.orderBy("__id").select(*codes).toPandas().to_numpy(dtype=np.int64).reshape(-1, 2, len(cols))
+    sizes = at.max(axis=0) + 1
+    if int((sizes[0] * sizes[1]).sum()) > SWAPS:
+        return None
+    tables = []
+    for i, c in enumerate(cols):
+        rest = coded.dropDuplicates([f"__r{i}"]).select(*[as_col(f) for f in features if f != c], f"__r{i}")
+        grid = rest.crossJoin(coded.dropDuplicates([f"__v{i}"]).select(as_col(c), f"__v{i}"))
+        found = model.transform(grid).select(f"__r{i}", f"__v{i}", F.col("prediction").cast("double")).toPandas().to_numpy(dtype=float)
+        said = np.full(sizes[:, i], np.nan)
+        said[found[:, 0].astype(int), found[:, 1].astype(int)] = found[:, 2]
+        if np.isnan(said).any():
+            return None
+        tables.append((at[:, 0, i] * sizes[1, i], at[:, 1, i], said.ravel()))
+    names = {c: f"__f{i}" for i, c in enumerate(features)}
+    known = F.broadcast(coded.select(*[as_col(c).alias(f) for c, f in names.items()], "__id"))
+    rows = with_label(df, target, kind)[0].join(known, [as_col(c).eqNullSafe(F.col(f)) for c, f in names.items()])
+    return rows.select(*[as_col(c) for c in key], F.col("label").alias("__y"), "__id"), tables
+
+
+def _swap_scores(rows: DataFrame, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], cols: Sequence[str], kind: str, key: Sequence[str],
+                 classes: int, reps: int) -> list[tuple[str, float | None]]:
+    """(column, score) of each repeat: tasks add up squared errors or hits of permuted rows, looked up in ``tables``."""
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, b in by_class(batches):
+            y, ids = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("__y", "__id"))
+            labelled = ~np.isnan(y)
+            placed = [(rest[ids], value[ids], said) for rest, value, said in shared.value]
+            out = []
+            for rep in range(reps):
+                at = permutation(len(ids), rep, own)
+                for i, (rest, value, said) in enumerate(placed):
+                    e = (y - said[rest + value[at]])[labelled]
+                    out.append((rep, i, float(e @ e) if kind == "regression" else float((e == 0).sum()), len(e)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=schema)
+
+    schema = pa.schema([("rep", pa.int64()), ("col", pa.int64()), ("total", pa.float64()), ("n", pa.int64())])
+    dealt = in_classes(rows, key, classes, ["__id", "__y"]).select("__class", "__id", "__y")
+    means_ = dealt.mapInArrow(run, "rep long, col long, total double, n long").groupBy("rep", "col").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("m")).collect()
+    spread = rows.agg(F.var_pop("__y")).first()[0] if kind == "regression" else None
+    return [(cols[r["col"]], r["m"] if kind != "regression" or r["m"] is None else 1 - r["m"] / spread) for r in means_]
+
+
 def chained_imputation(df: DataFrame, cols: Sequence[str], rounds: int = 5, ridge: float = 1e-3) -> DataFrame:
     """Chained equations: every incomplete column is regressed on the others, in turn, for some rounds.
 

@@ -682,3 +682,28 @@ def test_regression_trees_are_fitted_to_means_of_equal_features(spark, monkeypat
     assert not made
     with pytest.raises(Exception, match="(?i)label"):
         M.fit(df.withColumn("y", F.when(F.col("id") != 5, F.col("y"))), cols, "y", "gbt", "regression", maxIter=1)
+
+
+def test_permuted_predictions_are_looked_up(spark, monkeypatch):
+    """Few different features are predicted once; the scores are those of predicting every permuted row, whatever the partitions."""
+    df = spark.range(4000).selectExpr("id AS k", "CASE WHEN id % 9 = 0 THEN NULL ELSE CAST(id % 5 AS DOUBLE) END AS a", "concat('t', id % 3) AS b", "id % 2 AS c",
+                                      "CASE WHEN id % 41 = 0 THEN NULL ELSE 3.0D * (id % 5) + (id % 3) + (crc32(CAST(id AS STRING)) % 1000) / 500.0D END AS y")
+    reg = M.fit(df.where("y IS NOT NULL"), ["a", "b", "c"], "y", "linear", "regression")
+    two = df.withColumn("y", (F.col("y") > 7).cast("int"))
+    cls = M.fit(two.where("y IS NOT NULL"), ["a", "b", "c"], "y", "decision_tree", "classification")
+    monkeypatch.setattr(M, "CLASS_ROWS", 700)
+    moved, score, looked = [], M.score_table, M.predicted_swaps
+    monkeypatch.setattr(M, "score_table", lambda m, t, *a, **k: moved.append(t) or score(m, t, *a, **k))
+    said = lambda m, t, kind, cols: {r["feature"]: (r["importance"], r["std"]) for r in M.permutation_importance(m, t, cols, "y", kind, ["k"], 4, at_once=2).collect()}
+    for model, table, kind in ((reg, df, "regression"), (cls, two, "classification")):
+        moved.clear()
+        got = said(model, table, kind, ["a", "b"])
+        assert len(moved) == 1 and moved[0] is table  # the base only: no repeat of the rows is predicted
+        assert got["a"][0] > .1 and got["a"][1] > 0
+        assert got["a"] == pytest.approx(said(model, table.repartition(7), kind, ["a", "b"])["a"])
+        monkeypatch.setattr(M, "predicted_swaps", lambda *a: None)
+        each = said(model, table, kind, ["a", "b"])
+        assert len(moved) > 3 and all(got[c] == pytest.approx(each[c]) for c in ("a", "b"))
+        monkeypatch.setattr(M, "predicted_swaps", looked)
+    monkeypatch.setattr(M, "SWAPS", 10)
+    assert M.predicted_swaps(reg, df, ["a", "b"], "y", "regression", ["k"]) is None
