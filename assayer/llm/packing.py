@@ -189,4 +189,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     A null text is empty and gives one piece, the end id; repeated rows are packed each for itself; an empty table gives
     no rows; other columns are not read.  Only documents longer than ``capacity`` are cut.
     """
-    return pack(stored(pieces(docs, tokenizer, capacity, end_id, spaces, with_ids), "pieces"), capacity)
+    if not with_ids:
+        return pack(stored(pieces(docs, tokenizer, capacity, end_id, spaces), "pieces"), capacity)
+    held = pieces(docs, tokenizer, capacity, end_id, spaces, True).withColumn("row", F.monotonically_increasing_id())
+    held = stored(held, "pieces")  # the ids are shuffled once, to the places found without them
+    own = held.select("row", "ids")
+    return pack(held.drop("ids"), capacity).join(own, "row").select(*[c for c in held.columns if c != "row"], "sequence_id", "offset")

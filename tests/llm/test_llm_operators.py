@@ -727,3 +727,34 @@ def test_a_word_is_encoded_once_whatever_signs_follow():
     got = encode.many([text, text])
     assert got[0] == got[1] == encode._whole(text) == encode.encode(text)
     assert len(seen) == len(set(seen)) and sum("zebulon" in w for w in seen) == 2  # after a space, and after a newline
+
+
+def test_pack_stage_returns_the_ids(spark):
+    """The corpus itself comes out: every piece with its ids, equal copies each for itself, also in documents of several pieces."""
+    import corpus_pipeline
+
+    docs = [(1, "one two, three"), (1, "one two, three"), (2, None), (3, "word " * 9000), (4, "élément\n\tend")]
+    out = corpus_pipeline.pack(spark, frame(spark, docs), SF)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+    rows = out.collect()
+    tok = tokenizers.Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    check_packed(rows, [(d, t or "") for d, t in docs], tok, 4096, 1)
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in rows) and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    whole = b"".join(r["ids"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 3)
+    assert whole == np.array(tok.encode(docs[3][1], add_special_tokens=False).ids + [1], "<u4").tobytes()
+
+
+def test_bands_lose_no_pair_at_the_limit():
+    """Sets of similarity 0.8 share a band all but 2 times in 10^9; these are pairs that 20 bands of 4 lost."""
+    from assayer.llm import near_copies
+
+    assert (1 - .8 ** near_copies.ROWS) ** near_copies.BANDS < 1e-8 and sum(near_copies.ROUNDS) == near_copies.BANDS
+    for u in ("1198011117393c9f 7dd02bc820c00127 fe8cc8e744c65803 7712118c06ca29a2 98a3e0cf88304c25 520dc0e3934b9865 939f1b1f9c004e25 c18fd0a6333a2700 4eb194cf3625d3eb eafc0de6c7c6a6ea",
+              "30435131351eb69c 6751e7c25e445990 18df6137b2d06a65 1257f6fbee22705c b17e1fdc3f0c37f5 424bcc33da901424 ad537f160bd35ac5 5a0116c8d5ddefb0 a345504655bc4be2 1fb96e8efac01dc2",
+              "042850d789f71d17 9da927e8183f4cf2 d04a20c7ccae1ee4 66e904b12acaf812 e0a43d716b1acbdf 4ef5d5d761951611 bfc42a06cef036ce 8e4da03ac097913c fc1d0939e5801d39 538d64cb54e7cd2b"):
+        own = np.array([int(x, 16) for x in u.split()], dtype=np.uint64)
+        assert set(near_copies.bands(np.sort(own[:9]))) & set(near_copies.bands(np.sort(own[1:])))
+    rng = np.random.default_rng(3)
+    for n, both in [(9, 8), (90, 80)] * 1000:
+        own = rng.integers(0, 1 << 64, 2 * n - both, dtype=np.uint64)
+        assert set(near_copies.bands(np.sort(own[:n]))) & set(near_copies.bands(np.sort(own[n - both:])))
